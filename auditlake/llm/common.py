@@ -92,17 +92,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs of bytes other than ASCII white space,
-    A-Z lower-cased) in order, and n + 1 offsets of each text's words."""
-    inside = _IS_WORD[data]
+def hash_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD, prefixes: tuple[int, ...] = ()) -> tuple:
+    """64-bit hashes of all words (runs of bytes other than ASCII white space, or
+    of those that ``inside`` marks, A-Z lower-cased) in order, and n + 1 offsets of
+    each text's words; then the hashes of the words' first bytes, for each length asked."""
+    inside = inside[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     starts_of_text = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[starts_of_text] = inside[starts_of_text]
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return (np.zeros(0, U64), np.zeros(len(offsets), np.int64), *(np.zeros(0, U64) for _ in prefixes))
     heads = np.flatnonzero(first[at])
     sizes = np.diff(np.append(heads, len(at)))
     place = np.arange(len(at)) - np.repeat(heads, sizes)
@@ -110,8 +111,10 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     powers = _POWERS
     if longest > len(powers):
         powers = np.cumprod(np.concatenate([[U64(1)], np.full(longest, _BASE, U64)]), dtype=U64)
-    h = fmix(np.add.reduceat(_BYTE[_LOWER[data[at]]] * powers[place], heads))
-    return h, np.searchsorted(at[heads], offsets, side="left")
+    parts = _BYTE[_LOWER[data[at]]] * powers[place]
+    # a prefix that is the whole word has a hash of its own kind
+    cut = (fmix(np.add.reduceat(np.where(place < n, parts, U64(0)), heads) + U64(n)) for n in prefixes)
+    return (fmix(np.add.reduceat(parts, heads)), np.searchsorted(at[heads], offsets, side="left"), *cut)
 
 
 def hash_shingles(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from auditlake.llm import langid, mixing, neardup, pii, sharding, token_counts
+from auditlake.llm import langid, mixing, neardup, pii, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_mix": mixing.op3_mix,
     "op5_neardup": neardup.op5_neardup,
     "op6_shard": sharding.op6_shard,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_token_counts": token_counts.op10_token_counts,
 }
