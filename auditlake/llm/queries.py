@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from auditlake.llm import langid, mixing, neardup, pii, sharding, token_counts, toxicity
+from auditlake.llm import decontam, langid, mixing, neardup, pii, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_decontaminate": decontam.op2_decontaminate,
     "op3_mix": mixing.op3_mix,
     "op5_neardup": neardup.op5_neardup,
     "op6_shard": sharding.op6_shard,
