@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.llm import decontam, langid, mixing, neardup, pii, sharding, token_counts, toxicity
+from auditlake.llm import decontam, langid, mixing, neardup, pii, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix": mixing.op3_mix,
     "op5_neardup": neardup.op5_neardup,
     "op6_shard": sharding.op6_shard,
+    "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_token_counts": token_counts.op10_token_counts,
