@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from auditlake.llm import decontam, langid, mixing, neardup, pii, quality, sharding, token_counts, toxicity
+from auditlake.llm import decontam, langid, license_scan, mixing, neardup, pii, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_decontaminate": decontam.op2_decontaminate,
     "op3_mix": mixing.op3_mix,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_neardup": neardup.op5_neardup,
     "op6_shard": sharding.op6_shard,
     "op7_quality": quality.op7_quality,
