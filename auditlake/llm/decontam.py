@@ -128,6 +128,13 @@ def _summed(hits: DataFrame) -> DataFrame:
     )
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    bad = contaminated_documents(docs, items, id_col, text_col, **names).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("key").alias("_key"))
+    same = docs[id_col].eqNullSafe(bad["_bad"]) & F.xxhash64(docs[text_col]).eqNullSafe(bad["_key"])
+    return docs.join(bad, same, "left_anti")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return contaminated_documents(docs, table(spark, sf_dir, "benchmark")).drop("key")

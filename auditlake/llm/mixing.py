@@ -115,5 +115,12 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     return out.select(*docs.columns, "mix_block", "mix_position", "target", "in_mix")
 
 
+def mixed(docs: DataFrame, weights: dict | None = None, chunk: int = 4096, **names) -> DataFrame:
+    """The rows of ``docs``, all columns, that are in the mix, written in its order:
+    each output partition holds whole runs of ``chunk`` positions."""
+    out = mix(docs, weights, **names).where("in_mix").withColumn("_run", F.floor(F.col("mix_position") / chunk))
+    return out.repartition("_run").sortWithinPartitions("_run", "mix_position").select(*docs.columns)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))

@@ -39,7 +39,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import U64, fmix, hash_shingles, hash_words, stored, table, text_bytes, text_chunks
@@ -217,5 +217,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "n_copies")
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each near-duplicate group.
+    Of rows with one doc_id one stays; rows without a doc_id, which no result can
+    name, all stay."""
+    found = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(found, docs[id_col] == found["_kept"], "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))])))
+    kept = kept.withColumn("_first", first).where("_first = 1").drop("_first")
+    return kept.union(docs.where(F.col(id_col).isNull()))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

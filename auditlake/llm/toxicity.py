@@ -272,6 +272,22 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out.select(F.col("id").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not predict to be toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for part in text_chunks(batch, text_col):
+                tokens, at = tokens_of(part.column(text_col))
+                scores = m.word_scores(tokens, at)
+                clean = [m.score(m.evidence(m.segments(scores[a:b]), b - a)[0]) < 0.5 for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
