@@ -18,7 +18,10 @@ Postings are cut down before they are joined:
   centre of a group of copies). When the links so found have made components,
   the nodes outside a long list's largest component are joined with all of the
   list in other components. Pairs within one component need no test, all others
-  get theirs, so no link is lost and no list is expanded into all its pairs.
+  get theirs, so no link is lost and no list is expanded into all its pairs;
+* bound: in long lists each node knows how many of its shingles any other node of
+  these lists has. Independent edits of one text are far from each other and from
+  no one else, and this bound rules them out before any pair is made.
 
 Agreement is counted in the join condition itself: eight bits of each coordinate
 lie in eight 64-bit planes, so that one bit_count of the or-ed differences gives
@@ -138,6 +141,12 @@ def alike(a: str, b: str) -> Column:
     return (agreement(a, b) >= MATCHES) & (100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y))
 
 
+def overlap(a: str, b: str) -> Column:
+    """Whether two nodes can overlap enough, from the shingles (c) that they don't have alone:
+    inter / (n + m - inter) >= 0.75 takes inter >= 0.75 / 1.75 * (n + m)."""
+    return (100 + THRESHOLD) * F.least(F.col(f"{a}.c"), F.col(f"{b}.c")) >= THRESHOLD * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def postings(nodes: DataFrame) -> DataFrame:
     """(token, node, n, planes, weight): the prefix of each node that can have a partner."""
     posted = nodes.select("node", F.explode("tokens").alias("token"))
@@ -154,16 +163,21 @@ def pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def confirmed(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed(found: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    asked = found.select(F.col("a").alias("node")).union(found.select(F.col("b"))).distinct()
-    texts = docs.select(docs[id_col].alias("node"), docs[text_col].alias("text")).join(asked, "node", "left_semi")
-    sets = stored(sets_of(texts), "neardup-sets")
     both = found.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * shared >= THRESHOLD * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, c): how many shingles of each node another one of these nodes has. No
+    overlap with any of them can be larger."""
+    each = sets.join(nodes, "node", "left_semi").select("node", F.size("set").alias("n"), F.explode("set").alias("s"))
+    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min("node").alias("node")).where("f = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    return nodes.join(alone, "node", "left").select("node", F.coalesce("u", F.lit(0)).alias("u"))
+
+
 def components(links: DataFrame, name: str = "neardup-links") -> DataFrame:
     """(node, component) of all nodes that have a link; component: the smallest node."""
 
@@ -192,25 +206,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a set
     nodes = stored(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), *map(first, ["n", "tokens", *PLANES])), "neardup-nodes")
     posted = stored(postings(nodes.where("node is not null")), "neardup-postings")
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max_by(F.struct("node", "n", *PLANES), F.struct("weight", -F.col("node"))).alias("pivot")).where("m > 1")
-    lists = stored(lists, "neardup-lists")
-    short = posted.join(lists.where(F.col("m") <= SMALL).select("token"), "token", "left_semi")
-    star = lists.where(F.col("m") > SMALL).select("token", "pivot.*")
-    found = pairs(short, short, F.col("x.node") < F.col("y.node")).union(pairs(posted, star, F.col("x.node") != F.col("y.node"))).distinct()
-    links = stored(confirmed(stored(found, "neardup-pairs"), docs, id_col, text_col), "neardup-found")
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    posted = stored(posted.join(lists, "token"), "neardup-lists")
+    sets = docs.select(docs[id_col].alias("node"), docs[text_col].alias("text")).join(posted.select("node").distinct(), "node", "left_semi")
+    sets = stored(sets_of(sets), "neardup-sets")
+
+    short, long = posted.where(F.col("m") <= SMALL), posted.where(F.col("m") > SMALL)
+    long = stored(long.join(shared_sizes(long.select("node").distinct(), sets), "node").withColumn("c", F.col("n") - F.col("u")).drop("u", "m"), "neardup-long")
+    pivot = long.groupBy("token").agg(F.max_by(F.struct("node", "n", "c", *PLANES), F.struct("weight", -F.col("node"))).alias("pivot")).select("token", "pivot.*")
+    found = pairs(short, short, F.col("x.node") < F.col("y.node")).union(pairs(long, pivot, (F.col("x.node") != F.col("y.node")) & overlap("x", "y"))).distinct()
+    links = stored(confirmed(stored(found, "neardup-pairs"), sets), "neardup-found")
     groups = stored(components(links), "neardup-groups")
 
     # long lists: whoever is outside the largest component meets the rest
     own = F.coalesce("component", "node").alias("component")
-    long = posted.join(lists.where(F.col("m") > SMALL).select("token"), "token", "left_semi").join(groups, "node", "left").select("token", "node", "n", *PLANES, own)
-    long = stored(long, "neardup-long")
-    sizes = long.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
+    long = stored(long.join(groups, "node", "left").select("token", "node", "n", "c", *PLANES, own), "neardup-long")
+    sizes = long.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
     outside = stored(long.join(largest, "token").where("component <> largest").drop("largest"), "neardup-outside")
-    if not outside.isEmpty():
-        more = stored(pairs(outside, long, F.col("x.component") != F.col("y.component")), "neardup-pairs")
-        more = confirmed(more, docs, id_col, text_col)
-        groups = components(links.union(more))
+    more = stored(pairs(outside, long, (F.col("x.component") != F.col("y.component")) & overlap("x", "y")), "neardup-pairs")
+    if not more.isEmpty():
+        groups = stored(components(links.union(confirmed(more, sets))), "neardup-groups")
     by_set = nodes.select("k1", "k2", "node", "n_copies").join(groups, "node", "left").select("k1", "k2", "n_copies", F.coalesce("component", "node").alias("component_id"))
     out = filled.select("doc_id", "n", "k1", "k2").join(by_set, ["k1", "k2"]).select("doc_id", "n", "component_id", "n_copies")
     out = out.union(sig.where("n = 0").select("doc_id", "n", F.col("doc_id"), F.lit(1).cast("long")))
