@@ -45,13 +45,16 @@ COMMON = tuple(dict.fromkeys(COMMON))
 CLASSES = {"lower": "[a-z]+", "space": f"[{SPACE}]+", "symbol": r"[#*$%&|<>]+", "upper": "[A-Z]+", "digit": "[0-9]+", "mark": r"[.,;:!?'\"()\-]+", "letter": r"\p{L}+"}
 
 
-def _repeat_words(h: Column) -> Column:
-    """Words in windows (hashes by position) that occur twice or more."""
-    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    twins = F.zip_with(placed, F.slice(placed, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    at = F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
-    step = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    return F.aggregate(step, F.lit(0), operator.add).cast("long")
+def _with_repeat_words(df: DataFrame) -> DataFrame:
+    """Adds n_repeat_words from h: the words in windows (hashes by position) that occur
+    twice or more. Each step is a column of its own, so that none is made again for
+    each use, and null (no work) where no window repeats."""
+    df = df.withColumn("placed", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    behind = lambda c: F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))
+    twins = F.zip_with("placed", behind("placed"), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    df = df.withColumn("twins", F.sort_array(F.array_distinct(F.flatten(F.array_compact(twins)))))
+    step = F.zip_with("twins", behind("twins"), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
+    return df.withColumn("n_repeat_words", F.coalesce(F.aggregate(step, F.lit(0), operator.add), F.lit(0)).cast("long"))
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -60,6 +63,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     df = df.withColumn("w", F.array_remove(F.split("t", f"[{SPACE}]+"), ""))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     df = df.withColumn("h", F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
+    df = _with_repeat_words(df)
     df = df.withColumn("common", F.concat(F.lit("|"), F.array_join(F.filter("w", lambda x: x.isin(*COMMON)), "||"), F.lit("|")))
     df = df.withColumn("r0", F.col("t"))
     for k, pattern in enumerate(CLASSES.values()):
@@ -70,7 +74,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     df = df.select(
         "doc_id", "lang", F.size("w").cast("long").alias("n_words"), (F.length("t") - by_class["space"]).cast("long").alias("word_chars"), by_class["symbol"].cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("h")) < F.size("h"), _repeat_words(F.col("h"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+        "n_repeat_words",
         F.array(*[c.cast("long") for c in by_class.values()]).alias("chars"), F.array(*known).alias("known"),
     )
     sum_known = F.aggregate("known", F.lit(0).cast("long"), operator.add)
@@ -79,14 +83,18 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     return df.withColumn("base_failed", failed)
 
 
+def shares(counts: str) -> Column:
+    """A count array as shares of its sum; null if that is 0. The sum is taken once
+    and handed to the elements through a one-element array."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
+    return F.when(F.exists(counts, lambda x: x > 0), F.get(F.transform(F.array(total), lambda n: F.transform(counts, lambda x: x / n)), F.lit(0)))
+
+
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays of one length; null if one is all 0."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    n, m = F.nullif(total(p), F.lit(0.0)), F.nullif(total(q), F.lit(0.0))
-    part = lambda x, mean: F.when(x > 0, x * F.log2(x / mean)).otherwise(F.lit(0.0))
-    terms = F.zip_with(p, q, lambda a, b: F.struct((a / n).alias("a"), (b / m).alias("b")))
-    bits = F.aggregate(terms, F.lit(0.0), lambda s, x: s + (part(x["a"], (x["a"] + x["b"]) / 2) + part(x["b"], (x["a"] + x["b"]) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), bits))
+    """Jensen-Shannon distance of two arrays of shares."""
+    part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
+    bits = F.aggregate(F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a)), F.lit(0.0), lambda s, x: s + x)
+    return F.sqrt(F.greatest(F.lit(0.0), bits / 2))
 
 
 def references(counted: DataFrame) -> DataFrame:
@@ -99,13 +107,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, char_distance, word_distance) of each row."""
     counted = stored(features(docs, id_col, text_col, lang_col), "quality-features")
+    refs = references(counted).select("lang", shares("ref_chars").alias("ref_chars"), shares("ref_known").alias("ref_known"))
     # all references in one row, in order of language: as many as there are languages
-    refs = references(counted).agg(F.array_sort(F.collect_list(F.struct("lang", "ref_chars", "ref_known"))).alias("refs"))
+    refs = refs.agg(F.array_sort(F.collect_list(F.struct("lang", "ref_chars", "ref_known"))).alias("refs"))
     df = counted.crossJoin(F.broadcast(refs))
-    own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
-    df = df.withColumn("refs", F.when(F.size(own) > 0, own).otherwise(F.col("refs")))
+    df = df.withColumn("own", F.filter("refs", lambda r: r["lang"] == F.col("lang")))
+    df = df.withColumn("refs", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("refs"))).drop("own")
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    df = df.withColumns({"chars": as_double("chars"), "known": as_double("known")})
+    df = df.withColumns({"chars": as_double("chars"), "known": as_double("known")}).withColumns({"chars": shares("chars"), "known": shares("known")})
     near = lambda c: F.array_min(F.transform("refs", lambda r: js_distance(F.col(c), r[f"ref_{c}"])))
     df = df.withColumns({"char_distance": near("chars"), "word_distance": near("known")})
     bad = [(F.col("n_words") >= n) & (F.col(d) > most) for n, d, most in ((CHAR_WORDS, "char_distance", CHAR_MOST), (WORD_WORDS, "word_distance", WORD_MOST))]
