@@ -200,7 +200,10 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 def pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     """Distinct (a, b), a < b, of nodes that meet in a list and are alike."""
-    alike_fine = alike("x", "y") & (fine_agreement("x", "y") >= FINE_MATCHES) if "fine" in left.columns else alike("x", "y")
+    alike_fine = alike("x", "y")
+    if "fine" in left.columns:
+        # and of all lists in which they meet, only the first makes the pair
+        alike_fine &= (fine_agreement("x", "y") >= FINE_MATCHES) & (F.col("x.token") == F.array_min(F.array_intersect("x.tokens", "y.tokens")))
     joined = left.alias("x").join(right.alias("y"), (F.col("x.token") == F.col("y.token")) & condition & alike_fine)
     return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -269,6 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = stored(long, "neardup-long")
     # as the smaller set of a link has at least 0.75 of the larger one in common
     able = long.where(100 * F.col("c") >= THRESHOLD * F.col("n"))
+    able = stored(able.join(able.groupBy("node").agg(F.collect_set("token").alias("tokens")), "node"), "neardup-able")
     sizes = long.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
     outside = stored(able.join(largest, "token").where("component <> largest").drop("largest"), "neardup-outside")
