@@ -257,24 +257,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(sets_of(sets), "neardup-sets")
 
     short, long = posted.where(F.col("m") <= SMALL), posted.where(F.col("m") > SMALL)
-    # at first each node is a component of its own
-    long = stored(long.join(shared_sizes(long.select("node", F.col("node").alias("component")).distinct(), sets), "node").drop("m"), "neardup-long")
-    fine = stored(fine_signatures(sets.join(long.select("node").distinct(), "node", "left_semi").select("node", "set")), "neardup-fine")
-    pivot = long.groupBy("token").agg(F.max_by(F.struct("node", "n", "c", *PLANES), F.struct("weight", -F.col("node"))).alias("pivot")).select("token", "pivot.*")
-    found = pairs(short, short, F.col("x.node") < F.col("y.node")).union(pairs(long, pivot, (F.col("x.node") != F.col("y.node")) & overlap("x", "y"))).distinct()
+    pivot = long.groupBy("token").agg(F.max_by(F.struct("node", "n", *PLANES), F.struct("weight", -F.col("node"))).alias("pivot")).select("token", "pivot.*")
+    found = pairs(short, short, F.col("x.node") < F.col("y.node")).union(pairs(long, pivot, F.col("x.node") != F.col("y.node"))).distinct()
     links = stored(confirmed(stored(found, "neardup-pairs"), sets), "neardup-found")
     groups = stored(components(links), "neardup-groups")
 
-    # long lists: whoever is outside the largest component meets the rest
-    own = F.coalesce("component", "node").alias("component")
-    long = stored(long.join(groups, "node", "left").select("token", "node", "n", *PLANES, own), "neardup-long")
-    long = long.join(shared_sizes(long.select("node", "component").distinct(), sets), "node").join(fine, "node")
-    long = stored(long, "neardup-long")
-    # as the smaller set of a link has at least 0.75 of the larger one in common
-    able = long.where(100 * F.col("c") >= THRESHOLD * F.col("n"))
-    able = stored(able.join(able.groupBy("node").agg(F.collect_set("token").alias("tokens")), "node"), "neardup-able")
-    sizes = long.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
+    # long lists: whoever is outside the largest component meets the rest. A row for each
+    # node of these lists, with all that is known of it; its tokens put it back into the lists
+    member = long.groupBy("node").agg(*map(first, ["n", *PLANES]), F.collect_set("token").alias("tokens"))
+    member = stored(member.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "neardup-members")
+    in_lists = member.select("component", F.explode("tokens").alias("token"))
+    largest = in_lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
+    # the smaller set of a link has at least 0.75 of the larger one in common
+    able = stored(member.join(shared_sizes(member.select("node", "component"), sets), "node").where(100 * F.col("c") >= THRESHOLD * F.col("n")), "neardup-able")
+    able = able.join(fine_signatures(sets.join(able.select("node"), "node", "left_semi").select("node", "set")), "node")
+    able = stored(able.select("*", F.explode("tokens").alias("token")), "neardup-long")
     outside = stored(able.join(largest, "token").where("component <> largest").drop("largest"), "neardup-outside")
     more = stored(pairs(outside, able, (F.col("x.component") != F.col("y.component")) & overlap("x", "y")), "neardup-pairs")
     if not more.isEmpty():
