@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import U64, hash_words, table, text_bytes, text_chunks
 
-LABELLED, VOCABULARY = 20_000, 50_000
+LABELLED, VOCABULARY = 20_000, 20_000
 PRIOR, Z = 0.02, 1.96
 DRIFT, CLIP = 0.3, 6.0
 #: Evidence outside of it counts as at its ends.
@@ -178,6 +178,28 @@ def _document_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "token long, a long, b long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def _measured(rows: DataFrame, model: Model) -> DataFrame:
+    """(toxic, n, segments, scores, times) of (text, toxic) rows: the number of words, the scores
+    of the segments, and which word scores there are how often."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for part in text_chunks(batch):
+                tokens, at = tokens_of(part.column("text"))
+                scores = m.word_scores(tokens, at)
+                out = []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    values, times = np.unique(np.round(scores[a:b], 3), return_counts=True)
+                    out.append((b - a, [s for *_, s in m.segments(scores[a:b])], values.tolist(), times.tolist()))
+                kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.bool_()), *columns], ["toxic", "n", "segments", "scores", "times"])
+
+    return rows.select("text", F.col("toxic").cast("boolean").alias("toxic")).mapInArrow(run, "toxic boolean, n long, segments array<double>, scores array<double>, times array<long>")
+
+
 def _lambda(values: np.ndarray, weights: np.ndarray) -> float:
     """The positive root of sum p exp(lambda s) = 1."""
     p = weights / weights.sum()
@@ -235,27 +257,28 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = (F.col("a") + F.col("b")) * PRIOR
     odds = F.log((F.col("a") + prior) / (na * (1 + PRIOR * (na + nb) / na) - F.col("a") - prior)) - F.log((F.col("b") + prior) / (nb * (1 + PRIOR * (na + nb) / nb) - F.col("b") - prior))
     z = odds / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
-    kept = counts.withColumn("odds", odds).withColumn("z", z).where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "token").limit(VOCABULARY).collect()
+    kept = counts.withColumn("odds", odds).withColumn("z", z).where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "token").limit(VOCABULARY).select("token", "odds", "z").toArrow()
     counts.unpersist()
-    keys = np.array([r["token"] for r in kept], np.int64).view(U64)
+    keys = kept.column("token").to_numpy().astype(np.int64).view(U64)
     order = np.argsort(keys)
     # by a standard error nearer to 0: what few documents show counts less
-    values = np.array([r["odds"] - r["odds"] / r["z"] * np.sign(r["odds"]) for r in kept])
+    odds, z = kept.column("odds").to_numpy(), kept.column("z").to_numpy()
+    values = odds - odds / z * np.sign(odds)
     model = Model(keys[order], values[order], 1.0, 1.0, 1.0, 0.0)
 
-    # scores of clean words, then maxima and evidence, on the rows kept out
-    calibrating = rows.where("fold = 0").select("id", "text", "toxic")
-    held = calibrating.collect()
-    if not held or len({r["toxic"] for r in held}) < 2:
-        held = counted.select("id", "text", "toxic").limit(LABELLED // 4).collect()
-    tokens, at = tokens_of(pa.array([r["text"] for r in held], pa.string()))
-    scores = model.word_scores(tokens, at)
-    toxic = np.array([r["toxic"] for r in held], bool)
-    sizes = np.diff(at)
-    clean = scores[np.repeat(~toxic, sizes)]
-    if len(clean):
-        model.lam = _lambda(*np.unique(np.round(clean, 3), return_counts=True))
-    found = [model.segments(scores[a:b]) for a, b in zip(at[:-1], at[1:])]
+    # segments of the rows kept out, and the scores of their clean words: numbers, no texts
+    held = rows.where("fold = 0")
+    measured = _measured(held, model)
+    if measured.select("toxic").distinct().count() < 2:
+        measured = _measured(counted, model)
+    measured = measured.persist()
+    each = measured.select("toxic", "n", "segments").toArrow()
+    toxic, sizes = each.column("toxic").to_numpy(zero_copy_only=False).astype(bool), each.column("n").to_numpy()
+    found = [[(0, 0, s) for s in x] for x in each.column("segments").to_pylist()]
+    words = measured.where(~F.col("toxic")).select(F.explode(F.arrays_zip("scores", "times")).alias("x")).groupBy("x.scores").agg(F.sum("x.times").alias("times")).toArrow()
+    measured.unpersist()
+    if words.num_rows:
+        model.lam = _lambda(words.column("scores").to_numpy(), words.column("times").to_numpy().astype(float))
     best = np.array([max([0.0, *(s for *_, s in f)]) for f in found])
     null = ~toxic & (sizes > 0)
     if null.any():
