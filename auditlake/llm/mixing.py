@@ -85,14 +85,15 @@ def tempered_shares(counts: dict, power: float = TEMPER) -> dict:
 def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, seed: int = 3) -> DataFrame:
     """``docs`` with mix_position (0, 1, ... over all rows of the schedule), mix_block,
     target (the source's share of all slots) and in_mix. Sources without a weight
-    are in no mix: their position is null. Sources are the few parts of a mixture: their
+    are in no mix: their position is null. Columns that ``docs`` has under these names
+    give way to them. Sources are the few parts of a mixture: their
     weights, counts and one period of slots pass through the driver."""
     spark = docs.sparkSession
     h = F.xxhash64(F.lit(seed), id_col)
-    rows = docs.withColumn("_h", h).withColumn("_q", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(RANGES)).cast("int"))
+    rows = docs.withColumn("__h", h).withColumn("__q", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(RANGES)).cast("int"))
     # bounded: sources x RANGES counts are summed before any is sent; the sources' totals are few
-    ranges = rows.groupBy(F.col(source_col).alias("_src"), "_q").agg(F.count(F.lit(1)).alias("_n"))
-    counts = {r["_src"]: r["n"] for r in rows.groupBy(F.col(source_col).alias("_src")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranges = rows.groupBy(F.col(source_col).alias("__src"), "__q").agg(F.count(F.lit(1)).alias("__n"))
+    counts = {r["__src"]: r["n"] for r in rows.groupBy(F.col(source_col).alias("__src")).agg(F.count(F.lit(1)).alias("n")).collect()}
     shares = weights or tempered_shares(counts)
     shares = {s: shares[s] for s in counts if shares.get(s, 0) > 0}
     parts = whole_parts(shares) if shares else {}
@@ -103,23 +104,26 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     # the first slot whose block isn't whole ends the mix
     ends = [(counts[s] // block // parts[s]) * period + slots[s][counts[s] // block % parts[s]] for s in parts]
     end = min(ends, default=0)
-    plan = spark.createDataFrame([(s, parts[s], slots[s]) for s in parts], f"_planned {docs.schema[source_col].dataType.simpleString()}, _parts int, _slots array<int>")
-    before = ranges.select("_src", "_q", F.coalesce(F.sum("_n").over(Window.partitionBy("_src").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    start = before.join(plan, F.col("_src").eqNullSafe(F.col("_planned")), "left").select(F.col("_src").alias("_s"), F.col("_q").alias("_sq"), "_before", "_parts", "_slots")
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(source_col, "_q").orderBy("_h", id_col)) - 1)
-    joined = ranked.join(start, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_q") == F.col("_sq")), "left")
-    k = F.col("_before") + F.col("_r")
+    plan = spark.createDataFrame([(s, parts[s], slots[s]) for s in parts], f"__planned {docs.schema[source_col].dataType.simpleString()}, __parts int, __slots array<int>")
+    before = ranges.select("__src", "__q", F.coalesce(F.sum("__n").over(Window.partitionBy("__src").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    start = before.join(plan, F.col("__src").eqNullSafe(F.col("__planned")), "left").select(F.col("__src").alias("__s"), F.col("__q").alias("__sq"), "__before", "__parts", "__slots")
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(source_col, "__q").orderBy("__h", id_col)) - 1)
+    joined = ranked.join(start, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__q") == F.col("__sq")), "left")
+    k = F.col("__before") + F.col("__r")
     b = F.floor(k / block)
-    slot = F.floor(b / F.col("_parts")) * period + F.get("_slots", (b % F.col("_parts")).cast("int"))
-    out = joined.withColumns({"mix_block": slot.cast("long"), "mix_position": (slot * block + k % block).cast("long"), "target": F.col("_parts") / F.lit(float(max(1, period))), "in_mix": F.coalesce(slot < end, F.lit(False))})
-    return out.select(*docs.columns, "mix_block", "mix_position", "target", "in_mix")
+    slot = F.floor(b / F.col("__parts")) * period + F.get("__slots", (b % F.col("__parts")).cast("int"))
+    results = ("mix_block", "mix_position", "target", "in_mix")
+    out = joined.withColumns({"mix_block": slot.cast("long"), "mix_position": (slot * block + k % block).cast("long"), "target": F.col("__parts") / F.lit(float(max(1, period))), "in_mix": F.coalesce(slot < end, F.lit(False))})
+    return out.select(*[c for c in docs.columns if c not in results], *results)
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, chunk: int = 4096, **names) -> DataFrame:
     """The rows of ``docs``, all columns, that are in the mix, written in its order:
     each output partition holds whole runs of ``chunk`` positions."""
-    out = mix(docs, weights, **names).where("in_mix").withColumn("_run", F.floor(F.col("mix_position") / chunk))
-    return out.repartition("_run").sortWithinPartitions("_run", "mix_position").select(*docs.columns)
+    own = [c for c in ("mix_block", "mix_position", "target", "in_mix") if c in docs.columns]
+    out = mix(docs.withColumnsRenamed({c: f"__own_{c}" for c in own}), weights, **names).where("in_mix").withColumn("__run", F.floor(F.col("mix_position") / chunk))
+    out = out.repartition("__run").sortWithinPartitions("__run", "mix_position").drop("mix_block", "mix_position", "target", "in_mix", "__run")
+    return out.withColumnsRenamed({f"__own_{c}": c for c in own}).select(*docs.columns)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

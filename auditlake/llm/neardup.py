@@ -286,10 +286,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs``, all columns, that stay: one of each near-duplicate group.
     Of rows with one doc_id one stays; rows without a doc_id, which no result can
     name, all stay."""
-    found = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, docs[id_col] == found["_kept"], "left_semi")
+    found = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = docs.join(found, docs[id_col] == found["__kept"], "left_semi")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))])))
-    kept = kept.withColumn("_first", first).where("_first = 1").drop("_first")
+    kept = kept.withColumn("__first", first).where("__first = 1").drop("__first")
     return kept.union(docs.where(F.col(id_col).isNull()))
 
 

@@ -85,23 +85,24 @@ def _key(cols: list[Column], salt: int) -> Column:
 
 def shard(rows: DataFrame, shards: int, identity: list[str], seed: int = 6, partitions: int = PARTITIONS) -> DataFrame:
     """``rows`` with shard and slot. ``identity``: columns whose hash deals the rows;
-    rows equal in them are told apart by their number within a partition."""
+    rows equal in them are told apart by their number within a partition. Columns that
+    ``rows`` has under the names of results give way to these."""
     ids = [F.col(c) for c in identity]
-    dealt = rows.withColumn("_p", F.pmod(_key(ids, seed), F.lit(partitions)).cast("int")).withColumn("_a", _key(ids, seed + 1)).withColumn("_b", _key(ids, seed + 2))
-    sizes = {r["_p"]: r["n"] for r in dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealt = rows.withColumn("__p", F.pmod(_key(ids, seed), F.lit(partitions)).cast("int")).withColumn("__a", _key(ids, seed + 1)).withColumn("__b", _key(ids, seed + 2))
+    sizes = {r["__p"]: r["n"] for r in dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
     at = sorted(sizes)
     matrix = communication_matrix([sizes[p] for p in at], shards, seed)
-    bounds = rows.sparkSession.createDataFrame([(p, np.cumsum(m).tolist()) for p, m in zip(at, matrix)], "_p int, _ends array<bigint>")
-    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_a", *identity)) - 1)
+    bounds = rows.sparkSession.createDataFrame([(p, np.cumsum(m).tolist()) for p, m in zip(at, matrix)], "__p int, __ends array<bigint>")
+    ranked = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__a", *identity)) - 1)
     # bounded: PARTITIONS rows of `shards` numbers
-    sent = ranked.join(F.broadcast(bounds), "_p").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_r"))).cast("int"))
-    sent = sent.withColumn("_q", F.pmod(F.shiftrightunsigned("_b", 40), F.lit(SLICES)).cast("int"))
-    counts = sent.groupBy("shard", "_q").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    placed = sent.withColumn("_s", F.row_number().over(Window.partitionBy("shard", "_q").orderBy("_b", "_p", "_r")) - 1)
+    sent = ranked.join(F.broadcast(bounds), "__p").withColumn("__shard", F.size(F.filter("__ends", lambda e: e <= F.col("__r"))).cast("int"))
+    sent = sent.withColumn("__q", F.pmod(F.shiftrightunsigned("__b", 40), F.lit(SLICES)).cast("int"))
+    counts = sent.groupBy("__shard", "__q").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("__shard").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    placed = sent.withColumn("__s", F.row_number().over(Window.partitionBy("__shard", "__q").orderBy("__b", "__p", "__r")) - 1)
     # bounded: shards x SLICES rows
-    placed = placed.join(F.broadcast(before), ["shard", "_q"]).withColumn("slot", (F.col("_before") + F.col("_s")).cast("long"))
-    return placed.select(*rows.columns, "shard", "slot")
+    placed = placed.join(F.broadcast(before), ["__shard", "__q"]).withColumn("__slot", (F.col("__before") + F.col("__s")).cast("long"))
+    return placed.select(*[c for c in rows.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
