@@ -86,15 +86,18 @@ class CrossParser:
                     low = c.lower()
                     self.classes[u] = codes.get(low[:1], 2)
         self.size = len(letters) + 3
-        self.tables, self.bits = [], []
+        self.tables, self.starts, self.bits = [], [], []
         for lang in self.langs:
             s = self.symbols(texts[lang])
             t = suffix_automaton(s, self.size)
+            # one more state, where a phrase has just ended: whatever follows begins one. It is the
+            # first of a block, and follows a symbol that the language's text doesn't have
+            ended = len(t)
+            t = np.concatenate([t, np.full((1, self.size), -1)])
             miss = t < 0
-            go = np.where(miss, np.where(t[0] < 0, 0, t[0])[None, :], t)
-            # a symbol that no text of the language has is a phrase of its own
+            go = np.where(miss, np.where(t[0] < 0, ended, t[0])[None, :], t)
             flat = ((go * self.size) << 1) | miss
-            flat[:, 0] = np.arange(len(t)) * self.size << 1
+            self.starts.append(ended * self.size)
             self.tables.append(flat.astype(np.int32).ravel())
             self.bits.append(math.log2(max(2, len(s))))
 
@@ -124,8 +127,8 @@ class CrossParser:
         active = np.searchsorted(-used, -np.arange(BLOCK), side="left")
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         for k, step in enumerate(self.tables):
-            state = np.zeros(grid.shape[1], np.int32)
-            count = np.ones(grid.shape[1], np.int64)
+            state = np.full(grid.shape[1], self.starts[k], np.int32)
+            count = np.zeros(grid.shape[1], np.int64)
             for j in range(BLOCK):
                 n = active[j]
                 if not n:
