@@ -194,4 +194,4 @@ def risk_grouping_sets(samples: DataFrame, flagged: DataFrame) -> DataFrame:
 def corrupt_findings(samples: DataFrame, ts: str = "") -> DataFrame:
     """A finding for each sample marked corrupt; take these out before features are made."""
     bad = samples.where(F.try_element_at("metadata", F.lit("is_corrupted")) == "true")
-    return bad.select(*C.finding(F.concat(F.lit("FIND-DS-CORRUPT-"), F.col("sample_id")), "data_sentinel", "sample_id", F.lit("File can't be decoded"), {"path": F.col("path")}, "HIGH", 1.0, "QUARANTINE", "Remove the file", ts))
+    return bad.select(*C.finding(F.concat(F.lit("FIND-DS-CORRUPT-"), F.col("sample_id")), "data_sentinel", "sample_id", F.lit("File can't be decoded"), {"path": F.col("path") if "path" in samples.columns else F.lit(None).cast("string")}, "HIGH", 1.0, "QUARANTINE", "Remove the file", ts))

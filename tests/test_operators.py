@@ -1,0 +1,358 @@
+"""Scenarios of attacks and faults, and properties of operators."""
+
+import hashlib
+import json
+import zipfile
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from auditlake.functions import columns as C
+from auditlake.functions import crypto, images
+from auditlake.functions.schemas import FINDING
+from auditlake.operators import chain, governance, lineage, models, redteam, samples, shift
+from auditlake.plans import engine
+from auditlake.sources import config, datasets, sinks
+from auditlake.streaming import windows
+
+TS = "2024-01-01T00:00:00+00:00"
+
+
+def chain_rows(n=5):
+    return [("c", k, f"{k:064x}", "a" * 64, hashlib.sha256(str(k).encode()).hexdigest(), f"n{k}", TS) for k in range(n)]
+
+
+@pytest.fixture
+def log(spark):
+    return chain.build(spark.createDataFrame(chain_rows(), "chain_id string, pos long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string")).withColumn("record_id", F.concat(F.lit("REC-"), "pos"))
+
+
+def faults(df):
+    return {c: [r["expected_seq"] for r in df.where(c).orderBy("expected_seq").collect()] for c in ("seq_anomaly", "broken_link", "tampered")}
+
+
+def test_chain_valid_and_each_attack(log):
+    assert faults(chain.verify(log)) == {"seq_anomaly": [], "broken_link": [], "tampered": []}
+    assert chain.summary(chain.verify(log)).first()["valid"]
+    assert faults(chain.verify(redteam.attacked_chain(log, "output", 2)))["tampered"] == [2]
+    swapped = faults(chain.verify(redteam.attacked_chain(log, "swap", 1)))
+    assert swapped["seq_anomaly"] == [1, 2] and swapped["broken_link"] == [1, 2, 3]
+    assert faults(chain.verify(redteam.attacked_chain(log, "delete", 2)))["broken_link"] == [2]
+    assert faults(chain.verify(redteam.attacked_chain(log, "replay", 2)))["seq_anomaly"] == [3, 4, 5]
+
+
+def test_chain_long_equals_window(log):
+    for kind in ("output", "swap", "delete", "replay"):
+        d = redteam.attacked_chain(log, kind, 2)
+        assert faults(chain.verify(d)) == faults(chain.verify_long(d, span=2))
+
+
+def test_chain_findings(log):
+    f = chain.findings(chain.verify(redteam.attacked_chain(log, "output", 2)), TS).collect()
+    assert [(r["finding_id"], r["severity"]) for r in f] == [("FIND-PE-RECORD-TAMPER-0002", "CRITICAL")]
+
+
+def root(hashes):
+    while len(hashes) > 1:
+        hashes = hashes + hashes[-1:] * (len(hashes) % 2)
+        hashes = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(hashes[::2], hashes[1::2])]
+    return hashes[0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+def test_merkle(spark, n):
+    h = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(n)]
+    assert chain.merkle_root(spark.createDataFrame(list(enumerate(h)), "pos long, h string")).first()["root"] == root(h)
+
+
+def test_merkle_empty(spark):
+    assert chain.merkle_root(spark.createDataFrame([], "pos long, h string")).first()["root"] == hashlib.sha256(b"EMPTY_MERKLE_TREE").hexdigest()
+
+
+def test_ed25519_vector():
+    # RFC 8032, section 7.1, test 1
+    k = crypto.KeyPair(bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60"))
+    assert k.public.hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
+    s = k.sign(b"")
+    assert s.hex().startswith("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e06522490155")
+    assert crypto.verify(k.public, b"", s) and not crypto.verify(k.public, b"x", s)
+    assert not crypto.verify_hex("zz", b"", "00") and not crypto.verify_hex(k.public.hex(), b"", "00")
+
+
+def test_signature_column(spark):
+    k = crypto.KeyPair(b"\1" * 32)
+    good = k.sign(b"a").hex()
+    d = spark.createDataFrame([(k.public.hex(), "a", good), (k.public.hex(), "b", good), (None, "a", good)], "k string, m string, s string")
+    assert [r[0] for r in d.select(crypto.verify_column("k", "m", "s")).collect()] == [True, False, False]
+
+
+def test_canonical_json(spark):
+    assert crypto.canonical({"b": 1, "a": "é"}) == '{"a":"\\u00e9","b":1}'
+    d = spark.createDataFrame([('{"b": 1.0, "a": null}',), ("no",), (None,)], "j string")
+    assert [r[0] for r in d.select(crypto.canonical_column("j")).collect()] == ['{"a":null,"b":1.0}', None, None]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=6))
+def test_bands_share_one(h, flips):
+    other = h
+    for f in flips:
+        other ^= 1 << f
+    cuts = [round(k * 64 / 7) for k in range(8)]
+    assert any((h >> a) & ((1 << (b - a)) - 1) == (other >> a) & ((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:]))
+
+
+def test_hamming_pairs_are_brute_force(spark):
+    rng = np.random.default_rng(1)
+    h = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
+    h += [h[k] ^ (1 << int(rng.integers(0, 63))) for k in range(20)]
+    d = spark.createDataFrame(list(enumerate(h)), "idx long, h long")
+    got = {(r[0], r[1]) for r in samples.hamming_pairs(d, 6).select("a.idx", "b.idx").collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if bin((h[i] ^ h[j]) & (2**64 - 1)).count("1") <= 6}
+
+
+@pytest.mark.parametrize("tile", [7, 1000])
+def test_nearest_is_brute_force(spark, tile):
+    v = np.random.default_rng(2).normal(size=(40, 8))
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "idx long, v array<double>")
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, int(j), r + 1) for i in range(40) for r, j in enumerate(np.argsort(-s[i])[:3])}
+    assert {(r["i"], r["j"], r["rank"]) for r in samples.nearest(d, 3, tile).collect()} == want
+
+
+def two_clusters(spark, flip=True):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(20):
+        c = np.zeros(8)
+        c[k % 2] = 1
+        x = c + rng.normal(scale=0.05, size=8)
+        rows.append((k, k % 2 if not (flip and k == 4) else 1, (x / np.linalg.norm(x)).tolist()))
+    return spark.createDataFrame(rows, "idx long, label long, v array<double>")
+
+
+def test_label_flip(spark):
+    d = two_clusters(spark)
+    assert [r["i"] for r in samples.label_flips(d, samples.nearest(d, 5)).collect()] == [4]
+    d = two_clusters(spark, False)
+    assert samples.label_flips(d, samples.nearest(d, 5)).count() == 0
+
+
+def test_outlier(spark):
+    d = two_clusters(spark).union(spark.createDataFrame([(99, 0, [-1.0] + [0.0] * 7)], "idx long, label long, v array<double>"))
+    assert [r["idx"] for r in samples.outlier_scores(d).where("is_ood").collect()] == [99]
+    assert samples.outlier_scores(d.limit(3)).count() == 0
+
+
+def test_risk_thresholds(spark):
+    s = spark.createDataFrame([(f"{c}{k}", c) for c in "abc" for k in range(20)], "sample_id string, contributor_id string")
+    f = spark.createDataFrame([(f"b{k}",) for k in range(6)] + [(f"c{k}",) for k in range(7)], "asset string")
+    d = samples.risk(s, f, "contributor_id")
+    assert {r["contributor_id"]: (r["flagged"], r["disposition"]) for r in d.collect()} == {"a": (0, "ACCEPT"), "b": (6, "REVIEW"), "c": (7, "QUARANTINE")}
+    assert {r["asset"]: r["severity"] for r in samples.risk_findings(d).collect()} == {"b": "CRITICAL", "c": "CRITICAL"}
+
+
+def test_patterns_once_a_sample(spark):
+    k = spark.createDataFrame([(i, 0, "x") for i in range(4)] + [(i, 1, "y") for i in range(3)] + [(9, 0, "z")], "idx long, place int, key string")
+    got = samples.repeated_patterns(k).collect()
+    assert sorted((r["idx"], r["key"]) for r in got) == [(i, "x") for i in range(4)]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.floats(0, 10, width=32), min_size=1, max_size=12), st.lists(st.floats(0, 10, width=32), min_size=1, max_size=12))
+def test_shift_properties(spark, a, b):
+    make = lambda x, y: spark.createDataFrame([("baseline", float(v)) for v in x] + [("evaluation", float(v)) for v in y], "side string, value double").coalesce(1)
+    w = shift.wasserstein(make(a, b)).first()[0]
+    grid = np.sort(np.unique(a + b))
+    f = lambda x: np.searchsorted(np.sort(x), grid[:-1], side="right") / len(x)
+    assert w == pytest.approx(float((np.abs(f(a) - f(b)) * np.diff(grid)).sum()), abs=1e-9)
+    assert shift.psi(make(a, a)).first()[0] == pytest.approx(0, abs=1e-9) and shift.psi(make(a, b)).first()[0] >= 0
+
+
+def test_composite(spark):
+    rng = np.random.default_rng(4)
+    make = lambda side, scale: [(side, *(float(x) for x in rng.uniform(50, 200, 6) * scale)) for _ in range(30)]
+    names = "side string, " + ", ".join(f"{f} double" for f in shift.FEATURES)
+    v = spark.createDataFrame([("baseline", [1.0, 0.0]), ("evaluation", [0.0, 1.0])], "side string, v array<double>")
+    row = shift.diagnose(spark.createDataFrame(make("baseline", 1) + make("evaluation", 0.1), names), v)
+    r = row.first()
+    assert r["disposition"] == "QUARANTINE" and "brightness drop" in r["characterization"] and r["embedding_drift"] == 1
+    assert shift.shift_findings(row, "e").first()["finding_id"] == "FIND-SD-CRITICAL-SHIFT-e"
+
+
+def test_lineage(spark):
+    n1, e1 = lineage.branch("C_B", "B17", "DX", "MY", ("R1", "R2", "R3"))
+    n2, e2 = lineage.branch("C_C", "B99", "DS", "MS", ("R888",))
+    nodes, edges = spark.createDataFrame(n1 + n2, "id string, type string"), spark.createDataFrame(e1 + e2 + [("R1", "C_B")], "src string, dst string")
+    r = lineage.impact(nodes, edges, "C_B").first()
+    assert (r["n_datasets"], r["n_models"], r["n_inferences"], r["severity"]) == (1, 1, 3, "CRITICAL")
+    assert lineage.impact(nodes, edges, "nobody").first()["severity"] == "LOW"
+    back = lineage.parse_mermaid(lineage.mermaid_lines(edges))
+    assert back.exceptAll(edges).isEmpty() and edges.exceptAll(back).isEmpty()
+
+
+def test_model(spark):
+    p = spark.createDataFrame([("a", k, float(k % 3)) for k in range(10)] + [("b", 0, float("nan"))], "layer string, idx long, w double")
+    assert [r["layer"] for r in models.bad_layers(p).collect()] == ["b"]
+    assert models.weight_digest(p).count() == 2
+    o = spark.createDataFrame([(k, [1.0, 0.0], [0.0, 1.0]) for k in range(4)], "probe_id long, registered array<double>, current array<double>")
+    r = models.output_agreement(o).first()
+    assert r["agreement"] == 0 and r["substituted"]
+
+
+def test_governance(spark):
+    f = spark.createDataFrame([("F2", "m", "a", "r", "{}", "LOW", 0.5, "ACCEPT", "x", TS), ("F1", "m", "b", "<r>", "{}", "CRITICAL", 1.0, "QUARANTINE", "y", TS)], FINDING)
+    doc = governance.summary_document(f, f.select("confidence"), {}, "s1", TS)
+    assert doc["overall_disposition"] == "QUARANTINE" and [t["finding_id"] for t in doc["top_findings"]] == ["F1", "F2"] and doc["remediations"] == ["y", "x"]
+    k = crypto.KeyPair(b"\2" * 32)
+    signed = governance.sign(doc, k)
+    assert governance.verify_summary(signed) == (True, "valid")
+    assert not governance.verify_summary(signed | {"confidence": 0.1})[0] and not governance.verify_summary(signed, {"00"})[0]
+    assert "&lt;r&gt;" in sinks.html_report(signed) and "<r>" not in sinks.html_report(signed)
+
+
+def test_ledger(spark, tmp_path):
+    f = spark.createDataFrame([(f"F{k}", TS) for k in range(3)], "finding_id string, timestamp string")
+    path = str(tmp_path / "ledger.jsonl")
+    assert sinks.append_ledger(f, path) == 3 and sinks.append_ledger(f, path) == 3
+    d = datasets.ledger(spark, path)
+    assert governance.ledger_breaks(d).count() == 0 and governance.ledger_head(d).first()["n"] == 6
+    assert governance.ledger_breaks(d.where("seq <> 2")).count() == 1
+
+
+def test_sinks(tmp_path):
+    assert len(sinks.export_schemas(str(tmp_path))) == 3
+    k = crypto.KeyPair(b"\3" * 32)
+    s = sinks.sidecar({c: "x" for c in ("record_id", "sequence_number", "timestamp", "input_sha256", "model_digest", "record_hash")}, k)
+    assert sinks.verify_sidecar(s) and not sinks.verify_sidecar(s | {"claim": s["claim"] | {"record_id": "y"}})
+
+
+def test_config(tmp_path):
+    p = str(tmp_path / "c.yaml")
+    config.save(config.Config(), p)
+    assert config.load(p) == config.Config()
+    (tmp_path / "d.yaml").write_text("shift: {bins: 7}\n")
+    assert config.load(str(tmp_path / "d.yaml")).shift.bins == 7
+    (tmp_path / "e.yaml").write_text("nothing: 1\n")
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "e.yaml"))
+
+
+PNG = bytes.fromhex("89504e470d0a1a0a") + b"rest"
+
+
+def test_class_folders_and_zip(spark, tmp_path):
+    root_ = tmp_path / "d"
+    for c in ("cat", "dog"):
+        (root_ / c).mkdir(parents=True)
+        for k in range(2):
+            (root_ / c / f"{k}.png").write_bytes(PNG + bytes([k]))
+    (root_ / "dog" / "bad.jpg").write_bytes(b"no image")
+    rows = {r["sample_id"]: (r["labels"], r["metadata"]["is_corrupted"]) for r in datasets.load(spark, str(root_)).collect()}
+    assert rows == {"cat_0": ([0], "false"), "cat_1": ([0], "false"), "dog_0": ([1], "false"), "dog_1": ([1], "false"), "CORRUPT_bad": ([-1], "true")}
+    z = str(tmp_path / "d.zip")
+    with zipfile.ZipFile(z, "w") as f:
+        for p in root_.rglob("*.png"):
+            f.write(p, p.relative_to(root_))
+    assert datasets.load(spark, z).count() == 4
+    for name, content in (("bad", [("../out.png", PNG)]), ("none", [])):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as f:
+            for n, b in content:
+                f.writestr(n, b)
+        with pytest.raises(datasets.DatasetError):
+            datasets.unpacked(str(tmp_path / f"{name}.zip"))
+
+
+def test_coco(spark, tmp_path):
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "a.png").write_bytes(PNG)
+    (tmp_path / "b.png").write_bytes(PNG)
+    doc = {
+        "images": [{"id": 1, "file_name": "a.png", "contributor_id": "A"}, {"id": 2, "file_name": "b.png"}, {"id": 3, "file_name": "gone.png"}],
+        "annotations": [{"id": 1, "image_id": 1, "category_id": 7, "bbox": [0, 0, 1, 1]}, {"id": 2, "image_id": 1, "category_id": 5, "bbox": [1, 1, 2, 2]}],
+        "categories": [{"id": 5, "name": "five"}, {"id": 7, "name": "seven"}],
+    }
+    (tmp_path / "instances.json").write_text(json.dumps(doc))
+    got = datasets.load(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(r["sample_id"], r["labels"], r["label_names"], r["contributor_id"]) for r in got] == [("1", [7, 5], ["seven", "five"], "A"), ("2", [0], ["unlabeled"], "contributor_default")]
+
+
+def test_yolo(spark, tmp_path):
+    for f in ("images", "labels"):
+        (tmp_path / f).mkdir()
+    (tmp_path / "images" / "a.png").write_bytes(PNG)
+    (tmp_path / "images" / "b.png").write_bytes(PNG)
+    (tmp_path / "labels" / "a.txt").write_text("3 0.5 0.5 0.1 0.1\nshort line\n1 0.1 0.1 0.2 0.2\n")
+    (tmp_path / "labels" / "a.meta.json").write_text('{"contributor_id": "K", "batch_id": "B"}')
+    got = datasets.load(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(r["sample_id"], r["labels"], r["contributor_id"], r["batch_id"]) for r in got] == [("a", [3, 1], "K", "B"), ("b", [0], "contributor_default", "batch_default")]
+
+
+def test_images():
+    rng = np.random.default_rng(5)
+    a = np.kron(rng.integers(0, 255, (8, 8, 3)), np.ones((16, 16, 1))).astype(np.uint8)
+    far = rng.integers(0, 255, (128, 128, 3)).astype(np.uint8)
+    d = lambda x, y: bin(int(images.phash(x), 16) ^ int(images.phash(y), 16)).count("1")
+    assert d(a, np.clip(a.astype(int) + 3, 0, 255).astype(np.uint8)) <= 5 < 10 < d(a, far)
+    assert images.extract(images.embed(a, "REC-1 é")) == "REC-1 é" and images.extract(np.zeros((4, 4, 3), np.uint8)) is None
+    assert images.sharpness(images.gray(np.full((9, 9, 3), 7, np.uint8))) == 0
+    assert len(images.corner_keys(far)) == 4 and images.corners(a[:8, :8]) == [] and not images.trigger_gate(a[:8])
+
+
+def test_stream_windows(spark, data, tmp_path):
+    e = spark.read.parquet(f"{data}/events.parquet")
+    e.write.parquet(str(tmp_path / "in"))
+    s = windows.window_statistics(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), "1 day")
+    q = s.writeStream.outputMode("complete").format("memory").queryName("w").start()
+    q.processAllAvailable()
+    q.stop()
+    want = windows.window_statistics(e, "1 day")
+    assert {(r[0], r[1], r[2]) for r in spark.table("w").collect()} == {(r[0], r[1], r[2]) for r in want.collect()}
+    assert windows.drift_alerts(want, want.groupBy("event_type").agg(F.avg("mean").alias("mean"), F.lit(1e-6).alias("sd"))).count() > 0
+
+
+def test_stream_chain(spark, log, tmp_path):
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = windows.verify_chain(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("c").start()
+    q.processAllAvailable()
+    redteam.attacked_chain(log, "output", 2).where("pos = 2").write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.table("c").orderBy("expected_seq").collect()
+    assert len(rows) == 6 and not any(r["seq_anomaly"] or r["broken_link"] or r["tampered"] for r in rows[:5]) and rows[5]["tampered"] and rows[5]["seq_anomaly"]
+
+
+def test_stream_ledger(spark, tmp_path):
+    f = spark.createDataFrame([(f"F{k}", TS) for k in range(3)], "finding_id string, timestamp string")
+    f.write.parquet(str(tmp_path / "in"))
+    q = windows.to_ledger(spark.readStream.schema(f.schema).parquet(str(tmp_path / "in")), str(tmp_path / "ledger"), str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    f.write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    d = datasets.ledger(spark, str(tmp_path / "ledger"))
+    assert d.count() == 6 and governance.ledger_breaks(d).count() == 0
+
+
+def test_engine(spark, log):
+    v = two_clusters(spark)
+    rows = v.select("idx", F.concat(F.lit("s"), "idx").alias("sample_id"), F.when(F.col("idx") < 10, "good").otherwise("bad").alias("contributor_id"), F.lit("b").alias("batch_id"), F.when(F.col("idx").isin(1, 13), "same").otherwise(F.col("idx").cast("string")).alias("digest"), (F.col("idx") * 0x123456789ABCD).alias("h"), "label", "v", F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    k = crypto.KeyPair(b"\4" * 32)
+    p = spark.createDataFrame([("a", 0, float("inf"))], "layer string, idx long, w double")
+    a = engine.run(spark, TS, k, rows, p, None, "net", redteam.attacked_chain(log, "delete", 2))
+    ids = {r["finding_id"] for r in a.findings.collect()}
+    assert {"FIND-DS-EXACT-DUP-0013", "FIND-DS-LABEL-FLIP-0004", "FIND-MA-PARAM-NANINF-a", "FIND-PE-BROKEN-LINK-0002"} <= ids
+    assert governance.verify_summary(a.summary)[0] and a.summary["overall_disposition"] == "QUARANTINE"
+    assert {r["contributor_id"]: r["flagged"] for r in a.contributors.collect()} == {"good": 1, "bad": 1}
+    empty = engine.run(spark, TS, k)
+    assert empty.summary["overall_disposition"] == "ACCEPT" and empty.summary["confidence"] == 0.85
+
+
+def test_columns(spark):
+    d = spark.createDataFrame([([1.0, 3.0, 3.0], [1.0, 2.0, 5.0])], "a array<double>, b array<double>")
+    r = d.select(C.argmax("a"), C.max_abs_diff("a", "b"), C.dot("a", "b"), C.norm(C.unit("a")), F.aggregate(C.softmax("a"), F.lit(0.0), lambda x, y: x + y)).first()
+    assert r[0] == 1 and r[1] == 2 and r[2] == 22 and r[3] == pytest.approx(1) and r[4] == pytest.approx(1)
