@@ -138,3 +138,18 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return contaminated_documents(docs, table(spark, sf_dir, "benchmark")).drop("key")
+
+
+SQL = r"""
+WITH t AS (SELECT 'd' AS k, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), text FROM benchmark),
+w AS (SELECT k, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM t),
+i AS (SELECT id AS item, w, unnest(range(0, greatest(len(w) - 12, 1))) AS s FROM w WHERE k = 'b' AND len(w) > 0),
+v AS (SELECT array_to_string(w[s + 1:s + 13], ' ') AS x, len(w[s + 1:s + 13]) AS n, list(DISTINCT item) AS items FROM i GROUP BY 1, 2),
+z AS (SELECT DISTINCT n FROM v),
+p AS (SELECT id, w, z.n, unnest(range(0, len(w) - z.n + 1)) AS s FROM w, z WHERE k = 'd' AND len(w) >= z.n),
+h AS (SELECT p.id, p.s, p.n, v.items FROM p JOIN v ON v.n = p.n AND v.x = array_to_string(p.w[p.s + 1:p.s + p.n], ' ')),
+c AS (SELECT id, count(DISTINCT q) AS n_hit FROM (SELECT id, unnest(range(s, s + n)) AS q FROM h) GROUP BY id),
+f AS (SELECT id, list_sort(list(DISTINCT item)) AS items FROM (SELECT id, unnest(items) AS item FROM h) GROUP BY id)
+SELECT CAST(w.id AS BIGINT) AS doc_id, len(w.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(len(f.items), 0) AS n_items, sha256(coalesce(array_to_string(f.items, ','), '')) AS items_sha256,
+coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(w.w) AS contaminated FROM w LEFT JOIN c ON c.id = w.id LEFT JOIN f ON f.id = w.id WHERE w.k = 'd'
+"""

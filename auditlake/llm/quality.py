@@ -123,4 +123,39 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    out = quality(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def _sql() -> str:
+    """The same in DuckDB."""
+    counts = []
+    steps, before = ["f0 AS (SELECT *, t AS r0 FROM d)"], "f0"
+    for k, (name, pattern) in enumerate(CLASSES.items()):
+        quoted = pattern.replace("'", "''")
+        steps.append(f"f{k + 1} AS (SELECT *, regexp_replace(r{k}, '{quoted}', '', 'g') AS r{k + 1} FROM {before})")
+        before = f"f{k + 1}"
+        counts.append(f"length(r{k}) - length(r{k + 1})")
+    counts.append(f"length(r{len(CLASSES)})")
+    words = ", ".join(f"'{w}'" for w in COMMON)
+    share = "list_transform({0}, lambda x: x / list_sum({0}))"
+    js = "(SELECT min(sqrt(greatest(0, list_sum(list_transform(list_zip(p, q), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END)) / 2)))"
+    near = lambda c: js.replace("list_zip(p, q)", f"list_zip(g.{c}, ref.{c})") + " FROM ref WHERE ref.lang = g.lang OR g.lang IS NULL OR g.lang NOT IN (SELECT lang FROM ref))"
+    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS l FROM documents),
+{", ".join(steps)},
+p3 AS (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS k FROM d WHERE len(w) > 2), x3 AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, w[k + 1:k + 3]) AS c FROM p3),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS q FROM x3 WHERE c > 1) GROUP BY doc_id),
+b AS (SELECT {before}.doc_id, lang, len(w) AS n_words, length(t) - ({counts[1]}) AS word_chars, {counts[2]} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+[{", ".join(counts)}] AS chars, list_transform([{words}], lambda y: len(list_filter(w, lambda x: x = y))) AS known0 FROM {before} LEFT JOIN rep ON rep.doc_id = {before}.doc_id),
+a AS (SELECT *, list_append(known0, n_words - list_sum(known0)) AS known, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+rc AS (SELECT lang, k, sum(c) AS s FROM (SELECT lang, unnest(chars) AS c, generate_subscripts(chars, 1) AS k FROM a WHERE NOT base_failed AND lang IS NOT NULL) GROUP BY lang, k),
+rk AS (SELECT lang, k, sum(c) AS s FROM (SELECT lang, unnest(known) AS c, generate_subscripts(known, 1) AS k FROM a WHERE NOT base_failed AND lang IS NOT NULL) GROUP BY lang, k),
+lc AS (SELECT lang, list(CAST(s AS DOUBLE) ORDER BY k) AS c FROM rc GROUP BY lang), lk AS (SELECT lang, list(CAST(s AS DOUBLE) ORDER BY k) AS c FROM rk GROUP BY lang),
+ref AS (SELECT lc.lang, {share.format("lc.c")} AS chars, {share.format("lk.c")} AS known FROM lc JOIN lk ON lc.lang = lk.lang),
+g AS (SELECT * EXCLUDE (chars, known, known0), CASE WHEN list_sum(chars) > 0 THEN {share.format("chars")} END AS chars, CASE WHEN n_words > 0 THEN {share.format("known")} END AS known FROM a),
+v AS (SELECT *, {near("chars")} AS cd, {near("known")} AS wd FROM g)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+NOT base_failed AND NOT coalesce((n_words >= {CHAR_WORDS} AND cd > {CHAR_MOST}) OR (n_words >= {WORD_WORDS} AND wd > {WORD_MOST}), false) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM v"""
+
+
+SQL = _sql()

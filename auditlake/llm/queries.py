@@ -17,4 +17,5 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no SQL: learned scores, random draws, hashes, offsets, tokens; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontam.SQL, "op5_neardup": neardup.SQL, "op7_quality": quality.SQL}
