@@ -68,3 +68,28 @@ def parse_mermaid(lines: DataFrame) -> DataFrame:
     """(src, dst) of lines such as `a[text] --> b`."""
     p = r"^\s*([\w.-]+)(?:\[[^\]]*\])?\s*-->\s*([\w.-]+)"
     return lines.where(F.col("line").rlike(p)).select(F.regexp_extract("line", p, 1).alias("src"), F.regexp_extract("line", p, 2).alias("dst"))
+
+
+def as_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each node as JSON with its targets in order; a row a node, so that no graph meets in one task."""
+    out = edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
+    d = nodes.join(out, nodes["id"] == out["src"], "left")
+    return d.select("id", F.to_json(F.struct("id", "type", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))).alias("document"))
+
+
+def findings_at(findings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(finding_id, id): findings whose asset begins with a node's id, or the other way round. Ids
+    are matched by equal beginnings of every length that a node's id or an asset has: an
+    equi-join, so that not every finding meets every node."""
+    heads = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substr(c, F.lit(1), n)))
+    a = findings.where(F.length("asset") > 0).select("finding_id", "asset", heads(F.col("asset")).alias("head"))
+    n = nodes.where(F.length("id") > 0).select("id", heads(F.col("id")).alias("head"))
+    down = a.join(nodes.select("id", F.col("id").alias("head")), "head").select("finding_id", "id")
+    up = n.join(findings.select("finding_id", F.col("asset").alias("head")), "head").select("finding_id", "id")
+    return down.union(up).distinct()
+
+
+def columns_linked(nodes: DataFrame) -> DataFrame:
+    """(src, dst): each node of a column of a drawing with each of the next one."""
+    a, b = nodes.select(F.col("id").alias("src"), (F.col("column") + 1).alias("column")), nodes.select(F.col("id").alias("dst"), "column")
+    return a.join(b, "column").select("src", "dst")

@@ -29,7 +29,7 @@ def parameter_statistics(params: DataFrame, sigma: float = 4.0) -> DataFrame:
     bound = F.abs("mean") + sigma * F.col("sd")
     out = params.crossJoin(F.broadcast(s.select(bound.alias("bound")))).agg(F.count_if(F.abs("w") > F.col("bound")).alias("outliers"))  # one row
     d = s.crossJoin(F.broadcast(out))
-    return d.select("n", "mean", "sd", "lo", "hi", "sparsity", bound.alias("bound"), "outliers", (F.col("outliers") / F.col("n") > 0.001).alias("flagged"))
+    return d.select("n", "mean", "sd", "lo", "hi", "sparsity", bound.alias("bound"), "outliers", F.coalesce(F.try_divide("outliers", "n") > 0.001, F.lit(False)).alias("flagged"))
 
 
 def outlier_weights(params: DataFrame, sigma: float = 4.0) -> DataFrame:
@@ -74,7 +74,7 @@ def trigger_collapse(tests: DataFrame) -> DataFrame:
     flips = tests.where(F.col("predicted") != F.col("baseline")).groupBy("predicted").agg(F.count(F.lit(1)).alias("c"))
     g = flips.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("flips"), F.max_by("predicted", F.struct("c", -F.col("predicted"))).alias("cls"), F.max("c").alias("top"))
     rate = F.col("flips") / F.lit(max(1, n))
-    d = g.select("flips", F.lit(n).cast("long").alias("tests"), rate.alias("flip_rate"), F.col("cls").cast("long").alias("collapse_class"), F.coalesce(F.col("top") / F.col("flips"), F.lit(0.0)).alias("collapse_ratio"))
+    d = g.select("flips", F.lit(n).cast("long").alias("tests"), rate.alias("flip_rate"), F.col("cls").cast("long").alias("collapse_class"), F.coalesce(F.try_divide("top", "flips"), F.lit(0.0)).alias("collapse_ratio"))
     return d.withColumn("sensitive", (F.col("flips") >= 8) & (F.col("flip_rate") >= 0.40) & (F.col("collapse_ratio") >= 0.75))
 
 

@@ -56,6 +56,7 @@ def poisoned(samples: DataFrame, kind: str, every: int, classes: int = 10) -> Da
     if kind == "ood":
         return d.withColumn("v", F.when(hit, F.transform("v", lambda x: -x)).otherwise(F.col("v")))
     if kind == "copy":
+        d = d.withColumn("is_attack", hit & (F.col("idx") > 0))
         first = samples.select((F.col("idx") + 1).alias("idx"), F.col("v").alias("before"))
         return d.join(first, "idx", "left").withColumn("v", F.when(hit, F.coalesce("before", "v")).otherwise(F.col("v"))).drop("before")
     raise ValueError(kind)
@@ -64,3 +65,33 @@ def poisoned(samples: DataFrame, kind: str, every: int, classes: int = 10) -> Da
 def evaluated(attacks: DataFrame, pattern: str) -> DataFrame:
     """Whether an attack whose name or family matches was run."""
     return attacks.agg(F.coalesce(F.bool_or(F.concat_ws(" ", "name", "family").rlike(f"(?i){pattern}")), F.lit(False)).alias("evaluated"))
+
+
+def benchmark(vectors: DataFrame, records: DataFrame, every: int = 25, at: int = 5) -> DataFrame:
+    """Scores of all scenarios: attacks on vectors (idx, label, v) and on a chain, each
+    against the detector that should see it, with macro averages to be taken by macro()."""
+    from auditlake.operators import chain, samples
+
+    truth, flags = [], []
+
+    def scenario(name: str, table: DataFrame, found: DataFrame) -> None:
+        truth.append(table.select(F.lit(name).alias("attack"), F.col("idx").alias("sample_id"), "is_attack"))
+        flags.append(found.select(F.lit(name).alias("attack"), F.col("idx").alias("sample_id")))
+
+    p = poisoned(vectors, "label", every)
+    scenario("label_flip", p, samples.label_flips(p.select("idx", "label", "v"), samples.nearest(p.select("idx", "v"), 5)).select(F.col("i").alias("idx")))
+    p = poisoned(vectors, "ood", every)
+    scenario("ood_insertion", p, samples.outlier_scores(p.select("idx", "v")).where("is_ood"))
+    p = poisoned(vectors, "copy", every)
+    digest = F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)
+    rows = p.select("idx", F.col("idx").cast("string").alias("sample_id"), F.lit("c").alias("contributor_id"), F.lit("b").alias("batch_id"), "v")
+    scenario("duplicate_flooding", p, samples.exact_duplicates(rows, digest).select("idx"))
+    faulty = {"output": lambda q: q == at, "swap": lambda q: q.isin(at, at + 1), "replay": lambda q: q == at + 1}
+    for kind, is_attack in faulty.items():
+        v = chain.verify_long(attacked_chain(records, kind, at))
+        d = v.select(F.col("expected_seq").alias("idx"), is_attack(F.col("expected_seq")).alias("is_attack"), (F.col("tampered") | F.col("seq_anomaly") | F.col("broken_link")).alias("hit"))
+        scenario(f"chain_{kind}", d, d.where("hit"))
+    import functools
+
+    both = [functools.reduce(lambda a, b: a.union(b), x) for x in (truth, flags)]
+    return metrics(*both)

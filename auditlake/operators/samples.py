@@ -130,7 +130,7 @@ def label_flips(rows: DataFrame, neighbours: DataFrame) -> DataFrame:
     rest = F.zip_with("own_total", "v", lambda t, x: t - x.cast("double"))
     left_out = F.when(F.col("own_n") > 1, rest).otherwise(F.col("own_total"))
     d = d.withColumn("left_out", left_out)
-    d = d.withColumns({"dist_own": 1 - C.dot("v", "left_out") / C.norm("left_out"), "dist_other": 1 - C.dot("v", "other_total") / C.norm("other_total")})
+    d = d.withColumns({"dist_own": 1 - F.try_divide(C.dot("v", "left_out"), C.norm("left_out")), "dist_other": 1 - F.try_divide(C.dot("v", "other_total"), C.norm("other_total"))})
     return d.where("dist_other < dist_own").select("i", "label", "dominant", "purity", "dominant_ratio", "dist_own", "dist_other", F.round(F.least(F.lit(0.98), F.greatest("dominant_ratio", F.lit(0.75))), 2).alias("confidence"))
 
 

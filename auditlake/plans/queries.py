@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
-from auditlake.operators import chain, governance, lineage, models, redteam, samples, shift
+from auditlake.operators import chain, governance, lineage, model_audit, models, provenance, redteam, samples, shift
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -458,11 +458,26 @@ def merkle_root(spark, d):
 @query("""WITH s AS (SELECT event_id, value, user_id FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1073741824)
 SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN user_id % 7 = 0 THEN 'UNCHECKED' WHEN user_id % 5 = 0 THEN 'DIM' WHEN user_id % 3 = 0 THEN 'DIFF' ELSE 'OK' END AS verdict FROM s""")
 def spot_check(spark, d):
+    return _spot(spark, d).select("record_id", "verdict")
+
+
+def _spot(spark, d):
     e = read(spark, d, "events")
     u, v = F.col("user_id"), F.col("value")
     records = e.select(F.col("event_id").cast("string").alias("record_id"), F.array(v, v).alias("logged"))
     inputs = e.where(u % 7 != 0).select(F.col("event_id").cast("string").alias("record_id"), F.when(u % 5 == 0, F.array(v)).when(u % 3 == 0, F.array(v, v + 0.01)).otherwise(F.array(v, v)).alias("replayed"))
-    return chain.spot_check(records, inputs).select("record_id", "verdict")
+    return chain.spot_check(records, inputs)
+
+
+@query(f"WITH {LINKED} SELECT 'events' AS chain_id, CAST(NULL AS BIGINT) AS first_break")
+def link_walk(spark, d):
+    return provenance.walk(linked(spark, d).select("chain_id", "pos", F.col("record_hash").alias("hash"), F.col("previous_record_hash").alias("prev_hash")))
+
+
+@query("""WITH s AS (SELECT event_id, user_id FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1073741824 AND user_id % 7 <> 0)
+SELECT CASE WHEN user_id % 5 = 0 THEN 'FIND-PE-SPOTCHECK-DIM-' ELSE 'FIND-PE-SPOTCHECK-DIFF-' END || event_id AS finding_id, CAST(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.98 END AS DOUBLE) AS confidence FROM s WHERE user_id % 5 = 0 OR user_id % 3 = 0""")
+def spot_check_findings(spark, d):
+    return provenance.spot_check_findings(_spot(spark, d)).select("finding_id", "confidence")
 
 
 # --- lineage -----------------------------------------------------------------
@@ -524,6 +539,24 @@ def mermaid_round_trip(spark, d):
     return lineage.parse_mermaid(lineage.mermaid_lines(lineage_edges(spark, d)))
 
 
+@query("SELECT 'f' || s_suppkey AS finding_id, 'S' || n_nationkey AS id FROM supplier JOIN nation ON starts_with('S' || s_suppkey, 'S' || n_nationkey) OR starts_with('S' || n_nationkey, 'S' || s_suppkey)")
+def findings_at_nodes(spark, d):
+    f = read(spark, d, "supplier").select(F.concat(F.lit("f"), "s_suppkey").alias("finding_id"), F.concat(F.lit("S"), "s_suppkey").alias("asset"))
+    return lineage.findings_at(f, read(spark, d, "nation").select(F.concat(F.lit("S"), "n_nationkey").alias("id")))
+
+
+@query("SELECT a.n_name AS src, b.n_name AS dst FROM nation a JOIN nation b ON b.n_regionkey = a.n_regionkey + 1")
+def columns_linked(spark, d):
+    return lineage.columns_linked(read(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("column")))
+
+
+@query(f"WITH {EDGES}, n AS (SELECT src AS id FROM ed UNION SELECT dst FROM ed), t AS (SELECT src, list_sort(list(DISTINCT dst)) AS l FROM ed GROUP BY src) SELECT n.id, md5(coalesce(array_to_string(t.l, ','), '')) AS targets FROM n LEFT JOIN t ON t.src = n.id")
+def lineage_documents(spark, d):
+    doc = lineage.as_document(lineage_nodes(spark, d), lineage_edges(spark, d))
+    targets = F.from_json("document", "targets array<string>")["targets"]
+    return doc.select("id", F.md5(F.array_join(targets, ",")).alias("targets"))
+
+
 # --- models ------------------------------------------------------------------
 
 PARAMS = "p AS (SELECT label AS layer, CASE WHEN vec_id % 97 = 0 THEN 9.0 ELSE unnest(CAST(embedding AS DOUBLE[])) END AS w FROM embeddings)"
@@ -587,6 +620,20 @@ def softmax_top5(spark, d):
     return t.withColumn("probability", F.round("probability", 6))
 
 
+@query(f"WITH {PARAMS} SELECT CAST(layer AS BIGINT) AS layer, round(avg(w), 6) AS mean, round(stddev_pop(w), 6) AS sd, CAST(round(avg(CASE WHEN w = 0 THEN 1.0 ELSE 0.0 END), 6) AS DOUBLE) AS zeros FROM p GROUP BY layer")
+def activation_stats(spark, d):
+    a = model_audit.activation_statistics(parameters(spark, d))
+    return a.select("layer", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "zeros")])
+
+
+@query(f"WITH {OUT}, f AS (SELECT avg(CAST(list_position(a, list_max(a)) = list_position(b, list_max(b)) AS INT)) AS agreement FROM o) SELECT 'FIND-MA-SUBSTITUTION-net' AS finding_id, 'CRITICAL' AS severity, 0.96::DOUBLE AS confidence FROM f WHERE agreement < 0.95")
+def fingerprint_findings(spark, d):
+    v = F.transform("v", lambda x: x.cast("double"))
+    o = vectors(spark, d).select(F.col("idx").alias("probe_id"), v.alias("output"))
+    current = o.select("probe_id", F.transform("output", lambda x, i: F.when((F.col("probe_id") % 10 == 0) & (i == 0), x + 1).otherwise(x)).alias("output"))
+    return model_audit.fingerprint_findings(o, current, "net").select("finding_id", "severity", "confidence")
+
+
 # --- red team ----------------------------------------------------------------
 
 ATTACKS = "tr AS (SELECT l.doc_id, d.lang AS attack, l.toxic = 1 AS is_attack, l.quality = 0 AS hit FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
@@ -631,3 +678,17 @@ def redteam_ood_attack(spark, d):
     truth = p.select(F.lit("ood").alias("attack"), F.col("idx").alias("sample_id"), "is_attack")
     flags = samples.outlier_scores(p.select("idx", "v")).where("is_ood").select(F.lit("ood").alias("attack"), F.col("idx").alias("sample_id"))
     return redteam.metrics(truth, flags).select("tp", "fp", "fn")
+
+
+@query()
+def redteam_benchmark(spark, d):
+    """All scenarios; chains are folded, which SQL can't express."""
+    return redteam.benchmark(vectors(spark, d), chain.build(event_records(spark, d)))
+
+
+@query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n, count(*) FILTER (value > 400) AS flagged, round(count(*) FILTER (value > 400) / count(*), 6) AS rate FROM s GROUP BY user_id, k""")
+def session_risk(spark, d):
+    from auditlake.streaming import windows
+
+    return windows.session_risk(read(spark, d, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "flagged", F.round("rate", 6).alias("rate"))

@@ -82,3 +82,27 @@ def to_ledger(findings: DataFrame, path: str, checkpoint: str):
 def _exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def shift_monitor(events: DataFrame, baseline: DataFrame, sink, bins: int = 20):
+    """Each micro-batch's values against a static baseline of (value): ``sink`` gets a frame of
+    (epoch, n, psi) for each batch that has rows."""
+    from auditlake.operators.shift import psi
+
+    static = baseline.select(F.lit("baseline").alias("side"), "value")
+
+    def measure(batch: DataFrame, epoch: int) -> None:
+        now = batch.select(F.lit("evaluation").alias("side"), "value")
+        n = now.count()
+        if n:
+            sink(psi(static.union(now), bins).select(F.lit(epoch).alias("epoch"), F.lit(n).alias("n"), "psi"))
+
+    return events.writeStream.foreachBatch(measure)
+
+
+def session_risk(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", most: float = 400.0) -> DataFrame:
+    """(user_id, start, n, flagged, rate) by sessions of a user; flagged: values over ``most``."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withWatermark("ts", late) if e.isStreaming else e
+    g = e.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > most).alias("flagged"))
+    return g.select("user_id", F.col("s.start").alias("start"), "n", "flagged", (F.col("flagged") / F.col("n")).alias("rate"))

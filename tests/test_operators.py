@@ -11,9 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
-from auditlake.functions import crypto, images
+from auditlake.functions import crypto, embedders, images
 from auditlake.functions.schemas import FINDING
-from auditlake.operators import chain, governance, lineage, models, redteam, samples, shift
+from auditlake.operators import chain, governance, lineage, model_audit, models, provenance, redteam, samples, shift
 from auditlake.plans import engine
 from auditlake.sources import config, datasets, sinks
 from auditlake.streaming import windows
@@ -356,3 +356,72 @@ def test_columns(spark):
     d = spark.createDataFrame([([1.0, 3.0, 3.0], [1.0, 2.0, 5.0])], "a array<double>, b array<double>")
     r = d.select(C.argmax("a"), C.max_abs_diff("a", "b"), C.dot("a", "b"), C.norm(C.unit("a")), F.aggregate(C.softmax("a"), F.lit(0.0), lambda x, y: x + y)).first()
     assert r[0] == 1 and r[1] == 2 and r[2] == 22 and r[3] == pytest.approx(1) and r[4] == pytest.approx(1)
+
+
+def signed_log(spark, n=4):
+    k = crypto.KeyPair(b"\5" * 32)
+    log_ = provenance.Log("chain-123", k)
+    rows = [log_.append(f"in{i}", "a" * 64, {"predicted_class": i, "confidence": 0.95}, f"n{i}", TS) for i in range(n)]
+    return k, spark.createDataFrame(rows, "chain_id string, pos long, sequence_number long, record_id string, timestamp string, input_sha256 string, model_digest string, preprocessing_config string, inference_config string, output string, nonce string, previous_record_hash string, record_hash string, signature string")
+
+
+def test_signed_log_and_checkpoint(spark):
+    k, d = signed_log(spark)
+    c = provenance.checkpoint(d, "chain-123", k, TS)
+    ids = lambda x: sorted(r["finding_id"] for r in x.collect())
+    assert d.first()["record_id"] == "REC-chain-12-000000"
+    assert ids(provenance.audit(d, TS, k.public.hex(), c)) == []
+    edited = d.withColumn("output", F.when(F.col("pos") == 2, '{"confidence":0.1,"predicted_class":2}').otherwise(F.col("output")))
+    assert ids(provenance.audit(edited, TS, k.public.hex(), c)) == ["FIND-PE-RECORD-TAMPER-0002"]
+    assert len(ids(provenance.audit(d, TS, crypto.KeyPair(b"\6" * 32).public.hex()))) == 4
+    assert ids(provenance.checkpoint_findings(d.where("pos < 3"), c)) == ["FIND-PE-CHECKPOINT-LEN-MISMATCH", "FIND-PE-MERKLE-ROOT-MISMATCH"]
+    assert ids(provenance.checkpoint_findings(d, c | {"sequence_length": 5})) == ["FIND-PE-CHECKPOINT-LEN-MISMATCH", "FIND-PE-CHECKPOINT-SIG-FAIL"]
+    links = d.select("chain_id", "pos", F.col("record_hash").alias("hash"), F.when(F.col("pos") == 3, "x").otherwise(F.col("previous_record_hash")).alias("prev_hash"))
+    assert provenance.walk(links).first()["first_break"] == 3
+
+
+def test_fingerprints(spark):
+    p = model_audit.probes(spark, 20, 8)
+    run = lambda w: provenance.predictions(p, lambda: lambda x: x @ w, "probe_id")
+    w = np.eye(8)[:, :4]
+    one, two = run(w), run(np.random.default_rng(9).normal(size=(8, 4)))
+    assert model_audit.fingerprint(one) == model_audit.fingerprint(run(w)) != model_audit.fingerprint(two)
+    ids = lambda a, b: [r["finding_id"] for r in model_audit.fingerprint_findings(a, b, "net").collect()]
+    assert ids(one, one) == [] and ids(one, two) == ["FIND-MA-SUBSTITUTION-net"] and ids(one, one.where("probe_id < 9")) == ["FIND-MA-HASH-MISMATCH-net"]
+    t = spark.createDataFrame([(0, 3)] * 9 + [(0, 0)] * 3, "baseline int, predicted int")
+    f = model_audit.trigger_findings(t, "net")
+    assert f.count() == 1 and model_audit.result(f, "black").first()["confidence"] == 0.85
+
+
+def test_embedders(spark):
+    d = spark.createDataFrame([(0, [3.0, 4.0], "a"), (1, [0.0, 2.0], "a")], "idx long, embedding array<double>, digest string")
+    r = embedders.Registry()
+    r.register(embedders.Embedder("gone", 3, lambda x: x, False))
+    assert r.get("gone").name == "precomputed" and r.get("nothing").name == "precomputed" and len(r.all()) == 2
+    with pytest.raises(KeyError):
+        r.get("gone", False)
+    e = embedders.ensemble([r.default, r.default, r.get("gone")])
+    v = {x["idx"]: x["v"] for x in e.embed(d).collect()}
+    assert v[0] == pytest.approx([0.6 / 3**0.5, 0.8 / 3**0.5] * 3)  # what is gone falls back to the default
+    once = {x["idx"]: x["v"] for x in embedders.once_each(d, "digest", r.default).collect()}
+    assert once[0] == once[1] == pytest.approx([0.6, 0.8])
+
+
+def test_red_team_gate(spark, log):
+    rng = np.random.default_rng(7)
+    rows = [(k, k % 2, (np.eye(16)[k % 2] + rng.normal(scale=0.05, size=16)).tolist()) for k in range(60)]
+    v = spark.createDataFrame([(k, c, (np.array(x) / np.linalg.norm(x)).tolist()) for k, c, x in rows], "idx long, label long, v array<double>")
+    m = {r["attack"]: r for r in redteam.benchmark(v, log, 20, 1).collect()}
+    assert len(m) == 6 and all(m[a]["recall"] == 1 for a in m if a.startswith("chain") or a == "duplicate_flooding")
+    assert all(m[a]["f1"] >= 0.5 for a in ("duplicate_flooding", "chain_output", "chain_swap", "label_flip"))
+
+
+def test_stream_shift_and_sessions(spark, data, tmp_path):
+    e = spark.read.parquet(f"{data}/events.parquet")
+    e.withColumn("value", F.col("value") + 1000).write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = windows.shift_monitor(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), e, lambda df: seen.extend(df.collect())).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(r["n"] for r in seen) == e.count() and all(r["psi"] > 1 for r in seen)
+    assert windows.session_risk(e).agg(F.sum("n")).first()[0] == e.count()
