@@ -340,7 +340,7 @@ def test_stream_ledger(spark, tmp_path):
 
 def test_engine(spark, log):
     v = two_clusters(spark)
-    rows = v.select("idx", F.concat(F.lit("s"), "idx").alias("sample_id"), F.when(F.col("idx") < 10, "good").otherwise("bad").alias("contributor_id"), F.lit("b").alias("batch_id"), F.when(F.col("idx").isin(1, 13), "same").otherwise(F.col("idx").cast("string")).alias("digest"), (F.col("idx") * 0x123456789ABCD).alias("h"), "label", "v", F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    rows = v.select("idx", F.concat(F.lit("s"), "idx").alias("sample_id"), F.when(F.col("idx") < 10, "good").otherwise("bad").alias("contributor_id"), F.lit("b").alias("batch_id"), F.when(F.col("idx").isin(1, 13), "same").otherwise(F.col("idx").cast("string")).alias("digest"), F.xxhash64("idx").alias("h"), "label", "v", F.expr("cast(map() as map<string,string>)").alias("metadata"))
     k = crypto.KeyPair(b"\4" * 32)
     p = spark.createDataFrame([("a", 0, float("inf"))], "layer string, idx long, w double")
     a = engine.run(spark, TS, k, rows, p, None, "net", redteam.attacked_chain(log, "delete", 2))
