@@ -8,6 +8,9 @@ carries each range's last hash over, so that no task holds more than a range.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,21 +28,26 @@ def recomputed(output_digest: Column, configurations: bool = False) -> Column:
 def build(records: DataFrame, chain: str = "chain_id", order: str = "pos") -> DataFrame:
     """Fills sequence_number, previous_record_hash and record_hash of (chain, pos, input_sha256,
     model_digest, output_digest, nonce, timestamp). A chain is a fold from its first
-    record to its last; chains are folded apart from each other."""
+    record to its last: each partition holds whole chains, sorted, and is folded as a
+    stream of batches, so that a long chain takes time but no memory."""
     schema = f"{chain} {records.schema[chain].dataType.simpleString()}, {order} long, sequence_number long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string, previous_record_hash string, record_hash string"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        prev, prevs, hashes = C.GENESIS, [], []
-        for k, r in enumerate(pdf.itertuples(index=False)):
-            prevs.append(prev)
-            prev = hashlib.sha256(f"{k}:{prev}:{r.input_sha256}:{r.model_digest}:{r.output_digest}:{r.nonce}:{r.timestamp}".encode()).hexdigest()
-            hashes.append(prev)
-        return pdf.assign(sequence_number=range(len(pdf)), previous_record_hash=prevs, record_hash=hashes)[[f.split()[0] for f in schema.split(", ")]]
-
-    return records.select(chain, F.col(order).cast("long").alias(order), "input_sha256", "model_digest", "output_digest", "nonce", "timestamp").groupBy(chain).applyInPandas(fold, schema)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, prev, k, begun = None, C.GENESIS, 0, False
+        for pdf in batches:
+            numbers, prevs, hashes = [], [], []
+            for r in pdf.itertuples(index=False):
+                if not begun or getattr(r, chain) != at:
+                    at, prev, k, begun = getattr(r, chain), C.GENESIS, 0, True
+                numbers.append(k)
+                prevs.append(prev)
+                prev = hashlib.sha256(f"{k}:{prev}:{r.input_sha256}:{r.model_digest}:{r.output_digest}:{r.nonce}:{r.timestamp}".encode()).hexdigest()
+                hashes.append(prev)
+                k += 1
+            yield pdf.assign(sequence_number=numbers, previous_record_hash=prevs, record_hash=hashes)[[f.split()[0] for f in schema.split(", ")]]
+
+    rows = records.select(chain, F.col(order).cast("long").alias(order), "input_sha256", "model_digest", "output_digest", "nonce", "timestamp")
+    return rows.repartition(chain).sortWithinPartitions(chain, order).mapInPandas(fold, schema)
 
 
 def verify(records: DataFrame, chain: str = "chain_id", order: str = "pos", output_digest: Column | None = None, valid_signature: Column | None = None) -> DataFrame:

@@ -23,7 +23,8 @@ def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False, most:
     joins the last round's nodes with the edges and drops those seen before, so cycles
     end; only the frontier is joined, and it is written so that plans stay short."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
+    # written once: each round reads it
+    steps = _written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "lineage")
     seen = _written(roots.select("id").distinct().withColumn("depth", F.lit(0)), "lineage")
     frontier, depth = seen, 0
     while depth < most:

@@ -432,3 +432,17 @@ def test_stream_shift_and_sessions(spark, data, tmp_path):
     q.stop()
     assert sum(r["n"] for r in seen) == e.count() and all(r["psi"] > 1 for r in seen)
     assert windows.session_risk(e).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from auditlake import cli
+
+    (tmp_path / "a").mkdir()
+    for n in ("1", "2"):
+        (tmp_path / "a" / f"{n}.png").write_bytes(PNG)
+    assert cli.main(["audit", str(tmp_path)]) == 0 and "FIND-DS-EXACT-DUP-0001" in capsys.readouterr().out
+    k = crypto.KeyPair(b"\7" * 32)
+    good = sinks.write_json(governance.sign({"summary_id": "x"}, k), str(tmp_path / "s.json"))
+    assert cli.main(["verify", good]) == 0
+    sinks.write_json(sinks.read_summary(good) | {"summary_id": "y"}, good)
+    assert cli.main(["verify", good]) == 1 and cli.main(["schemas", str(tmp_path / "schemas")]) == 0
