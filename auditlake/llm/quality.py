@@ -30,7 +30,7 @@ from auditlake.llm.common import stored, table
 
 MIN_WORDS = 50
 #: Words from which each distance is judged, and the largest distance that is kept.
-CHAR_WORDS, CHAR_MOST = 50, 0.20
+CHAR_WORDS, CHAR_MOST = 50, 0.26
 WORD_WORDS, WORD_MOST = 100, 0.29
 SPACE = r"\x20\x09-\x0D"
 # Frequent function words of English, German, French and Spanish.
