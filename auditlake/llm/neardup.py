@@ -48,7 +48,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import U64, fmix, hash_shingles, hash_words, stored, table, text_bytes, text_chunks
+from auditlake.llm.common import U64, dropped, fmix, hash_shingles, hash_words, stored, table, text_bytes, text_chunks
 
 COORDINATES, MATCHES = 64, 32
 PREFIX = COORDINATES - MATCHES + 1
@@ -238,9 +238,10 @@ def components(links: DataFrame, name: str = "neardup-links") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        edges = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
-        edges = stored(edges, name)
+        new = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
+        last, edges = edges, stored(new, name)
         before, now = now, stamp(edges)
+        dropped(last)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
@@ -250,16 +251,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = sig.where("n > 0")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a set
     nodes = stored(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), *map(first, ["n", "tokens", *PLANES])), "neardup-nodes")
-    posted = stored(postings(nodes.where("node is not null")), "neardup-postings")
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    posted = stored(posted.join(lists, "token"), "neardup-lists")
+    prefixes = stored(postings(nodes.where("node is not null")), "neardup-postings")
+    lists = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    posted = stored(prefixes.join(lists, "token"), "neardup-lists")
     sets = docs.select(docs[id_col].alias("node"), docs[text_col].alias("text")).join(posted.select("node").distinct(), "node", "left_semi")
     sets = stored(sets_of(sets), "neardup-sets")
 
     short, long = posted.where(F.col("m") <= SMALL), posted.where(F.col("m") > SMALL)
     pivot = long.groupBy("token").agg(F.max_by(F.struct("node", "n", *PLANES), F.struct("weight", -F.col("node"))).alias("pivot")).select("token", "pivot.*")
     found = pairs(short, short, F.col("x.node") < F.col("y.node")).union(pairs(long, pivot, F.col("x.node") != F.col("y.node"))).distinct()
-    links = stored(confirmed(stored(found, "neardup-pairs"), sets), "neardup-found")
+    found = stored(found, "neardup-pairs")
+    links = stored(confirmed(found, sets), "neardup-found")
     groups = stored(components(links), "neardup-groups")
 
     # long lists: whoever is outside the largest component meets the rest. A row for each
@@ -270,12 +272,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     largest = in_lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
     # the smaller set of a link has at least 0.75 of the larger one in common
     able = stored(member.join(shared_sizes(member.select("node", "component"), sets), "node").where(100 * F.col("c") >= THRESHOLD * F.col("n")), "neardup-able")
-    able = able.join(fine_signatures(sets.join(able.select("node"), "node", "left_semi").select("node", "set")), "node")
-    able = stored(able.select("*", F.explode("tokens").alias("token")), "neardup-long")
-    outside = stored(able.join(largest, "token").where("component <> largest").drop("largest"), "neardup-outside")
-    more = stored(pairs(outside, able, (F.col("x.component") != F.col("y.component")) & overlap("x", "y")), "neardup-pairs")
+    named = able.join(fine_signatures(sets.join(able.select("node"), "node", "left_semi").select("node", "set")), "node")
+    rows = stored(named.select("*", F.explode("tokens").alias("token")), "neardup-long")
+    outside = stored(rows.join(largest, "token").where("component <> largest").drop("largest"), "neardup-outside")
+    more = stored(pairs(outside, rows, (F.col("x.component") != F.col("y.component")) & overlap("x", "y")), "neardup-pairs")
     if not more.isEmpty():
         groups = stored(components(links.union(confirmed(more, sets))), "neardup-groups")
+    dropped(prefixes, posted, sets, found, links, member, able, rows, outside, more)
     by_set = nodes.select("k1", "k2", "node", "n_copies").join(groups, "node", "left").select("k1", "k2", "n_copies", F.coalesce("component", "node").alias("component_id"))
     out = filled.select("doc_id", "n", "k1", "k2").join(by_set, ["k1", "k2"]).select("doc_id", "n", "component_id", "n_copies")
     out = out.union(sig.where("n = 0").select("doc_id", "n", F.col("doc_id"), F.lit(1).cast("long")))
