@@ -414,13 +414,15 @@ def test_embedders(spark):
     assert once[0] == once[1] == pytest.approx([0.6, 0.8])
 
 
-def test_red_team_gate(spark, log):
+def test_red_team_gate(spark):
+    log = chain.build(spark.createDataFrame(chain_rows(10), "chain_id string, pos long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string"))
     rng = np.random.default_rng(7)
     rows = [(k, k % 2, (np.eye(16)[k % 2] + rng.normal(scale=0.05, size=16)).tolist()) for k in range(60)]
     v = spark.createDataFrame([(k, c, (np.array(x) / np.linalg.norm(x)).tolist()) for k, c, x in rows], "idx long, label long, v array<double>")
-    m = {r["attack"]: r for r in redteam.benchmark(v, log, 20, 1).collect()}
+    m = {r["attack"]: r for r in redteam.benchmark(v, log, 20).collect()}
     assert len(m) == 6 and all(m[a]["recall"] == 1 for a in m if a.startswith("chain") or a == "duplicate_flooding")
-    assert all(m[a]["f1"] >= 0.5 for a in ("duplicate_flooding", "chain_output", "chain_swap", "label_flip"))
+    assert all(m[a]["f1"] >= 0.5 for a in ("duplicate_flooding", "chain_output", "chain_model", "chain_swap", "label_flip"))
+    assert m["chain_swap"]["precision"] == pytest.approx(2 / 3) and m["chain_output"]["f1"] == m["chain_model"]["f1"] == 1
 
 
 def test_stream_shift_and_sessions(spark, data, tmp_path):
