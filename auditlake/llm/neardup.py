@@ -53,6 +53,8 @@ from auditlake.llm.common import U64, dropped, fmix, hash_shingles, hash_words,
 COORDINATES, MATCHES = 64, 32
 PREFIX = COORDINATES - MATCHES + 1
 SMALL = 32
+#: Parts in which a long list is joined with its pivot.
+SALTS = 16
 #: One-bit coordinates of the finer signature, and those that must agree.
 FINE, FINE_MATCHES = 2048, 1721
 #: Links have 100 * intersection >= THRESHOLD * union.
@@ -259,7 +261,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     short, long = posted.where(F.col("m") <= SMALL), posted.where(F.col("m") > SMALL)
     pivot = long.groupBy("token").agg(F.max_by(F.struct("node", "n", *PLANES), F.struct("weight", -F.col("node"))).alias("pivot")).select("token", "pivot.*")
-    found = pairs(short, short, F.col("x.node") < F.col("y.node")).union(pairs(long, pivot, F.col("x.node") != F.col("y.node"))).distinct()
+    # a list of any length is dealt to SALTS tasks, its one pivot to all of them
+    long_parts = long.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    pivot = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    star = pairs(long_parts, pivot, (F.col("x.salt") == F.col("y.salt")) & (F.col("x.node") != F.col("y.node")))
+    found = pairs(short, short, F.col("x.node") < F.col("y.node")).union(star).distinct()
     found = stored(found, "neardup-pairs")
     links = stored(confirmed(found, sets), "neardup-found")
     groups = stored(components(links), "neardup-groups")
