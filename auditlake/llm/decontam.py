@@ -14,7 +14,7 @@ holds the window only if it holds every one of them. So:
 * verification: the document's words from there must equal the window's words.
 
 Documents' shingles are made and probed in one generated stage, without a
-shuffle: the probe table is broadcast. It is cut into blocks of at most
+shuffle: the probe table is broadcast. It is cut into blocks of about
 BLOCK_WINDOWS windows, and all documents are run against each block, so that no
 broadcast grows with the benchmark. Only hits are shuffled, by document.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import stored, table
 
 WINDOW, SHINGLE = 13, 4
-#: Windows in a broadcast; each holds at most WINDOW words.
+#: Windows in a broadcast, about (they are dealt by hash); each holds at most WINDOW words.
 BLOCK_WINDOWS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
