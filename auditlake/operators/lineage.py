@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through the shared folder of spark.checkpoint.dir (our own where unset)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/auditlake"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from auditlake.functions.tables import written
 
 
 def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False, most: int = 1000) -> DataFrame:
@@ -24,13 +14,13 @@ def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False, most:
     end; only the frontier is joined, and it is written so that plans stay short."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
     # written once: each round reads it
-    steps = _written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "lineage")
-    seen = _written(roots.select("id").distinct().withColumn("depth", F.lit(0)), "lineage")
+    steps = written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "lineage")
+    seen = written(roots.select("id").distinct().withColumn("depth", F.lit(0)), "lineage")
     frontier, depth = seen, 0
     while depth < most:
         depth += 1
         new = frontier.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = _written(new, "lineage")
+        frontier = written(new, "lineage")
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)

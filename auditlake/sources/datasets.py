@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.schemas import SAMPLE
+from auditlake.functions.tables import written
 
 # Extensions taken for images.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
@@ -34,8 +35,14 @@ def images(spark: SparkSession, folder: str, content: bool = False) -> DataFrame
 
 
 def _ordered(d: DataFrame, order: list) -> DataFrame:
-    """Samples with idx from 0. The window runs over ids alone, in one task: listings of files."""
-    return d.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long") - 1).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SAMPLE])
+    """Samples with idx from 0. Ranks are taken within ranges of the order and the ranges' sizes
+    are added up, so that a listing of any length is spread; the ranged rows are
+    written, as a second pass must see the same ranges."""
+    ranged = written(d.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "samples")
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("range", F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return ranged.join(before, "range").withColumn("idx", F.col("before") + rank).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SAMPLE])
 
 
 def coco(spark: SparkSession, annotation_file: str, images_dir: str | None = None) -> DataFrame:
@@ -97,10 +104,13 @@ def class_folders(spark: SparkSession, folder: str) -> DataFrame:
     below = F.split(F.substr("plain", F.length(root) + 2), "/")
     d = d.withColumn("cls", F.when(F.size(below) > 1, F.get(below, F.lit(0))))
     bad = ~F.col("head").rlike(MAGIC)
-    label = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.coalesce("cls", F.lit("")))) - 1
-    d = d.select(
+    d = d.withColumn("k", F.coalesce("cls", F.lit("")))
+    # ranked over the class names alone, which are few
+    ranks = d.select("k").distinct().withColumn("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k")) - 1)
+    label = F.col("label")
+    d = d.join(ranks, "k").select(
         "path", F.when(bad, F.concat(F.lit("CORRUPT_"), "stem")).when(F.col("cls").isNull(), F.col("stem")).otherwise(F.concat_ws("_", "cls", "stem")).alias("sample_id"), F.array(F.when(bad, F.lit(-1)).otherwise(label)).alias("labels"), F.array(F.when(bad, F.lit("corrupted")).otherwise(F.coalesce("cls", F.lit("class_0")))).alias("label_names"),
-        F.array().cast("array<array<double>>").alias("bounding_boxes"), F.lit("contributor_default").alias("contributor_id"), F.lit("batch_default").alias("batch_id"), F.create_map(F.lit("is_corrupted"), F.when(bad, "true").otherwise("false")).alias("metadata"), F.coalesce("cls", F.lit("")).alias("k"),
+        F.array().cast("array<array<double>>").alias("bounding_boxes"), F.lit("contributor_default").alias("contributor_id"), F.lit("batch_default").alias("batch_id"), F.create_map(F.lit("is_corrupted"), F.when(bad, "true").otherwise("false")).alias("metadata"), "k",
     )
     return _ordered(d, ["k", "path"])
 
