@@ -11,9 +11,10 @@ its slot by arithmetic.
 Targets default to tempered shares, rows ** TEMPER, normalised. Documents of a
 source are put in a random order by hash and cut into blocks of BLOCK documents.
 Source rows are ranked in two levels (hash range, then within it), so that a
-source of any size is spread over many tasks. A document is in the mix while
-no source has run out: `in_mix` marks the longest part of the schedule in which
-every block exists, and rows behind it are kept, numbered, and marked false.
+source of any size is spread over many tasks. The schedule decides order only: where
+a source has run out its slots stay empty and the others go on at their weights,
+partial last blocks included, and positions have no gaps. `in_mix` marks the longest
+part of the schedule in which every block exists, in which all shares hold.
 
 Null sources are a source of their own; the text is only carried. Repeated rows
 are rows of their own. An empty table gives no rows.
@@ -31,6 +32,7 @@ BLOCK = 8
 TEMPER = 0.9
 #: Hash ranges in which the documents of a source are ranked apart.
 RANGES = 64
+RESULTS = ("mix_block", "mix_position", "target", "in_mix")
 
 
 def whole_parts(shares: dict, period: int = PERIOD) -> dict:
@@ -46,7 +48,7 @@ def whole_parts(shares: dict, period: int = PERIOD) -> dict:
         parts[order[k % len(order)]] += 1
         k += 1
     while sum(parts.values()) > period:
-        parts[max(parts, key=lambda s: (parts[s] - exact[s], parts[s], str(s)))] -= 1
+        parts[max((s for s in parts if parts[s] > 1), key=lambda s: (parts[s] - exact[s], parts[s], str(s)))] -= 1
     return parts
 
 
@@ -82,12 +84,9 @@ def tempered_shares(counts: dict, power: float = TEMPER) -> dict:
     return {s: n**power for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, seed: int = 3) -> DataFrame:
-    """``docs`` with mix_position (0, 1, ... over all rows of the schedule), mix_block,
-    target (the source's share of all slots) and in_mix. Sources without a weight
-    are in no mix: their position is null. Columns that ``docs`` has under these names
-    give way to them. Sources are the few parts of a mixture: their
-    weights, counts and one period of slots pass through the driver."""
+def _scheduled(docs: DataFrame, weights: dict | None, source_col: str, id_col: str, block: int, seed: int) -> tuple[DataFrame, dict, dict]:
+    """``docs`` with __slot, __at (the place in its block), target and in_mix; the counts and
+    parts of the sources."""
     spark = docs.sparkSession
     h = F.xxhash64(F.lit(seed), id_col)
     rows = docs.withColumn("__h", h).withColumn("__q", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(RANGES)).cast("int"))
@@ -101,7 +100,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     for t, s in enumerate(pfair_schedule(parts)):
         slots[s].append(t)
     period = sum(parts.values())
-    # the first slot whose block isn't whole ends the mix
+    # the first slot whose block isn't whole ends the part in which all shares hold
     ends = [(counts[s] // block // parts[s]) * period + slots[s][counts[s] // block % parts[s]] for s in parts]
     end = min(ends, default=0)
     plan = spark.createDataFrame([(s, parts[s], slots[s]) for s in parts], f"__planned {docs.schema[source_col].dataType.simpleString()}, __parts int, __slots array<int>")
@@ -112,19 +111,50 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     k = F.col("__before") + F.col("__r")
     b = F.floor(k / block)
     slot = F.floor(b / F.col("__parts")) * period + F.get("__slots", (b % F.col("__parts")).cast("int"))
-    results = ("mix_block", "mix_position", "target", "in_mix")
-    out = joined.withColumns({"mix_block": slot.cast("long"), "mix_position": (slot * block + k % block).cast("long"), "target": F.col("__parts") / F.lit(float(max(1, period))), "in_mix": F.coalesce(slot < end, F.lit(False))})
-    return out.select(*[c for c in docs.columns if c not in results], *results)
+    out = joined.withColumns({"__slot": slot.cast("long"), "__at": k % block, "target": F.col("__parts") / F.lit(float(max(1, period))), "in_mix": F.coalesce(slot < end, F.lit(False))})
+    return out.select(*[c for c in docs.columns if c not in RESULTS], "__slot", "__at", "target", "in_mix"), counts, parts
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, chunk: int = 4096, **names) -> DataFrame:
-    """The rows of ``docs``, all columns, that are in the mix, written in its order:
-    each output partition holds whole runs of ``chunk`` positions."""
-    own = [c for c in ("mix_block", "mix_position", "target", "in_mix") if c in docs.columns]
-    out = mix(docs.withColumnsRenamed({c: f"__own_{c}" for c in own}), weights, **names).where("in_mix").withColumn("__run", F.floor(F.col("mix_position") / chunk))
-    out = out.repartition("__run").sortWithinPartitions("__run", "mix_position").drop("mix_block", "mix_position", "target", "in_mix", "__run")
+def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, seed: int = 3) -> DataFrame:
+    """``docs`` with mix_position (0, 1, ... without a gap over all rows of the schedule), mix_block,
+    target (the source's share of all slots) and in_mix. Sources without a weight
+    are in no mix: their position is null. Columns that ``docs`` has under these names
+    give way to them. Sources are the few parts of a mixture: their
+    weights, counts and one period of slots pass through the driver."""
+    out, counts, parts = _scheduled(docs, weights, source_col, id_col, block, seed)
+    period = max(1, sum(parts.values()))
+    # rows of all earlier periods by arithmetic, then a rank among at most period * block rows
+    rounds = max((-(-counts[s] // (parts[s] * block)) for s in parts), default=0)
+    sizes = F.array(*[F.struct(F.lit(counts[s]).cast("long").alias("n"), F.lit(parts[s] * block).cast("long").alias("a")) for s in parts])
+    earlier = F.aggregate(sizes, F.lit(0).cast("long"), lambda x, s: x + F.least(s["n"], s["a"] * F.col("id"))) if parts else F.lit(0).cast("long")
+    base = docs.sparkSession.range(rounds).select(F.col("id").alias("__period"), earlier.alias("__base"))
+    planned = out.where("__slot is not null").withColumn("__period", F.floor(F.col("__slot") / period))
+    rank = F.row_number().over(Window.partitionBy("__period").orderBy("__slot", "__at")) - 1
+    placed = planned.withColumn("__k", rank).join(base, "__period").withColumn("mix_position", F.col("__base") + F.col("__k"))
+    if set(counts) - set(parts):
+        placed = placed.unionByName(out.where("__slot is null").withColumn("mix_position", F.lit(None).cast("long")), allowMissingColumns=True)
+    return placed.select(*[c for c in docs.columns if c not in RESULTS], F.col("__slot").alias("mix_block"), "mix_position", "target", "in_mix")
+
+
+def _in_order(docs: DataFrame, weights: dict | None, chunk: int, whole: bool, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, seed: int = 3) -> DataFrame:
+    own = [c for c in RESULTS if c in docs.columns]
+    out, _, _ = _scheduled(docs.withColumnsRenamed({c: f"__own_{c}" for c in own}), weights, source_col, id_col, block, seed)
+    out = out.where("__slot is not null" if whole else "in_mix").withColumn("__run", F.floor((F.col("__slot") * block + F.col("__at")) / chunk))
+    out = out.repartition("__run").sortWithinPartitions("__run", "__slot", "__at").drop("__slot", "__at", "target", "in_mix", "__run")
     return out.withColumnsRenamed({f"__own_{c}": c for c in own}).select(*docs.columns)
 
 
+def ordered(docs: DataFrame, weights: dict | None = None, chunk: int = 4096, **names) -> DataFrame:
+    """Every row of ``docs`` whose source has a weight (all rows, by default), all columns, written
+    in the order of the mix: each output partition holds whole runs of ``chunk`` places."""
+    return _in_order(docs, weights, chunk, True, **names)
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, chunk: int = 4096, **names) -> DataFrame:
+    """As ordered(), but only the rows that are `in_mix`: those behind the first source's
+    end are left out, for a mixture that must hold its shares to the last row."""
+    return _in_order(docs, weights, chunk, False, **names)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))

@@ -183,6 +183,26 @@ def test_mixing(spark, docs, empty):
     assert out.columns == ["doc_id", "source", "target"] and out.count() == len(inside)
 
 
+def test_mixing_keeps_all_rows_when_small_sources_run_out(spark):
+    d = spark.createDataFrame([(k, None if k < 3 else f"tiny{k % 4}" if k < 20 else "ab"[k % 3 > 0]) for k in range(20_000)], "doc_id long, source string")
+    m = sorted((r["mix_position"], r["doc_id"]) for r in mixing.mix(d).collect())
+    assert [p for p, _ in m] == list(range(20_000))
+    out = mixing.ordered(d)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(20_000))
+    # runs lie whole and in order within the parts written
+    place = {i: p for p, i in m}
+    for part in out.rdd.glom().collect():
+        at = [place[r["doc_id"]] for r in part]
+        assert at == sorted(at)
+    # the large sources go on at their weights behind the end of the small ones
+    parts = mixing.whole_parts(mixing.tempered_shares(Counter(r["source"] for r in d.collect())))
+    source = {r["doc_id"]: r["source"] for r in d.collect()}
+    late = [source[i] for p, i in m if 9_000 <= p < 17_000]
+    assert set(late) == {"a", "b"} and abs(late.count("a") - len(late) * parts["a"] / (parts["a"] + parts["b"])) <= 4 * mixing.BLOCK
+    gone = mixing.mix(d, {"a": 1.0}).collect()
+    assert len(gone) == 20_000 and all((r["mix_position"] is None) == (r["source"] != "a") for r in gone)
+
+
 # --- 4: licences -------------------------------------------------------------
 
 
