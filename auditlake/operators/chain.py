@@ -95,6 +95,15 @@ def findings(verified: DataFrame, ts: str = "", asset: str = "record_id") -> Dat
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def leaves(rows: DataFrame, order: Column, h: Column, span: int = 100_000) -> DataFrame:
+    """(pos, h) of all rows, numbered from 0 without a gap in an order that may have gaps; rows
+    are ranked within ranges of ``span``."""
+    spans = rows.select(order.alias("p"), h.alias("h"), F.floor(order / span).alias("g"))
+    sizes = spans.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("g", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
+    return spans.join(before, "g").select((F.col("b") + F.row_number().over(Window.partitionBy("g").orderBy("p")) - 1).alias("pos"), "h")
+
+
 def merkle_root(leaves: DataFrame) -> DataFrame:
     """Root of (pos, h), pos gapless from 0: pairs of hashes are joined as text and digested,
     an odd last one is paired with itself. Levels are aggregations by pos / 2: rows halve."""

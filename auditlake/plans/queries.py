@@ -455,6 +455,13 @@ def merkle_root(spark, d):
     return chain.merkle_root(leaves)
 
 
+@query()
+def merkle_root_all(spark, d):
+    """The root over all events, of which merkle_root and its SQL take a prefix."""
+    i = F.col("event_id")
+    return chain.merkle_root(chain.leaves(read(spark, d, "events"), i, F.sha2(i.cast("string"), 256)))
+
+
 @query("""WITH s AS (SELECT event_id, value, user_id FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1073741824)
 SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN user_id % 7 = 0 THEN 'UNCHECKED' WHEN user_id % 5 = 0 THEN 'DIM' WHEN user_id % 3 = 0 THEN 'DIFF' ELSE 'OK' END AS verdict FROM s""")
 def spot_check(spark, d):

@@ -68,6 +68,19 @@ def test_merkle(spark, n):
     assert chain.merkle_root(spark.createDataFrame(list(enumerate(h)), "pos long, h string")).first()["root"] == root(h)
 
 
+def test_merkle_query_takes_all_events(spark, tmp_path):
+    from auditlake.plans.queries import QUERIES
+
+    seen = set()
+    for name, last in (("a", 2000), ("b", 2001)):
+        ids = [5 + 3 * k for k in range(302)] + [last]  # with gaps, changed past the 200th
+        spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = QUERIES["merkle_root_all"](spark, f"{tmp_path}/{name}").first()["root"]
+        assert got == root([hashlib.sha256(str(i).encode()).hexdigest() for i in ids])
+        seen.add(got)
+    assert len(seen) == 2
+
+
 def test_merkle_empty(spark):
     assert chain.merkle_root(spark.createDataFrame([], "pos long, h string")).first()["root"] == hashlib.sha256(b"EMPTY_MERKLE_TREE").hexdigest()
 
