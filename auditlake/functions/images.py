@@ -125,3 +125,13 @@ def statistics_column(image: Column | str) -> Column:
 
 def phash_column(image: Column | str) -> Column:
     return _over(image, "phash string", lambda a: (phash(a),))
+
+
+def corner_keys_column(image: Column | str) -> Column:
+    """The array of (place, key) that samples.pattern_findings reads."""
+
+    @F.pandas_udf("array<struct<place: int, key: string>>")
+    def run(pdf: pd.DataFrame) -> pd.Series:
+        return pd.Series([[{"place": k, "key": x} for k, x in corner_keys(rgb(d, h, w, n))] for d, h, w, n in zip(pdf["data"], pdf["height"], pdf["width"], pdf["nChannels"])])
+
+    return run(image)

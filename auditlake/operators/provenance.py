@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
@@ -56,12 +56,7 @@ def checkpoint(records: DataFrame, chain_id: str, key: crypto.KeyPair, timestamp
 def checkpoint_findings(records: DataFrame, c: dict[str, Any], ts: str = "", order: str = "pos") -> DataFrame:
     """What a checkpoint says against the records: its signature, length, Merkle root and head."""
     # positions may have gaps after a deletion: leaves are numbered anew, in ranges
-    spans = records.select(F.col(order).alias("p"), "record_hash", F.floor(F.col(order) / 100_000).alias("g"))
-    from pyspark.sql import Window
-
-    sizes = spans.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("g", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    leaves = spans.join(before, "g").select((F.col("b") + F.row_number().over(Window.partitionBy("g").orderBy("p")) - 1).alias("pos"), F.col("record_hash").alias("h"))
+    leaves = chain.leaves(records, F.col(order), F.col("record_hash"))
     found = records.agg(F.count(F.lit(1)).alias("n"), F.max_by("record_hash", order).alias("head")).first()
     root = chain.merkle_root(leaves).first()["root"]
     rows = []
@@ -75,6 +70,11 @@ def checkpoint_findings(records: DataFrame, c: dict[str, Any], ts: str = "", ord
     return d.select(*C.finding(F.col("id"), "provenance_engine", F.lit(f"checkpoint:{c['chain_id']}"), F.col("reason"), {"seen": F.col("seen")}, "CRITICAL", 1.0, "QUARANTINE", "Reject the log", ts))
 
 
+def untrusted_checkpoint(spark: SparkSession, c: dict[str, Any], ts: str = "") -> DataFrame:
+    """The finding on a checkpoint that another key than the trusted one has signed."""
+    return spark.range(1).select(*C.finding(F.lit("FIND-PE-CHECKPOINT-SIG-FAIL"), "provenance_engine", F.lit(f"checkpoint:{c['chain_id']}"), F.lit("Checkpoint is not signed by the trusted key"), {"seen": F.lit(c["public_key"])}, "CRITICAL", 1.0, "QUARANTINE", "Reject the log", ts))
+
+
 def spot_check_findings(checked: DataFrame, ts: str = "") -> DataFrame:
     dim = F.col("verdict") == "DIM"
     id_ = F.concat(F.when(dim, "FIND-PE-SPOTCHECK-DIM-").otherwise("FIND-PE-SPOTCHECK-DIFF-"), "record_id")

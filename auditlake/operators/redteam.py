@@ -50,13 +50,16 @@ def attacked_chain(records: DataFrame, kind: str, at: int, *more: int, order: st
 
 def poisoned(samples: DataFrame, kind: str, every: int, classes: int = 10) -> DataFrame:
     """(idx, label, v, is_attack): each ``every``-th sample relabelled, copied over by its
-    predecessor's vector, or turned round."""
+    predecessor's vector, turned round, or given a patch (of ``patches``) that all of them share."""
     hit = F.col("idx") % every == 0
     d = samples.withColumn("is_attack", hit)
     if kind == "label":
         return d.withColumn("label", F.when(hit, (F.col("label") + 1) % classes).otherwise(F.col("label")))
     if kind == "ood":
         return d.withColumn("v", F.when(hit, F.transform("v", lambda x: -x)).otherwise(F.col("v")))
+    if kind == "trigger":
+        mark = F.array(F.struct(F.lit(0).alias("place"), F.lit("c0_trigger").alias("key")))
+        return d.withColumn("patches", F.when(hit, F.concat(mark, F.filter("patches", lambda x: x["place"] != 0))).otherwise(F.col("patches")))
     if kind == "copy":
         d = d.withColumn("is_attack", hit & (F.col("idx") > 0))
         first = samples.select((F.col("idx") + 1).alias("idx"), F.col("v").alias("before"))
@@ -70,8 +73,8 @@ def evaluated(attacks: DataFrame, pattern: str) -> DataFrame:
 
 
 def benchmark(vectors: DataFrame, records: DataFrame, every: int = 25) -> DataFrame:
-    """Scores of all scenarios: attacks on vectors (idx, label, v) and on a chain of at least
-    eight records, each against the detector that should see it; macro() averages them. A
+    """Scores of all scenarios: attacks on vectors (idx, label, v; with ``patches``, an array of
+    (place, key), repeated patches too) and on a chain of at least eight records, each against the detector that should see it; macro() averages them. A
     swap also breaks the link of the record behind it, so its precision is two thirds."""
     from auditlake.operators import chain, samples
 
@@ -89,6 +92,9 @@ def benchmark(vectors: DataFrame, records: DataFrame, every: int = 25) -> DataFr
     digest = F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)
     rows = p.select("idx", F.col("idx").cast("string").alias("sample_id"), F.lit("c").alias("contributor_id"), F.lit("b").alias("batch_id"), "v")
     scenario("duplicate_flooding", p, samples.exact_duplicates(rows, digest).select("idx"))
+    if "patches" in vectors.columns:
+        p = poisoned(vectors, "trigger", every)
+        scenario("trigger_poisoning", p, samples.repeated_patterns(p.select("idx", F.inline("patches").alias("place", "key"))))
     for kind, at in (("output", (3, 7)), ("model", (4,)), ("swap", (2, 3))):
         v = chain.verify_long(attacked_chain(records, kind, *at))
         d = v.select(F.col("expected_seq").alias("idx"), F.col("expected_seq").isin(*at).alias("is_attack"), (F.col("tampered") | F.col("seq_anomaly") | F.col("broken_link")).alias("hit"))

@@ -162,6 +162,18 @@ def repeated_patterns(keys: DataFrame, least: int = 3) -> DataFrame:
     return hits.select("idx", "k.*").join(lead, "key")
 
 
+def pattern_findings(samples: DataFrame, least: int = 3, ts: str = "") -> DataFrame:
+    """A finding for each sample of (idx, sample_id, contributor_id, batch_id, patches) that shares
+    a patch with others; ``patches``: an array of (place, key), as images.corner_keys_column makes."""
+    found = repeated_patterns(samples.select("idx", F.inline("patches").alias("place", "key")), least)
+    # at most five first members a sample; they are named by id
+    lead = found.select("key", "first_members").distinct().select("key", F.posexplode("first_members").alias("r", "idx"))
+    named = lead.join(samples.select("idx", "sample_id"), "idx").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r", "sample_id")))["sample_id"].alias("with"))
+    d = found.join(named, "key").join(samples.select("idx", "sample_id", "contributor_id", "batch_id"), "idx")
+    evidence = {"patch_key": F.col("key"), "matching_sample_count": F.col("members"), "co_occurring_samples": F.array_join("with", ","), "contributor_id": F.col("contributor_id"), "batch_id": F.col("batch_id")}
+    return d.select(*C.finding(F.format_string("FIND-DS-TRIGGER-%04d", "idx"), "data_sentinel", "sample_id", F.lit("The same patch stands in other samples"), evidence, "HIGH", 0.88, "QUARANTINE", "Hold the samples that share the patch", ts))
+
+
 def risk(samples: DataFrame, flagged: DataFrame, key: str, review: float = 0.15, quarantine: float = 0.30) -> DataFrame:
     """(key, total, flagged, violation_rate, disposition) by contributor or batch;
     ``flagged``: findings, whose assets are sample ids."""

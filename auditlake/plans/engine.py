@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import columns as C
 from auditlake.functions import crypto
 from auditlake.functions.schemas import FINDING
-from auditlake.operators import chain, governance, lineage, models, samples, shift
+from auditlake.operators import governance, lineage, models, provenance, samples, shift
 from auditlake.sources.config import Config
 
 NAMES = [f.name for f in FINDING]
@@ -27,7 +27,8 @@ class Audit:
 
 
 def sample_findings(rows: DataFrame, config: Config, ts: str) -> DataFrame:
-    """Findings of (idx, sample_id, contributor_id, batch_id, digest, h, label, v, metadata).
+    """Findings of (idx, sample_id, contributor_id, batch_id, digest, h, label, v, metadata), and of
+    repeated patches where rows have ``patches`` (see samples.pattern_findings).
     Corrupt samples are reported and taken out before any feature is compared."""
     corrupt = samples.corrupt_findings(rows, ts)
     valid = rows.where(F.coalesce(F.try_element_at("metadata", F.lit("is_corrupted")), F.lit("false")) != "true")
@@ -44,6 +45,8 @@ def sample_findings(rows: DataFrame, config: Config, ts: str) -> DataFrame:
         evidence = {c: F.col(c) for c in ("label", "dominant", "purity", "dist_own", "dist_other")}
         out.append(flips.select(*C.finding(F.format_string("FIND-DS-LABEL-FLIP-%04d", "i"), "data_sentinel", "i", F.lit("Neighbours and centroids say another label"), evidence, "HIGH", F.col("confidence"), "QUARANTINE", "Label the sample anew", ts)))
     out.append(samples.outlier_findings(samples.outlier_scores(vectors, s.outlier_percentile / 100), ts))
+    if "patches" in rows.columns:
+        out.append(samples.pattern_findings(valid, s.pattern_samples, ts))
     return _union(out)
 
 
@@ -84,8 +87,12 @@ def run(
     shift_features: DataFrame | None = None,
     shift_vectors: DataFrame | None = None,
     config: Config | None = None,
+    checkpoint: dict[str, Any] | None = None,
+    trusted_key: str | None = None,
 ) -> Audit:
-    """Runs the branches whose input is given; only the summary's few rows reach the driver."""
+    """Runs the branches whose input is given; only the summary's few rows reach the driver.
+    Signatures of records and of their ``checkpoint`` are checked against ``trusted_key``, by
+    default the audit's own key."""
     config = config or Config()
     parts: list[DataFrame] = []
     confidences = []
@@ -102,7 +109,10 @@ def run(
         parts += model_findings(params, outputs, model, config, ts)
         confidences.append(0.90 if params is not None else 0.75)
     if records is not None:
-        parts.append(chain.findings(chain.verify_long(records), ts))
+        trusted = trusted_key or key.public.hex()
+        parts.append(provenance.audit(records, ts, trusted if trusted_key or "signature" in records.columns else None, checkpoint))
+        if checkpoint and checkpoint["public_key"] != trusted:
+            parts.append(provenance.untrusted_checkpoint(spark, checkpoint, ts))
         confidences.append(1.0)
     if shift_features is not None and shift_vectors is not None:
         parts.append(shift.shift_findings(shift.diagnose(shift_features, shift_vectors, config.shift.bins), "evaluation", ts))

@@ -689,8 +689,12 @@ def redteam_ood_attack(spark, d):
 
 @query()
 def redteam_benchmark(spark, d):
-    """All scenarios; chains are folded, which SQL can't express."""
-    return redteam.benchmark(vectors(spark, d), chain.build(event_records(spark, d)))
+    """All scenarios; chains are folded, which SQL can't express. Patches: a vector's first and last
+    quarter stand in for two corners."""
+    q = lambda k, at: F.struct(F.lit(k).alias("place"), F.concat(F.lit(f"c{k}_"), F.md5(F.array_join(F.transform(at, lambda x: x.cast("string")), ","))).alias("key"))
+    n = F.floor(F.size("v") / 4).cast("int")
+    v = vectors(spark, d).withColumn("patches", F.array(q(0, F.slice("v", F.lit(1), n)), q(1, F.slice("v", -n, n))))
+    return redteam.benchmark(v, chain.build(event_records(spark, d)))
 
 
 @query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

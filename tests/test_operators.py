@@ -372,6 +372,32 @@ def test_engine(spark, log):
     assert empty.summary["overall_disposition"] == "ACCEPT" and empty.summary["confidence"] == 0.85
 
 
+def test_engine_finds_triggers_and_truncated_logs(spark, log):
+    v = two_clusters(spark)
+    own = F.struct(F.lit(0).alias("place"), F.concat(F.lit("c0_"), "idx").alias("key"))
+    shared = F.struct(F.lit(0).alias("place"), F.lit("c0_x").alias("key"))
+    rows = v.select("idx", F.concat(F.lit("s"), "idx").alias("sample_id"), F.when(F.col("idx").isin(0, 2, 3), "poisoner").otherwise("good").alias("contributor_id"), F.lit("b").alias("batch_id"), F.col("idx").cast("string").alias("digest"), F.xxhash64("idx").alias("h"), "label", "v", F.expr("cast(map() as map<string,string>)").alias("metadata"), F.array(F.when(F.col("idx").isin(0, 2, 3), shared).otherwise(own)).alias("patches"))
+    k, other = crypto.KeyPair(b"\4" * 32), crypto.KeyPair(b"\5" * 32)
+    c = provenance.checkpoint(log, "c", k, TS)
+    a = engine.run(spark, TS, k, rows, records=log.where("pos < 3"), checkpoint=c)
+    found = {r["finding_id"]: r for r in a.findings.collect()}
+    assert {i for i in found if "TRIGGER" in i} == {f"FIND-DS-TRIGGER-000{i}" for i in (0, 2, 3)}
+    t = found["FIND-DS-TRIGGER-0002"]
+    assert (t["asset"], t["severity"], t["disposition"]) == ("s2", "HIGH", "QUARANTINE") and "s0,s2,s3" in str(t["evidence"])
+    assert {r["contributor_id"]: r["disposition"] for r in a.contributors.collect()}["poisoner"] == "QUARANTINE"
+    assert {i for i in found if i.startswith("FIND-PE-")} == {"FIND-PE-CHECKPOINT-LEN-MISMATCH", "FIND-PE-MERKLE-ROOT-MISMATCH"}
+    # a cut log under a checkpoint of its own, signed by another key
+    b = engine.run(spark, TS, k, records=log.where("pos < 3"), checkpoint=provenance.checkpoint(log.where("pos < 3"), "c", other, TS))
+    assert [r["finding_id"] for r in b.findings.collect()] == ["FIND-PE-CHECKPOINT-SIG-FAIL"]
+
+
+def test_red_team_trigger(spark):
+    log = chain.build(spark.createDataFrame(chain_rows(10), "chain_id string, pos long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string"))
+    v = two_clusters(spark).withColumn("patches", F.array(F.struct(F.lit(0).alias("place"), F.concat(F.lit("c0_"), "idx").alias("key"))))
+    m = {r["attack"]: r for r in redteam.benchmark(v, log, 5).collect()}
+    assert len(m) == 7 and m["trigger_poisoning"]["f1"] == 1
+
+
 def test_columns(spark):
     d = spark.createDataFrame([([1.0, 3.0, 3.0], [1.0, 2.0, 5.0])], "a array<double>, b array<double>")
     r = d.select(C.argmax("a"), C.max_abs_diff("a", "b"), C.dot("a", "b"), C.norm(C.unit("a")), F.aggregate(C.softmax("a"), F.lit(0.0), lambda x, y: x + y)).first()
