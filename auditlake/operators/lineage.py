@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from auditlake.functions.tables import written
 
 
-def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False, most: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False, most: int | None = None) -> DataFrame:
     """(id, depth) of all nodes reached from (id) by (src, dst), roots left out. Each round
     joins the last round's nodes with the edges and drops those seen before, so cycles
-    end; only the frontier is joined, and it is written so that plans stay short."""
+    end; only the frontier is joined, and it is written so that plans stay short.
+    ``most``: an error is raised if nodes lie behind so many rounds."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
     # written once: each round reads it
     steps = written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "lineage")
     seen = written(roots.select("id").distinct().withColumn("depth", F.lit(0)), "lineage")
     frontier, depth = seen, 0
-    while depth < most:
+    while True:
         depth += 1
         new = frontier.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
         frontier = written(new, "lineage")
         if frontier.isEmpty():
             break
+        if most is not None and depth > most:
+            raise RuntimeError(f"nodes lie deeper than {most} rounds")
         seen = seen.union(frontier)
+        if depth % 100 == 0:
+            seen = written(seen, "lineage")
     return seen.where("depth > 0")
 
 

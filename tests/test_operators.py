@@ -398,6 +398,15 @@ def test_red_team_trigger(spark):
     assert len(m) == 7 and m["trigger_poisoning"]["f1"] == 1
 
 
+def test_reach_is_never_cut(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(5)] + [("n5", "n0")], "src string, dst string")
+    start = spark.createDataFrame([("n0",)], "id string")
+    assert {r["id"]: r["depth"] for r in lineage.reachable(edges, start).collect()} == {f"n{k}": k for k in range(1, 6)}
+    with pytest.raises(RuntimeError):
+        lineage.reachable(edges, start, most=2)
+    assert lineage.reachable(edges, start, most=5).count() == 5
+
+
 def test_columns(spark):
     d = spark.createDataFrame([([1.0, 3.0, 3.0], [1.0, 2.0, 5.0])], "a array<double>, b array<double>")
     r = d.select(C.argmax("a"), C.max_abs_diff("a", "b"), C.dot("a", "b"), C.norm(C.unit("a")), F.aggregate(C.softmax("a"), F.lit(0.0), lambda x, y: x + y)).first()
