@@ -15,6 +15,7 @@ def main(argv: list[str] | None = None) -> int:
     a = sub.add_parser("audit", help="exact duplicates of a data set as findings")
     a.add_argument("path")
     a.add_argument("--format", default="auto")
+    a.add_argument("--output", help="a folder for all findings as JSON lines; without it all are printed")
     v = sub.add_parser("verify", help="check a signed summary")
     v.add_argument("summary")
     s = sub.add_parser("schemas", help="write the row types")
@@ -43,7 +44,17 @@ def main(argv: list[str] | None = None) -> int:
     path = datasets.unpacked(args.path) if args.path.endswith(".zip") else args.path
     rows = datasets.load(spark, path, args.format)
     files = datasets.images(spark, path, content=True).select("path", F.sha2("content", 256).alias("digest"))
-    print(sinks.text_table(samples.exact_duplicates(rows.join(files, "path"), F.col("digest")).select("finding_id", "asset", "severity", "disposition", "original_sample_id")))
+    found = samples.exact_duplicates(rows.join(files, "path"), F.col("digest")).select("finding_id", "asset", "severity", "disposition", "original_sample_id").orderBy("finding_id")
+    if args.output:
+        found.write.json(args.output)
+        found = spark.read.schema(found.schema).json(args.output)
+        print(sinks.text_table(found))
+        print(f"{found.count()} findings in {args.output}")
+    else:
+        n = 0
+        for n, r in enumerate(found.toLocalIterator(), 1):
+            print("  ".join("" if v is None else str(v) for v in r))
+        print(f"{n} findings")
     return 0
 
 

@@ -77,7 +77,9 @@ def html_report(signed: dict[str, Any]) -> str:
 
 
 def text_table(df: DataFrame, n: int = 50) -> str:
-    """Rows as aligned text, for the command line."""
+    """The first ``n`` rows as aligned text, for the command line, with a notice where more are left out."""
+    more = df.count() - n
     rows = [df.columns, *[[("" if v is None else str(v)) for v in r] for r in df.limit(n).collect()]]
     widths = [max(len(r[k]) for r in rows) for k in range(len(df.columns))]
+    rows += [[f"... and {more} more rows"]] if more > 0 else []
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in rows)

@@ -407,6 +407,19 @@ def test_reach_is_never_cut(spark):
     assert lineage.reachable(edges, start, most=5).count() == 5
 
 
+def test_command_line_shows_all_findings(spark, tmp_path, capsys):
+    from auditlake import cli
+
+    (tmp_path / "d" / "a").mkdir(parents=True)
+    for n in range(60):
+        (tmp_path / "d" / "a" / f"{n:02d}.png").write_bytes(PNG)
+    assert cli.main(["audit", str(tmp_path / "d")]) == 0
+    out = capsys.readouterr().out
+    assert out.count("FIND-DS-EXACT-DUP-") == 59 and "59 findings" in out
+    assert cli.main(["audit", str(tmp_path / "d"), "--output", str(tmp_path / "o")]) == 0
+    assert spark.read.json(str(tmp_path / "o")).count() == 59 and "... and 9 more rows" in capsys.readouterr().out
+
+
 def test_columns(spark):
     d = spark.createDataFrame([([1.0, 3.0, 3.0], [1.0, 2.0, 5.0])], "a array<double>, b array<double>")
     r = d.select(C.argmax("a"), C.max_abs_diff("a", "b"), C.dot("a", "b"), C.norm(C.unit("a")), F.aggregate(C.softmax("a"), F.lit(0.0), lambda x, y: x + y)).first()
