@@ -31,7 +31,7 @@ from auditlake.llm.common import U64, hash_shingles, hash_words, table, text_byt
 
 CONTAIN = 0.75
 BANDS = 32
-#: Block lengths, in shingles.
+#: Block lengths, in shingles; block_of() goes on behind the last.
 BLOCKS = (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024, 2048)
 _r = np.random.default_rng(4)
 _MULTIPLY = (_r.integers(1, 2**63, BANDS, dtype=np.int64).astype(U64) << U64(1)) | U64(1)
@@ -69,9 +69,18 @@ def _hashed(shingles: np.ndarray, band: int) -> np.ndarray:
     return x
 
 
+def block_of(m: int) -> int:
+    """The least block length for a template of m shingles; behind BLOCKS they go on as 3 and 4 times
+    powers of two, which keeps guaranteed() over 0.999."""
+    k = BLOCKS[-1]
+    while k < m and k + k // 2 < m:
+        k *= 2
+    return next(b for b in (*BLOCKS, k, k + k // 2) if b >= m)
+
+
 def guaranteed(m: int) -> float:
     """Least probability that a window which holds CONTAIN of a template of m shingles retrieves it."""
-    block = next(b for b in BLOCKS if b >= m)
+    block = block_of(m)
     need = -(-m * 3 // 4) if CONTAIN == 0.75 else int(np.ceil(CONTAIN * m))
     return 1 - (1 - need / (2 * block + m - need)) ** BANDS
 
@@ -87,7 +96,7 @@ class Templates:
         self.classes: dict[int, list[int]] = {}
         for k, own in enumerate(self.sets):
             if len(own):
-                self.classes.setdefault(next(b for b in BLOCKS if b >= len(own)), []).append(k)
+                self.classes.setdefault(block_of(len(own)), []).append(k)
         self.minima = np.array([[_hashed(own, b).min() if len(own) else U64(0) for b in range(BANDS)] for own in self.sets], U64).reshape(-1, BANDS)
 
     def candidates(self, s: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
