@@ -180,8 +180,8 @@ def learning_texts(labelled: DataFrame) -> dict[str, str]:
     limit = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, 2 * SAMPLE_DOCS / n) * (1 << 40)))])
     sample = (
         fit.withColumn("h", h)
-        .where((F.col("h") <= F.try_element_at(limit, F.col("lang"))) & (F.length("text") <= SAMPLE_CHARS))
-        .select("lang", "h", "doc_id", "text")
+        .where(F.col("h") <= F.try_element_at(limit, F.col("lang")))
+        .select("lang", "h", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
         .collect()
     )
     out: dict[str, list[str]] = {}

@@ -152,6 +152,12 @@ def test_decontamination_plan_is_native(spark, docs):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_langid_learns_from_long_texts(spark):
+    rows = [(1, "ab " * 9000, "long"), (2, "cd " * 20, "short")]
+    t = langid.learning_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k: len(v) for k, v in t.items()} == {"long": langid.SAMPLE_CHARS, "short": 60}
+
+
 # --- 3: mixing ---------------------------------------------------------------
 
 
