@@ -10,7 +10,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that the NumPy code takes at once; a longer text is taken alone.
@@ -41,19 +42,22 @@ def share_code(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset: a temporary one of our own in
+    local mode (tests), else one in the warehouse, which a cluster shares."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and spark.sparkContext.master.startswith("local"):
         folder = os.path.join(tempfile.gettempdir(), f"auditlake-{os.getpid()}")
-    return folder.rstrip("/")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/auditlake").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and
-    survives the loss of executors."""
+    survives the loss of executors. What dropped() doesn't remove goes when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -67,6 +71,44 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Parts of a hot key, at most; a key of fewer rows has no more parts than rows.
+SALTS = 1024
+
+
+def salt(by: str | Column) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+
+
+def with_group(df: DataFrame, key: str, by: str, **parts: tuple[Column, str]) -> DataFrame:
+    """``df`` with aggregates over the rows of equal ``key``, one column for each of ``parts``: the aggregate
+    and the function (sum, min, max) that merges it. Rows are dealt by (key, part of ``by``) and only
+    the parts' aggregates, at most SALTS a key, meet in one place."""
+    dealt = df.withColumn("__salt", salt(by))
+    each = dealt.groupBy(key, "__salt").agg(*[a.alias(n) for n, (a, _) in parts.items()])
+    w = Window.partitionBy(key)
+    whole = each.select(key, "__salt", *[getattr(F, how)(n).over(w).alias(n) for n, (_, how) in parts.items()])
+    return dealt.join(whole, [key, "__salt"]).drop("__salt")
+
+
+def attached(df: DataFrame, other: DataFrame, key: str, by: str | Column) -> DataFrame:
+    """``df`` joined with ``other`` on ``key``, which may be hot in ``df``: the rows of ``other`` are copied
+    once for each part of the key that ``df`` has, at most SALTS times."""
+    dealt = df.withColumn("__salt", salt(by))
+    copies = dealt.select(key, "__salt").distinct().join(other, key)
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+
+
+def earlier(counts: DataFrame, key: str, place: str, n: str, name: str, span: int = 4096) -> DataFrame:
+    """(key, place, name): the sum of ``n`` over all smaller places of the key, in two levels, so that
+    no task holds more than ``span`` places of a key or its number of spans."""
+    each = counts.withColumn("__span", F.floor(F.col(place) / span))
+    spans = each.groupBy(key, "__span").agg(F.sum(n).alias("__sum"))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(key, "__span", F.coalesce(F.sum("__sum").over(up_to(Window.partitionBy(key).orderBy("__span"))), F.lit(0)).alias("__base"))
+    within = F.coalesce(F.sum(n).over(up_to(Window.partitionBy(key, "__span").orderBy(place))), F.lit(0))
+    return each.withColumn("__within", within).join(spans, [key, "__span"]).select(key, place, (F.col("__base") + F.col("__within")).alias(name))
+
+
 def fmix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64 bits."""
     x = x ^ (x >> U64(33))

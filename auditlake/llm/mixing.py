@@ -1,20 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is a task that wants its weight's share of all slots; its k-th block
-is released at floor(k / w) and due at ceil((k + 1) / w). Earliest deadline first
-with Pfair's tie-breaks (the successor bit, then the later group deadline) fills
-one slot after another, so that at every moment each source has had its share
-within less than one block. Weights are whole parts of PERIOD, so the schedule
-repeats after PERIOD slots: it is drawn once on the driver, and every block finds
-its slot by arithmetic.
-
-Targets default to tempered shares, rows ** TEMPER, normalised. Documents of a
-source are put in a random order by hash and cut into blocks of BLOCK documents.
-Source rows are ranked in two levels (hash range, then within it), so that a
-source of any size is spread over many tasks. The schedule decides order only: where
-a source has run out its slots stay empty and the others go on at their weights,
-partial last blocks included, and positions have no gaps. `in_mix` marks the longest
-part of the schedule in which every block exists, in which all shares hold.
+Each source is a task that wants its weight's share of all slots, a slot being a block
+of documents. In the fluid schedule every source is served at its weight over that of the
+sources that still have blocks: by virtual time v source s has had min(w v, n) of its n
+blocks, and t(v), the sum of these over all sources, is how many slots have passed. Block k
+of s is released at floor(t(k / w)) and due at ceil(t((k + 1) / w)). One slot after another
+goes to the released block with the earliest deadline (EDF). A slot holds one block and the
+fluid schedule fills every slot, so EDF meets all deadlines, and at every moment, to the last
+slot, each source has had its fluid share within less than one block. Weights are exact
+fractions; a source that is used up leaves the schedule and the others go on by their weights.
+
+Targets default to tempered shares, rows ** TEMPER, normalised. Documents of a source
+are put in a random order by hash and cut into blocks. A block holds rows / SLOTS documents
+(rounded up), so that there are about SLOTS slots at any size of the table, and a source's share of
+the whole is kept within 1 / SLOTS. Rows are ranked in hash ranges of about RANGE_ROWS, so that a
+source of any size is spread over many tasks. The schedule decides order only: every document of
+a source with a weight has a position, and positions have no gaps.
 
 Null sources are a source of their own; the text is only carried. Repeated rows
 are rows of their own. An empty table gives no rows.
@@ -22,61 +23,67 @@ are rows of their own. An empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
+from fractions import Fraction
+from math import lcm
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import table
+from auditlake.llm.common import earlier, table
 
-PERIOD = 1000
-BLOCK = 8
+#: Slots of a schedule, about: what the driver draws and what is broadcast have as many rows
+#: (and one more a source, for its last block).
+SLOTS = 1 << 15
 TEMPER = 0.9
-#: Hash ranges in which the documents of a source are ranked apart.
-RANGES = 64
+#: Rows in a hash range, about, in which the documents of a source are ranked.
+RANGE_ROWS = 512
 RESULTS = ("mix_block", "mix_position", "target", "in_mix")
 
 
-def whole_parts(shares: dict, period: int = PERIOD) -> dict:
-    """Shares as whole numbers of at least 1 that sum to a period (largest remainder);
-    more sources than the period lengthen it."""
-    period = max(period, len(shares))
-    total = sum(shares.values())
-    exact = {s: x / total * period for s, x in shares.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    k = 0
-    while sum(parts.values()) < period:
-        parts[order[k % len(order)]] += 1
-        k += 1
-    while sum(parts.values()) > period:
-        parts[max((s for s in parts if parts[s] > 1), key=lambda s: (parts[s] - exact[s], parts[s], str(s)))] -= 1
-    return parts
-
-
-def pfair_schedule(parts: dict) -> list:
-    """The source of each slot of one period."""
-    period = sum(parts.values())
-    done = dict.fromkeys(parts, 0)
-
-    def deadline(s, k: int) -> int:
-        return -(-(k + 1) * period // parts[s])
-
-    def urgency(s):
-        k = done[s]
-        d = deadline(s, k)
-        bit = d > (k + 1) * period // parts[s]
-        group, j = d, k
-        if 2 * parts[s] >= period:  # only heavy tasks have chains of tight windows
-            while j + 1 < parts[s] and deadline(s, j) > (j + 1) * period // parts[s] and deadline(s, j + 1) - (j + 1) * period // parts[s] == 2:
+def whole_weights(weights: list) -> list[int]:
+    """The same weights as whole numbers, exactly."""
+    exact = [Fraction(w) for w in weights]
+    d = lcm(*(w.denominator for w in exact)) if exact else 1
+    return [int(w * d) for w in exact]
+
+
+def windows(blocks: list[int], weights: list[int]) -> list[list[tuple[int, int]]]:
+    """(release, deadline) of each block of each source, from numbers of blocks and whole weights."""
+    order = sorted(range(len(blocks)), key=lambda s: Fraction(blocks[s], weights[s]))
+    # until the j-th source in this order is used up: slots of those used up, weight of the others
+    gone, left, phases = 0, sum(weights), []
+    for s in order:
+        phases.append((blocks[s], weights[s], gone, left))
+        gone, left = gone + blocks[s], left - weights[s]
+    out = []
+    for n, w in zip(blocks, weights):
+        j, times = 0, []
+        for k in range(n + 1):
+            while k * phases[j][1] > phases[j][0] * w:
                 j += 1
-                group = deadline(s, j)
-        return (d, not bit, -group, str(s))
+            gone, left = phases[j][2:]
+            times.append((gone + left * k // w, gone - -left * k // w))
+        out.append([(times[k][0], times[k + 1][1]) for k in range(n)])
+    return out
+
 
+def schedule(blocks: list[int], weights: list[int]) -> list[tuple[int, int]]:
+    """(source, block) of each slot: of the blocks that are released, the one that is due first."""
+    spans = windows(blocks, weights)
+    waiting = [(spans[s][0][0], s, 0) for s in range(len(blocks)) if blocks[s]]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
     out = []
-    for t in range(period):
-        ready = [s for s in parts if done[s] < parts[s] and done[s] * period // parts[s] <= t]
-        s = min(ready, key=urgency)
-        out.append(s)
-        done[s] += 1
+    for t in range(sum(blocks)):
+        while waiting and waiting[0][0] <= t:
+            _, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (spans[s][k][1], s, k))
+        _, s, k = heapq.heappop(ready)
+        out.append((s, k))
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, (spans[s][k + 1][0], s, k + 1))
     return out
 
 
@@ -84,63 +91,62 @@ def tempered_shares(counts: dict, power: float = TEMPER) -> dict:
     return {s: n**power for s, n in counts.items()}
 
 
-def _scheduled(docs: DataFrame, weights: dict | None, source_col: str, id_col: str, block: int, seed: int) -> tuple[DataFrame, dict, dict]:
-    """``docs`` with __slot, __at (the place in its block), target and in_mix; the counts and
-    parts of the sources."""
+def _scheduled(docs: DataFrame, weights: dict | None, source_col: str, id_col: str, block: int | None, seed: int) -> DataFrame:
+    """``docs`` with __slot, mix_position, target and in_mix; null where the source has no weight."""
     spark = docs.sparkSession
-    h = F.xxhash64(F.lit(seed), id_col)
-    rows = docs.withColumn("__h", h).withColumn("__q", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(RANGES)).cast("int"))
-    # bounded: sources x RANGES counts are summed before any is sent; the sources' totals are few
-    ranges = rows.groupBy(F.col(source_col).alias("__src"), "__q").agg(F.count(F.lit(1)).alias("__n"))
-    counts = {r["__src"]: r["n"] for r in rows.groupBy(F.col(source_col).alias("__src")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # bounded: a row for each source, the parts of a mixture
+    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     shares = weights or tempered_shares(counts)
-    shares = {s: shares[s] for s in counts if shares.get(s, 0) > 0}
-    parts = whole_parts(shares) if shares else {}
-    slots: dict = {s: [] for s in parts}
-    for t, s in enumerate(pfair_schedule(parts)):
-        slots[s].append(t)
-    period = sum(parts.values())
-    # the first slot whose block isn't whole ends the part in which all shares hold
-    ends = [(counts[s] // block // parts[s]) * period + slots[s][counts[s] // block % parts[s]] for s in parts]
-    end = min(ends, default=0)
-    plan = spark.createDataFrame([(s, parts[s], slots[s]) for s in parts], f"__planned {docs.schema[source_col].dataType.simpleString()}, __parts int, __slots array<int>")
-    before = ranges.select("__src", "__q", F.coalesce(F.sum("__n").over(Window.partitionBy("__src").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    start = before.join(plan, F.col("__src").eqNullSafe(F.col("__planned")), "left").select(F.col("__src").alias("__s"), F.col("__q").alias("__sq"), "__before", "__parts", "__slots")
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(source_col, "__q").orderBy("__h", id_col)) - 1)
-    joined = ranked.join(start, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__q") == F.col("__sq")), "left")
-    k = F.col("__before") + F.col("__r")
-    b = F.floor(k / block)
-    slot = F.floor(b / F.col("__parts")) * period + F.get("__slots", (b % F.col("__parts")).cast("int"))
-    out = joined.withColumns({"__slot": slot.cast("long"), "__at": k % block, "target": F.col("__parts") / F.lit(float(max(1, period))), "in_mix": F.coalesce(slot < end, F.lit(False))})
-    return out.select(*[c for c in docs.columns if c not in RESULTS], "__slot", "__at", "target", "in_mix"), counts, parts
-
-
-def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, seed: int = 3) -> DataFrame:
-    """``docs`` with mix_position (0, 1, ... without a gap over all rows of the schedule), mix_block,
-    target (the source's share of all slots) and in_mix. Sources without a weight
-    are in no mix: their position is null. Columns that ``docs`` has under these names
-    give way to them. Sources are the few parts of a mixture: their
-    weights, counts and one period of slots pass through the driver."""
-    out, counts, parts = _scheduled(docs, weights, source_col, id_col, block, seed)
-    period = max(1, sum(parts.values()))
-    # rows of all earlier periods by arithmetic, then a rank among at most period * block rows
-    rounds = max((-(-counts[s] // (parts[s] * block)) for s in parts), default=0)
-    sizes = F.array(*[F.struct(F.lit(counts[s]).cast("long").alias("n"), F.lit(parts[s] * block).cast("long").alias("a")) for s in parts])
-    earlier = F.aggregate(sizes, F.lit(0).cast("long"), lambda x, s: x + F.least(s["n"], s["a"] * F.col("id"))) if parts else F.lit(0).cast("long")
-    base = docs.sparkSession.range(rounds).select(F.col("id").alias("__period"), earlier.alias("__base"))
-    planned = out.where("__slot is not null").withColumn("__period", F.floor(F.col("__slot") / period))
-    rank = F.row_number().over(Window.partitionBy("__period").orderBy("__slot", "__at")) - 1
-    placed = planned.withColumn("__k", rank).join(base, "__period").withColumn("mix_position", F.col("__base") + F.col("__k"))
-    if set(counts) - set(parts):
-        placed = placed.unionByName(out.where("__slot is null").withColumn("mix_position", F.lit(None).cast("long")), allowMissingColumns=True)
-    return placed.select(*[c for c in docs.columns if c not in RESULTS], F.col("__slot").alias("mix_block"), "mix_position", "target", "in_mix")
-
-
-def _in_order(docs: DataFrame, weights: dict | None, chunk: int, whole: bool, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, seed: int = 3) -> DataFrame:
+    names = sorted((s for s in counts if shares.get(s, 0) > 0), key=lambda s: (s is not None, str(s)))
+    size = block or max(1, -(-sum(counts[s] for s in names) // SLOTS))
+    blocks = [-(-counts[s] // size) for s in names]
+    whole = whole_weights([shares[s] for s in names])
+    slots = schedule(blocks, whole)
+    # shares hold for all sources until the first is used up
+    ends = [Fraction(n, w) for n, w in zip(blocks, whole)]
+    end = int(min(ends, default=0) * sum(whole))
+    total = sum(whole)
+    rows, base = {"__sid": [], "__k": [], "__slot": [], "__base": []}, 0
+    for t, (s, k) in enumerate(slots):
+        for c, x in zip(rows, (s, k, t, base)):
+            rows[c].append(x)
+        base += min(size, counts[names[s]] - k * size)
+    plan = spark.createDataFrame(pa.table({"__sid": pa.array(rows["__sid"], pa.int32()), **{c: pa.array(rows[c], pa.int64()) for c in ("__k", "__slot", "__base")}}))
+    kind = docs.schema[source_col].dataType.simpleString()
+    sources = spark.createDataFrame([(s, k, max(1, -(-counts[s] // RANGE_ROWS)), w / total) for k, (s, w) in enumerate(zip(names, whole))], f"__name {kind}, __sid int, __ranges long, target double")
+    own = docs.select(*[c for c in docs.columns if c not in RESULTS])
+    # bounded: the parts of a mixture
+    found = own.join(F.broadcast(sources), own[source_col].eqNullSafe(sources["__name"]), "left").drop("__name")
+    h = F.xxhash64(F.lit(seed), id_col)
+    found = found.withColumn("__h", h).withColumn("__q", F.shiftright(F.shiftrightunsigned("__h", 24) * F.col("__ranges"), 40))
+    before = earlier(found.where("__sid is not null").groupBy("__sid", "__q").agg(F.count(F.lit(1)).alias("__n")), "__sid", "__q", "__n", "__before")
+    ranked = found.where("__sid is not null").withColumn("__r", F.row_number().over(Window.partitionBy("__sid", "__q").orderBy("__h", id_col)) - 1).join(before, ["__sid", "__q"])
+    ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__r")).withColumn("__k", F.floor(F.col("__rank") / size))
+    # bounded: SLOTS rows and one for each source
+    placed = ranked.join(F.broadcast(plan), ["__sid", "__k"])
+    placed = placed.withColumns({"mix_position": F.col("__base") + F.col("__rank") % size, "in_mix": F.col("__slot") < end})
+    columns = [*own.columns, "__slot", "mix_position", "target", "in_mix"]
+    if len(names) == len(counts):
+        return placed.select(*columns)
+    rest = found.where("__sid is null").withColumns({"__slot": F.lit(None).cast("long"), "mix_position": F.lit(None).cast("long"), "in_mix": F.lit(False)})
+    return placed.select(*columns).union(rest.select(*columns))
+
+
+def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int | None = None, seed: int = 3) -> DataFrame:
+    """``docs`` with mix_position (0, 1, ... without a gap), mix_block (the slot), target (the source's
+    share of all slots) and in_mix: whether no source had run out before the slot. Sources without a
+    weight are in no mix: their position is null. Columns that ``docs`` has under these names give way
+    to them. ``block``: documents in a block, in place of the default. Sources are the parts of a mixture: their
+    weights and counts and the slots pass through the driver."""
+    out = _scheduled(docs, weights, source_col, id_col, block, seed)
+    return out.withColumnRenamed("__slot", "mix_block").select(*[c for c in docs.columns if c not in RESULTS], "mix_block", "mix_position", "target", "in_mix")
+
+
+def _in_order(docs: DataFrame, weights: dict | None, chunk: int, whole: bool, source_col: str = "source", id_col: str = "doc_id", block: int | None = None, seed: int = 3) -> DataFrame:
     own = [c for c in RESULTS if c in docs.columns]
-    out, _, _ = _scheduled(docs.withColumnsRenamed({c: f"__own_{c}" for c in own}), weights, source_col, id_col, block, seed)
-    out = out.where("__slot is not null" if whole else "in_mix").withColumn("__run", F.floor((F.col("__slot") * block + F.col("__at")) / chunk))
-    out = out.repartition("__run").sortWithinPartitions("__run", "__slot", "__at").drop("__slot", "__at", "target", "in_mix", "__run")
+    out = _scheduled(docs.withColumnsRenamed({c: f"__own_{c}" for c in own}), weights, source_col, id_col, block, seed)
+    out = out.where("mix_position is not null" if whole else "in_mix").withColumn("__run", F.floor(F.col("mix_position") / chunk))
+    out = out.repartition("__run").sortWithinPartitions("mix_position").drop("__slot", "mix_position", "target", "in_mix", "__run")
     return out.withColumnsRenamed({f"__own_{c}": c for c in own}).select(*docs.columns)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -161,32 +162,80 @@ def test_langid_learns_from_long_texts(spark):
 # --- 3: mixing ---------------------------------------------------------------
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 50), min_size=1))
-def test_pfair_lag_is_less_than_one(shares):
-    parts = mixing.whole_parts(shares, 100)
-    period = sum(parts.values())
-    assert period == 100
-    done = Counter()
-    for t, s in enumerate(mixing.pfair_schedule(parts)):
+def worst_lag(blocks, weights, slots):
+    """The largest distance, after any slot, of a source's blocks so far from its exact fluid share;
+    sources that are used up leave."""
+    left, done, worst = [Fraction(n) for n in blocks], [0] * len(blocks), Fraction(0)
+    for s, k in slots:
+        assert k == done[s]
         done[s] += 1
-        for x, w in parts.items():
-            assert abs(done[x] * period - w * (t + 1)) < period
+        time = Fraction(1)
+        while time > 0:
+            alive = [i for i, n in enumerate(left) if n > 0]
+            total = sum(weights[i] for i in alive)
+            step = min([time, *(left[i] * total / weights[i] for i in alive)])
+            for i in alive:
+                left[i] -= step * weights[i] / total
+            time -= step
+        worst = max([worst, *(abs(done[i] - blocks[i] + left[i]) for i in range(len(blocks)))])
+    assert done == blocks
+    return worst
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 25), st.integers(1, 1000)), min_size=1, max_size=8))
+def test_lag_is_less_than_one_block(tasks):
+    blocks, weights = map(list, zip(*tasks))
+    assert worst_lag(blocks, weights, mixing.schedule(blocks, weights)) < 1
+
+
+@pytest.mark.parametrize("blocks, shares", [([3, 300, 200], [1e-5, 0.5, 0.3]), ([1, 1, 500], [1, 1, 1]), ([400, 40, 4], [1e-9, 1e-3, 1]), ([1] * 300, list(range(1, 301)))])
+def test_lag_of_awkward_weights(blocks, shares):
+    weights = mixing.whole_weights(shares)
+    assert all(Fraction(a) * weights[0] == Fraction(shares[0]) * b for a, b in zip(shares, weights))
+    assert worst_lag(blocks, weights, mixing.schedule(blocks, weights)) < 1
+
+
+def test_many_sources_keep_their_weights():
+    weights = list(range(1, 1501))
+    slots = mixing.schedule([20] * 1500, weights)
+    done = Counter(s for s, _ in slots[:10_000])
+    first_end = 20 * sum(weights) // 1500
+    assert all(abs(done[s] - 10_000 * w / sum(weights)) < 1 for s, w in enumerate(weights)) and first_end > 10_000
 
 
 def test_mixing(spark, docs, empty):
     d = spark.createDataFrame([(k, "a" if k % 3 else "b" if k % 2 else None) for k in range(3000)], "doc_id long, source string")
-    m = mixing.mix(d, {"a": 0.5, "b": 0.3, None: 0.2}, block=4).collect()
-    assert len({r["mix_position"] for r in m}) == 3000 == len(m)
-    inside = sorted((r["mix_position"], r["source"]) for r in m if r["in_mix"])
-    assert [p for p, _ in inside] == list(range(len(inside)))
+    weights = {"a": 0.5, "b": 0.3, None: 0.2}
+    m = mixing.mix(d, weights, block=4).collect()
+    assert sorted(r["mix_position"] for r in m) == list(range(3000))
+    # rows of the query's result, in order, are the schedule's blocks
+    count = Counter(r["source"] for r in m)
+    names = sorted(count, key=lambda s: (s is not None, str(s)))
+    places = sorted((r["mix_position"], r["mix_block"], r["source"]) for r in m)
+    slots, seen = {}, Counter()
+    for _, slot, s in places:
+        assert slots.setdefault(slot, s) == s
     done = Counter()
-    for p, s in inside:
-        done[s] += 1
-        assert all(abs(done[x] - w * (p + 1)) < 2 * 4 for x, w in (("a", 0.5), ("b", 0.3), (None, 0.2)))
-    assert len(inside) > 1000 and mixing.mix(docs).count() == docs.count() and mixing.mix(empty).count() == 0
-    out = mixing.mixed(d.withColumn("target", F.lit("own")), {"a": 0.5, "b": 0.3, None: 0.2}, block=4)
-    assert out.columns == ["doc_id", "source", "target"] and out.count() == len(inside)
+    order = [(names.index(slots[t]), done.update([slots[t]]) or done[slots[t]] - 1) for t in range(len(slots))]
+    assert worst_lag([-(-count[s] // 4) for s in names], mixing.whole_weights([weights[s] for s in names]), order) < 1
+    assert all(n <= 4 for n in Counter(t for _, t, _ in places).values())
+    inside = sum(r["in_mix"] for r in m)
+    assert inside > 1000 and mixing.mix(docs).count() == docs.count() and mixing.mix(empty).count() == 0
+    out = mixing.mixed(d.withColumn("target", F.lit("own")), weights, block=4)
+    assert out.columns == ["doc_id", "source", "target"] and out.count() == inside
+
+
+def test_mix_query(spark, data):
+    m = mixing.op3_mix(spark, data).collect()
+    assert sorted(r["mix_position"] for r in m) == list(range(len(m)))
+    count = Counter(r["source"] for r in m)
+    names = sorted(count, key=lambda s: (s is not None, str(s)))
+    done, order = Counter(), []
+    for r in sorted(m, key=lambda r: r["mix_position"]):  # blocks of one document here
+        order.append((names.index(r["source"]), done[r["source"]]))
+        done[r["source"]] += 1
+    assert worst_lag([count[s] for s in names], mixing.whole_weights([count[s] ** mixing.TEMPER for s in names]), order) < 1
 
 
 def test_mixing_keeps_all_rows_when_small_sources_run_out(spark):
@@ -201,10 +250,10 @@ def test_mixing_keeps_all_rows_when_small_sources_run_out(spark):
         at = [place[r["doc_id"]] for r in part]
         assert at == sorted(at)
     # the large sources go on at their weights behind the end of the small ones
-    parts = mixing.whole_parts(mixing.tempered_shares(Counter(r["source"] for r in d.collect())))
     source = {r["doc_id"]: r["source"] for r in d.collect()}
-    late = [source[i] for p, i in m if 9_000 <= p < 17_000]
-    assert set(late) == {"a", "b"} and abs(late.count("a") - len(late) * parts["a"] / (parts["a"] + parts["b"])) <= 4 * mixing.BLOCK
+    shares = mixing.tempered_shares(Counter(source.values()))
+    late = [source[i] for p, i in m if 10_500 <= p < 17_000]
+    assert set(late) == {"a", "b"} and abs(late.count("a") - len(late) * shares["a"] / (shares["a"] + shares["b"])) <= 2
     gone = mixing.mix(d, {"a": 1.0}).collect()
     assert len(gone) == 20_000 and all((r["mix_position"] is None) == (r["source"] != "a") for r in gone)
 
@@ -452,11 +501,40 @@ def counter():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.sampled_from(" \n\tabeé▁<>/s.漢 \u0000"), st.characters(codec="utf-8")), max_size=40))
-def test_prefix_counts(counter, text):
-    assert counter.by_segment and counter.count(text) == len(counter.model.encode(text))
-    for end in range(len(text) + 1):
-        assert counter.prefix_count(text, end) == len(counter.model.encode(text[:end]))
+@given(st.text(st.one_of(st.sampled_from(" \n\tabeé▁<>/s.漢 \u0000"), st.characters(codec="utf-8")), max_size=40))
+def test_prefix_tables(counter, text):
+    want = [len(counter.model.encode(text[:end])) for end in range(len(text) + 1)]
+    assert counter.by_segment and counter.count(text) == want[-1] and list(counter.prefix_table(text)) == want
+    assert [counter.prefix_count(text, end) for end in range(len(text) + 1)] == want
+    for budget in (0, 1, 3, 9):
+        assert counter.cut(text, budget) == max(e for e in range(len(text) + 1) if want[e] <= budget)
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_prefix_tables_of_long_segments(counter, kind):
+    r = random.Random(kind)
+    letters = ["abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", [chr(c) for c in range(0x4E00, 0x9FFF)], " ", "ab %$#.é", [chr(c) for c in range(0xAC00, 0xD7A3)]][kind]
+    text = "".join(r.choice(letters) for _ in range(300))
+    assert list(counter.prefix_table(text)) == [len(counter.model.encode(text[:end])) for end in range(len(text) + 1)]
+    # both ways of making tables agree
+    part = " " + text.replace(" ", "_")[:60]
+    assert counter.segment_table(part) == list(counter.segment_table(part + "x" * 50))[:61]
+
+
+def test_tokens_of_very_long_texts(counter, monkeypatch):
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(200_000))
+    n = len(counter.model.encode(text))
+    encode, counter.model = counter.model.encode, None  # nothing is encoded
+    try:
+        cut = counter.cut(text, 4096)
+        assert counter.count(text) == n
+    finally:
+        counter.model = encode.__self__
+    assert len(counter.model.encode(text[:cut])) <= 4096 < len(counter.model.encode(text[: cut + 1]))
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 2000)
+    texts = [prose(300, k) for k in range(5)]
+    assert [counter.count(t) for t in texts] == [len(counter.model.encode(t)) for t in texts]
 
 
 def test_token_budget(spark, docs, empty, counter):
