@@ -7,13 +7,18 @@ Phrases are normalised to bits a character, phrases * log2(size of the
 language's text) / characters, and the language with the fewest wins (the first
 by name on a tie).
 
-The automaton is completed to a table (state, character) -> (state, new phrase),
-so that many pieces of documents step through it at once in NumPy. Documents are
-cut into blocks of BLOCK characters for that; a phrase ends with its block.
+Symbols are the UTF-8 bytes of lower-cased letters, and one gap for any run of other
+characters, so that scripts of any size are learned whole. The automaton is completed
+to a table (state, symbol) -> (state, new phrase) over the bytes that its language has;
+any other byte is a phrase of its own. Many blocks of BLOCK symbols step through the
+table at once in NumPy. A block that isn't the first of its text is parsed from the start
+of a phrase, then anew from the state in which the block before it ends, until both
+parses meet; so the parse is that of the whole text.
 
 Learning reads text and label of a bounded, hashed sample (SAMPLE_DOCS documents
-a language, of at most SAMPLE_CHARS characters each, in all SAMPLE_TOTAL
-characters a language); every document is predicted from its whole text alone.
+a language, of each at most SAMPLE_CHARS characters, in all SAMPLE_TOTAL symbols a
+language, or fewer where all tables would take more than TABLE_BYTES); every document is
+predicted from its whole text alone.
 
 Null texts and texts without a letter are `und` with score 0. Repeated rows give
 a row each; other columns are not read. Without any learned language all are `und`.
@@ -21,6 +26,7 @@ a row each; other columns are not read. Without any learned language all are `un
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -32,7 +38,12 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import table, text_chunks
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 120, 8000, 60_000
+#: Bytes of the tables of all languages, at most.
+TABLE_BYTES = 256 << 20
 BLOCK = 512
+#: Symbols of one text that are parsed at once; a longer text goes on from the last state.
+PIECE = 1 << 21
+GAP = 0x20
 UND = "und"
 
 
@@ -70,73 +81,121 @@ def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """The lower-case letter of each code point; GAP for what is no letter."""
+    out = np.full(0x110000, GAP, np.uint32)
+    for u in range(0x110000):
+        c = chr(u)
+        if c.isalpha():
+            out[u] = ord(c.lower()[0])
+    return out
+
+
+def symbols(text: str) -> np.ndarray:
+    """The bytes of a text's letters and gaps."""
+    s = _letters()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+    gap = s == GAP
+    if len(s):
+        gap[1:] &= s[:-1] == GAP
+        gap[0] = False
+    return np.frombuffer(s[~gap].tobytes().decode("utf-32-le").encode(), np.uint8)
+
+
+def _blocks(parsed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of one symbol or more cut into columns of BLOCK symbols, the symbols in each, and the text of each."""
+    blocks = [-(-len(s) // BLOCK) for s in parsed]
+    grid, used, at = np.zeros((sum(blocks), BLOCK), np.uint8), np.full(sum(blocks), BLOCK), 0
+    for s, n in zip(parsed, blocks):
+        grid[at : at + n].reshape(-1)[: len(s)] = s
+        used[at + n - 1] = len(s) - (n - 1) * BLOCK
+        at += n
+    return np.ascontiguousarray(grid.T), used, np.repeat(np.arange(len(parsed)), blocks)
+
+
 class CrossParser:
-    """Automata of all languages over one alphabet."""
+    """Tables of all languages."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        letters = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})[:250]
-        # 0 ends a block, 1 is any run of what is no letter, 2 any letter not learned
-        self.classes = np.ones(0x110000, np.uint8)
-        codes = {c: k + 3 for k, c in enumerate(letters)}
-        for block in ((0, 0x3000), (0x3000, 0x110000)):
-            for u in range(*block):
-                c = chr(u)
-                if c.isalpha():
-                    low = c.lower()
-                    self.classes[u] = codes.get(low[:1], 2)
-        self.size = len(letters) + 3
-        self.tables, self.starts, self.bits = [], [], []
+        self.classes, self.tables, self.starts, self.bits = [], [], [], []
         for lang in self.langs:
-            s = self.symbols(texts[lang])
-            t = suffix_automaton(s, self.size)
+            s = symbols(texts[lang])[:SAMPLE_TOTAL]
+            size = len(np.unique(s)) + 1
+            # an automaton has at most two states a symbol; a row has four bytes a class
+            s = s[: max(1, TABLE_BYTES // (8 * size * len(self.langs)))]
+            # class 0: bytes that the language's text doesn't have
+            known = np.unique(s)
+            classes = np.zeros(256, np.uint8)
+            classes[known] = np.arange(1, len(known) + 1)
+            size = len(known) + 1
+            t = suffix_automaton(classes[s], size)
             # one more state, where a phrase has just ended: whatever follows begins one. It is the
-            # first of a block, and follows a symbol that the language's text doesn't have
+            # first of a text, and follows a symbol that the language's text doesn't have
             ended = len(t)
-            t = np.concatenate([t, np.full((1, self.size), -1)])
+            t = np.concatenate([t, np.full((1, size), -1)])
             miss = t < 0
             go = np.where(miss, np.where(t[0] < 0, ended, t[0])[None, :], t)
-            flat = ((go * self.size) << 1) | miss
-            self.starts.append(ended * self.size)
+            flat = ((go * size) << 1) | miss
+            self.classes.append(classes)
+            self.starts.append(ended * size)
             self.tables.append(flat.astype(np.int32).ravel())
             self.bits.append(math.log2(max(2, len(s))))
 
-    def symbols(self, text: str) -> np.ndarray:
-        s = self.classes[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-        gap = s == 1
-        if len(s):
-            gap[1:] &= s[:-1] == 1
-            gap[0] = False
-        return s[~gap]
+    def _parse(self, k: int, grid: np.ndarray, used: np.ndarray, follows: np.ndarray, start: int) -> tuple[np.ndarray, int]:
+        """New phrases in each column of ``grid`` (BLOCK, columns), of which the first ``used`` symbols count, for
+        language k, and the last column's last state. ``follows``: whether a column goes on from the one before;
+        the very first one begins at ``start``."""
+        # columns by length, so that those that go on are the first ones
+        order = np.argsort(-used, kind="stable")
+        step, grid, used = self.tables[k], np.take(self.classes[k], grid[:, order]), used[order]
+        place = np.argsort(order)
+        before = place[order - 1]
+        path = np.zeros(grid.shape, np.int32)
+        began = np.full(len(order), self.starts[k], np.int32)
+        began[place[0]] = start
+        state = began.copy()
+        for j, n in enumerate(np.searchsorted(-used, -np.arange(1, BLOCK + 1), side="right").tolist()):
+            if not n:
+                break
+            path[j, :n] = v = step[state[:n] + grid[j, :n]]
+            state[:n] = v >> 1
+        follows = follows[order]
+        while True:
+            due = np.flatnonzero(follows & (state[before] != began))
+            if not len(due):
+                break
+            began[due] = now = state[before[due]]
+            for j in range(BLOCK):
+                v = step[now + grid[j, due]]
+                apart = (v ^ path[j, due]) > 1
+                path[j, due] = v
+                due, now = due[apart], v[apart] >> 1
+                ends = used[due] == j + 1
+                state[due[ends]] = now[ends]
+                due, now = due[~ends], now[~ends]
+                if not len(due):
+                    break
+        return (path & 1).sum(0)[place], int(state[place[-1]])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text by language, and the symbols of each."""
-        parsed = [self.symbols(t) for t in texts]
-        sizes = np.array([len(s) for s in parsed])
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        grid = np.zeros((int(blocks.sum()), BLOCK), np.uint8)
-        at = 0
-        for s, n in zip(parsed, blocks):
-            grid[at : at + n].reshape(-1)[: len(s)] = s
-            at += n
-        used = (grid != 0).sum(1)
-        order = np.argsort(-used, kind="stable")
-        grid, used, owner = np.ascontiguousarray(grid[order].T), used[order], owner[order]
-        # at each step, how many blocks still have a symbol
-        active = np.searchsorted(-used, -np.arange(BLOCK), side="left")
+        parsed = [symbols(t) for t in texts]
+        sizes = np.array([len(s) for s in parsed], np.int64)
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        for k, step in enumerate(self.tables):
-            state = np.full(grid.shape[1], self.starts[k], np.int32)
-            count = np.zeros(grid.shape[1], np.int64)
-            for j in range(BLOCK):
-                n = active[j]
-                if not n:
-                    break
-                v = step[state[:n] + grid[j, :n]]
-                count[:n] += v & 1
-                state[:n] = v >> 1
-            np.add.at(out[:, k], owner, count)
+        short = np.flatnonzero((sizes > 0) & (sizes <= PIECE))
+        if len(short):
+            grid, used, owner = _blocks([parsed[i] for i in short])
+            follows = np.concatenate([[False], owner[1:] == owner[:-1]])
+            for k in range(len(self.langs)):
+                np.add.at(out[:, k], short[owner], self._parse(k, grid, used, follows, self.starts[k])[0])
+        for i in np.flatnonzero(sizes > PIECE):
+            states = list(self.starts)
+            for at in range(0, len(parsed[i]), PIECE):
+                grid, used, owner = _blocks([parsed[i][at : at + PIECE]])
+                for k in range(len(self.langs)):
+                    n, states[k] = self._parse(k, grid, used, np.arange(len(owner)) > 0, states[k])
+                    out[i, k] += n.sum()
         return out, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -171,7 +230,7 @@ def learning_texts(labelled: DataFrame) -> dict[str, str]:
     """A bounded sample of text by language from (doc_id, text, lang) rows.
 
     A share of each language's rows is drawn by hash, so that about SAMPLE_DOCS
-    remain; the smallest hashes are taken until SAMPLE_TOTAL characters."""
+    remain, of each its first SAMPLE_CHARS characters; the smallest hashes are taken until SAMPLE_TOTAL characters."""
     fit = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:

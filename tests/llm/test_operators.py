@@ -88,10 +88,38 @@ def test_cross_parsing_is_longest_match():
     p = langid.CrossParser(learned)
     for text in ("abracabra", "pocus abra", "zzz", "a", "hocus pocus"):
         n, _ = p.phrases([text])
-        sym = lambda t: "".join(chr(65 + c) for c in p.symbols(t).tolist())
+        sym = lambda t: "".join(chr(c) for c in langid.symbols(t).tolist())
         assert n[0].tolist() == [substring_phrases(sym(text), sym(learned[k])) for k in p.langs], text
 
 
+@pytest.mark.parametrize("piece", [48, 1 << 21])
+def test_cross_parsing_over_blocks(monkeypatch, piece):
+    monkeypatch.setattr(langid, "BLOCK", 16)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    r = random.Random(4)
+    learned = {"x": "".join(r.choice("ab") for _ in range(200)), "y": "".join(r.choice("abc é漢") for _ in range(300))}
+    p = langid.CrossParser(learned)
+    texts = ["".join(r.choice("abc é漢字") for _ in range(n)) for n in (1, 15, 16, 17, 100, 333)] + ["ab" * 200, learned["x"] * 2, ""]
+    n, sizes = p.phrases(texts)
+    sym = lambda t: "".join(chr(c) for c in langid.symbols(t).tolist())
+    assert n.tolist() == [[substring_phrases(sym(t), sym(learned[k])) for k in p.langs] for t in texts] and sizes.tolist() == [len(sym(t)) for t in texts]
+
+
+def test_languages_of_large_scripts(monkeypatch):
+    r = random.Random(6)
+    letters = {"ja": range(0x3041, 0x30F0), "zh": range(0x5000, 0x5600), "zy": range(0x5600, 0x5C00), "ko": range(0xAC00, 0xB400), "am": range(0x1200, 0x1350), "ru": range(0x430, 0x450), "en": range(97, 123)}
+    words = {k: ["".join(chr(r.choice(v)) for _ in range(r.randint(1, 4))) for _ in range(400)] for k, v in letters.items()}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    p = langid.CrossParser({k: text(k, 3000) for k in letters})
+    ask = [(k, text(k, 30)) for k in letters for _ in range(5)]
+    lang, score, _ = p.predict([t for _, t in ask])
+    assert lang == [k for k, _ in ask] and min(score) > 0.9
+    # the bound on tables shortens what is learned of each language
+    monkeypatch.setattr(langid, "TABLE_BYTES", 1 << 20)
+    small = langid.CrossParser({k: text(k, 3000) for k in letters})
+    assert sum(t.nbytes for t in small.tables) <= 1.1 * (1 << 20) and small.predict([text("ja", 30)])[0] == ["ja"]
+
+
 def test_language(spark, docs, empty):
     en = "the quick brown fox jumps over the lazy dog and runs away from the house " * 30
     de = "der schnelle braune fuchs springt über den faulen hund und läuft vom haus weg " * 30
@@ -518,7 +546,7 @@ def test_prefix_tables_of_long_segments(counter, kind):
     assert list(counter.prefix_table(text)) == [len(counter.model.encode(text[:end])) for end in range(len(text) + 1)]
     # both ways of making tables agree
     part = " " + text.replace(" ", "_")[:60]
-    assert counter.segment_table(part) == list(counter.segment_table(part + "x" * 50))[:61]
+    assert counter.segment_table(part) == list(counter.segment_table(part + "x" * 50))[:62]
 
 
 def test_tokens_of_very_long_texts(counter, monkeypatch):
