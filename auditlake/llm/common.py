@@ -83,7 +83,8 @@ def with_group(df: DataFrame, key: str, by: str, **parts: tuple[Column, str]) ->
     """``df`` with aggregates over the rows of equal ``key``, one column for each of ``parts``: the aggregate
     and the function (sum, min, max) that merges it. Rows are dealt by (key, part of ``by``) and only
     the parts' aggregates, at most SALTS a key, meet in one place."""
-    dealt = df.withColumn("__salt", salt(by))
+    # dealt once, for the aggregates and for the rows that are joined with them
+    dealt = df.withColumn("__salt", salt(by)).repartition(key, "__salt")
     each = dealt.groupBy(key, "__salt").agg(*[a.alias(n) for n, (a, _) in parts.items()])
     w = Window.partitionBy(key)
     whole = each.select(key, "__salt", *[getattr(F, how)(n).over(w).alias(n) for n, (_, how) in parts.items()])

@@ -48,13 +48,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import U64, dropped, fmix, hash_shingles, hash_words, stored, table, text_bytes, text_chunks
+from auditlake.llm.common import U64, attached, dropped, fmix, hash_shingles, hash_words, stored, table, text_bytes, text_chunks, with_group
 
 COORDINATES, MATCHES = 64, 32
 PREFIX = COORDINATES - MATCHES + 1
 SMALL = 32
-#: Parts in which a long list is joined with its pivot.
-SALTS = 16
+#: Nodes in a part of a long list that is joined with its pivot, about.
+PART = 256
 #: One-bit coordinates of the finer signature, and those that must agree.
 FINE, FINE_MATCHES = 2048, 1721
 #: Links have 100 * intersection >= THRESHOLD * union.
@@ -192,9 +192,8 @@ def overlap(a: str, b: str) -> Column:
 
 def postings(nodes: DataFrame) -> DataFrame:
     """(token, node, n, planes, weight): the prefix of each node that can have a partner."""
-    posted = nodes.select("node", F.explode("tokens").alias("token"))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    rare = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("l"), F.sum("f").alias("weight")).where(F.size("l") >= MATCHES)
+    posted = with_group(nodes.select("node", F.explode("tokens").alias("token")), "token", "node", f=(F.count(F.lit(1)), "sum"))
+    rare = posted.where("f > 1").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("l"), F.sum("f").alias("weight")).where(F.size("l") >= MATCHES)
     rare = rare.select("node", "weight", F.slice("l", 1, F.size("l") - (COORDINATES - PREFIX)).alias("l")).where(F.size("l") > 0)
     with_planes = rare.join(nodes.select("node", "n", *PLANES), "node")
     return with_planes.select("node", "n", "weight", *PLANES, F.explode("l.token").alias("token"))
@@ -211,7 +210,8 @@ def pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
 
 
 def confirmed(found: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    """The pairs whose full sets are similar enough. A pivot has a pair with every node of its list: both
+    sides of these joins are plain exchanges, so that Spark splits such a node's partition at run time."""
     both = found.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * shared >= THRESHOLD * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
@@ -221,8 +221,8 @@ def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, c) from (node, component): how many shingles of each node some node of
     another component has. No overlap across components can be larger."""
     each = sets.join(nodes, "node").select("node", "component", F.explode("set").alias("s"))
-    alone = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    return each.join(alone, "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    each = with_group(each, "s", "node", lo=(F.min("component"), "min"), hi=(F.max("component"), "max"))
+    return each.where("lo < hi").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
 
 
 def components(links: DataFrame, name: str = "neardup-links") -> DataFrame:
@@ -236,11 +236,10 @@ def components(links: DataFrame, name: str = "neardup-links") -> DataFrame:
     before, now = None, stamp(edges)
     while now != before:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        new = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
+        # a node may have any number of neighbours
+        large = with_group(both, "u", "v", m=(F.min("v"), "min")).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        small = with_group(large, "a", "b", m=(F.min("b"), "min"))
+        new = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         last, edges = edges, stored(new, name)
         before, now = now, stamp(edges)
         dropped(last)
@@ -254,16 +253,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a set
     nodes = stored(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), *map(first, ["n", "tokens", *PLANES])), "neardup-nodes")
     prefixes = stored(postings(nodes.where("node is not null")), "neardup-postings")
-    lists = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    posted = stored(prefixes.join(lists, "token"), "neardup-lists")
+    posted = stored(with_group(prefixes, "token", "node", m=(F.count(F.lit(1)), "sum")).where("m > 1"), "neardup-lists")
     sets = docs.select(docs[id_col].alias("node"), docs[text_col].alias("text")).join(posted.select("node").distinct(), "node", "left_semi")
     sets = stored(sets_of(sets), "neardup-sets")
 
     short, long = posted.where(F.col("m") <= SMALL), posted.where(F.col("m") > SMALL)
-    pivot = long.groupBy("token").agg(F.max_by(F.struct("node", "n", *PLANES), F.struct("weight", -F.col("node"))).alias("pivot")).select("token", "pivot.*")
-    # a list of any length is dealt to SALTS tasks, its one pivot to all of them
-    long_parts = long.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    pivot = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    pivot = long.groupBy("token").agg(F.max_by(F.struct("node", "n", *PLANES), F.struct("weight", "node")).alias("pivot"), F.max("m").alias("m")).select("token", "pivot.*", "m")
+    # a list of any length is dealt in parts, its one pivot to all of them
+    parts = F.ceil(F.col("m") / PART)
+    long_parts = long.withColumn("salt", F.pmod(F.xxhash64("node"), parts))
+    pivot = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     star = pairs(long_parts, pivot, (F.col("x.salt") == F.col("y.salt")) & (F.col("x.node") != F.col("y.node")))
     found = pairs(short, short, F.col("x.node") < F.col("y.node")).union(star).distinct()
     found = stored(found, "neardup-pairs")
@@ -280,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = stored(member.join(shared_sizes(member.select("node", "component"), sets), "node").where(100 * F.col("c") >= THRESHOLD * F.col("n")), "neardup-able")
     named = able.join(fine_signatures(sets.join(able.select("node"), "node", "left_semi").select("node", "set")), "node")
     rows = stored(named.select("*", F.explode("tokens").alias("token")), "neardup-long")
-    outside = stored(rows.join(largest, "token").where("component <> largest").drop("largest"), "neardup-outside")
+    outside = stored(attached(rows, largest, "token", "node").where("component <> largest").select(*rows.columns), "neardup-outside")
     more = stored(pairs(outside, rows, (F.col("x.component") != F.col("y.component")) & overlap("x", "y")), "neardup-pairs")
     if not more.isEmpty():
         groups = stored(components(links.union(confirmed(more, sets))), "neardup-groups")
@@ -291,15 +290,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "n_copies")
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __id: its id, or, where that is null, one made of the text, behind all usual ids."""
+    if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        made, own = F.lit(1 << 62) + F.xxhash64(text_col).bitwiseAND((1 << 62) - 1), F.col(id_col).cast("long")
+    else:
+        made, own = F.concat(F.lit("\uffff"), F.hex(F.xxhash64(text_col)), F.hex(F.xxhash64(F.lit(1), text_col))), F.col(id_col).cast("string")
+    return docs.withColumn("__id", F.coalesce(own, made))
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each near-duplicate group.
-    Of rows with one doc_id one stays; rows without a doc_id, which no result can
-    name, all stay."""
-    found = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(found, docs[id_col] == found["__kept"], "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))])))
-    kept = kept.withColumn("__first", first).where("__first = 1").drop("__first")
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs``, all columns, that stay: one of each near-duplicate group, one with a doc_id
+    if there is any. Of rows with one doc_id one stays; rows without a doc_id are told apart by
+    their texts, so that of equal ones (those without text too) one stays."""
+    rows = identified(docs, id_col, text_col)
+    found = near_duplicates(rows, "__id", text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = rows.join(found, rows["__id"] == found["__kept"], "left_semi")
+    # only the first of a partition's rows with one id leave it
+    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))])))
+    return kept.withColumn("__first", first).where("__first = 1").select(*docs.columns)
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,6 +366,25 @@ def test_one_of_each_group(spark, docs):
     want = {i for i, (_, c) in brute_components([(r[0], r[1]) for r in rows if r[0] is not None]).items() if i == c}
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(want)
     assert kept.where("doc_id is null").count() == 2
+    # copies without an id: one of each group stays, one with an id where there is any
+    a, b, c = prose(90, 70), prose(90, 71), prose(90, 72)
+    mixed = [(None, a), (None, a), (None, a + " end"), (None, b), (None, b), (7, b), (8, c), (None, None), (None, None), (9, None), (10, ""), (8, c)]
+    for kind in ("long", "string"):
+        d = spark.createDataFrame([(i if i is None or kind == "long" else str(i), t) for i, t in mixed], f"doc_id {kind}, text string")
+        left = [(r["doc_id"] and int(r["doc_id"]), r["text"]) for r in neardup.one_of_each_group(d).collect()]
+        assert sorted(i for i, _ in left if i) == [7, 8, 9, 10] and sum(i is None for i, _ in left) == 2 and sum(t in (a, a + " end") for _, t in left) == 1
+
+
+def test_groups_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "SALTS", 8)
+    d = spark.createDataFrame([(k % 3 and 1 or k, k) for k in range(300)], "key long, v long")
+    got = {(r["key"], r["v"]): (r["n"], r["hi"]) for r in common.with_group(d, "key", "v", n=(F.count(F.lit(1)), "sum"), hi=(F.max("v"), "max")).collect()}
+    n = Counter(k % 3 and 1 or k for k in range(300))
+    assert len(got) == 300 and all(x[0] == n[k] and x[1] == (299 if k == 1 else k) for (k, _), x in got.items())
+    other = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (999, "d")], "key long, w string")
+    assert Counter(r["w"] for r in common.attached(d, other, "key", "v").collect()) == {"a": 200, "b": 200, "c": 1}
+    before = common.earlier(d.select("key", F.col("v").alias("p"), F.lit(1).alias("x")), "key", "p", "x", "b", span=7).collect()
+    assert all(r["b"] == (0 if r["key"] != 1 else sum(k % 3 > 0 for k in range(r["p"]))) for r in before)
 
 
 @settings(max_examples=6, deadline=None)
@@ -393,7 +412,7 @@ def test_components(spark, pairs):
 @pytest.mark.parametrize("n, shards", [(0, 4), (3, 4), (1001, 7)])
 def test_sharding(spark, n, shards):
     d = spark.range(n).select((F.col("id") % 500).alias("doc_id"), F.lit("own").alias("slot"))
-    got = sharding.shard(d, shards, ["doc_id"], partitions=16)
+    got = sharding.shard(d, shards, ["doc_id"], size=1)
     rows = got.collect()
     sizes = Counter(r["shard"] for r in rows)
     assert len(rows) == n and (n < shards or max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == shards)
@@ -413,6 +432,29 @@ def test_hypergeometric():
     assert abs(np.mean(big) - 2000) < 8 and 18 < np.std(big) < 34
 
 
+@pytest.mark.parametrize("total", [10**9, 10**12, 10**15])
+def test_hypergeometric_of_large_tables(total):
+    rng, good, draws = np.random.default_rng(2), total // 40, min(total // 256, 10**7)
+    x = np.array([sharding.hypergeometric(rng, good, total - good, draws) for _ in range(400)])
+    mean, sd = draws / 40, np.sqrt(draws / 40 * (39 / 40) * (total - draws) / (total - 1))
+    assert abs(x.mean() - mean) < 4 * sd / 20 and 0.85 * sd < x.std() < 1.15 * sd
+    # small enough to be enumerated: the inversion is the law
+    y = [sharding.hypergeometric(rng, total, 2 * total, 3) for _ in range(4000)]
+    assert np.allclose(np.bincount(y, minlength=4) / 4000, [8 / 27, 12 / 27, 6 / 27, 1 / 27], atol=0.03)
+
+
+def test_shard_query_is_uniform(spark, data):
+    rows = sharding.op6_shard(spark, data).collect()
+    sizes = Counter(r["shard"] for r in rows)
+    assert {r["law"] for r in rows} == {"rows"} and set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+    # runs of ids come to all shards and to all parts of them alike: 27 and 9 degrees of freedom
+    d = sharding.shard(spark.range(4000).select(F.col("id").alias("doc_id")), 4, ["doc_id"]).collect()
+    by_shard, by_slot = (Counter(x) for x in ([(r["doc_id"] // 400, r["shard"]) for r in d], [(r["doc_id"] // 1000, r["slot"] // 250) for r in d]))
+    assert sum((by_shard[a, b] - 100) ** 2 / 100 for a in range(10) for b in range(4)) < 60
+    assert sum((by_slot[a, b] - 250) ** 2 / 250 for a in range(4) for b in range(4)) < 30
+
+
 # --- 7: quality --------------------------------------------------------------
 
 
