@@ -16,7 +16,9 @@ holds the window only if it holds every one of them. So:
 Documents' shingles are made and probed in one generated stage, without a
 shuffle: the probe table is broadcast. It is cut into blocks of about
 BLOCK_WINDOWS windows, and all documents are run against each block, so that no
-broadcast grows with the benchmark. Only hits are shuffled, by document.
+broadcast grows with the benchmark. A window is named by two hashes of its words; the
+items that have it are joined to the hits last, by window and part of the documents, as a window may
+be in any number of items and documents. Only hits are shuffled.
 
 Null texts have no words. Documents without words have 0 words and no hit. Rows that
 agree in doc_id and text are told apart only by their number; each gets a row. An
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import stored, table
+from auditlake.llm.common import attached, stored, table
 
 WINDOW, SHINGLE = 13, 4
 #: Windows in a broadcast, about (they are dealt by hash); each holds at most WINDOW words.
@@ -49,33 +51,41 @@ def shingle_at(array: str, position: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(array, position + k) for k in range(size)])
 
 
+def window_ids(window: str) -> list[Column]:
+    return [F.xxhash64(F.lit(k), window).alias(f"id{k}") for k in (1, 2)]
+
+
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(window, size, items): distinct windows and the items that have each."""
+    """(item, window, id1, id2): the distinct windows of each item."""
     w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     w = w.select("item", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW, F.lit(0)))).alias("at"))
-    w = w.select("item", F.slice("w", F.col("at") + 1, WINDOW).alias("window"))
-    return w.groupBy("window").agg(F.collect_set("item").alias("items")).withColumn("size", F.size("window"))
+    return w.select("item", F.slice("w", F.col("at") + 1, WINDOW).alias("window")).distinct().select("*", *window_ids("window"))
 
 
 def positions(docs: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
-    """A row for each position of each document and one at -1, with the hashes of the
-    shingles of these sizes that begin there (h<size>, null where there is none).
+    """(keep, w, at, h): a row for each position of each document and each of these sizes, with the hash of the
+    shingle of that size that begins there (null where there is none), and one at -1.
+    One generated sequence, as a second one would copy the words into every row, and
     explode_outer, as Spark would make the words twice to drop what has no positions."""
-    rows = docs.select(*keep, "w", F.explode_outer(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
-    fits = lambda n: (F.col("at") >= 0) & (F.col("at") + n <= F.size("w"))
-    return rows.select(*keep, "w", "at", *[F.when(fits(n), shingle_at("w", F.col("at"), n)).alias(f"h{n}") for n in sizes])
+    rows = docs.select(*keep, "w", F.explode_outer(F.sequence(F.lit(-1), F.size("w") * len(sizes) - 1)).alias("p"))
+    at = F.floor(F.col("p") / len(sizes)).cast("int")
+    rows = rows.select(*keep, "w", "p", at.alias("at"))
+    fits = lambda k, n: (F.col("at") >= 0) & (F.pmod("p", F.lit(len(sizes))) == k) & (F.col("at") + n <= F.size("w"))
+    return rows.select(*keep, "w", "at", F.coalesce(*[F.when(fits(k, n), shingle_at("w", F.col("at"), n)) for k, n in enumerate(sizes)]).alias("h"))
 
 
 def contaminated_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated) of each row;
     key tells texts of equal doc_id apart."""
     read = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("key"), words(docs[text_col]).alias("w"))
-    windows = stored(benchmark_windows(items, item_col, item_text_col), "decontam-windows")
+    owners = stored(benchmark_windows(items, item_col, item_text_col), "decontam-windows")
+    windows = stored(owners.select("window", "id1", "id2").distinct().withColumn("size", F.size("window")), "decontam-distinct")
     found = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.least("size", F.lit(SHINGLE))).alias("sizes")).first()
     blocks, sizes = max(1, -(-found["n"] // BLOCK_WINDOWS)), sorted(found["sizes"] or [])
     if not sizes:
-        return _summed(read.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("items")))
-    parts = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int"))
+        none = read.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("size", "int"), ("id1", "long"), ("id2", "long"))])
+        return _summed(none, owners)
+    parts = windows.withColumn("block", F.pmod("id1", F.lit(blocks)).cast("int"))
     own = F.least("size", F.lit(SHINGLE))
     parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - own)).alias("offset"))
     shingle = F.coalesce(*[F.when(own == n, shingle_at("window", F.col("offset"), n)) for n in sizes])
@@ -85,7 +95,7 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc
     counts = []
     for b in range(blocks):
         asked = parts.where(F.col("block") == b).select("h").distinct()
-        seen = positions(read, [], sizes).select(F.explode(F.array(*[f"h{n}" for n in sizes])).alias("h")) if len(sizes) > 1 else positions(read, [], sizes).select(F.col(f"h{sizes[0]}").alias("h"))
+        seen = positions(read, [], sizes).select("h")
         # bounded: at most BLOCK_WINDOWS * WINDOW hashes
         counts.append(seen.join(F.broadcast(asked), "h").groupBy("h").agg(F.count(F.lit(1)).alias("f")))
     seen = counts[0]
@@ -93,35 +103,38 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc
         seen = seen.union(c)
     seen = stored(seen.groupBy("h").agg(F.max("f").alias("f")), "decontam-rarity")
     ranked = parts.join(seen, "h", "left")
-    rarest = ranked.groupBy("window", "size", "items", "block").agg(F.min(F.coalesce("f", F.lit(0))).alias("low"), F.min_by(F.struct("h", "offset"), F.struct("f", "offset")).alias("prefix")).where("low > 0")
-    probe = stored(rarest.select("window", "size", "items", "block", "prefix.*"), "decontam-prefix")
+    rarest = ranked.groupBy("window", "id1", "id2", "size", "block").agg(F.min(F.coalesce("f", F.lit(0))).alias("low"), F.min_by(F.struct("h", "offset"), F.struct("f", "offset")).alias("prefix")).where("low > 0")
+    probe = stored(rarest.select("window", "id1", "id2", "size", "block", "prefix.*"), "decontam-prefix")
 
     hits = None
     for b in range(blocks):
-        for n in sizes:
-            # bounded: at most BLOCK_WINDOWS windows
-            asked = F.broadcast(probe.where((F.col("block") == b) & (F.least("size", F.lit(SHINGLE)) == n)).drop("block"))
-            at = positions(read, ["doc_id", "key"], [n])
-            start = F.col("at") - F.col("offset")
-            within = (start >= 0) & (start + F.col("size") <= F.size("w"))
-            same = at.join(asked, at[f"h{n}"] == asked["h"], "left").select(
-                "doc_id", "key", F.when(F.col("at") < 0, F.size("w").cast("long")).alias("n_words"), start.alias("start"), "size", "items", (F.col("window").isNotNull() & within).alias("in"), "w", "window"
-            )
-            ok = F.col("in") & (F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.coalesce("size", F.lit(0))) == F.col("window"))
-            same = same.withColumn("ok", F.coalesce(ok, F.lit(False))).where("ok or n_words is not null")
-            first = b == 0 and n == sizes[0]
-            same = same.select("doc_id", "key", F.when(F.lit(first), F.col("n_words")).alias("n_words"), *[F.when(F.col("ok"), F.col(c)).alias(c) for c in ("start", "size", "items")])
-            hits = same if hits is None else hits.union(same.where("start is not null"))
-    return _summed(hits)
-
-
-def _summed(hits: DataFrame) -> DataFrame:
-    """From rows of documents (n_words) and of hits (start, size, items) to one a document row."""
+        # bounded: at most BLOCK_WINDOWS windows, by shingles of all sizes, as the size is part of the hash
+        asked = F.broadcast(probe.where(F.col("block") == b).drop("block"))
+        at = positions(read, ["doc_id", "key"], sizes)
+        start = F.col("at") - F.col("offset")
+        within = (start >= 0) & (start + F.col("size") <= F.size("w"))
+        same = at.join(asked, "h", "left").select(
+            "doc_id", "key", F.when(F.col("at") < 0, F.size("w").cast("long")).alias("n_words"), start.alias("start"), "size", "id1", "id2", (F.col("window").isNotNull() & within).alias("in"), "w", "window"
+        )
+        ok = F.col("in") & (F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.coalesce("size", F.lit(0))) == F.col("window"))
+        same = same.withColumn("ok", F.coalesce(ok, F.lit(False))).where("ok or n_words is not null")
+        same = same.select("doc_id", "key", F.when(F.lit(b == 0), F.col("n_words")).alias("n_words"), *[F.when(F.col("ok"), F.col(c)).alias(c) for c in ("start", "size", "id1", "id2")])
+        hits = same if hits is None else hits.union(same.where("start is not null"))
+    return _summed(hits, owners)
+
+
+def _summed(hits: DataFrame, owners: DataFrame) -> DataFrame:
+    """From rows of documents (n_words) and of hits (start, size, id1, id2) to one a document row."""
+    hits = stored(hits, "decontam-hits")
     spans = F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("size")).alias("end")))))
-    grouped = hits.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"))
+    grouped = hits.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), spans.alias("spans"))
+    held = hits.where("start is not null").select("doc_id", "key", F.struct("id1", "id2").alias("id")).distinct()
+    held = attached(held, owners.select(F.struct("id1", "id2").alias("id"), "item"), "id", F.struct("doc_id", "key"))
+    own = held.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
+    grouped = grouped.join(own, grouped["doc_id"].eqNullSafe(own["_doc"]) & grouped["key"].eqNullSafe(own["_key"]), "left")
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     union = F.aggregate("spans", zero, lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["end"]), F.lit(0))).alias("n")), lambda a: a["n"])
-    out = grouped.select("doc_id", "key", "n_words", union.alias("n_hit"), "hit_items", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    out = grouped.select("doc_id", "key", "n_words", union.alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return out.select(
         "doc_id", "key", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),

@@ -175,6 +175,16 @@ def test_decontamination(spark, docs, empty, block, monkeypatch):
     assert decontam.contaminated_documents(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_equal_ids_and_common_windows(spark):
+    shared = prose(20, 3)
+    items = [(k, shared) for k in range(30)] + [(50, prose(15, 5)), (51, "x y")]
+    rows = [(1, shared + " " + prose(30, 8)), (1, prose(15, 5)), (1, "a x y b"), (None, shared), (None, shared), (2, prose(60, 9)), (3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.contaminated_documents(d, spark.createDataFrame(items, "item_id long, text string"))
+    want = sorted((repr(r[0]), *b) for r, b in zip(rows, brute_contamination([t for _, t in rows], items)))
+    assert by_id(got, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+
+
 def test_decontamination_plan_is_native(spark, docs):
     bench = spark.createDataFrame([(1, prose(20, 7))], "item_id long, text string")
     plan = decontam.contaminated_documents(docs, bench)._jdf.queryExecution().toString()
