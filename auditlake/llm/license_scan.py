@@ -1,7 +1,8 @@
 """Licence scans: MinHash bands over overlapping windows, then exact containment.
 
 Words are runs of letters, digits and characters beyond ASCII, lower-cased.
-Templates and texts become shingles of five words. A template of m shingles
+Templates and texts become shingles of five words. A template of fewer words is one shingle
+of that many words, as are the texts that it is looked for in. A template of m shingles
 belongs to the class of the next block length b >= m; a document's windows of a
 class are 2 b shingles long and begin every b, so that each stretch of m shingles
 lies whole within a window.
@@ -52,13 +53,23 @@ TEMPLATES = {
     "bsd:permission": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "apache-2.0:notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "gpl-3.0:notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl-3.0:line": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "agpl-3.0:line": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "epl-2.0:notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0-1.0:line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "bsl-1.0:line": "Distributed under the Boost Software License, Version 1.0",
+    "zlib:permission": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "mit:warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd:warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "unlicense:notice": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 
-def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, at = hash_words(*text_bytes(column), _INSIDE)
-    return *hash_shingles(words, at), np.diff(at)
+SIZE = 5
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return hash_words(*text_bytes(column), _INSIDE)
 
 
 def _hashed(shingles: np.ndarray, band: int) -> np.ndarray:
@@ -86,18 +97,22 @@ def guaranteed(m: int) -> float:
 
 
 class Templates:
-    """Signatures of all templates by class."""
-
-    def __init__(self, texts: dict[str, str]):
-        self.names = sorted(texts)
-        s, at, words = _shingles(pa.array([texts[n] for n in self.names], pa.string()))
+    """Signatures of templates by class. All have SIZE words or more, or all have ``size`` words."""
+
+    def __init__(self, texts: dict[str, str], size: int = SIZE):
+        self.size = size
+        words, at = _words(pa.array([texts[n] for n in sorted(texts)], pa.string()))
+        counts = dict(zip(sorted(texts), np.diff(at).tolist()))
+        fits = (lambda n: n >= SIZE) if size == SIZE else (lambda n: n == size)
+        self.names = [n for n in sorted(texts) if fits(counts[n])]
+        s, at = hash_shingles(*_words(pa.array([texts[n] for n in self.names], pa.string())), size)
         self.sets = [np.unique(s[a:b]) for a, b in zip(at[:-1], at[1:])]
-        self.words = words.tolist()
+        # those of fewer words are looked for by shingles of their own size
+        self.shorter = [Templates(texts, n) for n in sorted({n for n in counts.values() if 0 < n < SIZE})] if size == SIZE else []
         self.classes: dict[int, list[int]] = {}
         for k, own in enumerate(self.sets):
-            if len(own):
-                self.classes.setdefault(block_of(len(own)), []).append(k)
-        self.minima = np.array([[_hashed(own, b).min() if len(own) else U64(0) for b in range(BANDS)] for own in self.sets], U64).reshape(-1, BANDS)
+            self.classes.setdefault(block_of(len(own)), []).append(k)
+        self.minima = np.array([[_hashed(own, b).min() for b in range(BANDS)] for own in self.sets], U64).reshape(-1, BANDS)
 
     def candidates(self, s: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """By template, the (text, from, to) windows of shingles that share a band with it."""
@@ -132,23 +147,36 @@ class Templates:
                             found.setdefault(k, set()).add((text, int(starts[w]), int(min(starts[w] + 2 * block, at[text + 1]))))
         return {k: sorted(v) for k, v in found.items()}
 
-    def matches(self, column: pa.Array) -> tuple[list[list[tuple[str, int, int, float]]], np.ndarray]:
-        """Verified (name, first word, end word, containment) of each text, and its number of words."""
-        s, at, n_words = _shingles(column)
-        out: list[list[tuple[str, int, int, float]]] = [[] for _ in n_words]
+    def _verified(self, words: np.ndarray, word_at: np.ndarray, out: list[list[tuple[str, int, int, float]]]) -> None:
+        """Adds to each text's list its windows that hold enough of a template; those of one template that overlap are one."""
+        s, at = hash_shingles(words, word_at, self.size)
+        n_words = np.diff(word_at)
         for k, windows in self.candidates(s, at).items():
-            own = self.sets[k]
+            own, last = self.sets[k], (-1, -1)
             for text, a, b in windows:
                 hit = np.flatnonzero(np.isin(s[a:b], own))
                 share = len(np.unique(s[a:b][hit])) / len(own)
-                if share >= CONTAIN:
-                    start, end = a + int(hit[0]) - int(at[text]), a + int(hit[-1]) - int(at[text])
-                    end = min(end + 5, int(n_words[text]))
-                    before = out[text][-1] if out[text] else None
-                    if before and before[0] == self.names[k] and start < before[2]:
+                if share < CONTAIN:
+                    continue
+                # each occurrence of a single shingle is a match of its own
+                runs = [(h, h) for h in hit.tolist()] if len(own) == 1 else [(int(hit[0]), int(hit[-1]))]
+                for first, final in runs:
+                    start, end = a + first - int(at[text]), min(a + final - int(at[text]) + self.size, int(n_words[text]))
+                    if last[0] == text and start < last[1]:
+                        before = out[text][-1]
                         out[text][-1] = (before[0], min(before[1], start), max(before[2], end), max(before[3], share))
+                        last = (text, max(last[1], end))
                     else:
                         out[text].append((self.names[k], start, end, share))
+                        last = (text, end)
+
+    def matches(self, column: pa.Array) -> tuple[list[list[tuple[str, int, int, float]]], np.ndarray]:
+        """Verified (name, first word, end word, containment) of each text, and its number of words."""
+        words, word_at = _words(column)
+        n_words = np.diff(word_at)
+        out: list[list[tuple[str, int, int, float]]] = [[] for _ in n_words]
+        for part in (self, *self.shorter):
+            part._verified(words, word_at, out)
         inside = lambda x, y: x[0] != y[0] and y[1] <= x[1] and x[2] <= y[2] and (y[2] - y[1], y[0]) > (x[2] - x[1], x[0])
         return [sorted((x for x in m if not any(inside(x, y) for y in m)), key=lambda x: (x[1], x[0])) for m in out], n_words
 

@@ -7,13 +7,15 @@ Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) of the
 document to its language's references tells prose from tables, symbol noise,
 shouting and word salad; a document of no known language takes the nearest
 reference. Histograms of few words are noise, so each distance has a least length
-under which it is not judged.
+under which it is not judged, and so has a reference: a language is one if REF_DOCS documents
+and one in REF_SHARE of all that pass the base rules have it, so that a lone document
+isn't compared with itself and there are at most REF_SHARE references.
 
 Base rules fail documents of under MIN_WORDS words, and those of whose words more
 than half lie in three-word windows that the text repeats.
 
 Null and empty texts have no words and fail the base rules. Rows without language
-take the nearest reference. Repeated rows give a row each. An empty table gives no
+take the nearest reference, as do those of a language without one. Repeated rows give a row each. An empty table gives no
 rows. Without any reference (all documents fail) the distances are null and
 judge nothing. Other columns are not read.
 """
@@ -32,6 +34,8 @@ MIN_WORDS = 50
 #: Words from which each distance is judged, and the largest distance that is kept.
 CHAR_WORDS, CHAR_MOST = 50, 0.26
 WORD_WORDS, WORD_MOST = 100, 0.29
+#: Documents of a language that make a reference, and the least share of all documents.
+REF_DOCS, REF_SHARE = 20, 1000
 SPACE = r"\x20\x09-\x0D"
 # Frequent function words of English, German, French and Spanish.
 COMMON = (
@@ -98,9 +102,12 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """(lang, ref_chars, ref_known): summed histograms of each language."""
+    """(lang, ref_chars, ref_known): summed histograms of each language that has enough documents."""
+    passed = counted.where(~F.col("base_failed"))
     sums = [F.array(*[F.sum(F.get(c, i)).cast("double") for i in range(n)]).alias(f"ref_{c}") for c, n in (("chars", len(CLASSES) + 1), ("known", len(COMMON) + 1))]
-    return counted.where(~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang").agg(*sums)
+    each = passed.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *sums)
+    total = passed.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return each.crossJoin(F.broadcast(total)).where((F.col("docs") >= REF_DOCS) & (F.col("docs") * REF_SHARE >= F.col("total"))).drop("docs", "total")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -108,7 +115,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     kept, char_distance, word_distance) of each row."""
     counted = stored(features(docs, id_col, text_col, lang_col), "quality-features")
     refs = references(counted).select("lang", shares("ref_chars").alias("ref_chars"), shares("ref_known").alias("ref_known"))
-    # all references in one row, in order of language: as many as there are languages
+    # all references in one row, in order of language: at most REF_SHARE
     refs = refs.agg(F.array_sort(F.collect_list(F.struct("lang", "ref_chars", "ref_known"))).alias("refs"))
     df = counted.crossJoin(F.broadcast(refs))
     df = df.withColumn("own", F.filter("refs", lambda r: r["lang"] == F.col("lang")))
@@ -148,8 +155,9 @@ rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([k, k
 b AS (SELECT {before}.doc_id, lang, len(w) AS n_words, length(t) - ({counts[1]}) AS word_chars, {counts[2]} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
 [{", ".join(counts)}] AS chars, list_transform([{words}], lambda y: len(list_filter(w, lambda x: x = y))) AS known0 FROM {before} LEFT JOIN rep ON rep.doc_id = {before}.doc_id),
 a AS (SELECT *, list_append(known0, n_words - list_sum(known0)) AS known, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
-rc AS (SELECT lang, k, sum(c) AS s FROM (SELECT lang, unnest(chars) AS c, generate_subscripts(chars, 1) AS k FROM a WHERE NOT base_failed AND lang IS NOT NULL) GROUP BY lang, k),
-rk AS (SELECT lang, k, sum(c) AS s FROM (SELECT lang, unnest(known) AS c, generate_subscripts(known, 1) AS k FROM a WHERE NOT base_failed AND lang IS NOT NULL) GROUP BY lang, k),
+ok AS (SELECT lang AS l FROM a WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {REF_DOCS} AND count(*) * {REF_SHARE} >= (SELECT count(*) FROM a WHERE NOT base_failed)),
+rc AS (SELECT lang, k, sum(c) AS s FROM (SELECT lang, unnest(chars) AS c, generate_subscripts(chars, 1) AS k FROM a WHERE NOT base_failed AND lang IN (SELECT l FROM ok)) GROUP BY lang, k),
+rk AS (SELECT lang, k, sum(c) AS s FROM (SELECT lang, unnest(known) AS c, generate_subscripts(known, 1) AS k FROM a WHERE NOT base_failed AND lang IN (SELECT l FROM ok)) GROUP BY lang, k),
 lc AS (SELECT lang, list(CAST(s AS DOUBLE) ORDER BY k) AS c FROM rc GROUP BY lang), lk AS (SELECT lang, list(CAST(s AS DOUBLE) ORDER BY k) AS c FROM rk GROUP BY lang),
 ref AS (SELECT lc.lang, {share.format("lc.c")} AS chars, {share.format("lk.c")} AS known FROM lc JOIN lk ON lc.lang = lk.lang),
 g AS (SELECT * EXCLUDE (chars, known, known0), CASE WHEN list_sum(chars) > 0 THEN {share.format("chars")} END AS chars, CASE WHEN n_words > 0 THEN {share.format("known")} END AS known FROM a),

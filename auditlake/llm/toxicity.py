@@ -3,7 +3,7 @@
 Learning: for words and their first 5 and 4 bytes, the number of toxic and of
 clean documents that hold them gives log-odds under an informative Dirichlet
 prior (the token's share of all, of mass PRIOR). Tokens whose log-odds are
-Z standard errors from 0 make the model, at most VOCABULARY of them. A word
+Z standard errors from 0 make the model. A word
 scores by the most specific of its three tokens that the model has, less DRIFT;
 a word that repeats the one before it is neutral.
 
@@ -17,8 +17,9 @@ evidence is the sum of lambda s - ln(K n) over its significant segments (or the
 best one's), and a logistic curve fitted on documents kept out of the counts turns
 it into a score.
 
-Learning takes at most LABELLED labelled rows, drawn by hash; three quarters are
-counted, one quarter calibrates. All documents are scored over their whole texts.
+Learning takes about LABELLED labelled rows, drawn by hash, which bounds the model too; of each
+class three quarters are counted and one quarter calibrates. A class of one row has none to
+calibrate with; then the counted rows do. All documents are scored over their whole texts.
 
 Null and empty texts have no words and the score of a document without evidence.
 Repeated rows give a row each; other columns are not read. Without toxic or
@@ -33,12 +34,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import U64, hash_words, table, text_bytes, text_chunks
 
-LABELLED, VOCABULARY = 20_000, 20_000
+LABELLED = 20_000
 PRIOR, Z = 0.02, 1.96
 DRIFT, CLIP = 0.3, 6.0
 #: Evidence outside of it counts as at its ends.
@@ -200,6 +201,17 @@ def _measured(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("text", F.col("toxic").cast("boolean").alias("toxic")).mapInArrow(run, "toxic boolean, n long, segments array<double>, scores array<double>, times array<long>")
 
 
+def _evidence(measured: DataFrame, model: Model) -> DataFrame:
+    """(toxic, evidence): two numbers of each measured row."""
+
+    def run(batches):
+        for batch in batches:
+            found = zip(batch.column("segments").to_pylist(), batch.column("n").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([model.evidence([(0, 0, s) for s in x], n)[0] for x, n in found], pa.float64())], ["toxic", "evidence"])
+
+    return measured.select("toxic", "segments", "n").mapInArrow(run, "toxic boolean, evidence double")
+
+
 def _lambda(values: np.ndarray, weights: np.ndarray) -> float:
     """The positive root of sum p exp(lambda s) = 1."""
     p = weights / weights.sum()
@@ -240,10 +252,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     h = F.xxhash64(F.lit(8), id_col).bitwiseAND((1 << 40) - 1)
     n = marked.count()
     share = min(1.0, LABELLED / max(1, n))
-    chosen = marked.where(h < int(share * (1 << 40))).withColumn("fold", F.pmod(F.shiftright(F.xxhash64(F.lit(8), id_col), 42), F.lit(4)))
-    # bounded: about LABELLED rows of two numbers
+    # bounded: about LABELLED rows of a few numbers; every fourth of a class, from its second on, is kept out
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(9), id_col), id_col))
+    chosen = marked.where(h < int(share * (1 << 40))).withColumn("fold", (place % 4 == 2).cast("int"))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").where("text is not null")
-    counted = rows.where("fold <> 0")
+    counted = rows.where("fold = 0")
     tally = counted.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     n_toxic, n_clean = (sum(r["n"] for r in tally if bool(r["toxic"]) == side) for side in (True, False))
     none = np.zeros(0, U64), np.zeros(0)
@@ -257,7 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = (F.col("a") + F.col("b")) * PRIOR
     odds = F.log((F.col("a") + prior) / (na * (1 + PRIOR * (na + nb) / na) - F.col("a") - prior)) - F.log((F.col("b") + prior) / (nb * (1 + PRIOR * (na + nb) / nb) - F.col("b") - prior))
     z = odds / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
-    kept = counts.withColumn("odds", odds).withColumn("z", z).where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "token").limit(VOCABULARY).select("token", "odds", "z").toArrow()
+    kept = counts.withColumn("odds", odds).withColumn("z", z).where(F.abs("z") >= Z).select("token", "odds", "z").toArrow()
     counts.unpersist()
     keys = kept.column("token").to_numpy().astype(np.int64).view(U64)
     order = np.argsort(keys)
@@ -267,24 +280,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(keys[order], values[order], 1.0, 1.0, 1.0, 0.0)
 
     # segments of the rows kept out, and the scores of their clean words: numbers, no texts
-    held = rows.where("fold = 0")
+    held = rows.where("fold = 1")
     measured = _measured(held, model)
     if measured.select("toxic").distinct().count() < 2:
         measured = _measured(counted, model)
     measured = measured.persist()
-    each = measured.select("toxic", "n", "segments").toArrow()
-    toxic, sizes = each.column("toxic").to_numpy(zero_copy_only=False).astype(bool), each.column("n").to_numpy()
-    found = [[(0, 0, s) for s in x] for x in each.column("segments").to_pylist()]
     words = measured.where(~F.col("toxic")).select(F.explode(F.arrays_zip("scores", "times")).alias("x")).groupBy("x.scores").agg(F.sum("x.times").alias("times")).toArrow()
-    measured.unpersist()
     if words.num_rows:
         model.lam = _lambda(words.column("scores").to_numpy(), words.column("times").to_numpy().astype(float))
-    best = np.array([max([0.0, *(s for *_, s in f)]) for f in found])
-    null = ~toxic & (sizes > 0)
-    if null.any():
-        # the mean of the law is (ln(K n) + 0.5772) / lambda
-        model.k = float(np.clip(np.exp((model.lam * best[null] - 0.5772 - np.log(sizes[null])).mean()), 1e-6, 1.0))
-    evidence = np.array([model.evidence(f, int(n))[0] for f, n in zip(found, sizes)])
+    # the mean of the law is (ln(K n) + 0.5772) / lambda
+    best = F.coalesce(F.array_max("segments"), F.lit(0.0))
+    k = measured.where("not toxic and n > 0").agg(F.avg(F.lit(model.lam) * best - 0.5772 - F.log("n"))).first()[0]
+    if k is not None:
+        model.k = float(np.clip(np.exp(k), 1e-6, 1.0))
+    each = _evidence(measured, model).toArrow()
+    measured.unpersist()
+    toxic, evidence = each.column("toxic").to_numpy(zero_copy_only=False).astype(bool), each.column("evidence").to_numpy()
     model.slope, model.shift = _logistic(evidence, toxic.astype(float))
     return model
 

@@ -308,6 +308,48 @@ def test_licence_texts_of_any_length():
     assert all(license_scan.guaranteed(m) > 0.999 for m in (2049, 3073, 4097, 6000, 6145, 9000, 100_000))
 
 
+def brute_containment(text, templates):
+    """Templates of which some window of words, as long as a window of their class, holds enough."""
+    split = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", t.lower())
+    w, out = split(text), set()
+    for name, template in templates.items():
+        x = split(template)
+        k = min(5, len(x))
+        own = {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+        got = [tuple(w[i : i + k]) in own and tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        width = 2 * license_scan.block_of(len(own))
+        for i in range(0, max(1, len(got)), width // 2):
+            if len(own) and len({g for g in got[i : i + width] if g}) >= 0.75 * len(own):
+                out.add(name)
+    return out
+
+
+def test_licences_against_brute_force():
+    r = random.Random(9)
+    templates = dict(license_scan.TEMPLATES) | {"mit:name": "MIT License", "own:one": "Publicdomainish", "own:four": "all rights are reserved"}
+    names, texts = sorted(templates), []
+    for k in range(240):
+        words = templates[names[k % len(names)]].split()
+        for _ in range(r.choice([0, 0, 1, 2])):
+            words[r.randrange(len(words))] = "changed"
+        texts.append(prose(r.randint(0, 80), k) + " " + " ".join(words[: len(words) - r.randint(0, len(words) // 6)]) + " " + prose(r.randint(0, 80), k + 999))
+    known = license_scan.Templates(templates)
+    found, n_words = known.matches(pa.array(texts, pa.string()))
+    want = [brute_containment(t, templates) for t in texts]
+    # matches within a longer match are left out
+    covered = lambda m, name, n: any(y - x >= n for _, x, y, _ in m)
+    hits = [(name in {x[0] for x in m} or covered(m, name, 1)) for m, w in zip(found, want) for name in w]
+    assert len(hits) > 150 and sum(hits) >= 0.99 * len(hits)
+    assert all({x[0] for x in m} <= w for m, w in zip(found, want))
+    assert all(x[2] <= n and x[1] < x[2] for m, n in zip(found, n_words) for x in m)
+
+
+def test_short_licence_names():
+    t = license_scan.Templates({"mit": "MIT License", "gpl": "GNU General Public License", "long": "a b c d e f"})
+    found, _ = t.matches(pa.array(["the MIT license here and the MIT License again", "mit", "license mit", "gnu general public license", None], pa.string()))
+    assert [[x[:3] for x in m] for m in found] == [[("mit", 1, 3), ("mit", 6, 8)], [], [], [("gpl", 0, 4)], []]
+
+
 def test_licenses(spark, docs, empty):
     notice = license_scan.TEMPLATES["apache-2.0:notice"]
     words = notice.split()
@@ -497,6 +539,20 @@ def test_quality_counts(spark, texts):
     assert [(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got] == [brute_quality(t) for t in texts]
 
 
+def test_quality_references_need_documents(spark, monkeypatch):
+    rows = [(k, prose(80, k), "en") for k in range(25)] + [(90, "| 1 " * 10 + " ".join(f"x{k}|" for k in range(150)), "xx")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = lambda: {r["lang"] for r in quality.references(quality.features(d, "doc_id", "text", "lang")).collect()}
+    assert refs() == {"en"} and not quality.quality(d).where("doc_id = 90").first()["kept"]
+    monkeypatch.setattr(quality, "REF_DOCS", 1)
+    assert refs() == {"en", "xx"} and quality.quality(d).where("doc_id = 90").first()["kept"]
+
+
+def test_toxicity_query_held_out(spark, data):
+    got = toxicity.op8_toxicity(spark, data).join(spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
+    assert got.select(F.avg((F.col("toxic") == F.col("predicted")).cast("int"))).first()[0] > 0.8
+
+
 def test_js_distance(spark):
     d = spark.createDataFrame([([1.0, 1.0, 0.0], [0.0, 2.0, 2.0]), ([1.0, 3.0, 0.0], [2.0, 6.0, 0.0]), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0])], "a array<double>, b array<double>")
     got = [r[0] for r in d.select(quality.js_distance(quality.shares("a"), quality.shares("b"))).collect()]
@@ -533,6 +589,10 @@ def test_toxicity(spark, docs, empty):
     assert out.count() == docs.count() and all(0 <= r["score"] <= 1 for r in out.collect()) and toxicity.toxicity(empty, model).count() == 0
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == out.where("predicted = 0").count()
+    # a class of one or two rows still learns and calibrates
+    few = d.where("toxic = 0 or doc_id in (0, 5)")
+    assert 0 <= toxicity.learn(few, few.select("doc_id", "toxic")).score(3.0) <= 1
+    assert 0 <= toxicity.learn(few, few.where("doc_id <> 5").select("doc_id", "toxic")).score(3.0) <= 1
     none = toxicity.learn(d, d.where("doc_id < 0").select("doc_id", "toxic"))
     assert toxicity.toxicity(docs, none).where("predicted = 1").count() == 0
     assert toxicity.learn(empty.select("doc_id", "text"), empty.select("doc_id", F.lit(1).alias("toxic"))).score(0.0) == 0.0
