@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "trace":
         print(sinks.text_table(engine.trace(spark.read.json(args.nodes), spark.read.json(args.edges), args.root)))
         return 0
-    path = datasets.unpacked(args.path) if args.path.endswith(".zip") else args.path
+    path = datasets.unpacked(spark, args.path) if args.path.endswith(".zip") else args.path
     rows = datasets.load(spark, path, args.format)
     files = datasets.images(spark, path, content=True).select("path", F.sha2("content", 256).alias("digest"))
     found = samples.exact_duplicates(rows.join(files, "path"), F.col("digest")).select("finding_id", "asset", "severity", "disposition", "original_sample_id").orderBy("finding_id")

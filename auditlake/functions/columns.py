@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 import operator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditlake.functions.schemas import MODULES
+
 GENESIS = "0" * 64
 
 
+def now() -> str:
+    """The time of a run, taken once on the driver, so that plans stay the same from task to task."""
+    return datetime.datetime.now(datetime.timezone.utc).isoformat()
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -63,6 +71,11 @@ def severity_order(c: Column | str) -> Column:
     return F.when(col(c) == "CRITICAL", 0).when(col(c) == "HIGH", 1).when(col(c) == "MEDIUM", 2).otherwise(3)
 
 
+def module_order(c: Column | str) -> Column:
+    """The place of a module among all."""
+    return F.coalesce(*[F.when(col(c) == m, F.lit(k)) for k, m in enumerate(MODULES)], F.lit(len(MODULES)))
+
+
 def worst(c: Column | str) -> Column:
     """Aggregate: the gravest disposition of a group, ACCEPT for none."""
     return F.when(F.coalesce(F.bool_or(col(c) == "QUARANTINE"), F.lit(False)), "QUARANTINE").when(F.coalesce(F.bool_or(col(c) == "REVIEW"), F.lit(False)), "REVIEW").otherwise("ACCEPT")

@@ -6,9 +6,12 @@ hold them as BGR bytes, which rgb() turns round.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATS = "brightness double, contrast double, sharpness double, color_r double, color_g double, color_b double"
@@ -108,6 +111,91 @@ def extract(a: np.ndarray, most: int = 512) -> str | None:
         return None
 
 
+def review_statistics(a: np.ndarray) -> tuple[float, float, float]:
+    """(blur, mean, sd) over grey levels rounded to whole numbers: the variance of the Laplacian with mirrored
+    borders, unlike sharpness(), which leaves the border out."""
+    g = np.floor(gray(a) + 0.5)
+    m = np.pad(g, 1, mode="reflect") if min(g.shape) > 1 else np.pad(g, 1, mode="edge")
+    lap = m[:-2, 1:-1] + m[2:, 1:-1] + m[1:-1, :-2] + m[1:-1, 2:] - 4 * g
+    return float(lap.var()), float(g.mean()), float(g.std())
+
+
+# Rows of 3 bits of the digits.
+_GLYPHS = {
+    "0": (7, 5, 5, 5, 7), "1": (2, 6, 2, 2, 7), "2": (7, 1, 7, 4, 7), "3": (7, 1, 3, 1, 7), "4": (5, 5, 7, 1, 1),
+    "5": (7, 4, 7, 1, 7), "6": (7, 4, 7, 5, 7), "7": (7, 1, 1, 1, 1), "8": (7, 5, 7, 5, 7), "9": (7, 5, 7, 1, 7),
+}
+
+
+def badge(a: np.ndarray, text: str) -> np.ndarray:
+    """A dark bar in the lower left corner with the digits of ``text`` in white, the last ones that fit."""
+    digits = [c for c in text if c in _GLYPHS][-max(1, (a.shape[1] - 2) // 4) :]
+    h, w = min(7, a.shape[0]), min(4 * len(digits) + 1, a.shape[1])
+    bar = np.zeros((7, 4 * len(digits) + 1), bool)
+    for k, c in enumerate(digits):
+        for row, bits in enumerate(_GLYPHS[c]):
+            bar[1 + row, 1 + 4 * k : 4 + 4 * k] = [bits >> 2 & 1, bits >> 1 & 1, bits & 1]
+    out = a.copy()
+    out[a.shape[0] - h :, :w] = np.where(bar[:h, :w, None], 255, 20).astype(np.uint8)
+    return out
+
+
+def png(a: np.ndarray) -> bytes:
+    """The file of an RGB image."""
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + r.tobytes() for r in np.ascontiguousarray(a, np.uint8))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def battery(n: int = 20, side: int = 64, seed: int = 42) -> list[np.ndarray]:
+    """Fixed probe images: noise with a bright square, the same at each audit."""
+    out = []
+    for k in range(n):
+        r = np.random.default_rng(seed + k)
+        a = r.integers(0, 120, (side, side, 3)).astype(np.uint8)
+        y, x = r.integers(0, side // 2, 2)
+        a[y : y + side // 3, x : x + side // 3] = r.integers(120, 256, 3)
+        out.append(a)
+    return out
+
+
+def checkerboard(a: np.ndarray, size: int, place: int = 0) -> np.ndarray:
+    """A yellow and black patch in a corner, numbered as corners() does."""
+    h, w = a.shape[:2]
+    y, x = ((h - size, w - size), (0, 0), (0, w - size), (h - size, 0))[place]
+    out = a.copy()
+    odd = (np.indices((size, size)).sum(0) % 2).astype(bool)
+    out[y : y + size, x : x + size] = np.where(odd[:, :, None], 0, np.array([255, 255, 0])).astype(np.uint8)
+    return out
+
+
+def trigger_inputs(images: list[np.ndarray], sizes: tuple[int, ...] = (8, 12, 16)) -> list[tuple[int, int, int, np.ndarray]]:
+    """(image, size, corner, patched image): the first five images with a patch of each size in each corner."""
+    return [(k, s, c, checkerboard(a, s, c)) for k, a in enumerate(images[:5]) for s in sizes for c in range(4)]
+
+
+def blurred(a: np.ndarray, sigma: float) -> np.ndarray:
+    n = max(1, int(3 * sigma))
+    w = np.exp(-0.5 * (np.arange(-n, n + 1) / sigma) ** 2)
+    w /= w.sum()
+    x = np.pad(a.astype(float), ((n, n), (n, n), (0, 0)), mode="edge")
+    x = np.apply_along_axis(np.convolve, 0, x, w, "valid")
+    return np.clip(np.apply_along_axis(np.convolve, 1, x, w, "valid") + 0.5, 0, 255).astype(np.uint8)
+
+
+def adjusted(a: np.ndarray, contrast: float = 1.0, brightness: float = 1.0) -> np.ndarray:
+    x = a.astype(float) * brightness
+    m = x.mean()
+    return np.clip((x - m) * contrast + m + 0.5, 0, 255).astype(np.uint8)
+
+
+def variants(a: np.ndarray, seed: int = 42) -> dict[str, np.ndarray]:
+    """What a red team makes of an image: a copy, one that only looks alike, noise in its place, a patch in a corner,
+    and the image under a worse camera."""
+    side = min(24, *a.shape[:2])
+    return {"copy": a.copy(), "look_alike": adjusted(a, 0.97), "noise": np.random.default_rng(seed).integers(0, 256, a.shape).astype(np.uint8), "patch": checkerboard(a, side), "shift": adjusted(blurred(a, 3.0), 0.3, 0.45)}
+
+
 def _over(c: Column | str, schema: str, f) -> Column:
     """A function of pixels over a column of Spark's image structs."""
 
@@ -135,3 +223,40 @@ def corner_keys_column(image: Column | str) -> Column:
         return pd.Series([[{"place": k, "key": x} for k, x in corner_keys(rgb(d, h, w, n))] for d, h, w, n in zip(pdf["data"], pdf["height"], pdf["width"], pdf["nChannels"])])
 
     return run(image)
+
+
+def review_column(image: Column | str) -> Column:
+    """(blur, mean, sd), of which governance.blur_reviews reads the first."""
+    return _over(image, "blur double, mean double, sd double", review_statistics)
+
+
+def watermarked_column(image: Column | str, record_id: Column | str, visible: bool = False) -> Column:
+    """PNG files of images that carry their record's id, and show it if ``visible``."""
+
+    @F.pandas_udf("binary")
+    def run(pdf: pd.DataFrame, ids: pd.Series) -> pd.Series:
+        out = []
+        for d, h, w, n, i in zip(pdf["data"], pdf["height"], pdf["width"], pdf["nChannels"], ids):
+            a = rgb(d, h, w, n)
+            out.append(png(embed(badge(a, i) if visible else a, i)))
+        return pd.Series(out)
+
+    return run(image, record_id)
+
+
+VARIANT_KINDS = ("copy", "look_alike", "noise", "patch", "shift")
+
+
+def image_variants(images: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
+    """(id, kind, content: PNG) of a DataFrame of (id, image): a row for each of variants()."""
+    kind = images.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, x in zip(pdf["id"], pdf["image"]):
+                made = variants(rgb(x["data"], x["height"], x["width"], x["nChannels"]))
+                rows += [(i, k, png(made[k])) for k in VARIANT_KINDS]
+            yield pd.DataFrame(rows, columns=["id", "kind", "content"])
+
+    return images.select(F.col(id_col).alias("id"), F.col(image_col).alias("image")).mapInPandas(run, f"id {kind}, kind string, content binary")

@@ -56,3 +56,15 @@ RECORD = T.StructType(
 )
 
 ALL = {"finding": FINDING, "sample": SAMPLE, "record": RECORD}
+
+
+def json_schema(t: T.DataType) -> dict:
+    """A type as JSON Schema; every field may be null."""
+    if isinstance(t, T.StructType):
+        return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in t}, "required": t.names, "additionalProperties": False}
+    if isinstance(t, T.ArrayType):
+        return {"type": ["array", "null"], "items": json_schema(t.elementType)}
+    if isinstance(t, T.MapType):
+        return {"type": ["object", "null"], "additionalProperties": json_schema(t.valueType)}
+    names = {T.StringType: "string", T.BooleanType: "boolean", T.DoubleType: "number", T.FloatType: "number"}
+    return {"type": [next((n for k, n in names.items() if isinstance(t, k)), "integer"), "null"]}

@@ -5,14 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode (tests), else
+    one in the warehouse, which a cluster shares."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = f"{tempfile.gettempdir()}/auditlake"
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/auditlake").rstrip("/")
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it names it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the folder of spark.checkpoint.dir (our own where unset, as in tests)
-    and reads it back: plans stay short and lost executors cost nothing."""
+    """Writes ``df`` to the shared folder and reads it back: plans stay short and lost
+    executors cost nothing. The table goes when the session ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/auditlake"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, place = file_system(spark, path)
+    fs.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

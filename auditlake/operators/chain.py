@@ -67,23 +67,44 @@ def _flags(d: DataFrame, output_digest: Column | None, valid_signature: Column |
 def verify_long(records: DataFrame, chain: str = "chain_id", order: str = "pos", span: int = 100_000, **how: Column) -> DataFrame:
     """As verify(), with each chain cut into ranges of ``span`` positions."""
     d = records.withColumn("_range", F.floor(F.col(order) / span))
-    ends = d.groupBy(chain, "_range").agg(F.count(F.lit(1)).alias("_n"), F.max_by("record_hash", order).alias("_last"))
-    over = Window.partitionBy(chain).orderBy("_range")
-    ends = ends.select(chain, "_range", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lag("_last", 1, C.GENESIS).over(over).alias("_prev"))
+    ends = ranges(records, "record_hash", chain, order, span)
     w = Window.partitionBy(chain, "_range").orderBy(order)
     d = d.join(ends, [chain, "_range"])
     d = d.withColumns({"expected_seq": F.row_number().over(w).cast("long") - 1 + F.col("_before"), "expected_prev": F.coalesce(F.lag("record_hash").over(w), F.col("_prev"))})
     return _flags(d.drop("_range", "_before", "_prev"), how.get("output_digest"), how.get("valid_signature"))
 
 
+FAULTS = ("tampered", "seq_anomaly", "broken_link")
+
+
 def summary(verified: DataFrame, chain: str = "chain_id") -> DataFrame:
-    """(chain, total, the sorted positions of each fault, valid, disposition). Only faulty
-    positions are gathered."""
-    at = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col("expected_seq")))).alias(c + "_at")
-    g = verified.groupBy(chain).agg(F.count(F.lit(1)).alias("total"), at("tampered"), at("seq_anomaly"), at("broken_link"), (~F.bool_or(F.col("tampered") | F.col("seq_anomaly") | F.col("broken_link"))).alias("valid"))
+    """(chain, total, n of each fault, first_fault, valid, disposition). One early deletion puts every
+    later number out of order, so faults are counted here; fault_positions() has them as rows."""
+    bad = F.col("tampered") | F.col("seq_anomaly") | F.col("broken_link")
+    counts = [F.count_if(F.col(c)).alias(f"n_{c}") for c in FAULTS]
+    g = verified.groupBy(chain).agg(F.count(F.lit(1)).alias("total"), *counts, F.min(F.when(bad, F.col("expected_seq"))).alias("first_fault"))
+    g = g.withColumn("valid", F.col("first_fault").isNull())
     return g.withColumn("disposition", F.when(F.col("valid"), "ACCEPT").otherwise("QUARANTINE"))
 
 
+def fault_positions(verified: DataFrame, chain: str = "chain_id") -> DataFrame:
+    """(chain, fault, pos): a row for each fault of each record."""
+    kinds = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in FAULTS]))
+    return verified.select(chain, F.explode(kinds).alias("fault"), F.col("expected_seq").alias("pos"))
+
+
+def faulty(verified: DataFrame, chain: str = "chain_id") -> DataFrame:
+    """(chain, pos): the union of all faults' positions, each once."""
+    return fault_positions(verified, chain).select(chain, "pos").distinct()
+
+
+def ranges(records: DataFrame, hash_col: str, chain: str, order: str, span: int) -> DataFrame:
+    """(chain, _range, _before, _prev) of ranges of ``span`` positions: the records before each, and the last hash before it."""
+    ends = records.groupBy(chain, F.floor(F.col(order) / span).alias("_range")).agg(F.count(F.lit(1)).alias("_n"), F.max_by(hash_col, order).alias("_last"))
+    over = Window.partitionBy(chain).orderBy("_range")
+    return ends.select(chain, "_range", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lag("_last", 1, C.GENESIS).over(over).alias("_prev"))
+
+
 def findings(verified: DataFrame, ts: str = "", asset: str = "record_id") -> DataFrame:
     """One finding for each fault of each record."""
     kinds = (

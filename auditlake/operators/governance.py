@@ -35,16 +35,36 @@ def clean_samples(samples: DataFrame, findings: DataFrame) -> DataFrame:
     return samples.join(findings.select(F.col("asset").alias("sample_id")).distinct(), "sample_id", "left_anti").agg(F.count(F.lit(1)).alias("clean_samples"))
 
 
+def _order(findings: DataFrame) -> list[Column]:
+    """The order among findings of one severity: the modules' own, then by id."""
+    return [*([C.module_order("module")] if "module" in findings.columns else []), F.col("finding_id")]
+
+
 def top(findings: DataFrame, k: int = 5, order: list[Column] | None = None) -> DataFrame:
-    """The k gravest, in the order of ``order`` among equals."""
-    return findings.orderBy(C.severity_order("severity"), *(order or [F.col("finding_id")])).limit(k)
+    """The k gravest, in the order of ``order`` among equals, by default that of modules, then ids."""
+    return findings.orderBy(C.severity_order("severity"), *(order or _order(findings))).limit(k)
+
+
+def with_id(findings: DataFrame, text: str) -> DataFrame:
+    """Findings whose id holds a text."""
+    return findings.where(F.contains("finding_id", F.lit(text)))
+
+
+def registered(ids: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the registry has."""
+    return ids.join(registry.select(key), key, "left_semi")
+
+
+def blur_reviews(images: DataFrame, least: float = 25.0) -> DataFrame:
+    """(id, blur, disposition) of (id, blur: the Laplacian's variance): under ``least`` an image is reviewed."""
+    return images.select("id", "blur", F.when(F.col("blur") < least, "REVIEW").otherwise("ACCEPT").alias("disposition"))
 
 
 def remediations(findings: DataFrame, k: int = 5, order: list[Column] | None = None) -> DataFrame:
     """(position, action): the distinct actions of the top findings in their order."""
     t = top(findings, k, order)
     # k rows: one window over all of them is bounded
-    w = Window.partitionBy(F.lit(0)).orderBy(C.severity_order("severity"), *(order or [F.col("finding_id")]))
+    w = Window.partitionBy(F.lit(0)).orderBy(C.severity_order("severity"), *(order or _order(findings)))
     first = t.withColumn("r", F.row_number().over(w)).groupBy("recommended_action").agg(F.min("r").alias("r"))
     return first.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("r")).cast("long").alias("position"), F.col("recommended_action").alias("action"))
 
@@ -52,7 +72,8 @@ def remediations(findings: DataFrame, k: int = 5, order: list[Column] | None = N
 def by_batch(findings: DataFrame) -> DataFrame:
     """Findings by the last part of the asset's path, most first, with the gravest severity."""
     batch = F.element_at(F.split("asset", "/"), -1)
-    return findings.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min(C.severity_order("severity")).cast("long").alias("gravest"))
+    g = findings.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min(C.severity_order("severity")).cast("long").alias("gravest"))
+    return g.orderBy(F.desc("n"), "batch")
 
 
 def headline(findings: DataFrame) -> DataFrame:

@@ -45,26 +45,38 @@ def graph_hash(layers: DataFrame) -> DataFrame:
 
 
 def weight_digest(params: DataFrame) -> DataFrame:
-    """(layer, digest) over the name and the 32-bit weights in order of idx, and from
-    them one digest of all. A single digest over all bytes would be one task's work for a
-    model of any size; layers are digested apart and their digests combined by name."""
+    """(layer, digest) over the name and the 32-bit weights in order of idx. A layer is digested as a stream of
+    sorted batches, so that one of any size takes time but no memory; model_digest() combines them."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        h = hashlib.sha256(str(pdf["layer"].iloc[0]).encode())
-        h.update(pdf["w"].to_numpy(np.float32).tobytes())
-        return pd.DataFrame({"layer": [str(pdf["layer"].iloc[0])], "digest": [h.hexdigest()]})
+    def fold(batches):
+        name, h = None, None
+        for pdf in batches:
+            for layer, part in pdf.groupby("layer", sort=False):
+                if layer != name:
+                    if h is not None:
+                        yield pd.DataFrame({"layer": [name], "digest": [h.hexdigest()]})
+                    name, h = layer, hashlib.sha256(str(layer).encode())
+                h.update(part["w"].to_numpy(np.float32).tobytes())
+        if h is not None:
+            yield pd.DataFrame({"layer": [name], "digest": [h.hexdigest()]})
 
-    return params.select(F.col("layer").cast("string").alias("layer"), "idx", "w").groupBy("layer").applyInPandas(one, "layer string, digest string")
+    rows = params.select(F.col("layer").cast("string").alias("layer"), "idx", "w").repartition("layer").sortWithinPartitions("layer", "idx")
+    return rows.mapInPandas(fold, "layer string, digest string")
 
 
-def output_agreement(outputs: DataFrame) -> DataFrame:
+def model_digest(layers: DataFrame) -> DataFrame:
+    """One digest of all layers' digests (layer, digest), in order of name."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("layer", "digest"))), lambda x: F.concat_ws(":", x["layer"], x["digest"]))
+    return layers.agg(F.sha2(F.array_join(parts, ";"), 256).alias("digest"))
+
+
+def output_agreement(outputs: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """One row of agreement of (probe_id, registered, current): top class, squares, largest difference."""
     d = F.zip_with("registered", "current", lambda a, b: a.cast("double") - b.cast("double"))
     each = outputs.select((C.argmax("registered") == C.argmax("current")).cast("double").alias("same"), d.alias("d"))
     x = each.select("same", F.posexplode("d").alias("pos", "d"))
     g = x.agg(F.avg(F.when(F.col("pos") == 0, F.col("same"))).alias("agreement"), F.avg(F.col("d") * F.col("d")).alias("mse"), F.max(F.abs("d")).alias("max_diff"))
-    return g.withColumn("substituted", (F.col("agreement") < 0.95) | (F.col("mse") > 0.05))
+    return g.withColumn("substituted", (F.col("agreement") < 1 - tolerance) | (F.col("mse") > tolerance))
 
 
 def trigger_collapse(tests: DataFrame) -> DataFrame:

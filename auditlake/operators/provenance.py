@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
@@ -66,6 +66,8 @@ def checkpoint_findings(records: DataFrame, c: dict[str, Any], ts: str = "", ord
         rows.append(("FIND-PE-CHECKPOINT-LEN-MISMATCH", "Checkpoint counts other records", f"{c['sequence_length']} {found['n']}"))
     if c["merkle_root"] != root:
         rows.append(("FIND-PE-MERKLE-ROOT-MISMATCH", "Merkle root of the records differs", root))
+    if c["head_record_hash"] != (found["head"] or C.GENESIS):
+        rows.append(("FIND-PE-CHECKPOINT-HEAD-MISMATCH", "Checkpoint ends in another record", found["head"] or ""))
     d = records.sparkSession.createDataFrame(rows, "id string, reason string, seen string")
     return d.select(*C.finding(F.col("id"), "provenance_engine", F.lit(f"checkpoint:{c['chain_id']}"), F.col("reason"), {"seen": F.col("seen")}, "CRITICAL", 1.0, "QUARANTINE", "Reject the log", ts))
 
@@ -94,11 +96,35 @@ def audit(records: DataFrame, ts: str = "", trusted_key: str | None = None, c: d
     return out
 
 
-def walk(links: DataFrame) -> DataFrame:
-    """(chain_id, first_break) of (chain_id, pos, hash, prev_hash): the first link that doesn't hold."""
-    before = links.select("chain_id", (F.col("pos") + 1).alias("pos"), F.col("hash").alias("before"))
-    d = links.join(before, ["chain_id", "pos"], "left")
-    return d.groupBy("chain_id").agg(F.min(F.when(F.col("before").isNotNull() & (F.col("before") != F.col("prev_hash")), F.col("pos"))).alias("first_break"))
+def walk(links: DataFrame, span: int = 100_000) -> DataFrame:
+    """(chain_id, first_break) of (chain_id, pos, hash, prev_hash): the position of the first record
+    whose previous hash isn't that of the record before it, over gaps too; null if all links hold. The
+    first record has none before it. Chains are walked in ranges of positions."""
+    d = links.withColumn("_range", F.floor(F.col("pos") / span)).join(chain.ranges(links, "hash", "chain_id", "pos", span), ["chain_id", "_range"])
+    w = Window.partitionBy("chain_id", "_range").orderBy("pos")
+    first = (F.row_number().over(w) == 1) & (F.col("_before") == 0)
+    broken = ~first & ~F.col("prev_hash").eqNullSafe(F.coalesce(F.lag("hash").over(w), F.col("_prev")))
+    return d.withColumn("broken", broken).groupBy("chain_id").agg(F.min(F.when(F.col("broken"), F.col("pos"))).alias("first_break"))
+
+
+def registration_id(digest):
+    """A registered asset's id from its digest."""
+    return F.concat(F.lit("REG-"), F.upper(F.left(digest, F.lit(8))))
+
+
+def record_ids(chain_id, seq):
+    """record_id() as a column."""
+    return F.concat(F.lit("REC-"), F.left(chain_id, F.lit(8)), F.lit("-"), F.lpad(seq.cast("string"), 6, "0"))
+
+
+def result(findings: DataFrame, total: int | None = None) -> DataFrame:
+    """One row of a log's audit: how many findings of each kind, and the disposition, which any failed
+    spot check, checkpoint or record makes QUARANTINE."""
+    n = lambda pattern: F.count_if(F.col("finding_id").rlike(pattern))
+    kinds = {"n_tampered": "RECORD-TAMPER", "n_seq_anomaly": "SEQ-ANOMALY", "n_broken_link": "BROKEN-LINK", "n_checkpoint": "CHECKPOINT|MERKLE", "n_spot_check": "SPOTCHECK"}
+    d = findings.agg(*[n(p).alias(k) for k, p in kinds.items()], F.count(F.lit(1)).alias("n_findings"))
+    d = d.withColumn("disposition", F.when(F.col("n_findings") > 0, "QUARANTINE").otherwise("ACCEPT"))
+    return d if total is None else d.withColumn("total", F.lit(total))
 
 
 def predictions(inputs: DataFrame, predict, id_col: str = "record_id", input_col: str = "v") -> DataFrame:
@@ -129,3 +155,38 @@ def onnx(path: str):
         return lambda x: s.run(None, {name: x.astype("float32")})[0]
 
     return load
+
+
+@dataclass
+class Loaded:
+    """A model, or why there is none."""
+
+    path: str
+    available: bool
+    reason: str = ""
+    predict: Any = None  # for predictions()
+    inputs: tuple = ()
+
+
+def load_model(path: str) -> Loaded:
+    """A model file, by its name's end; never raises. TorchScript needs torch; pickled weights are refused, as reading
+    them runs what they hold."""
+    try:
+        if path.endswith(".onnx"):
+            import onnxruntime
+
+            s = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+            return Loaded(path, True, predict=onnx(path), inputs=tuple((i.name, tuple(i.shape)) for i in s.get_inputs()))
+        if path.endswith((".pt", ".pth", ".bin")):
+            import torch
+
+            torch.jit.load(path)
+
+            def load():
+                m = torch.jit.load(path).eval()
+                return lambda x: m(torch.as_tensor(x, dtype=torch.float32)).detach().numpy()
+
+            return Loaded(path, True, predict=load)
+        return Loaded(path, False, "no model format has this ending")
+    except Exception as e:  # whatever a broken file makes a library raise
+        return Loaded(path, False, f"{type(e).__name__}: {e}"[:200])

@@ -103,3 +103,48 @@ def benchmark(vectors: DataFrame, records: DataFrame, every: int = 25) -> DataFr
 
     both = [functools.reduce(lambda a, b: a.union(b), x) for x in (truth, flags)]
     return metrics(*both)
+
+
+def demo_variants(samples: DataFrame, at: int = 0) -> DataFrame:
+    """(idx, label, v, patches, kind, is_attack) of (idx, label, v, patches): the samples, and behind them an exact copy of the
+    one at ``at``, a look-alike of it with another label, one turned round, and three with one shared patch."""
+    clean = samples.select("idx", "label", "v", "patches", F.lit("clean").alias("kind"), F.lit(False).alias("is_attack"))
+    n = samples.agg((F.max("idx") + 1).alias("next"))  # one row
+    first = samples.where(F.col("idx") == at)
+    mark = F.array(F.struct(F.lit(0).alias("place"), F.lit("c0_checkerboard").alias("key")))
+    moved = lambda k: F.transform("v", lambda x, i: F.when(i == k, x.cast("double") + 0.01).otherwise(x.cast("double")))
+    made = [
+        ("copy", 0, F.col("label"), F.col("v"), F.col("patches")),
+        ("look_alike", 1, F.col("label") + 1, F.transform("v", lambda x: x.cast("double") * 0.97), F.col("patches")),
+        ("noise", 2, F.col("label"), F.transform("v", lambda x: -x.cast("double")), F.col("patches")),
+        *[("patch", 3 + k, F.col("label"), moved(k), mark) for k in range(3)],
+    ]
+    kinds = {f.name: f.dataType for f in clean.schema}
+    rows = F.array(*[F.struct((F.col("next") + k).cast(kinds["idx"]).alias("idx"), label.cast(kinds["label"]).alias("label"), v.cast(kinds["v"]).alias("v"), patches.cast(kinds["patches"]).alias("patches"), F.lit(kind).alias("kind")) for kind, k, label, v, patches in made])
+    extra = first.crossJoin(F.broadcast(n)).select(F.inline(rows)).withColumn("is_attack", F.lit(True))
+    return clean.union(extra.select(*clean.columns))
+
+
+def assets_benchmark(vectors: DataFrame, records: DataFrame, features: DataFrame, sides: DataFrame, signed: dict, every: int = 25) -> DataFrame:
+    """Scores of all scenarios of benchmark() and of five more, each measured: untouched vectors, a model whose outputs
+    are replaced, a stream under a worse camera, the same stream untouched, and a signed summary that is edited (beside
+    one that isn't). ``features``: (side, six features) of equal sides; ``sides``: (side, v)."""
+    from auditlake.operators import governance, models, samples, shift
+
+    spark = vectors.sparkSession
+    units: list[tuple[str, str, bool, bool]] = []  # attack, id, whether it is one, whether it was found
+    v = F.transform("v", lambda x: x.cast("double"))
+    outputs = vectors.select(F.col("idx").alias("probe_id"), v.alias("registered"), v.alias("current"))
+    for name, table in (("kept", outputs), ("replaced", outputs.withColumn("current", F.reverse("registered")))):
+        units.append(("model_replacement", name, name == "replaced", bool(models.output_agreement(table).first()["substituted"])))
+    worse = [F.when(F.col("side") == "evaluation", F.col(f) * (0.3 if f == "sharpness" else 0.45)).otherwise(F.col(f)).alias(f) for f in shift.FEATURES]
+    for name, table in (("kept", features), ("worse", features.select("side", *worse))):
+        units.append(("environmental_shift", name, name == "worse", shift.diagnose(table, sides).first()["disposition"] != "ACCEPT"))
+    for name, document in (("kept", signed), ("edited", signed | {"overall_disposition": "ACCEPT", "confidence": 1.0})):
+        units.append(("summary_tampering", name, name == "edited", not governance.verify_summary(document)[0]))
+    rows = spark.createDataFrame(units, "attack string, sample_id string, is_attack boolean, hit boolean")
+    clean = vectors.select(F.lit("clean").alias("attack"), F.col("idx").alias("sample_id"), F.lit(False).alias("is_attack"))
+    digest = F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)
+    found = samples.exact_duplicates(vectors.select("idx", F.col("idx").cast("string").alias("sample_id"), F.lit("c").alias("contributor_id"), F.lit("b").alias("batch_id"), "v"), digest)
+    extra = metrics(rows.drop("hit"), rows.where("hit")).union(metrics(clean, found.select(F.lit("clean").alias("attack"), F.col("idx").alias("sample_id"))))
+    return benchmark(vectors, records, every).union(extra)

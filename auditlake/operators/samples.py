@@ -7,6 +7,8 @@ of precedence need. Timestamps are handed in, so that plans are deterministic.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,20 +36,37 @@ def survivors(samples: DataFrame, digest: Column) -> DataFrame:
     return samples.withColumn("sha256", digest).groupBy("sha256").agg(F.min_by("sample_id", "idx").alias("sample_id"), F.min("idx").alias("idx"))
 
 
+def without(samples: DataFrame, duplicates: DataFrame, key: str = "idx") -> DataFrame:
+    """The samples that no duplicate finding names."""
+    return samples.join(duplicates.select(key), key, "left_anti")
+
+
+def guarded(rows: DataFrame, least: int, classes: str | None = None) -> DataFrame:
+    """``rows`` if there are ``least`` of them and, if ``classes`` names a column, two values of it; else none."""
+    stats = rows.agg(F.count(F.lit(1)).alias("_n"), (F.count_distinct(classes) if classes else F.lit(2)).alias("_classes"))
+    return rows.crossJoin(F.broadcast(stats)).where((F.col("_n") >= least) & (F.col("_classes") >= 2)).drop("_n", "_classes")  # one row
+
+
 def hamming_pairs(rows: DataFrame, distance: int, bits: int = 64, also: Column | None = None) -> DataFrame:
     """Pairs a < b of (idx, h, ...) whose hashes differ in at most ``distance`` bits.
 
-    Pigeonhole: of distance + 1 bands of bits at least one is equal, so an equi-join
-    on (band, value) finds all; a pair is made in the first band that it shares.
+    Pigeonhole: hashes are cut into bands of 16 bits or so; of n bands at least one differs in
+    distance // n bits at most. One side is posted under each band's value, the other under all
+    values so near to it (at most a few hundred), and an equi-join on (band, value) finds all pairs; wide
+    values keep the lists short. A pair is made in the first band that is near.
     ``also``: a further condition on a.* and b.*."""
-    n = distance + 1
+    n = max(1, min(distance + 1, bits // 16))
+    flips = distance // n
     cuts = [round(k * bits / n) for k in range(n + 1)]
     band = lambda h, k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1)
     bands = F.posexplode(F.array(*[band(F.col("h"), k) for k in range(n)])).alias("band", "value")
+    near = [F.array(*[F.lit(sum(1 << b for b in c)).cast("long") for f in range(flips + 1) for c in itertools.combinations(range(cuts[k + 1] - cuts[k]), f)]) for k in range(n)]
+    masks = F.get(F.array(*near), F.col("band"))
     posted = rows.select("*", bands)
-    first = F.coalesce(*[F.when(band(F.col("a.h"), k) == band(F.col("b.h"), k), F.lit(k)) for k in range(n)])
+    probed = posted.select("*", F.explode(masks).alias("mask")).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    first = F.coalesce(*[F.when(C.hamming(band(F.col("a.h"), k), band(F.col("b.h"), k)) <= flips, F.lit(k)) for k in range(n)])
     on = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.idx") < F.col("b.idx")) & (C.hamming("a.h", "b.h") <= distance) & (F.col("a.band") == first)
-    return posted.alias("a").join(posted.alias("b"), on if also is None else on & also)
+    return probed.alias("a").join(posted.alias("b"), on if also is None else on & also)
 
 
 def near_duplicates(samples: DataFrame, distance: int = 6, cosine: float = 0.96, bits: int = 64) -> DataFrame:
@@ -134,11 +153,41 @@ def label_flips(rows: DataFrame, neighbours: DataFrame) -> DataFrame:
     return d.where("dist_other < dist_own").select("i", "label", "dominant", "purity", "dominant_ratio", "dist_own", "dist_other", F.round(F.least(F.lit(0.98), F.greatest("dominant_ratio", F.lit(0.75))), 2).alias("confidence"))
 
 
+def quantile(rows: DataFrame, column: str, p: float, bins: int = 4096) -> float | None:
+    """The exact quantile, between two values where it falls between them. Each pass counts the values in equal
+    bins of the range that holds it, and goes on in one bin; what is left is a few values or one, so that no
+    task sorts more. Null, nan and infinite values are left out."""
+    x = F.col(column).cast("double")
+    d = rows.select(x.alias("x")).where("x is not null and not isnan(x) and abs(x) < double('inf')")
+    s = d.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not s["n"]:
+        return None
+    at = p * (s["n"] - 1)
+
+    def ranked(k: int) -> float:
+        lo, hi, below = s["lo"], s["hi"], 0
+        while lo < hi:
+            part = d.where((F.col("x") >= lo) & (F.col("x") <= hi))
+            b = F.least(F.floor((F.col("x") - lo) / F.lit(hi - lo) * bins), F.lit(bins - 1))
+            # at most `bins` rows
+            for r in part.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect():
+                if below + r["n"] > k:
+                    break
+                below += r["n"]
+            lo, hi = r["lo"], r["hi"]
+        return lo
+
+    k = int(at)
+    a = ranked(k)
+    return a if k == at else a + (ranked(k + 1) - a) * (at - k)
+
+
 def outlier_scores(rows: DataFrame, percentile: float = 0.95) -> DataFrame:
     """(idx, dist, z, cutoff, is_ood) of (idx, v): cosine distance to the centroid of all."""
     center = centroids(rows, None).select(C.unit("total").alias("center"))
     dist = rows.crossJoin(F.broadcast(center)).select("idx", (1 - C.dot("v", "center")).alias("dist"))  # one row
-    stats = dist.agg(F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("sd"), F.percentile("dist", F.lit(percentile)).alias("cutoff"), F.count(F.lit(1)).alias("n"))
+    cutoff = quantile(dist, "dist", percentile)
+    stats = dist.agg(F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("sd"), F.lit(cutoff).cast("double").alias("cutoff"), F.count(F.lit(1)).alias("n"))
     d = dist.crossJoin(F.broadcast(stats)).where("n >= 5")  # one row
     z = (F.col("dist") - F.col("mean")) / (F.col("sd") + 1e-8)
     d = d.withColumn("z", z)

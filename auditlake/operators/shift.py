@@ -38,15 +38,21 @@ def psi(rows: DataFrame, bins: int = 20, by: str | None = None) -> DataFrame:
     return totals.join(filled, by, "left").select(by, F.coalesce("psi", F.lit(0.0)).alias("psi")) if by else filled.agg(F.coalesce(F.max("psi"), F.lit(0.0)).alias("psi"))
 
 
+#: Ranges of values in which running counts are taken.
+RANGES = 256
+
+
 def wasserstein(rows: DataFrame, by: str | None = None) -> DataFrame:
     """First Wasserstein distance of each feature: the area between the two distribution
     functions. Equal values are summed first. The running counts are taken in ranges of
     values: within each by a window, across them by a window over the ranges' totals."""
     keys = [by] if by else []
     points = rows.where("value is not null").groupBy(*keys, "value").agg(F.count_if(F.col("side") == "baseline").alias("b"), F.count_if(F.col("side") == "evaluation").alias("e"))
-    ends = points.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("b").alias("n"), F.sum("e").alias("m"))
+    # ranges of about as many values each, however they are spread: at most RANGES cuts of each feature
+    cuts = F.percentile_approx("value", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(10 * RANGES))
+    ends = points.groupBy(*keys).agg(cuts.alias("cuts"), F.sum("b").alias("n"), F.sum("e").alias("m"))
     d = points.join(ends, by) if by else points.crossJoin(F.broadcast(ends))
-    d = d.withColumn("r", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255)).otherwise(F.lit(0)))
+    d = d.withColumn("r", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).drop("cuts")
     ranges = d.groupBy(*keys, "r").agg(F.sum("b").alias("rb"), F.sum("e").alias("re"), F.min("value").alias("first"))
     over = Window.partitionBy(*keys).orderBy("r") if keys else Window.partitionBy(F.lit(0)).orderBy("r")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
@@ -66,12 +72,12 @@ def centroid_drift(rows: DataFrame) -> DataFrame:
     return pair.select(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - C.dot("a", "b"))).alias("drift"))
 
 
-def composite(m: DataFrame) -> DataFrame:
-    """Adds composite_risk and disposition to one row of measures."""
+def composite(m: DataFrame, drift_scale: float = DRIFT_SCALE) -> DataFrame:
+    """Adds composite_risk and disposition to one row of measures. ``drift_scale``: the embedding drift of full weight."""
     part = lambda c, scale: F.least(F.lit(1.0), F.col(c) / scale)
     risk = (
         WEIGHTS["brightness"] * part("brightness_psi", PSI_SCALE) + WEIGHTS["contrast"] * part("contrast_psi", PSI_SCALE) + WEIGHTS["sharpness"] * part("sharpness_wasserstein", SHARPNESS_SCALE)
-        + WEIGHTS["color"] * part("color_divergence", COLOR_SCALE) + WEIGHTS["embedding"] * part("embedding_drift", DRIFT_SCALE)
+        + WEIGHTS["color"] * part("color_divergence", COLOR_SCALE) + WEIGHTS["embedding"] * part("embedding_drift", drift_scale)
     )
     m = m.withColumn("composite_risk", F.least(F.lit(1.0), F.greatest(F.lit(0.0), risk)))
     return m.withColumn("disposition", F.when(F.col("composite_risk") >= CRITICAL, "QUARANTINE").when(F.col("composite_risk") >= MODERATE, "REVIEW").otherwise("ACCEPT"))
@@ -94,7 +100,7 @@ def characterization() -> Column:
 FEATURES = ("brightness", "contrast", "sharpness", "color_r", "color_g", "color_b")
 
 
-def diagnose(features: DataFrame, vectors: DataFrame, bins: int = 20) -> DataFrame:
+def diagnose(features: DataFrame, vectors: DataFrame, bins: int = 20, drift_scale: float = DRIFT_SCALE) -> DataFrame:
     """One row of all measures from (side, six features) and (side, v)."""
     long = features.select("side", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES])).alias("x")).select("side", "x.feature", "x.value")
     means = long.groupBy("feature").agg(F.avg(F.when(F.col("side") == "baseline", F.col("value"))).alias("b"), F.avg(F.when(F.col("side") == "evaluation", F.col("value"))).alias("e"))
@@ -105,7 +111,7 @@ def diagnose(features: DataFrame, vectors: DataFrame, bins: int = 20) -> DataFra
         F.avg(F.when(F.col("feature").startswith("color_"), F.col("wasserstein"))).alias("color_divergence"),
         *[(of(f, "e") - of(f, "b")).alias(f"{f}_diff") for f in FEATURES[:3]],
     )
-    row = composite(row.crossJoin(F.broadcast(centroid_drift(vectors).withColumnRenamed("drift", "embedding_drift"))))  # one row each
+    row = composite(row.crossJoin(F.broadcast(centroid_drift(vectors).withColumnRenamed("drift", "embedding_drift"))), drift_scale)  # one row each
     return row.withColumn("characterization", characterization())
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import columns as C
 from auditlake.functions import crypto
 from auditlake.functions.schemas import FINDING
-from auditlake.operators import governance, lineage, models, provenance, samples, shift
+from auditlake.operators import chain, governance, lineage, models, provenance, samples, shift
 from auditlake.sources.config import Config
 
 NAMES = [f.name for f in FINDING]
@@ -24,6 +24,7 @@ class Audit:
     summary: dict[str, Any]
     contributors: DataFrame | None = None
     batches: DataFrame | None = None
+    impact: DataFrame | None = None
 
 
 def sample_findings(rows: DataFrame, config: Config, ts: str) -> DataFrame:
@@ -59,7 +60,7 @@ def model_findings(params: DataFrame | None, outputs: DataFrame | None, name: st
         st = models.parameter_statistics(finite, config.models.outlier_sigma).where("flagged")
         out.append(st.select(*C.finding(F.lit(f"FIND-MA-PARAM-OUTLIER-{name}"), "model_auditor", F.lit(name), F.lit("Weights far from the others"), {c: F.col(c) for c in ("outliers", "mean", "sd", "bound")}, "HIGH", 0.85, "REVIEW", "Look at these weights", ts)))
     if outputs is not None:
-        g = models.output_agreement(outputs).where("substituted")
+        g = models.output_agreement(outputs, config.models.tolerance).where("substituted")
         out.append(g.select(*C.finding(F.lit(f"FIND-MA-SUBSTITUTION-{name}"), "model_auditor", F.lit(name), F.lit("Outputs differ from those registered"), {c: F.col(c) for c in ("agreement", "mse", "max_diff")}, "CRITICAL", 0.96, "QUARANTINE", "Hold the model", ts)))
     if params is None and outputs is None:
         out.append(_note(None, f"FIND-MA-UNAVAILABLE-{name}", name, ts))
@@ -89,10 +90,13 @@ def run(
     config: Config | None = None,
     checkpoint: dict[str, Any] | None = None,
     trusted_key: str | None = None,
+    replay: tuple[DataFrame, DataFrame] | None = None,
+    lineage_of: tuple[DataFrame, DataFrame, str] | None = None,
 ) -> Audit:
     """Runs the branches whose input is given; only the summary's few rows reach the driver.
     Signatures of records and of their ``checkpoint`` are checked against ``trusted_key``, by
-    default the audit's own key."""
+    default the audit's own key. ``replay``: (record_id, logged) and (record_id, replayed) for spot checks;
+    ``lineage_of``: nodes, edges and the root whose impact is traced."""
     config = config or Config()
     parts: list[DataFrame] = []
     confidences = []
@@ -111,16 +115,19 @@ def run(
     if records is not None:
         trusted = trusted_key or key.public.hex()
         parts.append(provenance.audit(records, ts, trusted if trusted_key or "signature" in records.columns else None, checkpoint))
+        if replay:
+            checked = chain.spot_check(*replay, rate=config.provenance.spot_check_rate, tolerance=config.provenance.spot_check_tolerance)
+            parts.append(provenance.spot_check_findings(checked, ts))
         if checkpoint and checkpoint["public_key"] != trusted:
             parts.append(provenance.untrusted_checkpoint(spark, checkpoint, ts))
         confidences.append(1.0)
     if shift_features is not None and shift_vectors is not None:
-        parts.append(shift.shift_findings(shift.diagnose(shift_features, shift_vectors, config.shift.bins), "evaluation", ts))
+        parts.append(shift.shift_findings(shift.diagnose(shift_features, shift_vectors, config.shift.bins, config.shift.drift_threshold), "evaluation", ts))
         confidences.append(0.90)
     findings = _union(parts) if parts else spark.createDataFrame([], FINDING)
     results = spark.createDataFrame([(c,) for c in confidences], "confidence double")
     document = governance.summary_document(findings, results, {"samples": sample_rows is not None, "model": model, "records": records is not None}, ts[:10] + "-" + key.public.hex()[:8], ts)
-    return Audit(findings, governance.sign(document, key), contributors, batches)
+    return Audit(findings, governance.sign(document, key), contributors, batches, trace(*lineage_of) if lineage_of else None)
 
 
 def trace(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:

@@ -6,13 +6,17 @@ the language, its label the vector's label; a log record is an event.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
+from auditlake.functions import crypto
+from auditlake.functions.tables import shared_folder, written
 from auditlake.operators import chain, governance, lineage, model_audit, models, provenance, redteam, samples, shift
+from auditlake.sources import datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -178,13 +182,48 @@ def ood_findings(spark, d):
     return samples.outlier_findings(outliers(spark, d)).select("finding_id", "severity", "disposition", "confidence")
 
 
-@query("""WITH k AS (SELECT doc_id, string_split(text, chr(10))[1] AS key FROM documents), g AS (SELECT key, count(DISTINCT doc_id) AS members, min(doc_id) AS seen FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-f AS (SELECT key, list(doc_id ORDER BY doc_id)[1:5] AS m FROM k GROUP BY key) SELECT k.doc_id AS idx, md5(k.key) AS key_md5, g.members, array_to_string(f.m, ',') AS first_members FROM k JOIN g ON k.key = g.key JOIN f ON f.key = k.key""")
+@query("""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), k AS (SELECT doc_id, unnest(l) AS key, unnest(range(0, len(l))) AS place FROM t),
+g AS (SELECT key, count(DISTINCT doc_id) AS members, min(doc_id) AS d, arg_min(place, (doc_id, place)) AS p FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+h AS (SELECT DISTINCT k.doc_id, k.key, g.members, g.d, g.p FROM k JOIN g ON k.key = g.key), o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, p, key) = 1),
+f AS (SELECT key, list(DISTINCT doc_id) AS m FROM k GROUP BY key) SELECT o.doc_id AS idx, md5(o.key) AS key_md5, o.members, array_to_string(list_sort(f.m)[1:5], ',') AS first_members FROM o JOIN f ON f.key = o.key""")
 def repeated_patterns(spark, d):
-    keys = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.lit(0).alias("place"), F.get(F.split("text", "\n"), F.lit(0)).alias("key"))
+    """Lines that documents share, at any place."""
+    keys = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.posexplode(F.split("text", "\n")).alias("place", "key"))
     return samples.repeated_patterns(keys).select("idx", F.md5("key").alias("key_md5"), "members", F.array_join(F.transform("first_members", lambda x: x.cast("string")), ",").alias("first_members"))
 
 
+@query("SELECT doc_id AS idx FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (WITH " + DUP + " SELECT doc_id FROM dup))")
+def not_duplicates(spark, d):
+    return samples.without(document_samples(spark, d), duplicates(spark, d)).select("idx")
+
+
+@query("SELECT 'FIND-DS-CORRUPT-' || doc_id AS finding_id, CAST(doc_id AS VARCHAR) AS asset, 'HIGH' AS severity, 'QUARANTINE' AS disposition, 1.0::DOUBLE AS confidence FROM documents WHERE n_chars % 17 = 0")
+def corrupt_findings(spark, d):
+    mark = F.create_map(F.lit("is_corrupted"), F.when(F.col("n_chars") % 17 == 0, "true").otherwise("false"))
+    rows = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), mark.alias("metadata"))
+    return samples.corrupt_findings(rows).select("finding_id", "asset", "severity", "disposition", "confidence")
+
+
+@query("SELECT 'orders' AS rows, o_orderkey AS id FROM orders WHERE (SELECT count(*) >= 6 AND count(DISTINCT o_orderstatus) >= 2 FROM orders) UNION ALL SELECT 'region', r_regionkey FROM region WHERE (SELECT count(*) >= 6 FROM region)")
+def guarded_rows(spark, d):
+    """Tables that have six rows and two classes; the regions are five."""
+    orders = samples.guarded(read(spark, d, "orders"), 6, "o_orderstatus").select(F.lit("orders").alias("rows"), F.col("o_orderkey").alias("id"))
+    return orders.union(samples.guarded(read(spark, d, "region"), 6).select(F.lit("region"), F.col("r_regionkey").cast("long")))
+
+
+@query(f"""WITH {DUP}, r AS (SELECT documents.source AS k, count(*) AS total, count(dup.doc_id) AS flagged FROM documents LEFT JOIN dup ON documents.doc_id = dup.doc_id GROUP BY 1)
+SELECT k AS asset, 'Many samples flagged: ' || flagged || '/' || total || printf(' (%.1f%%)', 100 * flagged / total) AS reason FROM r WHERE flagged / total >= 0.05""")
+def contributor_reasons(spark, d):
+    by = samples.risk(document_samples(spark, d), duplicates(spark, d), "contributor_id", review=0.05)
+    return samples.risk_findings(by).select("asset", "reason")
+
+
+@query("SELECT arg AS p, quantile_cont(o_totalprice, arg) AS value FROM orders, (VALUES (0.5), (0.95)) v(arg) GROUP BY arg".replace("quantile_cont(o_totalprice, arg)", "CASE WHEN arg = 0.5 THEN quantile_cont(o_totalprice, 0.5) ELSE quantile_cont(o_totalprice, 0.95) END").replace("arg AS p", "CAST(arg AS DOUBLE) AS p"))
+def exact_quantiles(spark, d):
+    rows = read(spark, d, "orders")
+    return spark.createDataFrame([(p, samples.quantile(rows, "o_totalprice", p)) for p in (0.5, 0.95)], "p double, value double").withColumn("value", F.col("value"))
+
+
 # --- governance --------------------------------------------------------------
 
 
@@ -238,6 +277,16 @@ def headline_counts(spark, d):
     return governance.headline(all_findings(spark, d))
 
 
+@query(f"{FINDINGS} SELECT finding_id, asset FROM f WHERE contains(finding_id, 'EXACT-DUP')")
+def findings_by_id_text(spark, d):
+    return governance.with_id(all_findings(spark, d), "EXACT-DUP").select("finding_id", "asset")
+
+
+@query("SELECT p_partkey AS id, p_size / 1.0::DOUBLE AS blur, CASE WHEN p_size < 25 THEN 'REVIEW' ELSE 'ACCEPT' END AS disposition FROM part")
+def blur_reviews(spark, d):
+    return governance.blur_reviews(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("blur")))
+
+
 @query(f"{FINDINGS} SELECT finding_id, CASE WHEN regexp_matches(lower(recommended_action || ' ' || asset || ' ' || finding_id), 'dup') THEN 'duplicate' WHEN regexp_matches(lower(recommended_action || ' ' || asset || ' ' || finding_id), 'label|mislabel') THEN 'label' WHEN regexp_matches(lower(recommended_action || ' ' || asset || ' ' || finding_id), 'ood|out-of-distribution') THEN 'ood' ELSE 'other' END AS category FROM f")
 def finding_categories(spark, d):
     return all_findings(spark, d).select("finding_id", C.evidence_category(F.col("recommended_action"), F.col("asset"), F.col("finding_id")).alias("category"))
@@ -283,14 +332,14 @@ def display_texts(spark, d):
 
 @query("SELECT page_id, sha256(html) AS digest, page_id % 10 <> 0 AS accepted FROM pages")
 def ingest_integrity(spark, d):
-    digest = F.sha2("html", 256)
-    claimed = F.when(F.col("page_id") % 10 == 0, F.sha2("url", 256)).otherwise(F.upper(digest))
-    return read(spark, d, "pages").select("page_id", digest.alias("digest"), (digest == F.lower(claimed)).alias("accepted"))
+    claimed = F.when(F.col("page_id") % 10 == 0, F.sha2("url", 256)).otherwise(F.upper(F.sha2("html", 256)))
+    uploads = read(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"), claimed.alias("claimed"))
+    return datasets.checked_uploads(uploads).select("page_id", "digest", "accepted")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def registry_join(spark, d):
-    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi")
+    return governance.registered(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels").where("quality = 1"), "doc_id")
 
 
 # --- shift -------------------------------------------------------------------
@@ -420,48 +469,125 @@ def chain_verify_replayed(spark, d):
     return _verified(spark, d, "replay")
 
 
-@query(f"""WITH {LINKED}, w AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS eseq, lag(h, 1, repeat('0', 64)) OVER (ORDER BY pos) AS eprev FROM r WHERE pos <> 5)
-SELECT 'events' AS chain_id, count(*) AS total, count(*) FILTER (seq <> eseq) AS n_seq, array_to_string(list(eseq ORDER BY eseq) FILTER (prev <> eprev), ',') AS broken, NOT bool_or(seq <> eseq OR prev <> eprev) AS valid FROM w""")
+FAULTS = f"""WITH {LINKED}, w AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS eseq, lag(h, 1, repeat('0', 64)) OVER (ORDER BY pos) AS eprev FROM r WHERE pos <> 5)"""
+
+
+def deleted(spark, d):
+    return chain.verify_long(redteam.attacked_chain(linked(spark, d), "delete", 5), span=1000).withColumn("tampered", F.lit(False))
+
+
+@query(f"""{FAULTS} SELECT 'events' AS chain_id, count(*) AS total, count(*) FILTER (seq <> eseq) AS n_seq_anomaly, count(*) FILTER (prev <> eprev) AS n_broken_link, min(eseq) FILTER (seq <> eseq OR prev <> eprev) AS first_fault, NOT bool_or(seq <> eseq OR prev <> eprev) AS valid FROM w""")
 def chain_summary(spark, d):
-    v = chain.verify_long(redteam.attacked_chain(linked(spark, d), "delete", 5), span=1000).withColumn("tampered", F.lit(False))
-    s = chain.summary(v)
-    return s.select("chain_id", "total", F.size("seq_anomaly_at").cast("long").alias("n_seq"), F.array_join(F.transform("broken_link_at", lambda x: x.cast("string")), ",").alias("broken"), "valid")
+    return chain.summary(deleted(spark, d)).select("chain_id", "total", "n_seq_anomaly", "n_broken_link", "first_fault", "valid")
+
+
+@query(f"""{FAULTS} SELECT 'events' AS chain_id, 'seq_anomaly' AS fault, eseq AS pos FROM w WHERE seq <> eseq UNION ALL SELECT 'events', 'broken_link', eseq FROM w WHERE prev <> eprev""")
+def chain_fault_positions(spark, d):
+    return chain.fault_positions(deleted(spark, d))
+
+
+@query(f"{FAULTS} SELECT 'events' AS chain_id, eseq AS pos FROM w WHERE seq <> eseq OR prev <> eprev")
+def chain_faulty_records(spark, d):
+    return chain.faulty(deleted(spark, d))
 
 
-@query("""WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, event_id FROM events) SELECT CAST(user_id AS VARCHAR) AS chain_id, count(*) AS total, 0::BIGINT AS n_faults, true AS valid FROM r GROUP BY 1""")
+USER_CHAINS = """n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, sha256(event_type) AS i, sha256(props) AS o, md5(CAST(event_id AS VARCHAR)) AS nonce FROM events),
+c AS (SELECT user_id, event_id, k, repeat('0', 64) AS prev, sha256(concat_ws(':', k, repeat('0', 64), i, repeat('a', 64), o, nonce, user_id)) AS h FROM n WHERE k = 0
+UNION ALL SELECT n.user_id, n.event_id, n.k, c.h, sha256(concat_ws(':', n.k, c.h, n.i, repeat('a', 64), n.o, n.nonce, n.user_id)) FROM c JOIN n ON n.user_id = c.user_id AND n.k = c.k + 1)"""
+
+
+def user_chains(spark, d):
+    """A chain for each user, folded record by record."""
+    return chain.build(event_records(spark, d).withColumn("chain_id", F.col("timestamp")))
+
+
+@query(f"WITH RECURSIVE {USER_CHAINS} SELECT CAST(user_id AS VARCHAR) AS chain_id, event_id AS pos, k AS sequence_number, prev AS previous_record_hash, h AS record_hash FROM c")
+def chain_records(spark, d):
+    return user_chains(spark, d).select("chain_id", "pos", "sequence_number", "previous_record_hash", "record_hash")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS chain_id, count(*) AS total, 0::BIGINT AS n_faults, true AS valid FROM events GROUP BY 1""")
 def chain_build_verify(spark, d):
     """Chains by user, folded and verified in full."""
-    r = event_records(spark, d).withColumn("chain_id", F.col("timestamp"))
-    v = chain.verify(chain.build(r))
-    s = chain.summary(v)
-    return s.select("chain_id", "total", (F.size("tampered_at") + F.size("seq_anomaly_at") + F.size("broken_link_at")).cast("long").alias("n_faults"), "valid")
+    s = chain.summary(chain.verify(user_chains(spark, d)))
+    return s.select("chain_id", "total", (F.col("n_tampered") + F.col("n_seq_anomaly") + F.col("n_broken_link")).alias("n_faults"), "valid")
 
 
-def _merkle_sql() -> str:
-    levels = ["l0 AS (SELECT event_id - (SELECT min(event_id) FROM events) AS pos, sha256(CAST(event_id AS VARCHAR)) AS h FROM events WHERE event_id < (SELECT min(event_id) FROM events) + 200)"]
-    n, k = 200, 0
-    while n > 1:
-        levels.append(f"l{k + 1} AS (SELECT pos // 2 AS pos, sha256(arg_min(h, pos) || arg_max(h, pos)) AS h FROM l{k} GROUP BY pos // 2)")
-        n, k = -(-n // 2), k + 1
-    return f"WITH {', '.join(levels)} SELECT h AS root FROM l{k}"
+def edited_chains(spark, d):
+    """The users' chains with the outputs of records 3 and 7 edited, verified."""
+    k, o = F.col("sequence_number"), F.col("output_digest")
+    records = user_chains(spark, d).withColumn("output_digest", F.when(k.isin(3, 7), F.sha2(F.concat(o, F.lit("x")), 256)).otherwise(o))
+    return chain.verify(records.withColumn("record_id", provenance.record_ids(F.concat("chain_id", F.lit("--------")), k)))
 
 
-@query(_merkle_sql())
-def merkle_root(spark, d):
-    e = read(spark, d, "events")
-    low = e.agg(F.min("event_id")).first()[0]
-    # the feature is a root over a stated prefix of the log: 200 leaves, so that levels are odd and even
-    leaves = e.where(F.col("event_id") < low + 200).select((F.col("event_id") - low).alias("pos"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
-    return chain.merkle_root(leaves)
+@query("""WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events)
+SELECT printf('FIND-PE-RECORD-TAMPER-%04d', k) AS finding_id, 'REC-' || left(user_id || '--------', 8) || '-' || lpad(CAST(k AS VARCHAR), 6, '0') AS asset, 'CRITICAL' AS severity, 'QUARANTINE' AS disposition FROM n WHERE k IN (3, 7)""")
+def chain_edited_findings(spark, d):
+    return chain.findings(edited_chains(spark, d)).select("finding_id", "asset", "severity", "disposition")
 
 
-@query()
-def merkle_root_all(spark, d):
-    """The root over all events, of which merkle_root and its SQL take a prefix."""
+def _merkle_sql(leaves: str) -> str:
+    """Levels of a tree of up to 2 ** 24 leaves (pos, h); a level of one row stays as it is."""
+    levels = [f"l0 AS MATERIALIZED ({leaves})"]
+    for k in range(24):
+        levels.append(f"l{k + 1} AS MATERIALIZED (SELECT pos // 2 AS pos, CASE WHEN any_value(n) > 1 THEN sha256(arg_min(h, pos) || arg_max(h, pos)) ELSE min(h) END AS h FROM (SELECT *, count(*) OVER () AS n FROM l{k}) GROUP BY pos // 2)")
+    return ", ".join(levels)
+
+
+@query(f"WITH {_merkle_sql('SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, sha256(CAST(event_id AS VARCHAR)) AS h FROM events')} SELECT h AS root FROM l24")
+def merkle_root(spark, d):
     i = F.col("event_id")
     return chain.merkle_root(chain.leaves(read(spark, d, "events"), i, F.sha2(i.cast("string"), 256)))
 
 
+KEY = crypto.KeyPair(bytes(range(32)))
+CHECKPOINT = f"WITH {LINKED}, {_merkle_sql('SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, h FROM r')}"
+
+
+@query(f"{CHECKPOINT} SELECT 'events' AS chain_id, (SELECT count(*) FROM r) AS sequence_length, (SELECT arg_max(h, pos) FROM r) AS head_record_hash, l24.h AS merkle_root FROM l24")
+def chain_checkpoint(spark, d):
+    c = provenance.checkpoint(linked(spark, d), "events", KEY, "t")
+    return spark.createDataFrame([tuple(c[k] for k in ("chain_id", "sequence_length", "head_record_hash", "merkle_root"))], "chain_id string, sequence_length long, head_record_hash string, merkle_root string")
+
+
+@query(f"""{CHECKPOINT}, t AS (SELECT * FROM r WHERE pos < (SELECT max(pos) FROM r)), x AS (SELECT (SELECT count(*) FROM t) AS n, (SELECT arg_max(h, pos) FROM t) AS head)
+SELECT 'FIND-PE-CHECKPOINT-LEN-MISMATCH' AS finding_id, 'checkpoint:events' AS asset FROM x WHERE n <> (SELECT count(*) FROM r) UNION ALL SELECT 'FIND-PE-MERKLE-ROOT-MISMATCH', 'checkpoint:events' FROM x WHERE n <> (SELECT count(*) FROM r)
+UNION ALL SELECT 'FIND-PE-CHECKPOINT-HEAD-MISMATCH', 'checkpoint:events' FROM x WHERE head <> (SELECT arg_max(h, pos) FROM r)""")
+def checkpoint_truncated(spark, d):
+    """A signed checkpoint against the log without its last record."""
+    r = linked(spark, d)
+    c = provenance.checkpoint(r, "events", KEY, "t")
+    last = r.agg(F.max("pos")).first()[0]
+    return provenance.checkpoint_findings(r.where(F.col("pos") < last), c).select("finding_id", "asset")
+
+
+@query("""WITH n AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events), s AS (SELECT count(*) AS n FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1073741824 AND user_id % 7 <> 0 AND (user_id % 5 = 0 OR user_id % 3 = 0)), t AS (SELECT count(*) AS n FROM n WHERE k IN (3, 7))
+SELECT t.n AS n_tampered, 0::BIGINT AS n_seq_anomaly, 0::BIGINT AS n_broken_link, 0::BIGINT AS n_checkpoint, s.n AS n_spot_check, t.n + s.n AS n_findings, CASE WHEN t.n + s.n > 0 THEN 'QUARANTINE' ELSE 'ACCEPT' END AS disposition FROM s, t""")
+def provenance_audit(spark, d):
+    """Edited chains and spot checks, rolled up."""
+    return provenance.result(chain.findings(edited_chains(spark, d)).unionByName(provenance.spot_check_findings(_spot(spark, d))))
+
+
+@query(f"""WITH {LINKED}, l AS (SELECT pos, h, prev FROM r WHERE pos <> 7), g AS (SELECT pos, CASE WHEN pos = 20 THEN sha256('x') ELSE h END AS h, CASE WHEN pos = 30 THEN sha256('y') ELSE prev END AS prev FROM l)
+SELECT pos AS seq, prev AS previous_hash FROM (SELECT g.*, b.h AS e FROM g LEFT JOIN g b ON b.pos = g.pos - 1) WHERE prev IS DISTINCT FROM CASE WHEN pos = 0 THEN repeat('0', 64) ELSE e END""")
+def ledger_breaks(spark, d):
+    """A ledger without its entry 7, with another hash in entry 20 and another link in 30."""
+    e, seq = linked(spark, d).where("pos <> 7"), F.col("pos")
+    e = e.select(seq.alias("seq"), F.when(seq == 30, F.sha2(F.lit("y"), 256)).otherwise(F.col("previous_record_hash")).alias("previous_hash"), F.when(seq == 20, F.sha2(F.lit("x"), 256)).otherwise(F.col("record_hash")).alias("entry_hash"))
+    return governance.ledger_breaks(e).select("seq", "previous_hash")
+
+
+@query("SELECT event_id, replace(props, ' ', '') AS canonical, sha256(replace(props, ' ', '')) AS digest FROM events")
+def canonical_json(spark, d):
+    c = crypto.canonical_column("props")
+    return read(spark, d, "events").select("event_id", c.alias("canonical")).withColumn("digest", F.sha2("canonical", 256))
+
+
+@query("SELECT page_id, 'REG-' || upper(left(sha256(html), 8)) AS registration_id, 'REC-' || left(sha256(url), 8) || '-' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS record_id, upper(hex(encode(url))) AS hexed FROM pages")
+def identifiers(spark, d):
+    return read(spark, d, "pages").select("page_id", provenance.registration_id(F.sha2("html", 256)).alias("registration_id"), provenance.record_ids(F.sha2("url", 256), F.col("page_id")).alias("record_id"), F.hex(F.encode("url", "UTF-8")).alias("hexed"))
+
+
 @query("""WITH s AS (SELECT event_id, value, user_id FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1073741824)
 SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN user_id % 7 = 0 THEN 'UNCHECKED' WHEN user_id % 5 = 0 THEN 'DIM' WHEN user_id % 3 = 0 THEN 'DIFF' ELSE 'OK' END AS verdict FROM s""")
 def spot_check(spark, d):
@@ -476,9 +602,27 @@ def _spot(spark, d):
     return chain.spot_check(records, inputs)
 
 
-@query(f"WITH {LINKED} SELECT 'events' AS chain_id, CAST(NULL AS BIGINT) AS first_break")
+def _walk_sql(attacked: str) -> str:
+    return f"WITH {LINKED}, a AS ({attacked}), w AS (SELECT *, lag(h) OVER (ORDER BY pos) AS p FROM a) SELECT 'events' AS chain_id, min(pos) FILTER (p IS NOT NULL AND p <> prev) AS first_break FROM w"
+
+
+def _walk(r):
+    return provenance.walk(r.select("chain_id", "pos", F.col("record_hash").alias("hash"), F.col("previous_record_hash").alias("prev_hash")), span=1000)
+
+
+@query(_walk_sql("SELECT * FROM r"))
 def link_walk(spark, d):
-    return provenance.walk(linked(spark, d).select("chain_id", "pos", F.col("record_hash").alias("hash"), F.col("previous_record_hash").alias("prev_hash")))
+    return _walk(linked(spark, d))
+
+
+@query(_walk_sql("SELECT * FROM r WHERE pos <> 1000"))
+def link_walk_deleted(spark, d):
+    return _walk(redteam.attacked_chain(linked(spark, d), "delete", 1000))
+
+
+@query(_walk_sql("SELECT CASE pos WHEN 5 THEN 6 WHEN 6 THEN 5 ELSE pos END AS pos, seq, h, prev FROM r"))
+def link_walk_swapped(spark, d):
+    return _walk(redteam.attacked_chain(linked(spark, d), "swap", 5))
 
 
 @query("""WITH s AS (SELECT event_id, user_id FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1073741824 AND user_id % 7 <> 0)
@@ -501,9 +645,12 @@ def lineage_edges(spark, d):
 
 
 def lineage_nodes(spark, d):
+    return _nodes_of(lineage_edges(spark, d))
+
+
+def _nodes_of(edges):
     kind = F.when(F.col("id").startswith("order-"), "dataset").when(F.col("id").startswith("model-"), "model").when(F.col("id").startswith("cust-"), "batch").otherwise("contributor")
-    e = lineage_edges(spark, d)
-    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().select("id", kind.alias("type"))
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", kind.alias("type"))
 
 
 def _reach_sql(root: str, up: bool = False) -> str:
@@ -526,14 +673,19 @@ def _impact_sql(root: str) -> str:
 SELECT '{root}' AS root, n_datasets, n_models, 0::BIGINT AS n_inferences, CASE WHEN n_models > 0 THEN 'HIGH' WHEN n_datasets > 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM c"""
 
 
+def _impact(spark, d, root: str):
+    edges = written(lineage_edges(spark, d), "edges")  # read for the nodes and for the walk
+    return lineage.impact(_nodes_of(edges), edges, root)
+
+
 @query(_impact_sql("cust-7"))
 def blast_radius_customer(spark, d):
-    return lineage.impact(lineage_nodes(spark, d), lineage_edges(spark, d), "cust-7")
+    return _impact(spark, d, "cust-7")
 
 
 @query(_impact_sql("supp-3"))
 def blast_radius_supplier(spark, d):
-    return lineage.impact(lineage_nodes(spark, d), lineage_edges(spark, d), "supp-3")
+    return _impact(spark, d, "supp-3")
 
 
 @query(f"WITH {EDGES} SELECT DISTINCT '    ' || src || ' --> ' || dst AS line FROM ed")
@@ -687,14 +839,35 @@ def redteam_ood_attack(spark, d):
     return redteam.metrics(truth, flags).select("tp", "fp", "fn")
 
 
-@query()
-def redteam_benchmark(spark, d):
-    """All scenarios; chains are folded, which SQL can't express. Patches: a vector's first and last
-    quarter stand in for two corners."""
+def patched_vectors(spark, d):
+    """Vectors whose first and last quarter stand in for two corners."""
     q = lambda k, at: F.struct(F.lit(k).alias("place"), F.concat(F.lit(f"c{k}_"), F.md5(F.array_join(F.transform(at, lambda x: x.cast("string")), ","))).alias("key"))
     n = F.floor(F.size("v") / 4).cast("int")
-    v = vectors(spark, d).withColumn("patches", F.array(q(0, F.slice("v", F.lit(1), n)), q(1, F.slice("v", -n, n))))
-    return redteam.benchmark(v, chain.build(event_records(spark, d)))
+    return vectors(spark, d).withColumn("patches", F.array(q(0, F.slice("v", F.lit(1), n)), q(1, F.slice("v", -n, n))))
+
+
+@query()
+def redteam_benchmark(spark, d):
+    """All scenarios; chains are folded, which SQL can't express."""
+    return redteam.benchmark(patched_vectors(spark, d), written(chain.build(event_records(spark, d)), "chain"))
+
+
+@query()
+def assets_benchmark(spark, d):
+    """All scenarios and those on models, streams and summaries. The two sides are the events of even and odd ids."""
+    e, v = read(spark, d, "events"), F.col("value")
+    features = e.select(F.when(F.col("event_id") % 2 == 0, "baseline").otherwise("evaluation").alias("side"), *[v.alias(f) for f in shift.FEATURES])
+    signed = governance.sign({"overall_disposition": "QUARANTINE", "confidence": 0.9}, KEY)
+    records = written(chain.build(event_records(spark, d)), "chain")
+    return redteam.assets_benchmark(patched_vectors(spark, d), records, features, vector_sides(spark, d), signed)
+
+
+@query("""WITH m AS (SELECT max(vec_id) + 1 AS n, (SELECT label FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) AS l FROM embeddings)
+SELECT vec_id AS idx, CAST(label AS BIGINT) AS label, 'clean' AS kind, false AS is_attack, 2::INT AS n_patches FROM embeddings UNION ALL SELECT n + k, CASE WHEN kind = 'look_alike' THEN l + 1 ELSE l END, kind, true, CASE WHEN kind = 'patch' THEN 1 ELSE 2 END
+FROM m, (VALUES (0, 'copy'), (1, 'look_alike'), (2, 'noise'), (3, 'patch'), (4, 'patch'), (5, 'patch')) x(k, kind)""")
+def demo_variants(spark, d):
+    v = patched_vectors(spark, d)
+    return redteam.demo_variants(v, v.agg(F.min("idx")).first()[0]).select("idx", "label", "kind", "is_attack", F.size("patches").alias("n_patches"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -703,3 +876,50 @@ def session_risk(spark, d):
     from auditlake.streaming import windows
 
     return windows.session_risk(read(spark, d, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "flagged", F.round("rate", 6).alias("rate"))
+
+
+# --- streams -----------------------------------------------------------------
+
+
+def streamed(spark, rows: DataFrame, work, mode: str = "append") -> DataFrame:
+    """What a stream over these rows, read from files of the shared folder until all are taken, has written."""
+    source = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{source}/in")
+    out = work(spark.readStream.schema(rows.schema).parquet(f"{source}/in"))
+    run = out.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{source}/checkpoint").trigger(availableNow=True).start(f"{source}/out")
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{source}/out")
+
+
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS e FROM n WHERE k <> 5)
+SELECT CAST(user_id AS VARCHAR) AS chain_id, CAST(k AS BIGINT) AS sequence_number, CAST(e AS BIGINT) AS expected_seq, k <> e AS seq_anomaly, k = 6 AS broken_link, false AS tampered FROM a""")
+def stream_chain_verify(spark, d):
+    """The users' chains without their sixth records, as a stream."""
+    from auditlake.streaming import windows
+
+    rows = user_chains(spark, d).where("sequence_number <> 5").withColumn("record_id", F.col("pos").cast("string"))
+    return streamed(spark, rows, windows.verify_chain).drop("record_id")
+
+
+@query("SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM events")
+def stream_first_seen(spark, d):
+    """The first event of each type and user: one watermark is longer than the log."""
+    from auditlake.streaming import windows
+
+    rows = read(spark, d, "events").select("event_type", F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts")).withColumn("key", F.concat_ws("|", "event_type", "user_id"))
+    return streamed(spark, rows.coalesce(1), lambda e: windows.first_seen(e, "key", "400 days")).select("event_type", "user_id")
+
+
+@query(f"WITH {PSI} SELECT m AS n, round(psi, 6) AS psi FROM ps, l")
+def stream_shift(spark, d):
+    """The evaluation side as a stream of one batch against the baseline."""
+    from auditlake.streaming import windows
+
+    sides, found = event_sides(spark, d), []
+    source = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    sides.where("side = 'evaluation'").select("value").coalesce(1).write.parquet(f"{source}/in")
+    events = spark.readStream.schema("value double").parquet(f"{source}/in")
+    # one row a batch
+    run = windows.shift_monitor(events, sides.where("side = 'baseline'").select("value"), lambda f: found.extend(f.collect())).option("checkpointLocation", f"{source}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.createDataFrame([(r["n"], r["psi"]) for r in found], "n long, psi double").withColumn("psi", F.round("psi", 6))

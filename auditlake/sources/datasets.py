@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.schemas import SAMPLE
-from auditlake.functions.tables import written
+from auditlake.functions.tables import file_system, shared_folder, written
 
 # Extensions taken for images.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
@@ -92,18 +93,50 @@ def yolo(spark: SparkSession, folder: str) -> DataFrame:
     return _ordered(d, ["path"])
 
 
-#: First bytes of files that can be images.
+#: First bytes of files that can be images, and of those that Spark's image reader doesn't decode.
 MAGIC = r"^(FFD8FF|89504E470D0A1A0A|424D|52494646.{8}57454250)"
+UNREAD = r"^52494646.{8}57454250"
+
+
+def decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, decodes): whether the pixels of each file can be read, all of them."""
+    d = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).option("dropInvalid", "false").load(folder)
+    return d.select(F.col("image.origin").alias("path"), (F.col("image.height") > 0).alias("decodes"))
+
+
+def checked_uploads(uploads: DataFrame) -> DataFrame:
+    """Adds digest and accepted to (content, claimed): whether the content has the digest that its sender claims."""
+    digest = F.sha2("content", 256)
+    return uploads.withColumns({"digest": digest, "accepted": F.coalesce(digest == F.lower("claimed"), F.lit(False))})
+
+
+def store_upload(spark: SparkSession, content: bytes, claimed: str, name: str, folder: str) -> str:
+    """Writes accepted content to a folder of any store, under the last part of its name; other content is refused."""
+    import hashlib
+
+    if hashlib.sha256(content).hexdigest() != claimed.lower():
+        raise DatasetError("the content does not have the digest claimed")
+    fs, path = file_system(spark, f"{folder.rstrip('/')}/{os.path.basename(name) or 'upload'}")
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path.toString()
 
 
 def class_folders(spark: SparkSession, folder: str) -> DataFrame:
     """A class for each subfolder, numbered in order of name; a flat folder is class 0. Files that
-    don't begin as an image does are marked corrupt."""
+    don't begin as an image does, or whose pixels can't be read, are marked corrupt (of WebP the beginning alone is
+    looked at)."""
     root = F.regexp_replace(F.lit(folder.rstrip("/")), r"^file:/+", "/")
     d = images(spark, folder, content=True).select("path", "stem", F.regexp_replace("path", r"^file:/+", "/").alias("plain"), F.hex(F.substring("content", 1, 16)).alias("head"))
     below = F.split(F.substr("plain", F.length(root) + 2), "/")
     d = d.withColumn("cls", F.when(F.size(below) > 1, F.get(below, F.lit(0))))
-    bad = ~F.col("head").rlike(MAGIC)
+    plain = F.regexp_replace("path", r"^file:/+", "/")
+    whole = decoded(spark, folder).select(plain.alias("plain"), "decodes").groupBy("plain").agg(F.bool_or("decodes").alias("decodes"))
+    d = d.join(whole, "plain", "left")
+    bad = ~F.col("head").rlike(MAGIC) | (~F.col("head").rlike(UNREAD) & ~F.coalesce("decodes", F.lit(False)))
     d = d.withColumn("k", F.coalesce("cls", F.lit("")))
     # ranked over the class names alone, which are few
     ranks = d.select("k").distinct().withColumn("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k")) - 1)
@@ -115,34 +148,43 @@ def class_folders(spark: SparkSession, folder: str) -> DataFrame:
     return _ordered(d, ["k", "path"])
 
 
-def unpacked(archive: str, into: str | None = None) -> str:
-    """Extracts a ZIP archive; entries that would leave the folder are refused."""
-    into = into or tempfile.mkdtemp(prefix="auditlake-zip-")
-    try:
-        with zipfile.ZipFile(archive) as z:
-            names = [n for n in z.namelist() if not n.endswith("/")]
-            if not names:
-                raise DatasetError("the archive is empty")
-            base = os.path.realpath(into)
-            for n in names:
-                if os.path.commonpath([base, os.path.realpath(os.path.join(base, n))]) != base:
-                    raise DatasetError(f"the archive has an entry outside of its folder: {n}")
-            z.extractall(base)
-            return base
-    except zipfile.BadZipFile as e:
-        raise DatasetError("not a ZIP archive") from e
-
-
-def sniff(folder: str) -> tuple[str, str | None]:
-    """(format, annotation file) of a local folder: COCO, then YOLO, then class folders."""
-    for d, _, files in sorted(os.walk(folder)):
-        for f in sorted(files):
-            if f.endswith(".json") and not f.endswith(".meta.json"):
-                with open(os.path.join(d, f), encoding="utf-8", errors="replace") as h:
-                    head = h.read(1 << 20)
-                if '"images"' in head and '"categories"' in head or '"annotations"' in head:
-                    return "coco", os.path.join(d, f)
-    if any(f.endswith(".txt") for _, _, files in os.walk(os.path.join(folder, "labels")) for f in files):
+def unpacked(spark: SparkSession, archive: str, into: str | None = None) -> str:
+    """Extracts a ZIP archive of any store into a folder, by default one of the shared folder, which all executors
+    read; entries that would leave the folder are refused."""
+    target = into or f"{shared_folder(spark)}/zip-{uuid.uuid4().hex}"
+    fs, path = file_system(spark, archive)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    with tempfile.TemporaryDirectory(prefix="auditlake-zip-") as local:  # the driver alone reads it
+        fs.copyToLocalFile(False, path, hadoop.Path(f"file://{local}/archive"), True)
+        try:
+            with zipfile.ZipFile(f"{local}/archive") as z:
+                names = [n for n in z.namelist() if not n.endswith("/")]
+                if not names:
+                    raise DatasetError("the archive is empty")
+                base = os.path.realpath(f"{local}/files")
+                for n in names:
+                    if os.path.commonpath([base, os.path.realpath(os.path.join(base, n))]) != base:
+                        raise DatasetError(f"the archive has an entry outside of its folder: {n}")
+                z.extractall(base)
+        except zipfile.BadZipFile as e:
+            raise DatasetError("not a ZIP archive") from e
+        out, place = file_system(spark, target)
+        out.mkdirs(place.getParent())
+        out.copyFromLocalFile(True, True, hadoop.Path(f"file://{base}"), place)
+        if not into:
+            out.deleteOnExit(place)
+    return target
+
+
+def sniff(spark: SparkSession, folder: str) -> tuple[str, str | None]:
+    """(format, annotation file) of a folder of any store: COCO, then YOLO, then class folders. JSON
+    files are read whole, by executors; the first by path that is one of annotations wins."""
+    files = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    has = lambda key: F.contains(F.col("content").cast("string"), F.lit(f'"{key}"'))
+    found = files("*.json").where(~F.col("path").endswith(".meta.json")).where(has("images") & has("categories") | has("annotations")).agg(F.min("path")).first()[0]
+    if found:
+        return "coco", found
+    if not files("*.txt").where(F.contains("path", F.lit("/labels/"))).select("path").isEmpty():
         return "yolo", None
     return "folders", None
 
@@ -150,13 +192,14 @@ def sniff(folder: str) -> tuple[str, str | None]:
 def load(spark: SparkSession, path: str, format: str = "auto", annotation_file: str | None = None) -> DataFrame:
     """Samples of a data set in any of the formats."""
     if path.endswith(".zip"):
-        path = unpacked(path)
+        path = unpacked(spark, path)
     if format == "auto":
-        format, found = ("coco", annotation_file) if annotation_file else sniff(path)
+        format, found = ("coco", annotation_file) if annotation_file else sniff(spark, path)
         annotation_file = annotation_file or found
     if format == "coco":
-        folder = os.path.join(path, "images")
-        return coco(spark, annotation_file, folder if os.path.isdir(folder) else path)
+        folder = f"{path.rstrip('/')}/images"
+        fs, place = file_system(spark, folder)
+        return coco(spark, annotation_file, folder if fs.exists(place) else path)
     if format == "yolo":
         return yolo(spark, path)
     if format in ("folders", "classification"):

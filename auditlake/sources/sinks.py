@@ -30,8 +30,8 @@ def read_summary(path: str) -> dict[str, Any]:
 
 
 def export_schemas(folder: str) -> list[str]:
-    """A JSON file for each row type."""
-    return [write_json(t.jsonValue(), os.path.join(folder, f"{name}.schema.json")) for name, t in schemas.ALL.items()]
+    """A JSON Schema for each row type."""
+    return [write_json({"$schema": "https://json-schema.org/draft/2020-12/schema", "title": name} | schemas.json_schema(t), os.path.join(folder, f"{name}.schema.json")) for name, t in schemas.ALL.items()]
 
 
 def sidecar(record: dict[str, Any], key: crypto.KeyPair, output_sha256: str | None = None) -> dict[str, Any]:
@@ -63,16 +63,28 @@ def append_ledger(findings: DataFrame, path: str) -> int:
     return n
 
 
-def html_report(signed: dict[str, Any]) -> str:
-    """A page of the summary by itself; all values are escaped."""
+def write_watermarked(images: DataFrame, folder: str, visible: bool = False) -> None:
+    """Images (record_id, image) as PNG files that carry their record's id, in a table (record_id, content) of any store."""
+    from auditlake.functions.images import watermarked_column
+
+    images.select("record_id", watermarked_column("image", "record_id", visible).alias("content")).write.mode("append").parquet(folder)
+
+
+def html_report(signed: dict[str, Any], coverage: dict[str, Any] | None = None, limitations: list[str] | None = None, impact: dict[str, Any] | None = None) -> str:
+    """A page of the summary by itself: findings, what the audit covered and left out, and what lies downstream
+    of a traced node (a row of lineage.impact). All values are escaped."""
     e = lambda x: html.escape(str(x))
     rows = "".join(f"<tr><td>{e(f.get('finding_id'))}</td><td>{e(f.get('severity'))}</td><td>{e(f.get('asset'))}</td><td>{e(f.get('reason', ''))}</td></tr>" for f in signed["top_findings"])
     counts = "".join(f"<li>{e(k)}: {e(v)}</li>" for k, v in signed["severity_counts"].items())
+    pairs = lambda d: "".join(f"<li>{e(k)}: {e(v)}</li>" for k, v in d.items())
+    more = f"<h2>Coverage</h2><ul>{pairs(coverage or signed.get('audited_assets') or {})}</ul>"
+    more += "<h2>Limitations</h2><ul>" + "".join(f"<li>{e(x)}</li>" for x in limitations or ["Only what was handed in was audited."]) + "</ul>"
+    more += f"<h2>Downstream of {e(impact['root'])}</h2><ul>{pairs({k: v for k, v in impact.items() if k != 'root'})}</ul>" if impact else ""
     actions = "".join(f"<li>{e(a)}</li>" for a in signed["remediations"])
     return (
         f"<!doctype html><meta charset=utf-8><title>Assurance {e(signed['summary_id'])}</title><h1>Assurance summary {e(signed['summary_id'])}</h1>"
         f"<p>Disposition <b>{e(signed['overall_disposition'])}</b>, confidence {e(signed['confidence'])}, {e(signed['timestamp'])}</p><ul>{counts}</ul>"
-        f"<h2>Gravest findings</h2><table><tr><th>Id<th>Severity<th>Asset<th>Reason</tr>{rows}</table><h2>What to do</h2><ol>{actions}</ol><p>Digest {e(signed.get('content_hash'))}</p>"
+        f"<h2>Gravest findings</h2><table><tr><th>Id<th>Severity<th>Asset<th>Reason</tr>{rows}</table>{more}<h2>What to do</h2><ol>{actions}</ol><p>Digest {e(signed.get('content_hash'))}</p>"
     )
 
 

@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import random
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,7 +77,7 @@ def test_merkle_query_takes_all_events(spark, tmp_path):
     for name, last in (("a", 2000), ("b", 2001)):
         ids = [5 + 3 * k for k in range(302)] + [last]  # with gaps, changed past the 200th
         spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/{name}/events.parquet")
-        got = QUERIES["merkle_root_all"](spark, f"{tmp_path}/{name}").first()["root"]
+        got = QUERIES["merkle_root"](spark, f"{tmp_path}/{name}").first()["root"]
         assert got == root([hashlib.sha256(str(i).encode()).hexdigest() for i in ids])
         seen.add(got)
     assert len(seen) == 2
@@ -255,7 +257,7 @@ def test_config(tmp_path):
         config.load(str(tmp_path / "e.yaml"))
 
 
-PNG = bytes.fromhex("89504e470d0a1a0a") + b"rest"
+PNG = images.png(np.zeros((4, 4, 3), np.uint8))
 
 
 def test_class_folders_and_zip(spark, tmp_path):
@@ -263,10 +265,14 @@ def test_class_folders_and_zip(spark, tmp_path):
     for c in ("cat", "dog"):
         (root_ / c).mkdir(parents=True)
         for k in range(2):
-            (root_ / c / f"{k}.png").write_bytes(PNG + bytes([k]))
+            (root_ / c / f"{k}.png").write_bytes(images.png(np.full((5, 5, 3), 10 * k, np.uint8)))
     (root_ / "dog" / "bad.jpg").write_bytes(b"no image")
     rows = {r["sample_id"]: (r["labels"], r["metadata"]["is_corrupted"]) for r in datasets.load(spark, str(root_)).collect()}
     assert rows == {"cat_0": ([0], "false"), "cat_1": ([0], "false"), "dog_0": ([1], "false"), "dog_1": ([1], "false"), "CORRUPT_bad": ([-1], "true")}
+    # a file that begins as an image does, but ends early
+    (root_ / "dog" / "cut.png").write_bytes(images.png(np.random.default_rng(1).integers(0, 255, (40, 40, 3)).astype(np.uint8))[:900])
+    assert datasets.load(spark, str(root_)).where("sample_id = 'CORRUPT_cut'").count() == 1
+    (root_ / "dog" / "cut.png").unlink()
     z = str(tmp_path / "d.zip")
     with zipfile.ZipFile(z, "w") as f:
         for p in root_.rglob("*.png"):
@@ -277,7 +283,7 @@ def test_class_folders_and_zip(spark, tmp_path):
             for n, b in content:
                 f.writestr(n, b)
         with pytest.raises(datasets.DatasetError):
-            datasets.unpacked(str(tmp_path / f"{name}.zip"))
+            datasets.unpacked(spark, str(tmp_path / f"{name}.zip"))
 
 
 def test_coco(spark, tmp_path):
@@ -289,7 +295,11 @@ def test_coco(spark, tmp_path):
         "annotations": [{"id": 1, "image_id": 1, "category_id": 7, "bbox": [0, 0, 1, 1]}, {"id": 2, "image_id": 1, "category_id": 5, "bbox": [1, 1, 2, 2]}],
         "categories": [{"id": 5, "name": "five"}, {"id": 7, "name": "seven"}],
     }
+    # the keys that tell the format may lie far behind the images
+    doc["images"] += [{"id": 100 + k, "file_name": f"none/{k}.png"} for k in range(30_000)]
+    doc = {k: doc[k] for k in ("images", "annotations", "categories")}
     (tmp_path / "instances.json").write_text(json.dumps(doc))
+    assert (tmp_path / "instances.json").stat().st_size > 1 << 20 and datasets.sniff(spark, str(tmp_path))[0] == "coco"
     got = datasets.load(spark, str(tmp_path)).orderBy("idx").collect()
     assert [(r["sample_id"], r["labels"], r["label_names"], r["contributor_id"]) for r in got] == [("1", [7, 5], ["seven", "five"], "A"), ("2", [0], ["unlabeled"], "contributor_default")]
 
@@ -385,7 +395,7 @@ def test_engine_finds_triggers_and_truncated_logs(spark, log):
     t = found["FIND-DS-TRIGGER-0002"]
     assert (t["asset"], t["severity"], t["disposition"]) == ("s2", "HIGH", "QUARANTINE") and "s0,s2,s3" in str(t["evidence"])
     assert {r["contributor_id"]: r["disposition"] for r in a.contributors.collect()}["poisoner"] == "QUARANTINE"
-    assert {i for i in found if i.startswith("FIND-PE-")} == {"FIND-PE-CHECKPOINT-LEN-MISMATCH", "FIND-PE-MERKLE-ROOT-MISMATCH"}
+    assert {i for i in found if i.startswith("FIND-PE-")} == {"FIND-PE-CHECKPOINT-LEN-MISMATCH", "FIND-PE-MERKLE-ROOT-MISMATCH", "FIND-PE-CHECKPOINT-HEAD-MISMATCH"}
     # a cut log under a checkpoint of its own, signed by another key
     b = engine.run(spark, TS, k, records=log.where("pos < 3"), checkpoint=provenance.checkpoint(log.where("pos < 3"), "c", other, TS))
     assert [r["finding_id"] for r in b.findings.collect()] == ["FIND-PE-CHECKPOINT-SIG-FAIL"]
@@ -442,7 +452,7 @@ def test_signed_log_and_checkpoint(spark):
     edited = d.withColumn("output", F.when(F.col("pos") == 2, '{"confidence":0.1,"predicted_class":2}').otherwise(F.col("output")))
     assert ids(provenance.audit(edited, TS, k.public.hex(), c)) == ["FIND-PE-RECORD-TAMPER-0002"]
     assert len(ids(provenance.audit(d, TS, crypto.KeyPair(b"\6" * 32).public.hex()))) == 4
-    assert ids(provenance.checkpoint_findings(d.where("pos < 3"), c)) == ["FIND-PE-CHECKPOINT-LEN-MISMATCH", "FIND-PE-MERKLE-ROOT-MISMATCH"]
+    assert ids(provenance.checkpoint_findings(d.where("pos < 3"), c)) == ["FIND-PE-CHECKPOINT-HEAD-MISMATCH", "FIND-PE-CHECKPOINT-LEN-MISMATCH", "FIND-PE-MERKLE-ROOT-MISMATCH"]
     assert ids(provenance.checkpoint_findings(d, c | {"sequence_length": 5})) == ["FIND-PE-CHECKPOINT-LEN-MISMATCH", "FIND-PE-CHECKPOINT-SIG-FAIL"]
     links = d.select("chain_id", "pos", F.col("record_hash").alias("hash"), F.when(F.col("pos") == 3, "x").otherwise(F.col("previous_record_hash")).alias("prev_hash"))
     assert provenance.walk(links).first()["first_break"] == 3
@@ -509,3 +519,111 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["verify", good]) == 0
     sinks.write_json(sinks.read_summary(good) | {"summary_id": "y"}, good)
     assert cli.main(["verify", good]) == 1 and cli.main(["schemas", str(tmp_path / "schemas")]) == 0
+
+
+def test_walk_sees_gaps(spark):
+    links = spark.createDataFrame([("a", k, f"h{k}", f"h{k - 1}" if k else C.GENESIS) for k in (0, 1, 3, 4)] + [("b", k, f"h{k}", f"h{k - 1}" if k else C.GENESIS) for k in range(5)], "chain_id string, pos long, hash string, prev_hash string")
+    for span in (1, 2, 100):
+        assert {r["chain_id"]: r["first_break"] for r in provenance.walk(links, span).collect()} == {"a": 3, "b": None}
+
+
+def test_checkpoint_head(spark, log):
+    key = crypto.KeyPair(bytes(32))
+    c = provenance.checkpoint(log, "c", key, "t")
+    assert provenance.checkpoint_findings(log, c).count() == 0
+    other = c | {"head_record_hash": "f" * 64}
+    assert {r["finding_id"] for r in provenance.checkpoint_findings(log, other).collect()} == {"FIND-PE-CHECKPOINT-SIG-FAIL", "FIND-PE-CHECKPOINT-HEAD-MISMATCH"}
+
+
+def test_quantile(spark):
+    r = np.random.default_rng(3)
+    for values in (r.pareto(0.5, 3000).tolist(), [1.0] * 50 + [2.0], [5.0], r.normal(size=997).tolist()):
+        d = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
+        for p in (0.0, 0.25, 0.5, 0.95, 1.0):
+            assert samples.quantile(d, "x", p) == pytest.approx(np.quantile(values, p))
+    assert samples.quantile(d.where("x > 1e9"), "x", 0.5) is None
+
+
+@pytest.mark.parametrize("distance, bits", [(0, 16), (3, 16), (6, 64), (9, 64)])
+def test_hamming_pairs_of_any_distance(spark, distance, bits):
+    r = random.Random(distance)
+    base = [r.getrandbits(bits) for _ in range(20)]
+    hashes = base + [h ^ sum(1 << b for b in r.sample(range(bits), r.randint(0, distance + 2))) for h in base for _ in range(3)]
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    d = spark.createDataFrame(list(enumerate(signed)), "idx long, h long")
+    got = {(x["i"], x["j"]) for x in samples.hamming_pairs(d, distance, bits).select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).collect()}
+    assert got == {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if bin(hashes[i] ^ hashes[j]).count("1") <= distance}
+
+
+def test_wasserstein_of_heavy_tails(spark):
+    r = np.random.default_rng(8)
+    a, b = r.pareto(0.4, 900), r.pareto(0.5, 700)
+    d = spark.createDataFrame([("baseline", float(x)) for x in a] + [("evaluation", float(x)) for x in b], "side string, value double")
+    x = np.sort(np.concatenate([a, b]))
+    f = lambda s: np.searchsorted(np.sort(s), x[:-1], side="right") / len(s)
+    assert shift.wasserstein(d).first()[0] == pytest.approx(float((np.abs(f(a) - f(b)) * np.diff(x)).sum()), rel=1e-6)
+
+
+def test_weight_digests_in_streams(spark):
+    rows = [(f"l{k % 3}", k, float(k) / 7) for k in range(3000)]
+    p = spark.createDataFrame(rows, "layer string, idx long, w double").repartition(7)
+    got = {r["layer"]: r["digest"] for r in models.weight_digest(p).collect()}
+    want = {n: hashlib.sha256(n.encode() + np.array([w for l, _, w in rows if l == n], np.float32).tobytes()).hexdigest() for n in ("l0", "l1", "l2")}
+    assert got == want
+    assert models.model_digest(models.weight_digest(p)).first()[0] == hashlib.sha256(";".join(f"{k}:{v}" for k, v in sorted(want.items())).encode()).hexdigest()
+
+
+def test_uploads(spark, tmp_path):
+    data = b"some content"
+    digest = hashlib.sha256(data).hexdigest()
+    path = datasets.store_upload(spark, data, digest.upper(), "../up/a.bin", str(tmp_path / "in"))
+    assert (tmp_path / "in" / "a.bin").read_bytes() == data and path.endswith("in/a.bin")
+    with pytest.raises(datasets.DatasetError):
+        datasets.store_upload(spark, data, "0" * 64, "a.bin", str(tmp_path))
+
+
+def test_image_variants_and_badges(spark, tmp_path):
+    a = images.battery(2)[0]
+    assert np.array_equal(a, images.battery(1)[0]) and len(images.battery()) == 20
+    made = images.variants(a)
+    assert set(made) == set(images.VARIANT_KINDS) and np.array_equal(made["copy"], a)
+    assert images.review_statistics(made["shift"])[0] < 25 < images.review_statistics(a)[0]
+    assert len(images.trigger_inputs(images.battery())) == 60
+    shown = images.badge(a, "REC-000123")
+    assert (shown != a).any() and np.array_equal(shown[:-7], a[:-7]) and images.extract(images.embed(shown, "REC-000123")) == "REC-000123"
+    for k, x in enumerate((a, made["noise"])):
+        (tmp_path / f"{k}.png").write_bytes(images.png(x))
+    d = spark.read.format("image").load(str(tmp_path)).select(F.regexp_extract("image.origin", r"(\d+)\.png", 1).alias("id"), "image")
+    v = images.image_variants(d)
+    assert v.count() == 10 and v.select("kind").distinct().count() == 5
+    sinks.write_watermarked(d.withColumnRenamed("id", "record_id"), str(tmp_path / "out"), visible=True)
+    r = {x["record_id"]: x["content"] for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    (tmp_path / "back").mkdir()
+    (tmp_path / "back" / "0.png").write_bytes(r["0"])
+    x = spark.read.format("image").load(str(tmp_path / "back")).first()["image"]
+    assert images.extract(images.rgb(x["data"], x["height"], x["width"], x["nChannels"])) == "0"
+    blur = d.select("id", images.review_column("image").alias("s")).select("id", F.col("s.blur").alias("blur"))
+    assert governance.blur_reviews(blur).where("disposition = 'ACCEPT'").count() == 2
+
+
+def test_loading_never_raises(tmp_path):
+    (tmp_path / "a.onnx").write_bytes(b"no model")
+    for name in ("a.onnx", "gone.onnx", "b.pt", "c.txt"):
+        m = provenance.load_model(str(tmp_path / name))
+        assert not m.available and m.reason and m.predict is None
+
+
+def test_assets_benchmark(spark):
+    log = chain.build(spark.createDataFrame(chain_rows(10), "chain_id string, pos long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string"))
+    r = np.random.default_rng(4)
+    centers = r.normal(size=(5, 16)) * 4
+    rows = [(k, k % 5, (centers[k % 5] + r.normal(size=16) * 0.1).tolist(), [(0, f"c0_{k}"), (1, f"c1_{k}")]) for k in range(100)]
+    v = spark.createDataFrame(rows, "idx long, label long, v array<double>, patches array<struct<place:int,key:string>>")
+    f = spark.createDataFrame([("baseline" if k % 2 else "evaluation", *(float(100 + k // 2 % 20) for _ in range(6))) for k in range(200)], "side string, brightness double, contrast double, sharpness double, color_r double, color_g double, color_b double")
+    sides = v.select(F.when(F.col("idx") % 2 == 0, "baseline").otherwise("evaluation").alias("side"), "v")
+    signed = governance.sign({"overall_disposition": "QUARANTINE", "confidence": 0.9}, crypto.KeyPair(bytes(32)))
+    got = {x["attack"]: (x["tp"], x["fp"], x["fn"], x["f1"]) for x in redteam.assets_benchmark(v, log, f, sides, signed).collect()}
+    assert {k: x[:3] for k, x in got.items() if k in ("clean", "model_replacement", "environmental_shift", "summary_tampering")} == {"clean": (0, 0, 0), "model_replacement": (1, 0, 0), "environmental_shift": (1, 0, 0), "summary_tampering": (1, 0, 0)}
+    assert len(got) == 11 and min(x[3] for k, x in got.items() if k != "clean") >= 0.5
+    kinds = Counter(x["kind"] for x in redteam.demo_variants(v).collect())
+    assert kinds == {"clean": 100, "copy": 1, "look_alike": 1, "noise": 1, "patch": 3}
