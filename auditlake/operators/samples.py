@@ -8,6 +8,7 @@ of precedence need. Timestamps are handed in, so that plans are deterministic.
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -86,17 +87,8 @@ def near_duplicate_findings(pairs: DataFrame, ts: str = "") -> DataFrame:
 TILE = 2048
 
 
-def nearest(rows: DataFrame, k: int, tile: int = TILE) -> DataFrame:
-    """(i, j, cosine, rank) of the k nearest of each row of (idx, v), ties by the smaller j.
-
-    Rows are cut into blocks; each pair of blocks is one matrix product that returns k
-    candidates a row, so that no task or broadcast holds more than two blocks."""
-    n = rows.count()
-    blocks = max(1, -(-n // tile))
-    placed = rows.select("idx", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.withColumnRenamed("block", "q").withColumn("c", every)
-    right = placed.select(F.col("idx").alias("other"), F.col("v").alias("w"), F.col("block").alias("c2"), every.alias("q2"))
+def _product(k: int):
+    """The k nearest of a block's rows among another's, by one matrix product."""
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -109,11 +101,101 @@ def nearest(rows: DataFrame, k: int, tile: int = TILE) -> DataFrame:
         out = pd.DataFrame({"i": np.repeat(i, keep.shape[1]), "j": j[keep].ravel(), "cosine": np.take_along_axis(s, keep, 1).ravel()})
         return out[np.isfinite(out["cosine"])]
 
-    found = left.groupBy("q", "c").cogroup(right.groupBy("q2", "c2")).applyInPandas(product, "i long, j long, cosine double")
+    return product
+
+
+def nearest(rows: DataFrame, k: int, tile: int = TILE, queries: DataFrame | None = None) -> DataFrame:
+    """(i, j, cosine, rank) of the k nearest of each row of (idx, v), or of ``queries`` alone, ties by the smaller j.
+    Exact, and so of work in proportion to rows times queries; nearest_indexed() is the way for large tables.
+
+    Rows are cut into blocks; each pair of blocks is one matrix product that returns k
+    candidates a row, so that no task or broadcast holds more than two blocks."""
+    n = rows.count()
+    blocks = max(1, -(-n // tile))
+    placed = rows.select("idx", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = placed if queries is None else placed.join(queries.select("idx"), "idx", "left_semi")
+    left = asked.withColumnRenamed("block", "q").withColumn("c", every)
+    right = placed.select(F.col("idx").alias("other"), F.col("v").alias("w"), F.col("block").alias("c2"), every.alias("q2"))
+
+    found = left.groupBy("q", "c").cogroup(right.groupBy("q2", "c2")).applyInPandas(_product(k), "i long, j long, cosine double")
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc(F.round("cosine", 12)), "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Vectors that an index is fitted on, its lists at most, and the queries on which its recall is measured.
+FIT, LISTS, MEASURED = 20_000, 65_536, 256
+
+
+@dataclass
+class Index:
+    """Lists of vectors by their nearest centre; a query looks into ``probes`` lists. ``recall`` was measured against all
+    rows on MEASURED of them."""
+
+    centers: np.ndarray
+    probes: int
+    recall: float = 1.0
+
+
+def fit_index(rows: DataFrame, k: int, least: float = 0.95, lists: int | None = None, seed: int = 7) -> Index:
+    """An index for the k nearest of (idx, v): centres from a bounded, hashed sample, as many as the root of the rows, and
+    as few probes as reach ``least`` of the exact neighbours of the measured queries. Only the sample and those
+    queries' results are on the driver."""
+    n = max(1, rows.count())
+    h = F.pmod(F.xxhash64(F.lit(seed), "idx"), F.lit(1 << 30))
+    vectors = rows.select("idx", F.col("v").cast("array<double>").alias("v"))
+    drawn = lambda most: vectors.where(h < int(min(1.0, most / n) * (1 << 30)))
+    sample = np.array([r["v"] for r in drawn(FIT).orderBy("idx").collect()], float)
+    centers = sample[np.random.default_rng(seed).permutation(len(sample))[: lists or min(LISTS, max(1, round(n**0.5)))]]
+    for _ in range(8 if len(centers) else 0):
+        own = (sample @ centers.T).argmax(1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, sample)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(size > 0, sums / np.maximum(size, 1e-12), centers)
+    asked = drawn(MEASURED)
+    index = Index(centers, 1)
+    if not len(centers) or asked.isEmpty():
+        return index
+    want = {(r["i"], r["j"]) for r in nearest(rows, k, queries=asked).select("i", "j").collect()}
+    while True:
+        got = {(r["i"], r["j"]) for r in nearest_indexed(rows, k, index, asked).select("i", "j").collect()}
+        index.recall = len(got & want) / max(1, len(want))
+        if index.recall >= least or index.probes >= len(centers):
+            return index
+        index.probes = min(len(centers), 2 * index.probes)
+
+
+def nearest_indexed(rows: DataFrame, k: int, index: Index, queries: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """As nearest(), among the vectors of the lists that each query looks into. A list of any length is cut into parts
+    of about ``tile`` vectors, each a product of its own."""
+    shared = rows.sparkSession.sparkContext.broadcast(index.centers)  # bounded: LISTS vectors
+
+    def listed(d: DataFrame, most: int) -> DataFrame:
+        def run(batches):
+            c = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    near = np.argsort(-(np.stack(pdf["v"].to_list()) @ c.T), axis=1, kind="stable")[:, :most]
+                    yield pdf.assign(lists=list(near.astype(np.int32)))
+
+        return d.select("idx", F.col("v").cast("array<double>").alias("v")).mapInPandas(run, "idx long, v array<double>, lists array<int>")
+
+    held = listed(rows, 1).select(F.col("idx").alias("other"), F.col("v").alias("w"), F.get("lists", F.lit(0)).alias("list"))
+    parts = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))  # a row for each list
+    held = held.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")))
+    asked = listed(queries if queries is not None else rows, index.probes).select("idx", "v", F.explode("lists").alias("list"))
+    asked = asked.join(F.broadcast(parts), "list").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asked = asked.withColumn("q", F.pmod(F.xxhash64(F.lit(1), "idx"), F.col("parts")))
+    right = held.select("other", "w", F.col("list").alias("list2"), F.col("part").alias("c2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q2"))
+    found = asked.select("idx", "v", "list", "c", "q").groupBy("list", "q", "c").cogroup(right.groupBy("list2", "q2", "c2")).applyInPandas(_product(k), "i long, j long, cosine double")
+    return _ranked(found, k)
+
+
 def effective_k(n: int, classes: int, k: int = 5) -> int:
     """Neighbours that are asked for, fewer in small classes."""
     return min(k, max(3, n // classes - 1))

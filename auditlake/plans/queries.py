@@ -150,6 +150,23 @@ def knn_topk(spark, d):
     return samples.nearest(vectors(spark, d), 5).select("i", "j", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {KNN} SELECT i, max(round(cosine, 6)) FILTER (r = 1) AS cosine FROM k WHERE i % 100 = 0 GROUP BY i")
+def knn_nearest_one(spark, d):
+    """The exact nearest neighbour of every hundredth vector among all."""
+    rows = vectors(spark, d)
+    return samples.nearest(rows, 1, queries=rows.where("idx % 100 = 0")).select("i", F.round("cosine", 6).alias("cosine"))
+
+
+@query("SELECT count(*) AS rows, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def knn_index(spark, d):
+    """How many of the queries (every hundredth vector) the index answers, and whether it finds nine tenths of their exact neighbours."""
+    rows = vectors(spark, d)
+    asked = rows.where("idx % 100 = 0")
+    found = samples.nearest_indexed(rows, 5, samples.fit_index(rows, 5), asked)
+    both = samples.nearest(rows, 5, queries=asked).select("i", "j").join(found.select("i", "j", F.lit(1).alias("hit")), ["i", "j"], "left")
+    return both.agg(F.count_distinct("i").alias("rows"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+
+
 @query(f"WITH {KNN} SELECT i, CAST(label AS BIGINT) AS label, CAST(dominant AS BIGINT) AS dominant, round(dominant_ratio, 6) AS dominant_ratio, round(purity, 6) AS purity FROM p")
 def label_purity(spark, d):
     rows = vectors(spark, d)

@@ -627,3 +627,19 @@ def test_assets_benchmark(spark):
     assert len(got) == 11 and min(x[3] for k, x in got.items() if k != "clean") >= 0.5
     kinds = Counter(x["kind"] for x in redteam.demo_variants(v).collect())
     assert kinds == {"clean": 100, "copy": 1, "look_alike": 1, "noise": 1, "patch": 3}
+
+
+def test_index_of_neighbours(spark):
+    r = np.random.default_rng(6)
+    centers = r.normal(size=(12, 24))
+    v = np.concatenate([centers[r.integers(0, 12, 500)] + 0.3 * r.normal(size=(500, 24)), np.repeat(centers[:1], 300, 0) + 0.05 * r.normal(size=(300, 24))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "idx long, v array<double>")
+    index = samples.fit_index(d, 5)
+    assert index.recall >= 0.95 and index.probes < len(index.centers)
+    exact = {(x["i"], x["j"]) for x in samples.nearest(d, 5).collect()}
+    # parts of lists, and all lists, which is exact
+    got = {(x["i"], x["j"]) for x in samples.nearest_indexed(d, 5, index, tile=64).collect()}
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
+    index.probes = len(index.centers)
+    assert {(x["i"], x["j"]) for x in samples.nearest_indexed(d, 5, index, tile=64).collect()} == exact
