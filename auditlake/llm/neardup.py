@@ -191,9 +191,12 @@ def overlap(a: str, b: str) -> Column:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """(token, node, n, planes, weight): the prefix of each node that can have a partner."""
-    posted = with_group(nodes.select("node", F.explode("tokens").alias("token")), "token", "node", f=(F.count(F.lit(1)), "sum"))
-    rare = posted.where("f > 1").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("l"), F.sum("f").alias("weight")).where(F.size("l") >= MATCHES)
+    """(token, node, n, planes, weight): the prefix of each node that can have a partner. Counts are
+    written before they are joined: then both sides of the join are plain exchanges, whose partitions Spark
+    splits at run time where a token is in very many nodes."""
+    posted = nodes.select("node", F.explode("tokens").alias("token"))
+    shared = stored(posted.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "neardup-tokens")
+    rare = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("l"), F.sum("f").alias("weight")).where(F.size("l") >= MATCHES)
     rare = rare.select("node", "weight", F.slice("l", 1, F.size("l") - (COORDINATES - PREFIX)).alias("l")).where(F.size("l") > 0)
     with_planes = rare.join(nodes.select("node", "n", *PLANES), "node")
     return with_planes.select("node", "n", "weight", *PLANES, F.explode("l.token").alias("token"))
@@ -210,19 +213,20 @@ def pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
 
 
 def confirmed(found: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough. A pivot has a pair with every node of its list: both
-    sides of these joins are plain exchanges, so that Spark splits such a node's partition at run time."""
+    """The pairs whose full sets are similar enough; a node of several texts may repeat them. A pivot has
+    a pair with every node of its list: both sides of these joins are plain exchanges, and no
+    aggregate rests on their partitions, so that Spark splits such a node's partition at run time."""
     both = found.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= THRESHOLD * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
+    return both.where(100 * shared >= THRESHOLD * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, c) from (node, component): how many shingles of each node some node of
     another component has. No overlap across components can be larger."""
     each = sets.join(nodes, "node").select("node", "component", F.explode("set").alias("s"))
-    each = with_group(each, "s", "node", lo=(F.min("component"), "min"), hi=(F.max("component"), "max"))
-    return each.where("lo < hi").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    common = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
+    return each.join(stored(common, "neardup-common"), "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
 
 
 def components(links: DataFrame, name: str = "neardup-links") -> DataFrame:
@@ -253,7 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a set
     nodes = stored(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), *map(first, ["n", "tokens", *PLANES])), "neardup-nodes")
     prefixes = stored(postings(nodes.where("node is not null")), "neardup-postings")
-    posted = stored(with_group(prefixes, "token", "node", m=(F.count(F.lit(1)), "sum")).where("m > 1"), "neardup-lists")
+    lists = stored(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "neardup-counts")
+    posted = stored(prefixes.join(lists, "token"), "neardup-lists")
     sets = docs.select(docs[id_col].alias("node"), docs[text_col].alias("text")).join(posted.select("node").distinct(), "node", "left_semi")
     sets = stored(sets_of(sets), "neardup-sets")
 
