@@ -8,6 +8,7 @@ of precedence need. Timestamps are handed in, so that plans are deterministic.
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,13 +162,17 @@ def fit_index(rows: DataFrame, k: int, least: float = 0.95, lists: int | None =
     index = Index(centers, 1)
     if not len(centers) or asked.isEmpty():
         return index
-    want = {(r["i"], r["j"]) for r in nearest(rows, k, queries=asked).select("i", "j").collect()}
-    while True:
-        got = {(r["i"], r["j"]) for r in nearest_indexed(rows, k, index, asked).select("i", "j").collect()}
-        index.recall = len(got & want) / max(1, len(want))
-        if index.recall >= least or index.probes >= len(centers):
-            return index
-        index.probes = min(len(centers), 2 * index.probes)
+    want = [(r["i"], r["j"]) for r in nearest(rows, k, queries=asked).select("i", "j").collect()]
+    if not want:
+        return index
+    # at most MEASURED * (k + 1) vectors: in which list, by nearness to the query, lies each neighbour?
+    ids = rows.sparkSession.createDataFrame([(x,) for x in sorted({x for pair in want for x in pair})], "idx long")
+    known = {r["idx"]: np.array(r["v"], float) for r in vectors.join(F.broadcast(ids), "idx", "left_semi").collect()}
+    order = {i: np.argsort(-(known[i] @ centers.T), kind="stable") for i in {i for i, _ in want}}
+    place = np.sort([int(np.flatnonzero(order[i] == (known[j] @ centers.T).argmax())[0]) for i, j in want])
+    index.probes = int(place[min(len(place) - 1, math.ceil(least * len(place)) - 1)]) + 1
+    index.recall = float((place < index.probes).mean())
+    return index
 
 
 def nearest_indexed(rows: DataFrame, k: int, index: Index, queries: DataFrame | None = None, tile: int = TILE) -> DataFrame:

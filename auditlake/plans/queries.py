@@ -162,7 +162,7 @@ def knn_index(spark, d):
     """How many of the queries (every hundredth vector) the index answers, and whether it finds nine tenths of their exact neighbours."""
     rows = vectors(spark, d)
     asked = rows.where("idx % 100 = 0")
-    found = samples.nearest_indexed(rows, 5, samples.fit_index(rows, 5), asked)
+    found = samples.nearest_indexed(rows, 5, samples.fit_index(rows, 5, 0.99), asked)
     both = samples.nearest(rows, 5, queries=asked).select("i", "j").join(found.select("i", "j", F.lit(1).alias("hit")), ["i", "j"], "left")
     return both.agg(F.count_distinct("i").alias("rows"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
 
