@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import U64, hash_words, table, text_bytes, text_chunks
@@ -252,9 +252,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     h = F.xxhash64(F.lit(8), id_col).bitwiseAND((1 << 40) - 1)
     n = marked.count()
     share = min(1.0, LABELLED / max(1, n))
-    # bounded: about LABELLED rows of a few numbers; every fourth of a class, from its second on, is kept out
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(9), id_col), id_col))
-    chosen = marked.where(h < int(share * (1 << 40))).withColumn("fold", (place % 4 == 2).cast("int"))
+    # bounded: about LABELLED rows of a few numbers; a quarter is kept out, and of each class the row of
+    # the least hash at least, while that of the largest is counted
+    chosen = marked.where(h < int(share * (1 << 40))).withColumn("g", F.xxhash64(F.lit(9), id_col))
+    ends = chosen.groupBy("toxic").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))  # a row for each class
+    held = (F.col("g") == F.col("lo")) | (F.pmod(F.shiftright("g", 42), F.lit(4)) == 0)
+    chosen = chosen.join(F.broadcast(ends), "toxic").select(id_col, "toxic", (held & (F.col("g") < F.col("hi"))).cast("int").alias("fold"))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").where("text is not null")
     counted = rows.where("fold = 0")
     tally = counted.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()

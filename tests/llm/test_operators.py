@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -548,6 +549,37 @@ def test_quality_references_need_documents(spark, monkeypatch):
     assert refs() == {"en", "xx"} and quality.quality(d).where("doc_id = 90").first()["kept"]
 
 
+def brute_toxicity(model, text):
+    """Evidence and score, word by word."""
+    known = dict(zip(model.keys.tolist(), model.values.tolist()))
+    scores, before = [], None
+    for w in re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", text or ""):
+        levels = toxicity.tokens_of(pa.array([w]))[0][:, 0].tolist()
+        value = next((known[h] for h in levels if h in known), 0.0)
+        scores.append((0.0 if levels[0] == before else min(toxicity.CLIP, max(-toxicity.CLIP, value))) - toxicity.DRIFT)
+        before = levels[0]
+    each = [model.lam * s - math.log(max(1e-9, model.k * len(scores))) for *_, s in toxicity.maximal_segments(scores)]
+    strong = [e for e in each if e >= -math.log(toxicity.EXPECT)]
+    evidence = sum(strong) if strong else max([-10.0, *each])
+    return evidence, 1 / (1 + math.exp(-model.slope * min(15.0, max(-10.0, evidence)) - model.shift))
+
+
+def test_toxicity_scores_against_brute_force(spark, docs):
+    rows = []
+    for k in range(240):
+        w = prose(60, 2000 + k).split()
+        if k % 4 == 0:
+            w[20:24] = ["vile", "nasty", "vile", "awful"]
+        rows.append((k, " ".join(w), int(k % 4 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(d, d.select("doc_id", "toxic"))
+    texts = {r[0]: r[1] for r in rows[:40]} | {1000 + k: r[1] for k, r in enumerate(awkward()) if r[0] is not None and len(r[1] or "") < 2000}
+    asked = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in toxicity.toxicity(asked, model).collect():
+        evidence, score = brute_toxicity(model, texts[r["doc_id"]])
+        assert (r["evidence"], r["score"]) == pytest.approx((evidence, score)) and r["predicted"] == int(score >= 0.5)
+
+
 def test_toxicity_query_held_out(spark, data):
     got = toxicity.op8_toxicity(spark, data).join(spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
     assert got.select(F.avg((F.col("toxic") == F.col("predicted")).cast("int"))).first()[0] > 0.8
