@@ -72,7 +72,7 @@ def dropped(*tables: DataFrame) -> None:
 
 
 #: Parts of a hot key, at most; a key of fewer rows has no more parts than rows.
-SALTS = 1024
+SALTS = 128
 
 
 def salt(by: str | Column) -> Column:
