@@ -254,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = min(1.0, LABELLED / max(1, n))
     # bounded: about LABELLED rows of a few numbers; a quarter is kept out, and of each class the row of
     # the least hash at least, while that of the largest is counted
-    chosen = marked.where(h < int(share * (1 << 40))).withColumn("g", F.xxhash64(F.lit(9), id_col))
+    chosen = marked.where(h < int(share * (1 << 40))).withColumn("g", F.xxhash64(F.lit(8), id_col))
     ends = chosen.groupBy("toxic").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))  # a row for each class
     held = (F.col("g") == F.col("lo")) | (F.pmod(F.shiftright("g", 42), F.lit(4)) == 0)
     chosen = chosen.join(F.broadcast(ends), "toxic").select(id_col, "toxic", (held & (F.col("g") < F.col("hi"))).cast("int").alias("fold"))
