@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
+from auditlake.operators import merkle
 
-EMPTY_ROOT = "EMPTY_MERKLE_TREE"
+#: Slices of the hash range by which a chain's records are counted for its sample.
+SLICES = 4096
 
 
 def recomputed(output_digest: Column, configurations: bool = False) -> Column:
@@ -127,23 +129,43 @@ def leaves(rows: DataFrame, order: Column, h: Column, span: int = 100_000) -> Da
 
 def merkle_root(leaves: DataFrame) -> DataFrame:
     """Root of (pos, h), pos gapless from 0: pairs of hashes are joined as text and digested,
-    an odd last one is paired with itself. Levels are aggregations by pos / 2: rows halve."""
-    n = leaves.count()
-    if not n:
-        return leaves.sparkSession.range(1).select(F.sha2(F.lit(EMPTY_ROOT), 256).alias("root"))
-    level = leaves.select(F.col("pos").cast("long").alias("pos"), "h")
-    while n > 1:
-        pair = level.groupBy(F.floor(F.col("pos") / 2).alias("pos")).agg(F.min_by("h", "pos").alias("a"), F.max_by("h", "pos").alias("b"))
-        level, n = pair.select("pos", F.sha2(F.concat("a", "b"), 256).alias("h")), -(-n // 2)
-    return level.select(F.col("h").alias("root"))
-
-
-def spot_check(records: DataFrame, inputs: DataFrame, rate: float = 0.25, tolerance: float = 1e-4, seed: str = "42") -> DataFrame:
-    """(record_id, dim_mismatch, max_diff, verdict) of a hashed share of records with (record_id,
-    logged) against (record_id, replayed). A record without an input is sampled but not checked."""
-    share = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col("record_id").cast("string"))), 1, 8), 16, 10).cast("long")
-    chosen = records.where(share < int(rate * 2**32))
-    d = chosen.join(inputs, "record_id", "left")
+    an odd last one is paired with itself. At most three exchanges at any size."""
+    root = merkle.root_of(merkle.collected(merkle.forest(merkle.leaf_nodes(leaves))))
+    return leaves.sparkSession.createDataFrame([(root,)], "root string")
+
+
+def spot_sample(records: DataFrame, rate: float = 0.25, seed: str = "42", chain: str | None = None, id_col: str = "record_id") -> DataFrame:
+    """``records`` that are sampled: of each chain of n the max(1, floor(n * rate)) with the smallest hashes, exactly.
+
+    No chain is sorted. Records are counted by chain and SLICES slices of the hash range; slices that lie under the
+    chain's number are taken whole, and only in the one slice that the number falls into are
+    records ranked. Without ``chain`` all are one log."""
+    log = F.lit(0) if chain is None else F.col(chain)
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("long")
+    d = records.withColumns({"__log": log, "__h": h}).withColumn("__slice", F.coalesce(F.floor(F.col("__h") * SLICES / (1 << 32)), F.lit(-1)))
+    counts = d.groupBy("__log", "__slice").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("__log")
+    before = F.coalesce(F.sum("n").over(w.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = F.greatest(F.lit(1), F.floor(F.sum("n").over(w) * F.lit(rate)))
+    room = counts.select("__log", "__slice", "n", (most - before).alias("__room")).where("__room > 0")
+    room = room.select(F.col("__log").alias("__l"), F.col("__slice").alias("__s"), (F.col("n") <= F.col("__room")).alias("__whole"), "__room")
+    met = d.join(room, F.col("__log").eqNullSafe(F.col("__l")) & (F.col("__slice") == F.col("__s")))
+    whole = met.where("__whole")
+    rank = F.row_number().over(Window.partitionBy("__l", "__s").orderBy("__h", id_col))
+    part = met.where("not __whole").withColumn("__rank", rank).where(F.col("__rank") <= F.col("__room"))
+    return whole.select(*records.columns).unionByName(part.select(*records.columns))
+
+
+def spot_check(records: DataFrame, inputs: DataFrame, rate: float = 0.25, tolerance: float = 1e-4, seed: str = "42", chain: str | None = None) -> DataFrame:
+    """(record_id[, chain], max_diff, verdict) of the sampled records, (record_id, logged[, chain]), against
+    (record_id, replayed). A record without an input is sampled but not checked."""
+    d = spot_sample(records, rate, seed, chain).join(inputs, "record_id", "left")
     diff = C.max_abs_diff("logged", "replayed")
     verdict = F.when(F.col("replayed").isNull(), "UNCHECKED").when(F.size("logged") != F.size("replayed"), "DIM").when(diff > tolerance, "DIFF").otherwise("OK")
-    return d.select("record_id", diff.alias("max_diff"), verdict.alias("verdict"))
+    return d.select("record_id", *([chain] if chain else []), diff.alias("max_diff"), verdict.alias("verdict"))
+
+
+def spot_summary(checked: DataFrame, chain: str | None = None) -> DataFrame:
+    """([chain, ]n_sampled, n_passed, n_discrepancies, n_unchecked) of spot checks."""
+    n = lambda *v: F.count_if(F.col("verdict").isin(*v))
+    return checked.groupBy(*([chain] if chain else [])).agg(F.count(F.lit(1)).alias("n_sampled"), n("OK").alias("n_passed"), n("DIM", "DIFF").alias("n_discrepancies"), n("UNCHECKED").alias("n_unchecked"))

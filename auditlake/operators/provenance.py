@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
 from auditlake.functions import crypto
-from auditlake.operators import chain
+from auditlake.operators import chain, merkle
 
 
 def record_id(chain_id: str, seq: int) -> str:
@@ -46,11 +46,33 @@ def _payload(c: dict[str, Any]) -> bytes:
 
 
 def checkpoint(records: DataFrame, chain_id: str, key: crypto.KeyPair, timestamp: str, order: str = "pos") -> dict[str, Any]:
-    """The signed length, head and Merkle root of one chain whose positions are gapless from 0."""
+    """The signed length, head and Merkle root of one chain whose positions are gapless from 0; ``peaks`` are
+    what extended() goes on from."""
     head = records.agg(F.count(F.lit(1)).alias("n"), F.max_by("record_hash", order).alias("head")).first()
-    root = chain.merkle_root(records.select(F.col(order).alias("pos"), F.col("record_hash").alias("h"))).first()["root"]
-    c = {"chain_id": chain_id, "sequence_length": head["n"], "head_record_hash": head["head"] or C.GENESIS, "merkle_root": root, "timestamp": timestamp, "public_key": key.public.hex()}
-    return c | {"signature": key.sign(_payload(c)).hex()}
+    peaks = merkle.collected(merkle.forest(merkle.leaf_nodes(records.select(F.col(order).alias("pos"), F.col("record_hash").alias("h")))))
+    return _signed(chain_id, head["n"], head["head"] or C.GENESIS, peaks, timestamp, key)
+
+
+def _signed(chain_id: str, n: int, head: str, peaks: list[tuple[int, int, str]], timestamp: str, key: crypto.KeyPair) -> dict[str, Any]:
+    c = {"chain_id": chain_id, "sequence_length": n, "head_record_hash": head, "merkle_root": merkle.root_of(peaks), "timestamp": timestamp, "public_key": key.public.hex()}
+    return c | {"signature": key.sign(_payload(c)).hex(), "peaks": sorted(map(list, peaks), reverse=True)}
+
+
+def extended(c: dict[str, Any], new: DataFrame, key: crypto.KeyPair, timestamp: str, order: str = "pos") -> dict[str, Any]:
+    """The checkpoint of a log that has grown by ``new`` records since ``c``, from those alone. ``c`` must be the
+    key's own, its peaks must give the root that it signs, and the new positions must follow on."""
+    peaks = [tuple(p) for p in c["peaks"]]
+    n = c["sequence_length"]
+    if c["public_key"] != key.public.hex() or not crypto.verify_hex(c["public_key"], _payload(c), c["signature"]) or merkle.root_of(list(peaks)) != c["merkle_root"] or sum(1 << p[0] for p in peaks) != n:
+        raise ValueError("checkpoint doesn't hold")
+    got = new.agg(F.count(F.lit(1)).alias("n"), F.max_by("record_hash", order).alias("head"), F.min(order).alias("first"), F.max(order).alias("last")).first()
+    if not got["n"]:
+        return c
+    if (got["first"], got["last"]) != (n, n + got["n"] - 1):
+        raise ValueError("new records don't follow on")
+    leaves = merkle.leaf_nodes(new.select(F.col(order).alias("pos"), F.col("record_hash").alias("h")))
+    old = new.sparkSession.createDataFrame(peaks, merkle.PEAKS)
+    return _signed(c["chain_id"], n + got["n"], got["head"], merkle.collected(merkle.forest(old.unionByName(leaves))), timestamp, key)
 
 
 def checkpoint_findings(records: DataFrame, c: dict[str, Any], ts: str = "", order: str = "pos") -> DataFrame:
@@ -117,13 +139,16 @@ def record_ids(chain_id, seq):
     return F.concat(F.lit("REC-"), F.left(chain_id, F.lit(8)), F.lit("-"), F.lpad(seq.cast("string"), 6, "0"))
 
 
-def result(findings: DataFrame, total: int | None = None) -> DataFrame:
+def result(findings: DataFrame, total: int | None = None, checked: DataFrame | None = None) -> DataFrame:
     """One row of a log's audit: how many findings of each kind, and the disposition, which any failed
-    spot check, checkpoint or record makes QUARANTINE."""
+    spot check, checkpoint or record makes QUARANTINE. With spot checks also how many
+    records were sampled, passed, differed, and had no input."""
     n = lambda pattern: F.count_if(F.col("finding_id").rlike(pattern))
     kinds = {"n_tampered": "RECORD-TAMPER", "n_seq_anomaly": "SEQ-ANOMALY", "n_broken_link": "BROKEN-LINK", "n_checkpoint": "CHECKPOINT|MERKLE", "n_spot_check": "SPOTCHECK"}
     d = findings.agg(*[n(p).alias(k) for k, p in kinds.items()], F.count(F.lit(1)).alias("n_findings"))
     d = d.withColumn("disposition", F.when(F.col("n_findings") > 0, "QUARANTINE").otherwise("ACCEPT"))
+    if checked is not None:
+        d = d.join(F.broadcast(chain.spot_summary(checked)))  # one row each
     return d if total is None else d.withColumn("total", F.lit(total))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import columns as C
 from auditlake.functions import crypto
 from auditlake.functions.tables import shared_folder, written
-from auditlake.operators import chain, governance, lineage, model_audit, models, provenance, redteam, samples, shift
+from auditlake.operators import chain, governance, lineage, merkle, model_audit, models, provenance, redteam, samples, shift
 from auditlake.sources import datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,6 +557,19 @@ def merkle_root(spark, d):
     return chain.merkle_root(chain.leaves(read(spark, d, "events"), i, F.sha2(i.cast("string"), 256)))
 
 
+PEAKS = " UNION ALL ".join(f"SELECT {k} AS level, CAST(pos AS BIGINT) AS idx, h FROM l{k} WHERE ((SELECT count(*) FROM l0) >> {k}) & 1 = 1 AND pos = ((SELECT count(*) FROM l0) >> {k}) - 1" for k in range(25))
+
+
+@query(f"WITH {_merkle_sql('SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, sha256(CAST(event_id AS VARCHAR)) AS h FROM events')} {PEAKS}")
+def merkle_peaks(spark, d):
+    """Peaks over the first third of the events, to which the others are appended."""
+    i = F.col("event_id")
+    leaves = written(chain.leaves(read(spark, d, "events"), i, F.sha2(i.cast("string"), 256)), "leaves")
+    cut = leaves.count() // 3
+    first = written(merkle.forest(merkle.leaf_nodes(leaves.where(F.col("pos") < cut))), "peaks")
+    return merkle.appended(first, leaves.where(F.col("pos") >= cut).withColumn("pos", F.col("pos") - cut))
+
+
 KEY = crypto.KeyPair(bytes(range(32)))
 CHECKPOINT = f"WITH {LINKED}, {_merkle_sql('SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, h FROM r')}"
 
@@ -578,11 +591,18 @@ def checkpoint_truncated(spark, d):
     return provenance.checkpoint_findings(r.where(F.col("pos") < last), c).select("finding_id", "asset")
 
 
-@query("""WITH n AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events), s AS (SELECT count(*) AS n FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1073741824 AND user_id % 7 <> 0 AND (user_id % 5 = 0 OR user_id % 3 = 0)), t AS (SELECT count(*) AS n FROM n WHERE k IN (3, 7))
-SELECT t.n AS n_tampered, 0::BIGINT AS n_seq_anomaly, 0::BIGINT AS n_broken_link, 0::BIGINT AS n_checkpoint, s.n AS n_spot_check, t.n + s.n AS n_findings, CASE WHEN t.n + s.n > 0 THEN 'QUARANTINE' ELSE 'ACCEPT' END AS disposition FROM s, t""")
+#: Of each user's events the floor of a quarter, at least one, with the smallest hashes.
+SPOT = """sr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY substr(md5('42:' || event_id), 1, 8), CAST(event_id AS VARCHAR)) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT event_id, user_id, CASE WHEN user_id % 7 = 0 THEN 'UNCHECKED' WHEN user_id % 5 = 0 THEN 'DIM' WHEN event_id % 3 = 0 THEN 'DIFF' ELSE 'OK' END AS verdict FROM sr WHERE k <= greatest(1, floor(n * 0.25)))"""
+
+
+@query(f"""WITH {SPOT}, n AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events), t AS (SELECT count(*) AS n FROM n WHERE k IN (3, 7)),
+c AS (SELECT count(*) AS n_sampled, count(*) FILTER (verdict = 'OK') AS n_passed, count(*) FILTER (verdict IN ('DIM', 'DIFF')) AS n_discrepancies, count(*) FILTER (verdict = 'UNCHECKED') AS n_unchecked FROM s)
+SELECT t.n AS n_tampered, 0::BIGINT AS n_seq_anomaly, 0::BIGINT AS n_broken_link, 0::BIGINT AS n_checkpoint, n_discrepancies AS n_spot_check, t.n + n_discrepancies AS n_findings, CASE WHEN t.n + n_discrepancies > 0 THEN 'QUARANTINE' ELSE 'ACCEPT' END AS disposition, n_sampled, n_passed, n_discrepancies, n_unchecked FROM c, t""")
 def provenance_audit(spark, d):
     """Edited chains and spot checks, rolled up."""
-    return provenance.result(chain.findings(edited_chains(spark, d)).unionByName(provenance.spot_check_findings(_spot(spark, d))))
+    checked = written(_spot(spark, d), "spot-checks")
+    return provenance.result(chain.findings(edited_chains(spark, d)).unionByName(provenance.spot_check_findings(checked)), checked=checked)
 
 
 @query(f"""WITH {LINKED}, l AS (SELECT pos, h, prev FROM r WHERE pos <> 7), g AS (SELECT pos, CASE WHEN pos = 20 THEN sha256('x') ELSE h END AS h, CASE WHEN pos = 30 THEN sha256('y') ELSE prev END AS prev FROM l)
@@ -605,18 +625,23 @@ def identifiers(spark, d):
     return read(spark, d, "pages").select("page_id", provenance.registration_id(F.sha2("html", 256)).alias("registration_id"), provenance.record_ids(F.sha2("url", 256), F.col("page_id")).alias("record_id"), F.hex(F.encode("url", "UTF-8")).alias("hexed"))
 
 
-@query("""WITH s AS (SELECT event_id, value, user_id FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1073741824)
-SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN user_id % 7 = 0 THEN 'UNCHECKED' WHEN user_id % 5 = 0 THEN 'DIM' WHEN user_id % 3 = 0 THEN 'DIFF' ELSE 'OK' END AS verdict FROM s""")
+@query(f"WITH {SPOT} SELECT CAST(user_id AS VARCHAR) AS chain_id, CAST(event_id AS VARCHAR) AS record_id, verdict FROM s")
 def spot_check(spark, d):
-    return _spot(spark, d).select("record_id", "verdict")
+    """A quarter of each user's log, exactly."""
+    return _spot(spark, d).select("chain_id", "record_id", "verdict")
+
+
+@query(f"WITH {SPOT} SELECT CAST(user_id AS VARCHAR) AS chain_id, count(*) AS n_sampled, count(*) FILTER (verdict = 'OK') AS n_passed, count(*) FILTER (verdict IN ('DIM', 'DIFF')) AS n_discrepancies, count(*) FILTER (verdict = 'UNCHECKED') AS n_unchecked FROM s GROUP BY user_id")
+def spot_check_totals(spark, d):
+    return chain.spot_summary(_spot(spark, d), "chain_id")
 
 
 def _spot(spark, d):
     e = read(spark, d, "events")
-    u, v = F.col("user_id"), F.col("value")
-    records = e.select(F.col("event_id").cast("string").alias("record_id"), F.array(v, v).alias("logged"))
-    inputs = e.where(u % 7 != 0).select(F.col("event_id").cast("string").alias("record_id"), F.when(u % 5 == 0, F.array(v)).when(u % 3 == 0, F.array(v, v + 0.01)).otherwise(F.array(v, v)).alias("replayed"))
-    return chain.spot_check(records, inputs)
+    i, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
+    records = e.select(u.cast("string").alias("chain_id"), i.cast("string").alias("record_id"), F.array(v, v).alias("logged"))
+    inputs = e.where(u % 7 != 0).select(i.cast("string").alias("record_id"), F.when(u % 5 == 0, F.array(v)).when(i % 3 == 0, F.array(v, v + 0.01)).otherwise(F.array(v, v)).alias("replayed"))
+    return chain.spot_check(records, inputs, chain="chain_id")
 
 
 def _walk_sql(attacked: str) -> str:
@@ -642,8 +667,7 @@ def link_walk_swapped(spark, d):
     return _walk(redteam.attacked_chain(linked(spark, d), "swap", 5))
 
 
-@query("""WITH s AS (SELECT event_id, user_id FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1073741824 AND user_id % 7 <> 0)
-SELECT CASE WHEN user_id % 5 = 0 THEN 'FIND-PE-SPOTCHECK-DIM-' ELSE 'FIND-PE-SPOTCHECK-DIFF-' END || event_id AS finding_id, CAST(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.98 END AS DOUBLE) AS confidence FROM s WHERE user_id % 5 = 0 OR user_id % 3 = 0""")
+@query(f"""WITH {SPOT} SELECT CASE WHEN verdict = 'DIM' THEN 'FIND-PE-SPOTCHECK-DIM-' ELSE 'FIND-PE-SPOTCHECK-DIFF-' END || event_id AS finding_id, CAST(CASE WHEN verdict = 'DIM' THEN 1.0 ELSE 0.98 END AS DOUBLE) AS confidence FROM s WHERE verdict IN ('DIM', 'DIFF')""")
 def spot_check_findings(spark, d):
     return provenance.spot_check_findings(_spot(spark, d)).select("finding_id", "confidence")
 
