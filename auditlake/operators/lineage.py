@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.tables import written
 
 
+#: Rounds of a plain walk, after which chains are contracted.
+PLAIN_ROUNDS = 12
+
+
 def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False, most: int | None = None) -> DataFrame:
     """(id, depth) of all nodes reached from (id) by (src, dst), roots left out. Each round
     joins the last round's nodes with the edges and drops those seen before, so cycles
-    end; only the frontier is joined, and it is written so that plans stay short.
-    ``most``: an error is raised if nodes lie behind so many rounds."""
+    end; only the frontier is joined, and it is written so that plans stay short. Where nodes lie behind PLAIN_ROUNDS
+    rounds, chains (runs of nodes with one edge in and one out) are contracted to an edge each by doubling, so that a path of any length
+    takes rounds in the logarithm of it. ``most``: an error is raised if nodes lie deeper."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
     # written once: each round reads it
     steps = written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "lineage")
@@ -23,15 +30,126 @@ def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False, most:
         new = frontier.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
         frontier = written(new, "lineage")
         if frontier.isEmpty():
-            break
+            return seen.where("depth > 0")
         if most is not None and depth > most:
             raise RuntimeError(f"nodes lie deeper than {most} rounds")
         seen = seen.union(frontier)
-        if depth % 100 == 0:
-            seen = written(seen, "lineage")
+        if depth >= PLAIN_ROUNDS:
+            break
+    seen = written(_contracted_walk(steps, seen, frontier), "lineage")
+    if most is not None and not seen.where(F.col("depth") > most).isEmpty():
+        raise RuntimeError(f"nodes lie deeper than {most} rounds")
     return seen.where("depth > 0")
 
 
+def chains(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, next, head, dist) of the nodes of (id, next) edges that have one edge in and one out and aren't in ``ends`` (id):
+    the node before their chain and the steps from there. Chains are ranked by doubling, in rounds in the logarithm of the
+    longest. Nodes of a closed ring of such nodes have no head and are left out."""
+    into = steps.groupBy("next").agg(F.count(F.lit(1)).alias("n_in"), F.min("id").alias("head")).withColumnRenamed("next", "id")
+    out = steps.groupBy("id").agg(F.count(F.lit(1)).alias("n_out"), F.min("next").alias("next"))
+    inner = into.join(out, "id").where("n_in = 1 and n_out = 1 and head <> id").join(ends, "id", "left_anti").select("id", "next", "head", F.lit(1).cast("long").alias("dist"))
+    inner = written(inner, "lineage")
+    most = inner.count()
+    known, rounds = inner, 0
+    # a chain of n nodes is ranked after log2(n) rounds; what is not is a ring
+    while 1 << rounds <= most:
+        before = known.select(F.col("id").alias("head"), F.col("head").alias("__head"), F.col("dist").alias("__dist"))
+        open_ = known.join(inner.select(F.col("id").alias("head")), "head", "left_semi")
+        if open_.isEmpty():
+            break
+        known = known.join(before, "head", "left").select("id", "next", F.coalesce("__head", "head").alias("head"), (F.col("dist") + F.coalesce("__dist", F.lit(0))).alias("dist"))
+        known, rounds = written(known, "lineage"), rounds + 1
+    return known.join(inner.select(F.col("id").alias("head")), "head", "left_anti").select("id", "next", "head", "dist")
+
+
+def _contracted_walk(steps: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(id, depth) of a walk that goes on from ``frontier`` over chains as edges of their length."""
+    inner = written(chains(steps, frontier.select("id")), "lineage")
+    ids = inner.select("id")
+    last = inner.join(ids.withColumnRenamed("id", "next"), "next", "left_anti").select(F.col("head").alias("id"), "next", (F.col("dist") + 1).alias("length"))
+    plain = steps.join(ids, "id", "left_anti").join(ids.withColumnRenamed("id", "next"), "next", "left_anti").select("id", "next", F.lit(1).cast("long").alias("length"))
+    graph = written(plain.union(last).groupBy("id", "next").agg(F.min("length").alias("length")), "lineage")
+    best = written(seen.select("id", F.col("depth").cast("long").alias("depth")), "lineage")
+    frontier, rounds = frontier.select("id", F.col("depth").cast("long").alias("depth")), 0
+    while not frontier.isEmpty():
+        near = frontier.join(graph, "id").groupBy("next").agg(F.min(F.col("depth") + F.col("length")).alias("depth")).withColumnRenamed("next", "id")
+        # a node may be found again by fewer steps
+        known = best.groupBy("id").agg(F.min("depth").alias("__depth"))
+        frontier = written(near.join(known, "id", "left").where("__depth is null or depth < __depth").select("id", "depth"), "lineage")
+        best, rounds = best.union(frontier), rounds + 1
+        if rounds % 20 == 0:
+            best = written(best.groupBy("id").agg(F.min("depth").alias("depth")), "lineage")
+    within = best.withColumnRenamed("id", "head").join(inner, "head").select("id", (F.col("depth") + F.col("dist")).alias("depth"))
+    return best.union(within).groupBy("id").agg(F.min("depth").cast("int").alias("depth"))
+
+
+#: log2 of the entries of a sketch: sets of fewer nodes are counted exactly, others with an error of about 1 / sqrt(entries).
+SKETCH = 10
+
+
+def blast_radii(edges: DataFrame, upstream: bool = False, lg: int = SKETCH) -> DataFrame:
+    """(id, n_reached) of every node at once: how many other nodes lie downstream of it, by bottom-k (theta) sketches of bounded
+    size. A round merges into a node the sketches of the nodes that its edges, and the shortcuts of nodes with one edge out, lead to;
+    only nodes of which a target changed are merged anew. Unions of sets that overlap count once, so cycles need no condensation and end by
+    themselves; shortcuts double in each round, so a path takes rounds in the logarithm of its length. Counts are exact up to
+    2**lg nodes."""
+    a, b = ("dst", "src") if upstream else ("src", "dst")
+    steps = written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "radius")
+    own = steps.select(F.explode(F.array("id", "next")).alias("id")).distinct().select("id", F.xxhash64("id").alias("h"))
+    state = written(own.groupBy("id").agg(F.theta_sketch_agg("h", lg).alias("s")), "radius")
+    jumps = written(steps.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("next").alias("next")).where("n = 1").select("id", "next"), "radius")
+    changed = state
+    while True:
+        over = jumps.select(F.col("id").alias("next"), F.col("next").alias("then"))
+        longer = written(jumps.join(over, "next").where("then <> id").select("id", F.col("then").alias("next")), "radius")
+        links = steps.union(longer).distinct()
+        got = links.join(changed.withColumnRenamed("id", "next"), "next").select("id", "s")
+        # of a node of any number of edges only partial unions meet
+        merged = got.groupBy("id").agg(F.theta_union_agg("s", lg).alias("more"))
+        both = state.join(merged, "id").select("id", F.col("s").alias("was"), F.theta_union("s", "more", lg).alias("s"))
+        moved = written(both.where("was <> s").select("id", "s"), "radius")
+        if moved.isEmpty():
+            break
+        state = written(state.join(moved.select("id"), "id", "left_anti").union(moved), "radius")
+        # what a new shortcut leads to counts as changed, though it did not change now
+        targets = longer.select(F.col("next").alias("id")).distinct().join(moved.select("id"), "id", "left_anti")
+        changed = moved.union(state.join(targets, "id", "left_semi"))
+        jumps = longer
+    return state.select("id", F.greatest(F.lit(0), F.theta_sketch_estimate("s") - 1).cast("long").alias("n_reached"))
+
+
+KINDS = ("dataset", "model", "inference")
+
+
+def affected(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, type, id): the data sets, models and inferences downstream of each of a few roots (id), a row each."""
+    names = [r["id"] for r in roots.select("id").distinct().collect()]
+    hits = nodes.where(F.col("type").isin(*KINDS))
+    parts = [hits.join(reachable(edges, nodes.sparkSession.createDataFrame([(n,)], "id string")), "id").select(F.lit(n).alias("root"), "type", "id") for n in names]
+    empty = hits.select(F.lit("").alias("root"), "type", "id").limit(0)
+    return functools.reduce(DataFrame.union, parts, empty)
+
+
+def trace(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, root_type, n_datasets, n_models, n_inferences, total, severity, description) of a few roots (id); a root that is no
+    node is described as not found, and has no severity."""
+    n = lambda t: F.count_if(F.col("type") == t)
+    known = roots.select(F.col("id").alias("root")).distinct()
+    hits = affected(nodes, edges, roots.join(nodes, "id", "left_semi")).groupBy("root").agg(n("dataset").alias("n_datasets"), n("model").alias("n_models"), n("inference").alias("n_inferences"))
+    types = nodes.select(F.col("id").alias("root"), F.col("type").alias("root_type"))
+    d = known.join(types, "root", "left").join(hits, "root", "left").fillna(0, ["n_datasets", "n_models", "n_inferences"])
+    d = d.withColumn("total", F.col("n_datasets") + F.col("n_models") + F.col("n_inferences"))
+    found = F.col("root_type").isNotNull()
+    text = F.format_string("Downstream of %s '%s': %d data sets, %d models, %d inference records", "root_type", "root", "n_datasets", "n_models", "n_inferences")
+    missing = F.format_string("Node '%s' not found in the lineage graph", "root")
+    return d.select("root", "root_type", "n_datasets", "n_models", "n_inferences", "total", F.when(found, _severity()).alias("severity"), F.when(found, text).otherwise(missing).alias("description"))
+
+
+def _severity() -> Column:
+    return F.when(F.col("n_inferences") > 0, "CRITICAL").when(F.col("n_models") > 0, "HIGH").when(F.col("n_datasets") > 0, "MEDIUM").otherwise("LOW")
+
+
 def impact(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     """(root, n_datasets, n_models, n_inferences, severity) of what lies downstream of a node;
     targets without a node row are walked through but not counted."""
@@ -39,8 +157,7 @@ def impact(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     hit = nodes.join(reachable(edges, spark.createDataFrame([(root,)], "id string")), "id")
     n = lambda t: F.count_if(F.col("type") == t)
     g = hit.agg(n("dataset").alias("n_datasets"), n("model").alias("n_models"), n("inference").alias("n_inferences"))
-    severity = F.when(F.col("n_inferences") > 0, "CRITICAL").when(F.col("n_models") > 0, "HIGH").when(F.col("n_datasets") > 0, "MEDIUM").otherwise("LOW")
-    return g.select(F.lit(root).alias("root"), "n_datasets", "n_models", "n_inferences", severity.alias("severity"))
+    return g.select(F.lit(root).alias("root"), "n_datasets", "n_models", "n_inferences", _severity().alias("severity"))
 
 
 def branch(contributor: str, batch: str, dataset: str, model: str | None = None, inferences: tuple[str, ...] = ()) -> tuple[list[tuple], list[tuple]]:

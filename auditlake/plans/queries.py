@@ -729,6 +729,40 @@ def blast_radius_supplier(spark, d):
     return _impact(spark, d, "supp-3")
 
 
+@query(f"""WITH RECURSIVE {EDGES}, re AS (SELECT src AS root, dst AS id FROM ed WHERE src IN ('cust-7', 'cust-8', 'model-5') UNION SELECT re.root, ed.dst FROM ed JOIN re ON ed.src = re.id)
+SELECT root, CASE WHEN id LIKE 'order-%' THEN 'dataset' ELSE 'model' END AS type, id FROM re WHERE id LIKE 'order-%' OR id LIKE 'model-%'""")
+def affected_ids(spark, d):
+    """What lies downstream of three nodes and of one that is not there, by kind."""
+    edges = written(lineage_edges(spark, d), "edges")
+    return lineage.affected(_nodes_of(edges), edges, spark.createDataFrame([("cust-7",), ("cust-8",), ("model-5",), ("nobody",)], "id string"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, re AS (SELECT src AS root, dst AS id FROM ed WHERE src IN ('cust-7', 'supp-3', 'model-5') UNION SELECT re.root, ed.dst FROM ed JOIN re ON ed.src = re.id),
+q AS (SELECT unnest(['cust-7', 'supp-3', 'model-5', 'nobody']) AS root, unnest(['batch', 'contributor', 'model', NULL]) AS root_type), c AS (SELECT q.root, root_type, count(*) FILTER (id LIKE 'order-%') AS n_datasets, count(*) FILTER (id LIKE 'model-%') AS n_models FROM q LEFT JOIN re ON re.root = q.root GROUP BY 1, 2)
+SELECT root, root_type, n_datasets, n_models, n_datasets + n_models AS total, CASE WHEN root_type IS NULL THEN NULL WHEN n_models > 0 THEN 'HIGH' WHEN n_datasets > 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+CASE WHEN root_type IS NULL THEN printf('Node ''%s'' not found in the lineage graph', root) ELSE printf('Downstream of %s ''%s'': %d data sets, %d models, 0 inference records', root_type, root, n_datasets, n_models) END AS description FROM c""")
+def impact_trace(spark, d):
+    edges = written(lineage_edges(spark, d), "edges")
+    roots = spark.createDataFrame([("cust-7",), ("supp-3",), ("model-5",), ("nobody",)], "id string")
+    return lineage.trace(_nodes_of(edges), edges, roots).drop("n_inferences")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, re AS (SELECT src AS root, dst AS id FROM ed UNION SELECT re.root, ed.dst FROM ed JOIN re ON ed.src = re.id), n AS (SELECT src AS id FROM ed UNION SELECT dst FROM ed)
+SELECT n.id, count(re.id) AS n_reached FROM n LEFT JOIN re ON re.root = n.id GROUP BY n.id""")
+def blast_radii(spark, d):
+    """The radius of every node; exact where it is under 4,096 nodes, as all are at the scale of the check."""
+    return lineage.blast_radii(lineage_edges(spark, d), lg=12)
+
+
+@query("SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS depth FROM events QUALIFY depth > 0")
+def log_descent(spark, d):
+    """Each event follows from the one before: one path, as deep as the log is long."""
+    e = F.col("event_id")
+    at = written(chain.leaves(read(spark, d, "events"), e, e), "positions")
+    edges = at.select("pos", F.col("h").alias("src")).join(at.select((F.col("pos") - 1).alias("pos"), F.col("h").alias("dst")), "pos").select("src", "dst")
+    return lineage.reachable(edges, at.where("pos = 0").select(F.col("h").alias("id"))).withColumn("depth", F.col("depth").cast("long"))
+
+
 @query(f"WITH {EDGES} SELECT DISTINCT '    ' || src || ' --> ' || dst AS line FROM ed")
 def lineage_mermaid(spark, d):
     return lineage.mermaid_lines(lineage_edges(spark, d))
