@@ -91,7 +91,7 @@ def ranked(scored: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS
     # (score, n): as many rows as there are scores
     counts = scored.where(fit).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.lit(0).alias("all"), (-F.col("score")).alias("place"), "n")
-    offsets = stored(earlier(counts, "all", "place", "n", "offset").join(counts.select("place", "n"), "place").select((-F.col("place")).alias("score"), "offset", "n"), "score-offsets")
+    offsets = stored(earlier(counts, "all", "place", "n", "offset", 256).join(counts.select("place", "n"), "place").select((-F.col("place")).alias("score"), "offset", "n"), "score-offsets")
     total = offsets.agg(F.sum("n")).first()[0] or 0
     take = percent * total // 100
     cutoff = offsets.where(F.col("offset") < take).agg(F.min("score")).first()[0]
