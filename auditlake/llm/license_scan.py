@@ -177,8 +177,18 @@ class Templates:
         out: list[list[tuple[str, int, int, float]]] = [[] for _ in n_words]
         for part in (self, *self.shorter):
             part._verified(words, word_at, out)
-        inside = lambda x, y: x[0] != y[0] and y[1] <= x[1] and x[2] <= y[2] and (y[2] - y[1], y[0]) > (x[2] - x[1], x[0])
-        return [sorted((x for x in m if not any(inside(x, y) for y in m)), key=lambda x: (x[1], x[0])) for m in out], n_words
+        return [outermost(m) for m in out], n_words
+
+
+def outermost(matches: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """The matches that lie in no other, by start, then name; of those of one place the last by name. Those of one name don't
+    overlap, so in order of start, longest first, a match lies in an earlier one if it ends before the furthest end so far."""
+    out, furthest = [], -1
+    for x in sorted(sorted(matches, key=lambda x: x[0], reverse=True), key=lambda x: (x[1], -x[2])):
+        if x[2] > furthest:
+            out.append(x)
+            furthest = x[2]
+    return sorted(out, key=lambda x: (x[1], x[0]))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
