@@ -71,6 +71,15 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+PLACE = "__place"
+
+
+def placed(scan: DataFrame) -> DataFrame:
+    """``scan`` with each row's place in it. ``scan`` must read written files and nothing else, which gives every
+    reading the same places; rows behind an exchange have no places that last."""
+    return scan.withColumn(PLACE, F.monotonically_increasing_id())
+
+
 #: Parts of a hot key, at most; a key of fewer rows has no more parts than rows.
 SALTS = 128
 

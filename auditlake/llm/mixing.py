@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import earlier, table
+from auditlake.llm.common import PLACE, earlier, placed, table
 
 #: Slots of a schedule, about: what the driver draws and what is broadcast have as many rows
 #: (and one more a source, for its last block).
@@ -39,6 +39,8 @@ SLOTS = 1 << 15
 TEMPER = 0.9
 #: Rows in a hash range, about, in which the documents of a source are ranked.
 RANGE_ROWS = 512
+#: Sources of a mixture, at most; a column of more holds something else.
+MOST_SOURCES = 100_000
 RESULTS = ("mix_block", "mix_position", "target", "in_mix")
 
 
@@ -91,11 +93,13 @@ def tempered_shares(counts: dict, power: float = TEMPER) -> dict:
     return {s: n**power for s, n in counts.items()}
 
 
-def _scheduled(docs: DataFrame, weights: dict | None, source_col: str, id_col: str, block: int | None, seed: int) -> DataFrame:
+def _scheduled(docs: DataFrame, weights: dict | None, source_col: str, id_col: str, block: int | None, seed: int, place_col: str | None = None) -> DataFrame:
     """``docs`` with __slot, mix_position, target and in_mix; null where the source has no weight."""
     spark = docs.sparkSession
     # bounded: a row for each source, the parts of a mixture
-    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(counts) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     shares = weights or tempered_shares(counts)
     names = sorted((s for s in counts if shares.get(s, 0) > 0), key=lambda s: (s is not None, str(s)))
     size = block or max(1, -(-sum(counts[s] for s in names) // SLOTS))
@@ -117,10 +121,10 @@ def _scheduled(docs: DataFrame, weights: dict | None, source_col: str, id_col: s
     own = docs.select(*[c for c in docs.columns if c not in RESULTS])
     # bounded: the parts of a mixture
     found = own.join(F.broadcast(sources), own[source_col].eqNullSafe(sources["__name"]), "left").drop("__name")
-    h = F.xxhash64(F.lit(seed), id_col)
+    h = F.xxhash64(F.lit(seed), id_col, *([place_col] if place_col else []))
     found = found.withColumn("__h", h).withColumn("__q", F.shiftright(F.shiftrightunsigned("__h", 24) * F.col("__ranges"), 40))
     before = earlier(found.where("__sid is not null").groupBy("__sid", "__q").agg(F.count(F.lit(1)).alias("__n")), "__sid", "__q", "__n", "__before")
-    ranked = found.where("__sid is not null").withColumn("__r", F.row_number().over(Window.partitionBy("__sid", "__q").orderBy("__h", id_col)) - 1).join(before, ["__sid", "__q"])
+    ranked = found.where("__sid is not null").withColumn("__r", F.row_number().over(Window.partitionBy("__sid", "__q").orderBy("__h", id_col, *([place_col] if place_col else []))) - 1).join(before, ["__sid", "__q"])
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__r")).withColumn("__k", F.floor(F.col("__rank") / size))
     # bounded: SLOTS rows and one for each source
     placed = ranked.join(F.broadcast(plan), ["__sid", "__k"])
@@ -132,19 +136,20 @@ def _scheduled(docs: DataFrame, weights: dict | None, source_col: str, id_col: s
     return placed.select(*columns).union(rest.select(*columns))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int | None = None, seed: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int | None = None, seed: int = 3, place_col: str | None = None) -> DataFrame:
     """``docs`` with mix_position (0, 1, ... without a gap), mix_block (the slot), target (the source's
     share of all slots) and in_mix: whether no source had run out before the slot. Sources without a
     weight are in no mix: their position is null. Columns that ``docs`` has under these names give way
-    to them. ``block``: documents in a block, in place of the default. Sources are the parts of a mixture: their
+    to them. ``block``: documents in a block, in place of the default. ``place_col``: a column that tells rows of equal id
+    apart (see common.placed), without which one task ranks them all. Sources are the parts of a mixture: their
     weights and counts and the slots pass through the driver."""
-    out = _scheduled(docs, weights, source_col, id_col, block, seed)
+    out = _scheduled(docs, weights, source_col, id_col, block, seed, place_col)
     return out.withColumnRenamed("__slot", "mix_block").select(*[c for c in docs.columns if c not in RESULTS], "mix_block", "mix_position", "target", "in_mix")
 
 
-def _in_order(docs: DataFrame, weights: dict | None, chunk: int, whole: bool, source_col: str = "source", id_col: str = "doc_id", block: int | None = None, seed: int = 3) -> DataFrame:
+def _in_order(docs: DataFrame, weights: dict | None, chunk: int, whole: bool, source_col: str = "source", id_col: str = "doc_id", block: int | None = None, seed: int = 3, place_col: str | None = None) -> DataFrame:
     own = [c for c in RESULTS if c in docs.columns]
-    out = _scheduled(docs.withColumnsRenamed({c: f"__own_{c}" for c in own}), weights, source_col, id_col, block, seed)
+    out = _scheduled(docs.withColumnsRenamed({c: f"__own_{c}" for c in own}), weights, source_col, id_col, block, seed, place_col)
     out = out.where("mix_position is not null" if whole else "in_mix").withColumn("__run", F.floor(F.col("mix_position") / chunk))
     out = out.repartition("__run").sortWithinPartitions("mix_position").drop("__slot", "mix_position", "target", "in_mix", "__run")
     return out.withColumnsRenamed({f"__own_{c}": c for c in own}).select(*docs.columns)
@@ -163,4 +168,4 @@ def mixed(docs: DataFrame, weights: dict | None = None, chunk: int = 4096, **nam
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mix(placed(table(spark, sf_dir, "documents").select("doc_id", "source")), place_col=PLACE).drop(PLACE)

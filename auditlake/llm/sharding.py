@@ -15,7 +15,8 @@ through the driver; both are parameters and don't grow with the input.
 
 Law `rows`: counts of shards differ by one at most. Null texts have 16 bytes and a
 null check sum. Repeated rows are rows of their own: each gets its own slot. Rows that are equal in all
-columns of their identity have one hash, and lie in one partition, which is then larger. An
+columns of their identity have one hash, and lie in one partition, which is then larger; the query's and the pipeline's identity
+has each row's place in its written table, so that no rows are equal in it. An
 empty table gives no rows. Extra columns are carried by shard(); the query drops them.
 """
 
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import earlier, table
+from auditlake.llm.common import PLACE, earlier, placed, table
 
 GROUPS = 256
 #: Rows of a partition, and of a part of a shard in which slots are ranked, about.
@@ -111,12 +112,18 @@ def _part(h: str, parts: int | Column) -> Column:
     return F.shiftright(F.shiftrightunsigned(h, 24) * parts, 40)
 
 
+def dealt_rows(rows: DataFrame, identity: list[str], seed: int) -> DataFrame:
+    """``rows`` with a group and two hashes of their identity."""
+    ids = [F.col(c) for c in identity]
+    return rows.withColumns({"__g": F.pmod(_key(ids, seed), F.lit(GROUPS)).cast("int"), "__a": _key(ids, seed + 1), "__b": _key(ids, seed + 2)})
+
+
 def shard(rows: DataFrame, shards: int, identity: list[str], seed: int = 6, size: int = ROWS) -> DataFrame:
     """``rows`` with shard and slot. ``identity``: columns whose hash deals the rows;
     rows equal in them are told apart by their number within a partition. Columns that
-    ``rows`` has under the names of results give way to these."""
-    spark, ids = rows.sparkSession, [F.col(c) for c in identity]
-    dealt = rows.withColumns({"__g": F.pmod(_key(ids, seed), F.lit(GROUPS)).cast("int"), "__a": _key(ids, seed + 1), "__b": _key(ids, seed + 2)})
+    ``rows`` has under the names of results give way to these. placed() adds a column that tells equal rows apart."""
+    spark = rows.sparkSession
+    dealt = dealt_rows(rows, identity, seed)
     sizes = {r["__g"]: r["n"] for r in dealt.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
     at, total = sorted(sizes), sum(sizes.values())
     parts, slices = max(1, -(-total // (GROUPS * size))), max(1, -(-total // (shards * size)))
@@ -129,13 +136,13 @@ def shard(rows: DataFrame, shards: int, identity: list[str], seed: int = 6, size
     sent = ranked.join(bounds, ["__g", "__p"]).withColumn("__shard", F.size(F.filter("__ends", lambda e: e <= F.col("__r"))).cast("int")).drop("__ends")
     sent = sent.withColumn("__q", _part("__b", F.lit(slices)))
     before = earlier(sent.groupBy("__shard", "__q").agg(F.count(F.lit(1)).alias("__n")), "__shard", "__q", "__n", "__before")
-    placed = sent.withColumn("__s", F.row_number().over(Window.partitionBy("__shard", "__q").orderBy("__b", "__g", "__p", "__r")) - 1)
-    placed = placed.join(before, ["__shard", "__q"]).withColumn("__slot", (F.col("__before") + F.col("__s")).cast("long"))
-    return placed.select(*[c for c in rows.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    slots = sent.withColumn("__s", F.row_number().over(Window.partitionBy("__shard", "__q").orderBy("__b", "__g", "__p", "__r")) - 1)
+    slots = slots.join(before, ["__shard", "__q"]).withColumn("__slot", (F.col("__before") + F.col("__s")).cast("long"))
+    return slots.select(*[c for c in rows.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    out = shard(rows, 40, ["doc_id", "text_crc32", "size"])
+    rows = placed(docs).select(PLACE, "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    out = shard(rows, 40, ["doc_id", "text_crc32", "size", PLACE])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

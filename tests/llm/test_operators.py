@@ -1,7 +1,9 @@
 """Operators of the llm subpackage against brute force, on awkward rows."""
 
+import binascii
 import hashlib
 import math
+import time
 import random
 import re
 from collections import Counter
@@ -133,6 +135,48 @@ def test_language(spark, docs, empty):
     assert all(0 <= r["score"] <= 1 for r in langid.detect_language(docs, learned).collect())
 
 
+def test_languages_of_unequal_size():
+    r = random.Random(12)
+    words = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 6))) for _ in range(300)] for k, v in {"en": "abcdefghiklmno", "de": "abcdefghjklpru", "small": "cdefgilmnoprstu"}.items()}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    learned = {"en": text("en", 12_000), "de": text("de", 12_000), "small": text("small", 1200)}
+    ask = [(k, text(k, n)) for k in learned for n in (4, 20, 300) for _ in range(10)]
+    base = langid.CrossParser(learned).predict([t for _, t in ask])
+    assert sum(a == k for a, (k, _) in zip(base[0], ask)) >= 87
+    for extra in ("ok", "123", "", "ni hao", "e", "the quick brown fox jumps over the lazy dog", "漢字"):
+        assert langid.CrossParser(learned | {"zz": extra}).predict([t for _, t in ask])[0] == base[0], extra
+    assert langid.CrossParser({"zz": "12 34", "yy": ""}).predict(["ab", None]) == (["und"] * 2, [0.0] * 2, [0.0] * 2)
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    r = random.Random(13)
+    words = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 6))) for _ in range(80)] for k, v in {"aa": "abcdefghi", "bb": "efghijklm"}.items()}
+    rows = [(k, " ".join(r.choice(words[lang]) for _ in range(r.randint(1, 60))), lang) for k in range(60) for lang in [r.choice(["aa", "bb"])]]
+    rows += [(100, None, "aa"), (101, "12 !!", "cc"), (102, "É ß 漢", None), (103, "ok", "dd"), (104, "", "bb"), (None, "fgh ihg", "aa")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda i: None if i is None else binascii.crc32(str(i).encode()) % 3
+    fit = spark.createDataFrame([x for x in rows if crc(x[0]) not in (1, None)], "doc_id long, text string, lang string")
+    learned = langid.learning_texts(fit)
+    sym = lambda t: "".join(chr(c) for c in langid.symbols(t).tolist())
+    cost = {k: (sym(v), math.log2(max(4096, len(sym(v))))) for k, v in learned.items() if re.search(r"[^\W\d_]", v)}
+    for x in langid.op1_langid(spark, str(tmp_path)).collect():
+        text = next(t for i, t, _ in rows if i == x["doc_id"])
+        assert x["held_out"] == (crc(x["doc_id"]) == 1)
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (x["lang_pred"], x["score"]) == ("und", 0)
+            continue
+        bits = {k: substring_phrases(sym(text), own) * c / len(sym(text)) for k, (own, c) in cost.items()}
+        best = min(sorted(bits), key=lambda k: bits[k])
+        assert x["lang_pred"] == best and x["score"] == pytest.approx(1 / sum(2 ** (-8 * (b - bits[best]) / bits[best]) for b in bits.values()))
+
+
+def test_language_refuses_a_column_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    with pytest.raises(ValueError):
+        langid.learning_texts(spark.createDataFrame([(k, "abc", str(k)) for k in range(9)], "doc_id long, text string, lang string"))
+
+
 def test_language_held_out_accuracy(spark, data):
     d = langid.op1_langid(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert d.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
@@ -309,6 +353,29 @@ def test_licence_texts_of_any_length():
     assert all(license_scan.guaranteed(m) > 0.999 for m in (2049, 3073, 4097, 6000, 6145, 9000, 100_000))
 
 
+def brute_outermost(m):
+    inside = lambda x, y: x[0] != y[0] and y[1] <= x[1] and x[2] <= y[2] and (y[2] - y[1], y[0]) > (x[2] - x[1], x[0])
+    return sorted((x for x in m if not any(inside(x, y) for y in m)), key=lambda x: (x[1], x[0]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 4), st.integers(1, 8)), max_size=6), min_size=1, max_size=4))
+def test_licence_matches_within_others(gaps):
+    matches = []
+    for k, own in enumerate(gaps):  # those of one name don't overlap
+        at = 0
+        for gap, size in own:
+            matches.append((f"t{k}", at + gap, at + gap + size, 1.0))
+            at += gap + size
+    assert license_scan.outermost(matches) == brute_outermost(matches)
+
+
+def test_many_licence_lines_in_one_text():
+    t, began = license_scan.Templates(license_scan.TEMPLATES), time.time()
+    found, _ = t.matches(pa.array(["Licensed under the Apache License, Version 2.0.\nline of code\n" * 100_000], pa.string()))
+    assert len(found[0]) == 100_000 and time.time() - began < 60
+
+
 def brute_containment(text, templates):
     """Templates of which some window of words, as long as a window of their class, holds enough."""
     split = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", t.lower())
@@ -508,6 +575,18 @@ def test_shard_query_is_uniform(spark, data):
     assert sum((by_slot[a, b] - 250) ** 2 / 250 for a in range(4) for b in range(4)) < 30
 
 
+def test_equal_rows_are_spread_over_partitions(spark, tmp_path):
+    spark.createDataFrame([(1, "same", "a")] * 20_000 + [(2, "x", None)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = common.placed(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    part = sharding._part("__a", F.lit(40))
+    sizes = lambda identity: max(r["count"] for r in sharding.dealt_rows(d, identity, 6).groupBy("__g", part.alias("p")).count().collect())
+    assert sizes(["doc_id", "text"]) == 20_000 and sizes(["doc_id", "text", common.PLACE]) < 40
+    got = sharding.op6_shard(spark, str(tmp_path)).collect()
+    by = Counter(r["shard"] for r in got)
+    assert len(got) == 20_001 and max(by.values()) - min(by.values()) <= 1 and all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in by.items())
+    assert sorted(r["mix_position"] for r in mixing.op3_mix(spark, str(tmp_path)).collect()) == list(range(20_001))
+
+
 # --- 7: quality --------------------------------------------------------------
 
 
@@ -536,17 +615,41 @@ def test_quality(spark, docs, empty):
 @given(st.lists(st.text("a b\n|é\t", max_size=60), min_size=1, max_size=5))
 def test_quality_counts(spark, texts):
     d = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
-    got = quality.features(d, "doc_id", "text", "lang").orderBy("doc_id").collect()
+    got = with_features(d).orderBy("doc_id").collect()
     assert [(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got] == [brute_quality(t) for t in texts]
 
 
-def test_quality_references_need_documents(spark, monkeypatch):
-    rows = [(k, prose(80, k), "en") for k in range(25)] + [(90, "| 1 " * 10 + " ".join(f"x{k}|" for k in range(150)), "xx")]
+def with_features(d):
+    return quality.features(d, quality.common_words(d, "text", "lang"), "doc_id", "text", "lang")
+
+
+def test_quality_of_small_languages(spark):
+    r = random.Random(8)
+    letters = {"ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "zh": range(0x5000, 0x5600)}
+    words = {k: ["".join(chr(r.choice(v)) for _ in range(r.randint(1, 7))) for _ in range(300)] for k, v in letters.items()}
+    # a few words are frequent, as in every language
+    text = lambda k, n: "".join(f"{r.choice(words[k][:9] if r.random() < 0.4 else words[k])}{r.choice(['', '', '', ',', '.'])} " for _ in range(n))
+    rows = [(k, prose(300, k), "en") for k in range(400)]
+    rows += [(1000 + 100 * n + k, text(lang, 300), label) for n, (lang, label) in enumerate([("ru", "ru"), ("el", "el"), ("zh", "zh"), ("ru", None), ("zh", "en")]) for k in range(15)]
+    rows += [(5000, text("el", 90), "one"), (5001, "%$ 12 | " * 5 + " ".join(f"{k} |" for k in range(150)), "en"), (5002, "12 | " * 3 + " ".join(f"{k} |" for k in range(150)), "digits")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    refs = lambda: {r["lang"] for r in quality.references(quality.features(d, "doc_id", "text", "lang")).collect()}
-    assert refs() == {"en"} and not quality.quality(d).where("doc_id = 90").first()["kept"]
-    monkeypatch.setattr(quality, "REF_DOCS", 1)
-    assert refs() == {"en", "xx"} and quality.quality(d).where("doc_id = 90").first()["kept"]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality(d).collect()}
+    assert [i for i, (failed, kept) in got.items() if not failed and not kept] == [5001] and not any(failed for failed, _ in got.values())
+
+
+def test_quality_words_are_learned(spark):
+    rows = [(k, "The cat The CAT the dog", "a") for k in range(3)] + [(9, "dog bird", "a"), (10, "x y", None), (11, None, "a"), (12, "  ", "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = {r["lang"]: r["common"] for r in quality.common_words(d, "text", "lang").collect()}
+    assert common == {"a": ["dog", "cat", "the", "bird"], None: ["x", "y"]}
+    f = {r["doc_id"]: r["known"] for r in with_features(d).collect()}
+    assert f[0][:4] == [1, 2, 3, 0] and f[0][-1] == 0 and f[9] == [1, 0, 0, 1] + [0] * (quality.COMMON - 3) and f[10][:2] == [1, 1] and sum(f[12]) == 0
+
+
+def test_quality_scripts(spark):
+    texts = {"a b": "Latin", "Ünïcödé É": "Latin", "привет a": "Cyrillic", "漢字かな漢": "Han", "αβγ 12": "Greek", "12 !!": "", "": "", "ꦏꦏ": "other", "a привет": "Cyrillic", "한글 b": "Hangul"}
+    d = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert [r["script"] for r in with_features(d).orderBy("doc_id").collect()] == list(texts.values())
 
 
 def brute_toxicity(model, text):
@@ -650,6 +753,19 @@ def test_base_spans(text):
     assert pii.base_spans(text) == brute_spans(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("1.0x", max_size=30))
+def test_base_spans_of_digits(text):
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+@pytest.mark.parametrize("piece", ["1", "1.", "1.1.", "1 ", "+1 ", "+1", "@", "a@b.", "a.", "DE89 ", "123-45-"])
+def test_long_runs_take_linear_time(piece):
+    began = time.time()
+    pii.find_spans(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20
+
+
 def test_pii(spark, docs, empty):
     text = "é x@y.org@z.com +1 (555) 010-9999 card 4111-1111-1111-1111 bank DE89 3704 0044 0532 0130 00 social security 123-45-6789" + " x" * 60 + " part 123-45-6789"
     spans = pii.find_spans(text)
