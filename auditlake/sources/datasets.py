@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.schemas import SAMPLE
 from auditlake.functions.tables import file_system, shared_folder, written
+from auditlake.sources import files
 
 # Extensions taken for images.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
@@ -46,13 +47,24 @@ def _ordered(d: DataFrame, order: list) -> DataFrame:
     return ranged.join(before, "range").withColumn("idx", F.col("before") + rank).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SAMPLE])
 
 
+def _coco_parts(spark: SparkSession, annotation_file: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images (p, ...), annotations (q, ...) and categories of an annotation file, in order of p and q. The file is read by many
+    tasks, or by one where its store has no ranges."""
+    if not files.known(annotation_file):
+        j = spark.read.schema(COCO).json(annotation_file, multiLine=True)
+        return j.select(F.posexplode("images").alias("p", "i")).select("p", "i.*"), j.select(F.posexplode("annotations").alias("q", "a")).select("q", "a.*"), j.select(F.explode("categories").alias("c")).select("c.*")
+    kinds = {f.name: f.dataType.elementType for f in spark.createDataFrame([], COCO).schema}
+    rows = written(files.json_elements(spark, annotation_file, tuple(kinds)), "annotations")
+    part = lambda key, place: rows.where(F.col("key") == key).select(F.col("place").alias(place), F.from_json("element", kinds[key]).alias("x")).select(place, "x.*")
+    return part("images", "p"), part("annotations", "q"), part("categories", "r")
+
+
 def coco(spark: SparkSession, annotation_file: str, images_dir: str | None = None) -> DataFrame:
     """Images with their annotations in order; those whose file is neither in the image folder
     nor in its parent are left out, if a folder is given."""
-    j = spark.read.schema(COCO).json(annotation_file, multiLine=True)
-    im = j.select(F.posexplode("images").alias("p", "i")).select("p", "i.*")
-    an = j.select(F.posexplode("annotations").alias("q", "a")).select("q", "a.image_id", "a.category_id", "a.bbox")
-    ca = j.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), "c.name")
+    im, an, ca = _coco_parts(spark, annotation_file)
+    an = an.select("q", "image_id", "category_id", "bbox")
+    ca = ca.select(F.col("id").alias("category_id"), "name")
     labelled = an.join(ca, "category_id", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), "category_id")))
     per = labelled.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("q", "category_id", "name", "bbox"))).alias("l"))
     d = im.join(per, im["id"] == per["image_id"], "left")
@@ -149,9 +161,29 @@ def class_folders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unpacked(spark: SparkSession, archive: str, into: str | None = None) -> str:
-    """Extracts a ZIP archive of any store into a folder, by default one of the shared folder, which all executors
-    read; entries that would leave the folder are refused."""
+    """Extracts a ZIP archive into a folder, by default one of the shared folder, which all executors read. Members are written by
+    tasks, by ranges; entries that would leave the folder, and content without its check sum, are refused."""
     target = into or f"{shared_folder(spark)}/zip-{uuid.uuid4().hex}"
+    if not (files.known(archive) and files.known(target)):
+        return _copied(spark, archive, target, not into)
+    listing = written(files.zip_listing(spark, archive), "zip-listing")
+    bad = listing.where("member is null").count()
+    if bad or listing.isEmpty():
+        raise DatasetError("not a ZIP archive" if bad else "the archive is empty")
+    names = listing.select("member").mapInPandas(lambda pdfs: (p[p["member"].map(files.outside)] for p in pdfs), "member string").first()
+    if names:
+        raise DatasetError(f"the archive has an entry outside of its folder: {names[0]}")
+    fault = written(files.unzipped(spark, archive, target, listing), "zip-written").where("error is not null").first()
+    if fault:
+        raise DatasetError(f"not a whole ZIP archive: {fault['member']}: {fault['error']}")
+    if not into:
+        fs, place = file_system(spark, target)
+        fs.deleteOnExit(place)
+    return target
+
+
+def _copied(spark: SparkSession, archive: str, target: str, passing: bool) -> str:
+    """As unpacked(), by way of the driver, for stores that only Spark reads."""
     fs, path = file_system(spark, archive)
     hadoop = spark._jvm.org.apache.hadoop.fs
     with tempfile.TemporaryDirectory(prefix="auditlake-zip-") as local:  # the driver alone reads it
@@ -161,30 +193,32 @@ def unpacked(spark: SparkSession, archive: str, into: str | None = None) -> str:
                 names = [n for n in z.namelist() if not n.endswith("/")]
                 if not names:
                     raise DatasetError("the archive is empty")
-                base = os.path.realpath(f"{local}/files")
-                for n in names:
-                    if os.path.commonpath([base, os.path.realpath(os.path.join(base, n))]) != base:
-                        raise DatasetError(f"the archive has an entry outside of its folder: {n}")
-                z.extractall(base)
+                if any(map(files.outside, names)):
+                    raise DatasetError(f"the archive has an entry outside of its folder: {next(filter(files.outside, names))}")
+                z.extractall(f"{local}/files")
         except zipfile.BadZipFile as e:
             raise DatasetError("not a ZIP archive") from e
         out, place = file_system(spark, target)
         out.mkdirs(place.getParent())
-        out.copyFromLocalFile(True, True, hadoop.Path(f"file://{base}"), place)
-        if not into:
+        out.copyFromLocalFile(True, True, hadoop.Path(f"file://{local}/files"), place)
+        if passing:
             out.deleteOnExit(place)
     return target
 
 
 def sniff(spark: SparkSession, folder: str) -> tuple[str, str | None]:
     """(format, annotation file) of a folder of any store: COCO, then YOLO, then class folders. JSON
-    files are read whole, by executors; the first by path that is one of annotations wins."""
-    files = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    has = lambda key: F.contains(F.col("content").cast("string"), F.lit(f'"{key}"'))
-    found = files("*.json").where(~F.col("path").endswith(".meta.json")).where(has("images") & has("categories") | has("annotations")).agg(F.min("path")).first()[0]
+    files are read by executors, piece by piece where their store has ranges; the first by path that is one of annotations wins."""
+    listed = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    jsons, words = listed("*.json").where(~F.col("path").endswith(".meta.json")), ("images", "categories", "annotations")
+    if files.known(folder):
+        has = files.holding(jsons, tuple(f'"{w}"'.encode() for w in words))
+    else:
+        has = jsons.select("path", F.array(*[F.contains(F.col("content").cast("string"), F.lit(f'"{w}"')) for w in words]).alias("has"))
+    found = has.where("has[0] and has[1] or has[2]").agg(F.min("path")).first()[0]
     if found:
         return "coco", found
-    if not files("*.txt").where(F.contains("path", F.lit("/labels/"))).select("path").isEmpty():
+    if not listed("*.txt").where(F.contains("path", F.lit("/labels/"))).select("path").isEmpty():
         return "yolo", None
     return "folders", None
 
