@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
 from auditlake.functions import crypto
-from auditlake.functions.tables import shared_folder, written
+from auditlake.functions.tables import file_system, shared_folder, written
 from auditlake.operators import chain, governance, lineage, merkle, model_audit, models, provenance, redteam, samples, shift
 from auditlake.sources import datasets
 
@@ -956,16 +956,46 @@ def session_risk(spark, d):
 # --- streams -----------------------------------------------------------------
 
 
-def streamed(spark, rows: DataFrame, work, mode: str = "append") -> DataFrame:
-    """What a stream over these rows, read from files of the shared folder until all are taken, has written."""
+def streamed(spark, rows: DataFrame, work, arrival: str | None = None, parts: int = 4) -> DataFrame:
+    """What a stream over these rows, read from files of the shared folder until all are taken, has written. ``arrival``: a column of
+    0 to parts - 1; rows come in so many batches in order of it. What the stream needed goes at once, its results when the session ends."""
     source = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{source}/in")
-    out = work(spark.readStream.schema(rows.schema).parquet(f"{source}/in"))
-    run = out.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{source}/checkpoint").trigger(availableNow=True).start(f"{source}/out")
+    own = [c for c in rows.columns if c != arrival]
+    files = 4
+    for k in range(parts if arrival else 1):
+        part = rows.where(F.col(arrival) == k) if arrival else rows
+        # as many files in each part as a batch takes
+        (part.select(*own).repartition(files) if arrival else part).write.mode("append").parquet(f"{source}/in")
+    read_ = spark.readStream.schema(rows.select(*own).schema)
+    out = work((read_.option("maxFilesPerTrigger", files) if arrival else read_).parquet(f"{source}/in"))
+    run = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{source}/checkpoint").trigger(availableNow=True).start(f"{source}/out")
     run.awaitTermination()
+    fs, place = file_system(spark, source)
+    for folder in ("in", "checkpoint"):
+        fs.delete(file_system(spark, f"{source}/{folder}")[1], True)
+    fs.deleteOnExit(place)
     return spark.read.schema(out.schema).parquet(f"{source}/out")
 
 
+#: A stream's watermark two days behind the last event, in whole milliseconds.
+OVER = "(SELECT epoch_ms(max(ts)) - 2 * 86400000 AS over FROM events)"
+
+
+@query(f"""WITH n AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS e FROM n WHERE k <> 5)
+SELECT CAST(user_id AS VARCHAR) AS chain_id, CAST(event_id AS VARCHAR) AS record_id, CAST(k AS BIGINT) AS sequence_number, CAST(e AS BIGINT) AS expected_seq, k <> e AS seq_anomaly, k = 6 AS broken_link, k = 7 AS tampered FROM a, {OVER} WHERE epoch_us(ts) <= over * 1000""")
+def stream_chain_in_order(spark, d):
+    """The users' chains without their sixth records and with an edited eighth, in four parts; every other record comes a part late."""
+    from auditlake.streaming import windows
+
+    at = read(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = user_chains(spark, d).where("sequence_number <> 5").join(at, "pos").withColumn("record_id", F.col("pos").cast("string"))
+    rows = rows.withColumn("output_digest", F.when(F.col("sequence_number") == 7, F.sha2("output_digest", 256)).otherwise(F.col("output_digest")))
+    # within the last two days of a part, odd records are late
+    days = F.datediff("ts", F.lit("2024-01-01"))
+    rows = rows.withColumn("part", F.least(F.lit(3), F.floor(days / 8) + F.when((F.col("pos") % 2 == 1) & (days % 8 == 7), 1).otherwise(0)).cast("int"))
+    return streamed(spark, written(rows, "late-records"), lambda e: windows.verify_chain_in_order(e, "2 days"), "part")
+
+
 @query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS e FROM n WHERE k <> 5)
 SELECT CAST(user_id AS VARCHAR) AS chain_id, CAST(k AS BIGINT) AS sequence_number, CAST(e AS BIGINT) AS expected_seq, k <> e AS seq_anomaly, k = 6 AS broken_link, false AS tampered FROM a""")
 def stream_chain_verify(spark, d):
@@ -982,19 +1012,23 @@ def stream_first_seen(spark, d):
     from auditlake.streaming import windows
 
     rows = read(spark, d, "events").select("event_type", F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts")).withColumn("key", F.concat_ws("|", "event_type", "user_id"))
-    return streamed(spark, rows.coalesce(1), lambda e: windows.first_seen(e, "key", "400 days")).select("event_type", "user_id")
+    rows = rows.withColumn("part", (F.pmod(F.xxhash64("ts", "key"), F.lit(2))).cast("int"))
+    return streamed(spark, rows, lambda e: windows.first_seen(e, "key", "400 days"), "part", 2).select("event_type", "user_id")
 
 
-@query(f"WITH {PSI} SELECT m AS n, round(psi, 6) AS psi FROM ps, l")
+@query(f"""WITH b AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '{CUT}' AND value IS NOT NULL GROUP BY 1),
+v AS (SELECT e.event_type, ts, date_trunc('day', ts) AS start, greatest(0, least(CASE WHEN hi > lo THEN floor((value - lo) / (hi - lo) * 20) WHEN value > hi THEN 19 ELSE 0 END, 19)) AS bin FROM events e JOIN b ON b.event_type = e.event_type WHERE value IS NOT NULL),
+k AS (SELECT unnest(range(0, 20)) AS bin), bh AS (SELECT b.event_type, k.bin, count(v.bin) AS c FROM b CROSS JOIN k LEFT JOIN v ON v.event_type = b.event_type AND v.bin = k.bin AND v.ts < TIMESTAMP '{CUT}' GROUP BY 1, 2),
+w AS (SELECT DISTINCT event_type, start FROM v WHERE ts >= TIMESTAMP '{CUT}'), wh AS (SELECT w.event_type, w.start, k.bin, count(v.bin) AS c FROM w CROSS JOIN k LEFT JOIN v ON v.event_type = w.event_type AND v.start = w.start AND v.ts >= TIMESTAMP '{CUT}' AND v.bin = k.bin GROUP BY 1, 2, 3),
+s AS (SELECT wh.event_type, wh.start, wh.c, greatest(wh.c / (sum(wh.c) OVER (PARTITION BY wh.event_type, wh.start) + 1e-6), 1e-6) AS e, greatest(bh.c / (sum(bh.c) OVER (PARTITION BY wh.event_type, wh.start) + 1e-6), 1e-6) AS b FROM wh JOIN bh ON bh.event_type = wh.event_type AND bh.bin = wh.bin)
+SELECT event_type, start, CAST(sum(c) AS BIGINT) AS n, round(greatest(0, sum((e - b) * ln(e / b))), 6) AS psi FROM s, {OVER} WHERE epoch_ms(start + INTERVAL 1 DAY) <= over GROUP BY event_type, start""")
 def stream_shift(spark, d):
-    """The evaluation side as a stream of one batch against the baseline."""
+    """Each type's values by day behind the cut, in two batches, against the frozen histogram of those before it."""
     from auditlake.streaming import windows
 
-    sides, found = event_sides(spark, d), []
-    source = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    sides.where("side = 'evaluation'").select("value").coalesce(1).write.parquet(f"{source}/in")
-    events = spark.readStream.schema("value double").parquet(f"{source}/in")
-    # one row a batch
-    run = windows.shift_monitor(events, sides.where("side = 'baseline'").select("value"), lambda f: found.extend(f.collect())).option("checkpointLocation", f"{source}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.createDataFrame([(r["n"], r["psi"]) for r in found], "n long, psi double").withColumn("psi", F.round("psi", 6))
+    e = read(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value", (F.col("ts") < F.to_timestamp_ntz(F.lit(CUT))).alias("before"))
+    base = written(windows.frozen(e.where("before"), by="event_type"), "baseline")
+    # two batches of days; the watermark is two days behind
+    rows = e.where("not before").drop("before").withColumn("part", (F.datediff("ts", F.lit(CUT[:10])) >= 7).cast("int"))
+    out = streamed(spark, rows, lambda s: windows.windowed_shift(s, base, "1 day", "2 days", "event_type"), "part", 2)
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("psi", 6).alias("psi"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from auditlake.functions import columns as C
+from auditlake.functions.tables import written
+from auditlake.operators import chain
 
 
 def window_statistics(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
@@ -56,6 +58,39 @@ def verify_chain(records: DataFrame) -> DataFrame:
     return records.groupBy("chain_id").applyInPandasWithState(step, CHAIN_SCHEMA, "expected long, prev string", "append", "NoTimeout")
 
 
+ORDERED_STATE = "expected long, prev string, pending string"
+
+
+def verify_chain_in_order(records: DataFrame, late: str = "1 hour") -> DataFrame:
+    """As verify_chain(), for records that come in any order within ``late`` of their event time (ts), which doesn't fall along a chain. A
+    chain's state keeps the records that the watermark has not passed; those that it has passed are taken in order of number, when
+    new ones come or a timer rings, so a late record is no anomaly and one that never comes is a gap. The verdicts are those of
+    a chain that is read at once. Records that are later than the watermark are dropped, and leave such a gap."""
+    import json
+
+    tampered = ~chain.recomputed(F.col("output_digest")).eqNullSafe(F.col("record_hash"))
+    d = records.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    d = d.select("chain_id", "record_id", "sequence_number", "previous_record_hash", "record_hash", tampered.alias("tampered"), F.unix_micros("ts").alias("us"), "ts")
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        expected, prev, pending = state.get if state.exists else (0, C.GENESIS, "[]")
+        held = json.loads(pending)
+        for pdf in pdfs:
+            held += [[int(r.sequence_number), r.record_id, r.previous_record_hash, r.record_hash, bool(r.tampered), int(r.us)] for r in pdf.itertuples(index=False)]
+        now = state.getCurrentWatermarkMs() * 1000
+        rows = []
+        for number, record, link, own, bad, _ in sorted(x for x in held if x[5] <= now):
+            rows.append((key[0], record, number, expected, number != expected, link != prev, bad))
+            expected, prev = expected + 1, own
+        held = [x for x in held if x[5] > now]
+        state.update((expected, prev, json.dumps(held)))
+        if held:  # rings when the watermark has passed the first of them
+            state.setTimeoutTimestamp(-(-min(x[5] for x in held) // 1000))
+        yield pd.DataFrame(rows, columns=[f.split()[0] for f in CHAIN_SCHEMA.split(", ")])
+
+    return d.groupBy("chain_id").applyInPandasWithState(step, CHAIN_SCHEMA, ORDERED_STATE, "append", "EventTimeTimeout")
+
+
 def to_ledger(findings: DataFrame, path: str, checkpoint: str):
     """A stream of findings appended to a ledger of JSON lines, a file a batch. Entries are
     chained on the driver, as a ledger has one writer; findings are few."""
@@ -84,18 +119,59 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def frozen(baseline: DataFrame, bins: int = 20, by: str | None = None) -> DataFrame:
+    """([by, ]lo, hi, counts): the histogram of a static baseline of (value[, by]), a row a key, in equal bins of its range. Made once and
+    written; windows are held against it, whatever comes."""
+    keys = [by] if by else []
+    d = baseline.where("value is not null")
+    limits = d.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo is not null")
+    d = d.join(limits, by) if by else d.crossJoin(F.broadcast(limits))  # one row without a key
+    return d.groupBy(*keys, "lo", "hi").agg(_counts(_bin(bins), bins))
+
+
+def _bin(bins: int) -> Column:
+    """The bin of a value; the first and the last one take what lies beyond."""
+    at = F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
+    return F.greatest(F.lit(0), F.least(F.coalesce(at, F.when(F.col("value") > F.col("hi"), bins - 1).otherwise(0)), F.lit(bins - 1)))
+
+
+def _counts(at: Column, bins: int) -> Column:
+    return F.array(*[F.count_if(at == k) for k in range(bins)]).alias("counts")
+
+
+def _psi(now: str, base: str) -> Column:
+    share = lambda c: F.transform(c, lambda x: F.greatest(x / (F.aggregate(c, F.lit(0).cast("long"), lambda a, y: a + y) + 1e-6), F.lit(1e-6)))
+    parts = F.zip_with(share(now), share(base), lambda e, b: (e - b) * F.ln(e / b))
+    return F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
+
+
+def windowed_shift(events: DataFrame, baseline: DataFrame, width: str, late: str = "1 hour", by: str | None = None) -> DataFrame:
+    """([by, ]start, n, psi) of (ts, value[, by]) by windows of time against a frozen() baseline; values of keys that it lacks are left out. The
+    state of a window is a count for each bin; a window of a stream is told once, when it is over ``late`` ago, and rows that come
+    later still are dropped."""
+    bins = len(baseline.first()["counts"]) if not baseline.isEmpty() else 1
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).where("value is not null")
+    e = e.withWatermark("ts", late) if e.isStreaming else e
+    keys = [by] if by else []
+    base = baseline.withColumnRenamed("counts", "base")
+    # a row a key
+    limits = base.select(*keys, "lo", "hi")
+    d = e.join(limits, by) if by else e.crossJoin(F.broadcast(limits))
+    g = d.groupBy(*keys, F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"), _counts(_bin(bins), bins))
+    g = g.join(base, by) if by else g.crossJoin(F.broadcast(base))
+    return g.select(*keys, F.col("window.start").alias("start"), "n", _psi("counts", "base").alias("psi"))
+
+
 def shift_monitor(events: DataFrame, baseline: DataFrame, sink, bins: int = 20):
-    """Each micro-batch's values against a static baseline of (value): ``sink`` gets a frame of
+    """Each micro-batch's values against a static baseline of (value), whose histogram is made once: ``sink`` gets a frame of
     (epoch, n, psi) for each batch that has rows."""
-    from auditlake.operators.shift import psi
-
-    static = baseline.select(F.lit("baseline").alias("side"), "value")
+    base = written(frozen(baseline, bins), "baseline").withColumnRenamed("counts", "base")
 
     def measure(batch: DataFrame, epoch: int) -> None:
-        now = batch.select(F.lit("evaluation").alias("side"), "value")
-        n = now.count()
-        if n:
-            sink(psi(static.union(now), bins).select(F.lit(epoch).alias("epoch"), F.lit(n).alias("n"), "psi"))
+        now = batch.where("value is not null").crossJoin(F.broadcast(base.select("lo", "hi"))).agg(F.count(F.lit(1)).alias("n"), _counts(_bin(bins), bins)).where("n > 0")
+        out = written(now.crossJoin(F.broadcast(base)).select(F.lit(epoch).alias("epoch"), "n", _psi("counts", "base").alias("psi")), "shift")
+        if not out.isEmpty():
+            sink(out)
 
     return events.writeStream.foreachBatch(measure)
 
