@@ -16,7 +16,7 @@ from auditlake.functions import columns as C
 from auditlake.functions import crypto
 from auditlake.functions.tables import file_system, shared_folder, written
 from auditlake.operators import chain, governance, lineage, merkle, model_audit, models, provenance, redteam, samples, shift
-from auditlake.sources import datasets
+from auditlake.sources import datasets, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -614,6 +614,23 @@ def ledger_breaks(spark, d):
     return governance.ledger_breaks(e).select("seq", "previous_hash")
 
 
+@query(f"WITH {DUP} SELECT printf('FIND-DS-EXACT-DUP-%04d', doc_id) AS finding_id, true AS linked, true AS committed FROM dup UNION ALL SELECT 'f' || s_suppkey, true, true FROM supplier")
+def ledger_segments(spark, d):
+    """Two batches of findings in a ledger, the first given twice: each entry with whether its link and its commit hold."""
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    dups = duplicates(spark, d).select("finding_id", F.lit("t").alias("timestamp"))
+    more = read(spark, d, "supplier").select(F.concat(F.lit("f"), "s_suppkey").alias("finding_id"), F.lit("u").alias("timestamp")).repartition(4)
+    for batch, findings in (("a", dups), ("a", dups), ("b", more)):
+        ledger.append(findings, path, batch)
+    fs, place = file_system(spark, path)
+    fs.deleteOnExit(place)
+    e = ledger.entries(spark, path)
+    broken = governance.ledger_breaks(e).select("seq", F.lit(False).alias("linked"))
+    faults = ledger.commit_breaks(spark, path).count() + ledger.edited(spark, path).count()
+    name = F.get_json_object("finding", "$.finding_id").alias("finding_id")
+    return e.join(broken, "seq", "left").select(name, F.coalesce("linked", F.lit(True)).alias("linked"), F.lit(not faults).alias("committed"))
+
+
 @query("SELECT event_id, replace(props, ' ', '') AS canonical, sha256(replace(props, ' ', '')) AS digest FROM events")
 def canonical_json(spark, d):
     c = crypto.canonical_column("props")

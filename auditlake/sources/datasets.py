@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.schemas import SAMPLE
 from auditlake.functions.tables import file_system, shared_folder, written
 from auditlake.sources import files
+from auditlake.sources import ledger as segmented
 
 # Extensions taken for images.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
@@ -249,4 +250,8 @@ def inference_log(spark: SparkSession, path: str, stream: bool = False) -> DataF
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a ledger: a file or folder of JSON lines, or the committed segments of ledger.append()."""
+    fs, place = file_system(spark, f"{path.rstrip('/')}/commits")
+    if fs.exists(place):
+        return segmented.entries(spark, path)
     return spark.read.schema("seq long, previous_hash string, timestamp string, finding string, entry_hash string").json(path)

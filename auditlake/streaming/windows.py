@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState
 from auditlake.functions import columns as C
 from auditlake.functions.tables import written
 from auditlake.operators import chain
+from auditlake.sources import ledger
 
 
 def window_statistics(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
@@ -92,31 +93,9 @@ def verify_chain_in_order(records: DataFrame, late: str = "1 hour") -> DataFrame
 
 
 def to_ledger(findings: DataFrame, path: str, checkpoint: str):
-    """A stream of findings appended to a ledger of JSON lines, a file a batch. Entries are
-    chained on the driver, as a ledger has one writer; findings are few."""
-    import json
-
-    from auditlake.operators.governance import ledger_entries, ledger_head
-
-    schema = "seq long, previous_hash string, timestamp string, finding string, entry_hash string"
-
-    def append(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = [r.asDict() for r in batch.orderBy("finding_id").collect()]
-        done = spark.read.schema(schema + ", epoch long").json(path) if _exists(spark, path) else None
-        if not rows or done is not None and not done.where(F.col("epoch") == epoch).isEmpty():
-            return  # a batch that was written before it failed is not written twice
-        head = ledger_head(done).first() if done is not None else None
-        entries = ledger_entries(rows, head["last_hash"] if head and head["n"] else C.GENESIS, head["n"] if head else 0)
-        out = [(e["seq"], e["previous_hash"], e["timestamp"], json.dumps(e["finding"], sort_keys=True), e["entry_hash"], epoch) for e in entries]
-        spark.createDataFrame(out, schema + ", epoch long").coalesce(1).write.mode("append").json(path)
-
-    return findings.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
-
-
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """A stream of findings appended to a ledger: tasks write segments of each batch, and a commit chains them. A batch
+    that was committed before the stream failed is not committed again."""
+    return findings.writeStream.foreachBatch(lambda batch, epoch: ledger.append(batch, path, f"epoch-{epoch}")).option("checkpointLocation", checkpoint)
 
 
 def frozen(baseline: DataFrame, bins: int = 20, by: str | None = None) -> DataFrame:
