@@ -13,12 +13,13 @@ holds the window only if it holds every one of them. So:
   of n words puts the window at p - o, which must lie within the document;
 * verification: the document's words from there must equal the window's words.
 
-Documents' shingles are made and probed in one generated stage, without a
-shuffle: the probe table is broadcast. It is cut into blocks of about
-BLOCK_WINDOWS windows, and all documents are run against each block, so that no
-broadcast grows with the benchmark. A window is named by two hashes of its words; the
-items that have it are joined to the hits last, by window and part of the documents, as a window may
-be in any number of items and documents. Only hits are shuffled.
+The documents are read twice, whatever the size of the benchmark: once to count shingles and once to probe. In either
+pass shingles are made in one generated stage, without a shuffle, and held against the hashes that are asked for: up to MOST_HASHES
+of them are broadcast; of more, a bit table is, of BITS bits for each and MOST_BITS at most. What passes is nearly only what the
+benchmark has: counts, or positions with the words around them, which an ordinary join then tells for certain. A table that is
+too full lets more pass and changes no result. A window is named by
+two hashes of its words; the items that have it are joined to the hits last, by window and part of the documents, as a window may
+be in any number of items and documents. Texts are never shuffled.
 
 Null texts have no words. Documents without words have 0 words and no hit. Rows that
 agree in doc_id and text are told apart only by their number; each gets a row. An
@@ -27,14 +28,19 @@ empty benchmark or table gives no hits or no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import attached, stored, table
 
 WINDOW, SHINGLE = 13, 4
-#: Windows in a broadcast, about (they are dealt by hash); each holds at most WINDOW words.
-BLOCK_WINDOWS = 50_000
+#: Hashes that are broadcast as they are (8 MB).
+MOST_HASHES = 1 << 20
+#: Bits of the table for each hash that is asked for, places of a hash in it, and bits in all: 16 MB that each task reads.
+BITS, PLACES, MOST_BITS = 32, 4, 1 << 27
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -74,53 +80,83 @@ def positions(docs: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
     return rows.select(*keep, "w", "at", F.coalesce(*[F.when(fits(k, n), shingle_at("w", F.col("at"), n)) for k, n in enumerate(sizes)]).alias("h"))
 
 
+def hashed_positions(docs: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
+    """As positions(), with the hashes made before they are rows: a condition on h then has them as they are, where Spark would
+    make them anew for each time that it names h."""
+    n = len(sizes)
+    fits = lambda p, k, size: (p >= 0) & (F.pmod(p, F.lit(n)) == k) & (F.floor(p / n).cast("int") + size <= F.size("w"))
+    made = F.transform(F.sequence(F.lit(-1), F.size("w") * n - 1), lambda p: F.coalesce(*[F.when(fits(p, k, size), shingle_at("w", F.floor(p / n).cast("int"), size)) for k, size in enumerate(sizes)]))
+    rows = docs.select(*keep, "w", F.posexplode_outer(made).alias("p", "h"))
+    return rows.select(*keep, "w", F.floor((F.col("p") - 1) / n).cast("int").alias("at"), "h")
+
+
+def _places(h: Column, bits: int) -> list[Column]:
+    """Where a hash stands in a table of ``bits`` bits."""
+    first, step = h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    return [(first + k * step).bitwiseAND(bits - 1) for k in range(PLACES)]
+
+
+def bit_table(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """The bits of ``n`` different hashes (h), as one value of longs, and their number."""
+    bits = min(MOST_BITS, max(64, 1 << (BITS * n - 1).bit_length()))
+    at = hashes.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("at"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
+    longs = at.groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(one).alias("long"))
+    # bounded: MOST_BITS / 64 rows
+    all_ = hashes.sparkSession.range(bits // 64).join(longs, "id", "left").select("id", F.coalesce("long", F.lit(0).cast("long")).alias("long"))
+    whole = stored(all_, "decontam-bits").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "long"))), lambda x: x["long"]).alias("bits"))
+    return whole.scalar(), bits
+
+
+def _maybe(h: Column, table: Column, bits: int) -> Column:
+    """Whether a hash may be one of the table's; those that are always may."""
+    bit = lambda at: F.call_function("shiftrightunsigned", F.get(table, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(1) == 1
+    return functools.reduce(operator.and_, map(bit, _places(h, bits)))
+
+
+def asked_for(read: DataFrame, keep: list[str], sizes: list[int], hashes: DataFrame, always: Column) -> DataFrame:
+    """The positions() of ``read`` whose h is one of the different hashes (h), and few others; rows that are ``always`` taken too."""
+    n = hashes.count()
+    if n <= MOST_HASHES:
+        return positions(read, keep, sizes).join(F.broadcast(hashes.withColumn("__asked", F.lit(True))), "h", "left").where(always | F.col("__asked")).drop("__asked")
+    return hashed_positions(read, keep, sizes).where(always | F.col("h").isNotNull() & _maybe(F.col("h"), *bit_table(hashes, n)))
+
+
 def contaminated_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated) of each row;
     key tells texts of equal doc_id apart."""
     read = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("key"), words(docs[text_col]).alias("w"))
     owners = stored(benchmark_windows(items, item_col, item_text_col), "decontam-windows")
     windows = stored(owners.select("window", "id1", "id2").distinct().withColumn("size", F.size("window")), "decontam-distinct")
-    found = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.least("size", F.lit(SHINGLE))).alias("sizes")).first()
-    blocks, sizes = max(1, -(-found["n"] // BLOCK_WINDOWS)), sorted(found["sizes"] or [])
+    sizes = sorted(windows.agg(F.collect_set(F.least("size", F.lit(SHINGLE)))).first()[0])
     if not sizes:
         none = read.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("size", "int"), ("id1", "long"), ("id2", "long"))])
         return _summed(none, owners)
-    parts = windows.withColumn("block", F.pmod("id1", F.lit(blocks)).cast("int"))
     own = F.least("size", F.lit(SHINGLE))
-    parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - own)).alias("offset"))
+    parts = windows.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - own)).alias("offset"))
     shingle = F.coalesce(*[F.when(own == n, shingle_at("window", F.col("offset"), n)) for n in sizes])
     parts = stored(parts.withColumn("h", shingle), "decontam-shingles")
+    asked = stored(parts.select("h").distinct(), "decontam-asked")
 
     # how often the documents have each shingle of the benchmark
-    counts = []
-    for b in range(blocks):
-        asked = parts.where(F.col("block") == b).select("h").distinct()
-        seen = positions(read, [], sizes).select("h")
-        # bounded: at most BLOCK_WINDOWS * WINDOW hashes
-        counts.append(seen.join(F.broadcast(asked), "h").groupBy("h").agg(F.count(F.lit(1)).alias("f")))
-    seen = counts[0]
-    for c in counts[1:]:
-        seen = seen.union(c)
-    seen = stored(seen.groupBy("h").agg(F.max("f").alias("f")), "decontam-rarity")
+    seen = asked_for(read, [], sizes, asked, F.lit(False)).select("h")
+    seen = stored(seen.groupBy("h").agg(F.count(F.lit(1)).alias("f")), "decontam-rarity")
     ranked = parts.join(seen, "h", "left")
-    rarest = ranked.groupBy("window", "id1", "id2", "size", "block").agg(F.min(F.coalesce("f", F.lit(0))).alias("low"), F.min_by(F.struct("h", "offset"), F.struct("f", "offset")).alias("prefix")).where("low > 0")
-    probe = stored(rarest.select("window", "id1", "id2", "size", "block", "prefix.*"), "decontam-prefix")
-
-    hits = None
-    for b in range(blocks):
-        # bounded: at most BLOCK_WINDOWS windows, by shingles of all sizes, as the size is part of the hash
-        asked = F.broadcast(probe.where(F.col("block") == b).drop("block"))
-        at = positions(read, ["doc_id", "key"], sizes)
-        start = F.col("at") - F.col("offset")
-        within = (start >= 0) & (start + F.col("size") <= F.size("w"))
-        same = at.join(asked, "h", "left").select(
-            "doc_id", "key", F.when(F.col("at") < 0, F.size("w").cast("long")).alias("n_words"), start.alias("start"), "size", "id1", "id2", (F.col("window").isNotNull() & within).alias("in"), "w", "window"
-        )
-        ok = F.col("in") & (F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.coalesce("size", F.lit(0))) == F.col("window"))
-        same = same.withColumn("ok", F.coalesce(ok, F.lit(False))).where("ok or n_words is not null")
-        same = same.select("doc_id", "key", F.when(F.lit(b == 0), F.col("n_words")).alias("n_words"), *[F.when(F.col("ok"), F.col(c)).alias(c) for c in ("start", "size", "id1", "id2")])
-        hits = same if hits is None else hits.union(same.where("start is not null"))
-    return _summed(hits, owners)
+    rarest = ranked.groupBy("window", "id1", "id2", "size").agg(F.min(F.coalesce("f", F.lit(0))).alias("low"), F.min_by(F.struct("h", "offset"), F.struct("f", "offset")).alias("prefix")).where("low > 0")
+    probe = stored(rarest.select("window", "id1", "id2", "size", "prefix.*"), "decontam-prefix")
+
+    # positions that may begin a prefix, with the words that a window can have around it, and a row a document
+    asked = stored(probe.select("h").distinct(), "decontam-asked")
+    at = asked_for(read, ["doc_id", "key"], sizes, asked, F.col("at") < 0)
+    left = F.least(F.col("at"), F.lit(WINDOW - 1))
+    around = F.when(F.col("at") >= 0, F.slice("w", F.greatest(F.col("at") - left + 1, F.lit(1)), F.greatest(left, F.lit(0)) + WINDOW))
+    near = stored(at.select("doc_id", "key", F.when(F.col("at") < 0, F.size("w").cast("long")).alias("n_words"), "at", "h", around.alias("around"), left.alias("left")), "decontam-near")
+    met = near.where("at >= 0").join(probe, "h")
+    begin = F.col("left") - F.col("offset")
+    held = (begin >= 0) & (F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.col("size")) == F.col("window"))
+    hits = met.where(held).select("doc_id", "key", F.lit(None).cast("long").alias("n_words"), (F.col("at") - F.col("offset")).alias("start"), "size", "id1", "id2")
+    none = near.where("at < 0").select("doc_id", "key", "n_words", *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("size", "int"), ("id1", "long"), ("id2", "long"))])
+    return _summed(none.union(hits), owners)
 
 
 def _summed(hits: DataFrame, owners: DataFrame) -> DataFrame:

@@ -204,9 +204,10 @@ def brute_contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 50_000])
-def test_decontamination(spark, docs, empty, block, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 15 if block == 1 else block)
+@pytest.mark.parametrize("most", [64, 1 << 27])
+def test_decontamination(spark, docs, empty, most, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_HASHES", 0 if most == 64 else most)
+    monkeypatch.setattr(decontam, "MOST_BITS", most)  # a table so small lets nearly all pass
     words = prose(120, 7).split()
     items = [(1, " ".join(words[20:40])), (2, "Two  WORDS"), (3, None), (4, ""), (5, "one"), (6, " ".join(words[25:45])), (7, prose(20, 99)), (10, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -230,6 +231,24 @@ def test_decontamination_of_equal_ids_and_common_windows(spark):
     assert by_id(got, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
 
 
+def test_bit_tables_hold_all_and_little_else(spark):
+    hashes = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    table, bits = decontam.bit_table(hashes, 2000)
+    others = spark.range(10_000, 110_000).select(F.xxhash64("id").alias("h"))
+    assert hashes.where(decontam._maybe(F.col("h"), table, bits)).count() == 2000
+    assert others.where(decontam._maybe(F.col("h"), table, bits)).count() < 200 and bits == 1 << 16
+    assert others.where(decontam._maybe(F.col("h"), *decontam.bit_table(hashes.limit(0), 0))).count() == 0
+
+
+def test_decontamination_reads_documents_twice(spark, monkeypatch):
+    reads = []
+    monkeypatch.setattr(decontam, "positions", lambda *a, real=decontam.positions: reads.append(1) or real(*a))
+    items = spark.range(400).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.concat(F.lit("w"), F.col("id") * 7 + k)), " ").alias("text"))
+    d = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before "), F.substring("text", 1, 120)).alias("text"))
+    got = decontam.contaminated_documents(d, items)
+    assert got.where("contaminated").count() == 400 and len(reads) == 2
+
+
 def test_decontamination_plan_is_native(spark, docs):
     bench = spark.createDataFrame([(1, prose(20, 7))], "item_id long, text string")
     plan = decontam.contaminated_documents(docs, bench)._jdf.queryExecution().toString()
