@@ -867,7 +867,7 @@ def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
 
 
-@pytest.mark.parametrize("name", ["op2_decontaminate", "op5_neardup", "op6_shard", "op7_quality", "op9_pii"])
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op4_license_scan", "op5_neardup", "op6_shard", "op7_quality", "op9_pii", "op10_token_counts"])
 def test_queries_on_tables(spark, data, name):
     from auditlake.llm.queries import QUERIES
 
@@ -876,6 +876,19 @@ def test_queries_on_tables(spark, data, name):
     if name == "op2_decontaminate":
         items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
         assert by_id(got, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted((repr(i), *b) for (i, _), b in zip(docs, brute_contamination([t for _, t in docs], items)))
+    elif name == "op4_license_scan":
+        # every match is one by brute force, and of the templates that brute force finds at least 99 % are there or lie within another
+        want = {i: brute_containment(t, license_scan.TEMPLATES) for i, t in docs}
+        found = {r["doc_id"]: {m["template"] for m in r["matches"]} for r in got.collect()}
+        texts = dict(license_scan.TEMPLATES)
+        assert all(found[i] <= want[i] for i in want) and any(found.values())
+        covered = lambda x, own: x in own or any(" ".join(texts[x].split()).lower() in " ".join(texts[y].split()).lower() for y in own)
+        pairs = [(i, x) for i in want for x in want[i]]
+        assert sum(covered(x, found[i]) for i, x in pairs) >= 0.99 * len(pairs)
+    elif name == "op10_token_counts":
+        library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=str(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")))
+        n = {i: len(library.encode(t or "")) for i, t in docs}
+        assert by_id(got, "n_bytes", "n_tokens", "over_limit") == sorted((repr(i), len((t or "").encode()), n[i], n[i] > 4096) for i, t in docs)
     elif name == "op5_neardup":
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == brute_components(docs)
     elif name == "op6_shard":
