@@ -85,7 +85,7 @@ def benchmark(vectors: DataFrame, records: DataFrame, every: int = 25) -> DataFr
         flags.append(found.select(F.lit(name).alias("attack"), F.col("idx").alias("sample_id")))
 
     p = poisoned(vectors, "label", every)
-    scenario("label_flip", p, samples.label_flips(p.select("idx", "label", "v"), samples.nearest(p.select("idx", "v"), 5)).select(F.col("i").alias("idx")))
+    scenario("label_flip", p, samples.label_flips(p.select("idx", "label", "v"), samples.neighbours(p.select("idx", "v"), 5)).select(F.col("i").alias("idx")))
     p = poisoned(vectors, "ood", every)
     scenario("ood_insertion", p, samples.outlier_scores(p.select("idx", "v")).where("is_ood"))
     p = poisoned(vectors, "copy", every)
@@ -105,6 +105,25 @@ def benchmark(vectors: DataFrame, records: DataFrame, every: int = 25) -> DataFr
     return metrics(*both)
 
 
+#: The least F1 of a scenario that passes.
+GATE = 0.50
+
+
+def gate(scores: DataFrame) -> DataFrame:
+    """(attack, passed) of scored scenarios."""
+    return scores.select("attack", (F.col("f1") >= GATE).alias("passed"))
+
+
+def clustered(vectors: DataFrame, pull: float = 4.0) -> DataFrame:
+    """Vectors (idx, label, v) drawn towards an axis of their label and scaled to length 1, as those of an embedder that tells
+    classes apart are."""
+    n = F.size("v")
+    moved = F.transform("v", lambda x, k: x.cast("double") + F.when(k == F.pmod("label", n), pull).otherwise(0.0))
+    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x * x))
+    d = vectors.withColumn("m", moved).withColumn("norm", norm)
+    return d.withColumn("v", F.transform("m", lambda x: x / F.col("norm"))).drop("m", "norm")
+
+
 def demo_variants(samples: DataFrame, at: int = 0) -> DataFrame:
     """(idx, label, v, patches, kind, is_attack) of (idx, label, v, patches): the samples, and behind them an exact copy of the
     one at ``at``, a look-alike of it with another label, one turned round, and three with one shared patch."""

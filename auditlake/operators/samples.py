@@ -135,7 +135,7 @@ FIT, LISTS, MEASURED = 20_000, 65_536, 256
 @dataclass
 class Index:
     """Lists of vectors by their nearest centre; a query looks into ``probes`` lists. ``recall`` was measured against all
-    rows on MEASURED of them."""
+    rows on about MEASURED of them, others than those that chose the probes."""
 
     centers: np.ndarray
     probes: int
@@ -144,8 +144,8 @@ class Index:
 
 def fit_index(rows: DataFrame, k: int, least: float = 0.95, lists: int | None = None, seed: int = 7) -> Index:
     """An index for the k nearest of (idx, v): centres from a bounded, hashed sample, as many as the root of the rows, and
-    as few probes as reach ``least`` of the exact neighbours of the measured queries. Only the sample and those
-    queries' results are on the driver."""
+    as few probes as reach ``least`` of the exact neighbours of about MEASURED queries; recall is that of as many others. Only the
+    sample and those queries' results are on the driver."""
     n = max(1, rows.count())
     h = F.pmod(F.xxhash64(F.lit(seed), "idx"), F.lit(1 << 30))
     vectors = rows.select("idx", F.col("v").cast("array<double>").alias("v"))
@@ -158,7 +158,7 @@ def fit_index(rows: DataFrame, k: int, least: float = 0.95, lists: int | None =
         np.add.at(sums, own, sample)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centers = np.where(size > 0, sums / np.maximum(size, 1e-12), centers)
-    asked = drawn(MEASURED)
+    asked = drawn(2 * MEASURED)
     index = Index(centers, 1)
     if not len(centers) or asked.isEmpty():
         return index
@@ -169,12 +169,34 @@ def fit_index(rows: DataFrame, k: int, least: float = 0.95, lists: int | None =
     ids = rows.sparkSession.createDataFrame([(x,) for x in sorted({x for pair in want for x in pair})], "idx long")
     known = {r["idx"]: np.array(r["v"], float) for r in vectors.join(F.broadcast(ids), "idx", "left_semi").collect()}
     order = {i: np.argsort(-(known[i] @ centers.T), kind="stable") for i in {i for i, _ in want}}
-    place = np.sort([int(np.flatnonzero(order[i] == (known[j] @ centers.T).argmax())[0]) for i, j in want])
-    index.probes = int(place[min(len(place) - 1, math.ceil(least * len(place)) - 1)]) + 1
-    index.recall = float((place < index.probes).mean())
+    place = {(i, j): int(np.flatnonzero(order[i] == (known[j] @ centers.T).argmax())[0]) for i, j in want}
+    halves = set(sorted(order)[::2])
+    chosen = np.sort([p for (i, _), p in place.items() if i in halves])
+    others = np.array([p for (i, _), p in place.items() if i not in halves] or chosen)
+    index.probes = int(chosen[min(len(chosen) - 1, math.ceil(least * len(chosen)) - 1)]) + 1
+    index.recall = float((others < index.probes).mean())
     return index
 
 
+#: Rows up to which all are compared with all; beyond, neighbours come from an index.
+EXACT_ROWS = 50_000
+LEAST_RECALL = 0.9
+
+
+def neighbours(rows: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each row of (idx, v): exact up to EXACT_ROWS rows, beyond by an index whose recall, measured on queries that
+    did not shape it, is LEAST_RECALL at least; more lists are looked into until it is."""
+    if rows.count() <= EXACT_ROWS:
+        return nearest(rows, k)
+    for least in (0.95, 0.99, 1.0):
+        index = fit_index(rows, k, least)
+        if index.recall >= LEAST_RECALL:
+            break
+    else:
+        index.probes = len(index.centers)
+    return nearest_indexed(rows, k, index)
+
+
 def nearest_indexed(rows: DataFrame, k: int, index: Index, queries: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """As nearest(), among the vectors of the lists that each query looks into. A list of any length is cut into parts
     of about ``tile`` vectors, each a product of its own."""

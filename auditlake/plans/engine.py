@@ -25,6 +25,8 @@ class Audit:
     contributors: DataFrame | None = None
     batches: DataFrame | None = None
     impact: DataFrame | None = None
+    #: How many records were spot-checked, passed, differed, and had no input.
+    spot_checks: dict[str, int] | None = None
 
 
 def sample_findings(rows: DataFrame, config: Config, ts: str) -> DataFrame:
@@ -42,7 +44,7 @@ def sample_findings(rows: DataFrame, config: Config, ts: str) -> DataFrame:
     vectors = valid.select("idx", "label", "v")
     if stats["n"] >= s.neighbours + 1 and stats["classes"] >= 2:
         k = samples.effective_k(stats["n"], stats["classes"], s.neighbours)
-        flips = samples.label_flips(vectors, samples.nearest(vectors, k))
+        flips = samples.label_flips(vectors, samples.neighbours(vectors, k))
         evidence = {c: F.col(c) for c in ("label", "dominant", "purity", "dist_own", "dist_other")}
         out.append(flips.select(*C.finding(F.format_string("FIND-DS-LABEL-FLIP-%04d", "i"), "data_sentinel", "i", F.lit("Neighbours and centroids say another label"), evidence, "HIGH", F.col("confidence"), "QUARANTINE", "Label the sample anew", ts)))
     out.append(samples.outlier_findings(samples.outlier_scores(vectors, s.outlier_percentile / 100), ts))
@@ -100,7 +102,7 @@ def run(
     config = config or Config()
     parts: list[DataFrame] = []
     confidences = []
-    contributors = batches = None
+    contributors = batches = checks = None
     if sample_rows is not None:
         found = sample_findings(sample_rows, config, ts)
         s = config.samples
@@ -117,6 +119,7 @@ def run(
         parts.append(provenance.audit(records, ts, trusted if trusted_key or "signature" in records.columns else None, checkpoint))
         if replay:
             checked = chain.spot_check(*replay, rate=config.provenance.spot_check_rate, tolerance=config.provenance.spot_check_tolerance)
+            checks = chain.spot_summary(checked).first().asDict()
             parts.append(provenance.spot_check_findings(checked, ts))
         if checkpoint and checkpoint["public_key"] != trusted:
             parts.append(provenance.untrusted_checkpoint(spark, checkpoint, ts))
@@ -127,7 +130,7 @@ def run(
     findings = _union(parts) if parts else spark.createDataFrame([], FINDING)
     results = spark.createDataFrame([(c,) for c in confidences], "confidence double")
     document = governance.summary_document(findings, results, {"samples": sample_rows is not None, "model": model, "records": records is not None}, ts[:10] + "-" + key.public.hex()[:8], ts)
-    return Audit(findings, governance.sign(document, key), contributors, batches, trace(*lineage_of) if lineage_of else None)
+    return Audit(findings, governance.sign(document, key), contributors, batches, trace(*lineage_of) if lineage_of else None, checks)
 
 
 def trace(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:

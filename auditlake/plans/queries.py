@@ -170,7 +170,7 @@ def knn_index(spark, d):
 @query(f"WITH {KNN} SELECT i, CAST(label AS BIGINT) AS label, CAST(dominant AS BIGINT) AS dominant, round(dominant_ratio, 6) AS dominant_ratio, round(purity, 6) AS purity FROM p")
 def label_purity(spark, d):
     rows = vectors(spark, d)
-    return samples.label_purity(rows, samples.nearest(rows, 5)).select("i", "label", "dominant", F.round("dominant_ratio", 6).alias("dominant_ratio"), F.round("purity", 6).alias("purity"))
+    return samples.label_purity(rows, samples.neighbours(rows, 5)).select("i", "label", "dominant", F.round("dominant_ratio", 6).alias("dominant_ratio"), F.round("purity", 6).alias("purity"))
 
 
 @query(f"""WITH {KNN}, x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e), t AS (SELECT label, pos, sum(x) AS s, count(*) AS n FROM x GROUP BY label, pos),
@@ -180,7 +180,7 @@ z AS (SELECT *, 1 - list_dot_product(v, own) / sqrt(list_dot_product(own, own))
 SELECT i, CAST(label AS BIGINT) AS label, CAST(dominant AS BIGINT) AS dominant, round(dist_own, 6) AS dist_own, round(dist_other, 6) AS dist_other, round(least(0.98, greatest(dominant_ratio, 0.75)), 2) AS confidence FROM z WHERE dist_other < dist_own""")
 def label_flips(spark, d):
     rows = vectors(spark, d)
-    return samples.label_flips(rows, samples.nearest(rows, 5)).select("i", "label", "dominant", F.round("dist_own", 6).alias("dist_own"), F.round("dist_other", 6).alias("dist_other"), "confidence")
+    return samples.label_flips(rows, samples.neighbours(rows, 5)).select("i", "label", "dominant", F.round("dist_own", 6).alias("dist_own"), F.round("dist_other", 6).alias("dist_other"), "confidence")
 
 
 @query("WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) SELECT CAST(label AS BIGINT) AS label, CAST(pos - 1 AS BIGINT) AS pos, count(*) AS n, round(avg(x), 6) AS mean FROM x GROUP BY label, pos")
@@ -944,6 +944,13 @@ def redteam_benchmark(spark, d):
     return redteam.benchmark(patched_vectors(spark, d), written(chain.build(event_records(spark, d)), "chain"))
 
 
+@query("SELECT unnest(['label_flip', 'ood_insertion', 'duplicate_flooding', 'trigger_poisoning', 'chain_output', 'chain_model', 'chain_swap']) AS attack, true AS passed")
+def redteam_gate(spark, d):
+    """Whether each detector passes its gate on attacked vectors that have classes, made of the table's."""
+    v = written(redteam.clustered(patched_vectors(spark, d)), "clustered")
+    return redteam.gate(redteam.benchmark(v, written(chain.build(event_records(spark, d)), "chain")))
+
+
 @query()
 def assets_benchmark(spark, d):
     """All scenarios and those on models, streams and summaries. The two sides are the events of even and odd ids."""

@@ -417,6 +417,29 @@ def test_reach_is_never_cut(spark):
     assert lineage.reachable(edges, start, most=5).count() == 5
 
 
+def test_neighbours_of_large_tables_come_from_an_index(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.eye(24)[rng.integers(0, 24, 1500)] + rng.normal(scale=0.25, size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "idx long, v array<double>")
+    exact = {(r["i"], r["j"]) for r in samples.neighbours(d, 5).collect()}
+    assert exact == {(r["i"], r["j"]) for r in samples.nearest(d, 5).collect()}
+    monkeypatch.setattr(samples, "EXACT_ROWS", 1000)
+    monkeypatch.setattr(samples, "MEASURED", 64)
+    got = {(r["i"], r["j"]) for r in samples.neighbours(d, 5).collect()}
+    index = samples.fit_index(d, 5, 0.95)
+    assert len(got & exact) >= 0.9 * len(exact) and index.probes < len(index.centers) and 0.85 < index.recall <= 1
+
+
+def test_red_team_gate_on_classes(spark):
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(k, k % 4, rng.normal(size=8).tolist()) for k in range(40)], "idx long, label long, v array<double>")
+    c = redteam.clustered(d).collect()
+    assert all(abs(sum(x * x for x in r["v"]) - 1) < 1e-9 and np.argmax(r["v"]) == r["label"] for r in c)
+    scores = spark.createDataFrame([("a", 0.5), ("b", 0.49)], "attack string, f1 double")
+    assert [tuple(r) for r in redteam.gate(scores).collect()] == [("a", True), ("b", False)]
+
+
 def test_command_line_shows_all_findings(spark, tmp_path, capsys):
     from auditlake import cli
 
