@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +76,13 @@ PLACE = "__place"
 
 
 def placed(scan: DataFrame) -> DataFrame:
-    """``scan`` with each row's place in it. ``scan`` must read written files and nothing else, which gives every
-    reading the same places; rows behind an exchange have no places that last."""
-    return scan.withColumn(PLACE, F.monotonically_increasing_id())
+    """``scan`` with each row's place, from its file and its number there: the same however files are split, so that jobs that read
+    it again, after executors were lost too, see the same places. ``scan`` must read written Parquet and nothing else; a
+    table in memory (tests) numbers its rows, and one behind an exchange has no places that last."""
+    try:
+        return scan.withColumn(PLACE, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        return scan.withColumn(PLACE, F.monotonically_increasing_id())
 
 
 #: Parts of a hot key, at most; a key of fewer rows has no more parts than rows.

@@ -168,4 +168,4 @@ def mixed(docs: DataFrame, weights: dict | None = None, chunk: int = 4096, **nam
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(placed(table(spark, sf_dir, "documents").select("doc_id", "source")), place_col=PLACE).drop(PLACE)
+    return mix(placed(table(spark, sf_dir, "documents")).select("doc_id", "source", PLACE), place_col=PLACE).drop(PLACE)
