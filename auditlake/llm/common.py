@@ -73,16 +73,26 @@ def dropped(*tables: DataFrame) -> None:
 
 
 PLACE = "__place"
-
-
-def placed(scan: DataFrame) -> DataFrame:
-    """``scan`` with each row's place, from its file and its number there: the same however files are split, so that jobs that read
-    it again, after executors were lost too, see the same places. ``scan`` must read written Parquet and nothing else; a
-    table in memory (tests) numbers its rows, and one behind an exchange has no places that last."""
+#: Rows of one id that stay together, and ids of more rows, at most.
+LEAST_HOT, MOST_HOT = 512, 100_000
+
+
+def placed(scan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``scan`` with a number that tells the rows of an id apart which LEAST_HOT rows have, and one in MOST_HOT of all: a row's file
+    and its place there, the same however files are split, so that jobs that read it again, after executors were lost too,
+    see the same. It is 0 for all other rows, whose results thus don't hang on the layout of files. ``scan`` must read written Parquet and
+    nothing else; a table in memory (tests) numbers its rows, and one behind an exchange has no places that last."""
+    key = F.xxhash64(id_col)
+    total = scan.count()
+    # bounded: at most MOST_HOT ids have more than one in MOST_HOT of all rows
+    hot = scan.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(LEAST_HOT, total // MOST_HOT))
+    hot = stored(hot.select("__key", F.lit(True).alias("__hot")), "hot-ids")
     try:
-        return scan.withColumn(PLACE, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+        out = scan.withColumn(PLACE, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
     except AnalysisException:
-        return scan.withColumn(PLACE, F.monotonically_increasing_id())
+        out = scan.withColumn(PLACE, F.monotonically_increasing_id())
+    out = out.withColumn("__key", key).join(F.broadcast(hot), "__key", "left")
+    return out.select(*scan.columns, F.when(F.col("__hot"), F.col(PLACE)).otherwise(F.lit(0).cast("long")).alias(PLACE))
 
 
 #: Parts of a hot key, at most; a key of fewer rows has no more parts than rows.

@@ -16,7 +16,7 @@ through the driver; both are parameters and don't grow with the input.
 Law `rows`: counts of shards differ by one at most. Null texts have 16 bytes and a
 null check sum. Repeated rows are rows of their own: each gets its own slot. Rows that are equal in all
 columns of their identity have one hash, and lie in one partition, which is then larger; the query's and the pipeline's identity
-has each row's place in its written table, so that no rows are equal in it. An
+has, for ids that many rows have, each row's place in its written table, so that these are spread. An
 empty table gives no rows. Extra columns are carried by shard(); the query drops them.
 """
 
