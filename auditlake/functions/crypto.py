@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditlake.functions.canonical import canonical_column  # noqa: F401
+
 # The curve of RFC 8032.
 P = 2**255 - 19
 ORDER = 2**252 + 27742317777372353535851937790883648493
@@ -37,22 +39,6 @@ def canonical_hash(value: Any) -> str:
     return sha256(canonical(value))
 
 
-def canonical_column(c: Column | str) -> Column:
-    """Canonical form of a JSON text column; null where it is no JSON."""
-
-    @F.pandas_udf("string")
-    def convert(s: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                return None if x is None else canonical(json.loads(x))
-            except ValueError:
-                return None
-
-        return s.map(one)
-
-    return convert(c)
-
-
 def _add(p: tuple, q: tuple) -> tuple:
     a, b = (p[1] - p[0]) * (q[1] - q[0]) % P, (p[1] + p[0]) * (q[1] + q[0]) % P
     c, d = 2 * p[3] * q[3] * D % P, 2 * p[2] * q[2] % P

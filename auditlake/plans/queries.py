@@ -637,6 +637,14 @@ def canonical_json(spark, d):
     return read(spark, d, "events").select("event_id", c.alias("canonical")).withColumn("digest", F.sha2("canonical", 256))
 
 
+@query("SELECT event_id, '{\"a\":{\"tiny\":' || CAST(value * 1e-9 AS VARCHAR) || ',\"vast\":' || CAST(value * 1e20 AS VARCHAR) || '},\"b\":[' || CAST(value AS VARCHAR) || ',null],\"kind\":\"' || event_type || ' \\u00e9\"}' AS canonical FROM events")
+def canonical_measures(spark, d):
+    """Nested objects out of order, doubles as the JVM prints them, and a letter beyond ASCII."""
+    v = F.col("value")
+    text = F.concat(F.lit('{"kind": "'), "event_type", F.lit(' \u00e9", "b": [ '), v.cast("string"), F.lit(' , null], "a": {"vast": '), (v * 1e20).cast("string"), F.lit(', "tiny": '), (v * 1e-9).cast("string"), F.lit("} }"))
+    return read(spark, d, "events").select("event_id", crypto.canonical_column(text).alias("canonical"))
+
+
 @query("SELECT page_id, 'REG-' || upper(left(sha256(html), 8)) AS registration_id, 'REC-' || left(sha256(url), 8) || '-' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS record_id, upper(hex(encode(url))) AS hexed FROM pages")
 def identifiers(spark, d):
     return read(spark, d, "pages").select("page_id", provenance.registration_id(F.sha2("html", 256)).alias("registration_id"), provenance.record_ids(F.sha2("url", 256), F.col("page_id")).alias("record_id"), F.hex(F.encode("url", "UTF-8")).alias("hexed"))
