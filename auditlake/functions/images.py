@@ -230,15 +230,16 @@ def review_column(image: Column | str) -> Column:
     return _over(image, "blur double, mean double, sd double", review_statistics)
 
 
-def watermarked_column(image: Column | str, record_id: Column | str, visible: bool = False) -> Column:
-    """PNG files of images that carry their record's id, and show it if ``visible``."""
+def watermarked_column(image: Column | str, record_id: Column | str, visible: bool = False, invisible: bool = True) -> Column:
+    """PNG files of images that carry their record's id if ``invisible``, and show it if ``visible``."""
 
     @F.pandas_udf("binary")
     def run(pdf: pd.DataFrame, ids: pd.Series) -> pd.Series:
         out = []
         for d, h, w, n, i in zip(pdf["data"], pdf["height"], pdf["width"], pdf["nChannels"], ids):
             a = rgb(d, h, w, n)
-            out.append(png(embed(badge(a, i) if visible else a, i)))
+            a = badge(a, i) if visible else a
+            out.append(png(embed(a, i) if invisible else a))
         return pd.Series(out)
 
     return run(image, record_id)

@@ -19,6 +19,13 @@ def probes(spark: SparkSession, n: int = 20, size: int = 64, seed: int = 42) ->
     return spark.createDataFrame([(k, np.random.default_rng(seed + k).normal(size=size).tolist()) for k in range(n)], "probe_id int, v array<double>")
 
 
+def unprobed_findings(outputs: DataFrame, model: str, n: int = 20, ts: str = "") -> DataFrame:
+    """A finding where (probe_id, current) has outputs of fewer than the ``n`` probes that the setting ``models.probes`` asks
+    for: agreement over the others says less than it seems to."""
+    d = outputs.agg(F.count_distinct(F.when(F.col("current").isNotNull(), F.col("probe_id"))).alias("answered")).where(F.col("answered") < n)
+    return d.select(*C.finding(F.lit(f"FIND-MA-PROBES-{model}"), "model_auditor", F.lit(model), F.lit("Outputs of some probes are missing"), {"answered": F.col("answered"), "asked": F.lit(n)}, "MEDIUM", 1.0, "REVIEW", "Run the probes that are missing", ts))
+
+
 def fingerprint(outputs: DataFrame) -> str:
     """Digest of the few probes' outputs (probe_id, output), in order."""
     return crypto.canonical_hash([r["output"] for r in outputs.orderBy("probe_id").collect()])

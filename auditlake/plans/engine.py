@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import columns as C
 from auditlake.functions import crypto
 from auditlake.functions.schemas import FINDING
-from auditlake.operators import chain, governance, lineage, models, provenance, samples, shift
+from auditlake.operators import chain, governance, lineage, model_audit, models, provenance, samples, shift
 from auditlake.sources.config import Config
 
 NAMES = [f.name for f in FINDING]
@@ -64,6 +64,7 @@ def model_findings(params: DataFrame | None, outputs: DataFrame | None, name: st
     if outputs is not None:
         g = models.output_agreement(outputs, config.models.tolerance).where("substituted")
         out.append(g.select(*C.finding(F.lit(f"FIND-MA-SUBSTITUTION-{name}"), "model_auditor", F.lit(name), F.lit("Outputs differ from those registered"), {c: F.col(c) for c in ("agreement", "mse", "max_diff")}, "CRITICAL", 0.96, "QUARANTINE", "Hold the model", ts)))
+        out.append(model_audit.unprobed_findings(outputs, name, config.models.probes, ts))
     if params is None and outputs is None:
         out.append(_note(None, f"FIND-MA-UNAVAILABLE-{name}", name, ts))
     return out

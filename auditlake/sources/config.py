@@ -7,6 +7,10 @@ from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 
+# What a marked image has.
+WATERMARKS = ("NONE", "VISIBLE", "INVISIBLE", "BOTH")
+
+
 @dataclass(frozen=True)
 class Samples:
     hash_distance: int = 6
@@ -29,7 +33,13 @@ class Models:
 class Provenance:
     spot_check_rate: float = 0.25
     spot_check_tolerance: float = 1e-4
-    watermark: str = "INVISIBLE"  # or NONE
+    watermark: str = "INVISIBLE"
+
+    def __post_init__(self):
+        policy = str(self.watermark).upper()
+        if policy not in WATERMARKS:
+            raise ValueError(f"watermark is {self.watermark}, not one of {', '.join(WATERMARKS)}")
+        object.__setattr__(self, "watermark", policy)
 
 
 @dataclass(frozen=True)

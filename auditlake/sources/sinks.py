@@ -63,11 +63,12 @@ def append_ledger(findings: DataFrame, path: str) -> int:
     return n
 
 
-def write_watermarked(images: DataFrame, folder: str, visible: bool = False) -> None:
-    """Images (record_id, image) as PNG files that carry their record's id, in a table (record_id, content) of any store."""
+def write_watermarked(images: DataFrame, folder: str, policy: str = "INVISIBLE") -> None:
+    """Images (record_id, image) as PNG files, in a table (record_id, content) of any store. ``policy`` is the setting
+    ``provenance.watermark``: the record's id is shown (VISIBLE), hidden in the pixels (INVISIBLE), BOTH or NONE."""
     from auditlake.functions.images import watermarked_column
 
-    images.select("record_id", watermarked_column("image", "record_id", visible).alias("content")).write.mode("append").parquet(folder)
+    images.select("record_id", watermarked_column("image", "record_id", policy in ("VISIBLE", "BOTH"), policy in ("INVISIBLE", "BOTH")).alias("content")).write.mode("append").parquet(folder)
 
 
 def html_report(signed: dict[str, Any], coverage: dict[str, Any] | None = None, limitations: list[str] | None = None, impact: dict[str, Any] | None = None) -> str:

@@ -619,7 +619,7 @@ def test_image_variants_and_badges(spark, tmp_path):
     d = spark.read.format("image").load(str(tmp_path)).select(F.regexp_extract("image.origin", r"(\d+)\.png", 1).alias("id"), "image")
     v = images.image_variants(d)
     assert v.count() == 10 and v.select("kind").distinct().count() == 5
-    sinks.write_watermarked(d.withColumnRenamed("id", "record_id"), str(tmp_path / "out"), visible=True)
+    sinks.write_watermarked(d.withColumnRenamed("id", "record_id"), str(tmp_path / "out"), policy="BOTH")
     r = {x["record_id"]: x["content"] for x in spark.read.parquet(str(tmp_path / "out")).collect()}
     (tmp_path / "back").mkdir()
     (tmp_path / "back" / "0.png").write_bytes(r["0"])
@@ -666,3 +666,25 @@ def test_index_of_neighbours(spark):
     assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
     index.probes = len(index.centers)
     assert {(x["i"], x["j"]) for x in samples.nearest_indexed(d, 5, index, tile=64).collect()} == exact
+
+
+def test_settings_reach_what_they_name(spark, tmp_path):
+    """Each watermark policy, other case too, and how many probes an audit asks for."""
+    for k, x in enumerate(images.battery(2)):
+        (tmp_path / f"{k}.png").write_bytes(images.png(x))
+    d = spark.read.format("image").load(str(tmp_path)).select(F.lit("REC-000123").alias("record_id"), "image").limit(1)
+    plain = images.rgb(*[d.first()["image"][c] for c in ("data", "height", "width", "nChannels")])
+    for policy in config.WATERMARKS:
+        setting = config.Provenance(watermark=policy.lower()).watermark
+        sinks.write_watermarked(d, str(tmp_path / policy), setting)
+        (tmp_path / f"{policy}-png").mkdir()
+        (tmp_path / f"{policy}-png" / "a.png").write_bytes(spark.read.parquet(str(tmp_path / policy)).first()["content"])
+        x = spark.read.format("image").load(str(tmp_path / f"{policy}-png")).first()["image"]
+        a = images.rgb(x["data"], x["height"], x["width"], x["nChannels"])
+        assert (images.extract(a) == "REC-000123") == (policy in ("INVISIBLE", "BOTH"))
+        assert (np.abs(a.astype(int) - plain)[-7:] > 1).any() == (policy in ("VISIBLE", "BOTH"))
+    with pytest.raises(ValueError):
+        config.Provenance(watermark="LOUD")
+    o = spark.createDataFrame([(k, [1.0, 0.0], [1.0, 0.0] if k else None) for k in range(20)], "probe_id int, registered array<double>, current array<double>")
+    found = [engine.model_findings(None, o.where(f"probe_id < {n}"), "net", config.Config(models=config.Models(probes=m)), TS) for n, m in ((20, 20), (20, 19), (5, 5))]
+    assert [sum(f.where("finding_id = 'FIND-MA-PROBES-net'").count() for f in x) for x in found] == [1, 0, 1]
