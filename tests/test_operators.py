@@ -139,6 +139,42 @@ def test_nearest_is_brute_force(spark, tile):
     assert {(r["i"], r["j"], r["rank"]) for r in samples.nearest(d, 3, tile).collect()} == want
 
 
+def test_nearest_among_copies_and_over_blocks(spark, monkeypatch):
+    """Ties go to the smaller id however many copies there are, strips and pieces are cut anywhere, and what is sent doesn't grow faster than rows."""
+    monkeypatch.setattr(samples, "STRIP", 3000)
+    monkeypatch.setattr(samples, "HELD", 70)
+    r = np.random.default_rng(8)
+    v = r.normal(size=(700, 8)).astype(np.float32)
+    v[100:400] = v[100]
+    v[650, 3] = np.nan
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "idx long, v array<float>")
+    s = np.round(v.astype(float) @ v.astype(float).T, 12)
+    np.fill_diagonal(s, np.nan)
+    want = {(i, int(j), n + 1) for i in range(700) if i != 650 for n, j in enumerate(np.argsort(-s[i], kind="stable")[:3])}
+    for tile in (100, 1000):
+        assert {(x["i"], x["j"], x["rank"]) for x in samples.nearest(d, 3, tile).collect()} == want
+    some = samples.nearest(d, 3, 100, d.where("idx % 100 = 0"))
+    assert {(x["i"], x["j"], x["rank"]) for x in some.collect()} == {w for w in want if w[0] % 100 == 0}
+    assert samples._blocks(600_000, samples.TILE) == samples._blocks(100_000, samples.TILE) == samples.SIDES
+
+
+def test_near_pairs_of_short_hashes(spark, monkeypatch):
+    """No explosion of values, which the planner would send through the driver; each pair once."""
+    monkeypatch.setattr(samples, "TILE", 60)
+    monkeypatch.setattr(samples, "STRIP", 1000)
+    r = np.random.default_rng(9)
+    v, h = r.normal(size=(300, 4)), r.integers(0, 2**16, 300)
+    v[::7], h[::7] = v[0], h[0]
+    d = spark.createDataFrame([(k, int(h[k]), v[k].tolist()) for k in range(300)], "idx long, h long, v array<double>")
+    got = samples.near_duplicates(d, 3, 0.3, 16)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    bands = samples.hamming_pairs(d, 1, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan + bands
+    rows = [tuple(x) for x in got.select("i", "j", "distance").collect()]
+    want = {(i, j, int(h[i] ^ h[j]).bit_count()) for i in range(300) for j in range(i + 1, 300) if int(h[i] ^ h[j]).bit_count() <= 3 and v[i] @ v[j] >= 0.3}
+    assert len(rows) == len(want) and set(rows) == want
+
+
 def two_clusters(spark, flip=True):
     rng = np.random.default_rng(3)
     rows = []
