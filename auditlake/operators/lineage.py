@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +16,25 @@ def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False, most:
     """(id, depth) of all nodes reached from (id) by (src, dst), roots left out. Each round
     joins the last round's nodes with the edges and drops those seen before, so cycles
     end; only the frontier is joined, and it is written so that plans stay short. Where nodes lie behind PLAIN_ROUNDS
-    rounds, chains (runs of nodes with one edge in and one out) are contracted to an edge each by doubling, so that a path of any length
-    takes rounds in the logarithm of it. ``most``: an error is raised if nodes lie deeper."""
+    rounds, chains (runs of nodes with one edge in and one out) are contracted to an edge each, so that a path of any length
+    takes rounds in the logarithm of it. ``edges`` are read once a round, repeats and all: write them first if they cost more than
+    a scan. ``most``: an error is raised if nodes lie deeper."""
+    return _walk(edges, roots.select("id").distinct(), [], upstream, most)
+
+
+def reachable_each(edges: DataFrame, roots: DataFrame, upstream: bool = False) -> DataFrame:
+    """(root, id, depth) of all nodes reached from each of ``roots`` (id), in the rounds of one walk; a root on a cycle isn't its own."""
+    return _walk(edges, roots.select(F.col("id").alias("root"), "id").distinct(), ["root"], upstream, None)
+
+
+def _walk(edges: DataFrame, roots: DataFrame, keys: list[str], upstream: bool, most: int | None) -> DataFrame:
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    # written once: each round reads it
-    steps = written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "lineage")
-    seen = written(roots.select("id").distinct().withColumn("depth", F.lit(0)), "lineage")
+    steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
+    seen = written(roots.withColumn("depth", F.lit(0)), "lineage")
     frontier, depth = seen, 0
     while True:
         depth += 1
-        new = frontier.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
+        new = frontier.join(steps, "id").select(*keys, F.col("next").alias("id")).distinct().join(seen, [*keys, "id"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = written(new, "lineage")
         if frontier.isEmpty():
             return seen.where("depth > 0")
@@ -36,20 +43,52 @@ def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False, most:
         seen = seen.union(frontier)
         if depth >= PLAIN_ROUNDS:
             break
-    seen = written(_contracted_walk(steps, seen, frontier), "lineage")
+    seen = written(_contracted_walk(written(steps.distinct(), "lineage"), seen, frontier, keys), "lineage")
     if most is not None and not seen.where(F.col("depth") > most).isEmpty():
         raise RuntimeError(f"nodes lie deeper than {most} rounds")
     return seen.where("depth > 0")
 
 
+#: Nodes of chains that are ranked by doubling alone; where there are more, they are thinned out first.
+THIN = 1 << 17
+
+
 def chains(steps: DataFrame, ends: DataFrame) -> DataFrame:
     """(id, next, head, dist) of the nodes of (id, next) edges that have one edge in and one out and aren't in ``ends`` (id):
-    the node before their chain and the steps from there. Chains are ranked by doubling, in rounds in the logarithm of the
-    longest. Nodes of a closed ring of such nodes have no head and are left out."""
+    the node before their chain and the steps from there. Nodes of a closed ring of such nodes have no head and are left out.
+
+    While there are many, nodes that have a smaller hash than both their neighbours leave, about a third in each round,
+    and their neighbours are linked past them; the last are ranked by doubling, and those that left by their heads, in reverse. So
+    what is written and shuffled in all rounds together is a few times the nodes."""
     into = steps.groupBy("next").agg(F.count(F.lit(1)).alias("n_in"), F.min("id").alias("head")).withColumnRenamed("next", "id")
     out = steps.groupBy("id").agg(F.count(F.lit(1)).alias("n_out"), F.min("next").alias("next"))
     inner = into.join(out, "id").where("n_in = 1 and n_out = 1 and head <> id").join(ends, "id", "left_anti").select("id", "next", "head", F.lit(1).cast("long").alias("dist"))
     inner = written(inner, "lineage")
+    rest, gone, rings = inner, [], []
+    while rest.count() > THIN:
+        h = lambda c, k=len(gone): F.xxhash64(F.lit(k), c)
+        low = (h("id") < h("next")) & (h("id") < h("head"))
+        gone.append(written(rest.where(low), "lineage"))
+        # an inner node has one neighbour on each side; of others' messages, which nobody reads, one a task is left
+        behind = gone[-1].groupBy(F.col("next").alias("id")).agg(F.max("head").alias("__head"), F.max("dist").alias("__dist"))
+        before = gone[-1].groupBy(F.col("head").alias("id")).agg(F.max("next").alias("__next"))
+        linked = rest.where(~low).join(behind, "id", "left").join(before, "id", "left")
+        linked = written(linked.select("id", F.coalesce("__next", "next").alias("next"), F.coalesce("__head", "head").alias("head"), (F.col("dist") + F.coalesce("__dist", F.lit(0))).alias("dist")), "lineage")
+        rings.append(linked.where("head = id"))
+        rest = linked.where("head <> id")
+    # without a head: what hangs on a ring
+    known = _doubled(rest).select("id", "head", "dist")
+    for r in rings:
+        known = known.union(r.select("id", F.lit(None).cast(r.schema["head"].dataType).alias("head"), "dist"))
+    for left in reversed(gone):
+        at = known.select(F.col("id").alias("head"), F.col("head").alias("__head"), F.col("dist").alias("__dist"))
+        more = left.join(at, "head", "left").select("id", F.when(F.col("__dist").isNull(), F.col("head")).otherwise(F.col("__head")).alias("head"), (F.col("dist") + F.coalesce("__dist", F.lit(0))).alias("dist"))
+        known = known.union(written(more, "lineage"))
+    return inner.select("id", "next").join(known.where("head is not null"), "id").select("id", "next", "head", "dist")
+
+
+def _doubled(inner: DataFrame) -> DataFrame:
+    """``inner`` (id, next, head, dist) with heads outside of it and distances from there, by doubling; heads of rings are null."""
     most = inner.count()
     known, rounds = inner, 0
     # a chain of n nodes is ranked after log2(n) rounds; what is not is a ring
@@ -60,28 +99,30 @@ def chains(steps: DataFrame, ends: DataFrame) -> DataFrame:
             break
         known = known.join(before, "head", "left").select("id", "next", F.coalesce("__head", "head").alias("head"), (F.col("dist") + F.coalesce("__dist", F.lit(0))).alias("dist"))
         known, rounds = written(known, "lineage"), rounds + 1
-    return known.join(inner.select(F.col("id").alias("head")), "head", "left_anti").select("id", "next", "head", "dist")
+    ids = inner.select(F.col("id").alias("head"), F.lit(True).alias("__in"))
+    return known.join(ids, "head", "left").select("id", "next", F.when(F.col("__in").isNull(), F.col("head")).alias("head"), "dist")
 
 
-def _contracted_walk(steps: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(id, depth) of a walk that goes on from ``frontier`` over chains as edges of their length."""
-    inner = written(chains(steps, frontier.select("id")), "lineage")
+def _contracted_walk(steps: DataFrame, seen: DataFrame, frontier: DataFrame, keys: list[str]) -> DataFrame:
+    """([keys, ]id, depth) of a walk that goes on from ``frontier`` over chains as edges of their length."""
+    inner = written(chains(steps, frontier.select("id").distinct()), "lineage")
     ids = inner.select("id")
     last = inner.join(ids.withColumnRenamed("id", "next"), "next", "left_anti").select(F.col("head").alias("id"), "next", (F.col("dist") + 1).alias("length"))
     plain = steps.join(ids, "id", "left_anti").join(ids.withColumnRenamed("id", "next"), "next", "left_anti").select("id", "next", F.lit(1).cast("long").alias("length"))
     graph = written(plain.union(last).groupBy("id", "next").agg(F.min("length").alias("length")), "lineage")
-    best = written(seen.select("id", F.col("depth").cast("long").alias("depth")), "lineage")
-    frontier, rounds = frontier.select("id", F.col("depth").cast("long").alias("depth")), 0
+    at = [*keys, "id"]
+    best = written(seen.select(*at, F.col("depth").cast("long").alias("depth")), "lineage")
+    frontier, rounds = frontier.select(*at, F.col("depth").cast("long").alias("depth")), 0
     while not frontier.isEmpty():
-        near = frontier.join(graph, "id").groupBy("next").agg(F.min(F.col("depth") + F.col("length")).alias("depth")).withColumnRenamed("next", "id")
+        near = frontier.join(graph, "id").groupBy(*keys, "next").agg(F.min(F.col("depth") + F.col("length")).alias("depth")).withColumnRenamed("next", "id")
         # a node may be found again by fewer steps
-        known = best.groupBy("id").agg(F.min("depth").alias("__depth"))
-        frontier = written(near.join(known, "id", "left").where("__depth is null or depth < __depth").select("id", "depth"), "lineage")
+        known = best.groupBy(*at).agg(F.min("depth").alias("__depth"))
+        frontier = written(near.join(known, at, "left").where("__depth is null or depth < __depth").select(*at, "depth"), "lineage")
         best, rounds = best.union(frontier), rounds + 1
         if rounds % 20 == 0:
-            best = written(best.groupBy("id").agg(F.min("depth").alias("depth")), "lineage")
-    within = best.withColumnRenamed("id", "head").join(inner, "head").select("id", (F.col("depth") + F.col("dist")).alias("depth"))
-    return best.union(within).groupBy("id").agg(F.min("depth").cast("int").alias("depth"))
+            best = written(best.groupBy(*at).agg(F.min("depth").alias("depth")), "lineage")
+    within = best.withColumnRenamed("id", "head").join(inner, "head").select(*at, (F.col("depth") + F.col("dist")).alias("depth"))
+    return best.union(within).groupBy(*at).agg(F.min("depth").cast("int").alias("depth"))
 
 
 #: log2 of the entries of a sketch: sets of fewer nodes are counted exactly, others with an error of about 1 / sqrt(entries).
@@ -95,7 +136,21 @@ def blast_radii(edges: DataFrame, upstream: bool = False, lg: int = SKETCH) -> D
     themselves; shortcuts double in each round, so a path takes rounds in the logarithm of its length. Counts are exact up to
     2**lg nodes."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
+    return _sketched(written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "radius"), lg)
+
+
+def exact_radii(edges: DataFrame, upstream: bool = False, lg: int = 12) -> DataFrame:
+    """As blast_radii(), exact at any size: sets of under 2**lg nodes by their sketches, which hold them whole, and those of the other
+    nodes, which may be few, by one walk from all of these at once, whose pairs of node and node reached are counted."""
+    a, b = ("dst", "src") if upstream else ("src", "dst")
     steps = written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "radius")
+    radii = written(_sketched(steps, lg), "radius")
+    full = F.col("n_reached") >= (1 << lg) - 1
+    pairs = reachable_each(steps.select(F.col("id").alias("src"), F.col("next").alias("dst")), radii.where(full))
+    return radii.where(~full).union(pairs.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("n_reached")))
+
+
+def _sketched(steps: DataFrame, lg: int) -> DataFrame:
     own = steps.select(F.explode(F.array("id", "next")).alias("id")).distinct().select("id", F.xxhash64("id").alias("h"))
     state = written(own.groupBy("id").agg(F.theta_sketch_agg("h", lg).alias("s")), "radius")
     jumps = written(steps.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("next").alias("next")).where("n = 1").select("id", "next"), "radius")
@@ -123,12 +178,10 @@ KINDS = ("dataset", "model", "inference")
 
 
 def affected(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, type, id): the data sets, models and inferences downstream of each of a few roots (id), a row each."""
-    names = [r["id"] for r in roots.select("id").distinct().collect()]
-    hits = nodes.where(F.col("type").isin(*KINDS))
-    parts = [hits.join(reachable(edges, nodes.sparkSession.createDataFrame([(n,)], "id string")), "id").select(F.lit(n).alias("root"), "type", "id") for n in names]
-    empty = hits.select(F.lit("").alias("root"), "type", "id").limit(0)
-    return functools.reduce(DataFrame.union, parts, empty)
+    """(root, type, id): the data sets, models and inferences downstream of each of a few roots (id), a row each. Roots are
+    walked from together. ``nodes`` may be told again and again, and are compared only where they are reached."""
+    reached = written(reachable_each(edges, roots).select("root", "id"), "lineage")
+    return nodes.where(F.col("type").isin(*KINDS)).join(reached, "id").select("root", "type", "id").distinct()
 
 
 def trace(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -136,8 +189,8 @@ def trace(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     node is described as not found, and has no severity."""
     n = lambda t: F.count_if(F.col("type") == t)
     known = roots.select(F.col("id").alias("root")).distinct()
-    hits = affected(nodes, edges, roots.join(nodes, "id", "left_semi")).groupBy("root").agg(n("dataset").alias("n_datasets"), n("model").alias("n_models"), n("inference").alias("n_inferences"))
-    types = nodes.select(F.col("id").alias("root"), F.col("type").alias("root_type"))
+    types = written(nodes.select(F.col("id").alias("root"), F.col("type").alias("root_type")).join(known, "root", "left_semi").distinct(), "lineage")
+    hits = affected(nodes, edges, types.select(F.col("root").alias("id"))).groupBy("root").agg(n("dataset").alias("n_datasets"), n("model").alias("n_models"), n("inference").alias("n_inferences"))
     d = known.join(types, "root", "left").join(hits, "root", "left").fillna(0, ["n_datasets", "n_models", "n_inferences"])
     d = d.withColumn("total", F.col("n_datasets") + F.col("n_models") + F.col("n_inferences"))
     found = F.col("root_type").isNotNull()
@@ -154,7 +207,8 @@ def impact(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     """(root, n_datasets, n_models, n_inferences, severity) of what lies downstream of a node;
     targets without a node row are walked through but not counted."""
     spark = nodes.sparkSession
-    hit = nodes.join(reachable(edges, spark.createDataFrame([(root,)], "id string")), "id")
+    reached = written(reachable(edges, spark.createDataFrame([(root,)], "id string")).select("id"), "lineage")
+    hit = nodes.select("id", "type").join(reached, "id", "left_semi").distinct()
     n = lambda t: F.count_if(F.col("type") == t)
     g = hit.agg(n("dataset").alias("n_datasets"), n("model").alias("n_models"), n("inference").alias("n_inferences"))
     return g.select(F.lit(root).alias("root"), "n_datasets", "n_models", "n_inferences", _severity().alias("severity"))

@@ -89,3 +89,52 @@ def test_traces(spark):
     ids = {(r["root"], r["type"], r["id"]) for r in lineage.affected(nodes, edges, roots).collect()}
     assert ids == {("C_B", "dataset", "DX"), ("C_B", "model", "MY"), ("C_B", "inference", "R1"), ("C_B", "inference", "R2"), ("B99", "dataset", "DS"), ("MY", "inference", "R1"), ("MY", "inference", "R2")}
     assert lineage.affected(nodes, edges, roots.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_thinned_chains(spark, monkeypatch, seed):
+    """Long and short chains, hubs of many chains and rings, ranked with most nodes taken out first."""
+    monkeypatch.setattr(lineage, "THIN", 4)
+    r = random.Random(seed)
+    pairs = graph(r, 7) + [(f"r{k}", f"r{(k + 1) % 9}") for k in range(9)] + [("two", "one"), ("one", "two")]
+    nexts, into = {}, {}
+    for a, b in set(pairs):
+        nexts.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+    inner = {x for x in nexts if len(nexts[x]) == 1 and len(into.get(x, [])) == 1 and into[x][0] != x} - {"c1-3"}
+    want = {}
+    for x in inner:
+        at, n = x, 0
+        while at in inner and n <= len(inner):
+            at, n = into[at][0], n + 1
+        if at not in inner:
+            want[x] = (nexts[x][0], at, n)
+    steps = spark.createDataFrame(list(set(pairs)), "id string, next string")
+    got = lineage.chains(steps, spark.createDataFrame([("c1-3",)], "id string")).collect()
+    assert len(got) == len(want) and {x["id"]: (x["next"], x["head"], x["dist"]) for x in got} == want
+
+
+def test_exact_radii_beyond_a_sketch(spark):
+    pairs = graph(random.Random(6), 5)
+    ids = sorted({x for p in pairs for x in p})
+    got = [tuple(x) for x in lineage.exact_radii(frame(spark, pairs), lg=4).collect()]
+    assert len(got) == len(ids) and dict(got) == {x: len(walk(pairs, [x])) for x in ids}
+
+
+def test_one_walk_for_all_roots(spark, monkeypatch):
+    """Repeated edges and nodes, and more roots for the same number of written rounds."""
+    monkeypatch.setattr(lineage, "PLAIN_ROUNDS", 2)
+    pairs, count = graph(random.Random(7), 5), [0]
+    real = lineage.written
+    monkeypatch.setattr(lineage, "written", lambda *a: count.__setitem__(0, count[0] + 1) or real(*a))
+    roots, took = ["h0", "h1", "c1-3", "ring2", "self", "nobody"], []
+    for some in (roots[:1], roots):
+        count[0] = 0
+        got = {(x["root"], x["id"]): x["depth"] for x in lineage.reachable_each(frame(spark, pairs + pairs), spark.createDataFrame([(x,) for x in some], "id string")).collect()}
+        assert got == {(r, k): d for r in some for k, d in walk(pairs, [r]).items()}
+        took.append(count[0])
+    assert took[0] <= took[1] <= 20
+    n, e = lineage.branch("C", "B", "D", "M", ("R",))
+    nodes = spark.createDataFrame(n + n, "id string, type string")
+    assert tuple(lineage.impact(nodes, frame(spark, e + e), "C").first())[1:4] == (1, 1, 1)
+    assert lineage.trace(nodes, frame(spark, e + e), spark.createDataFrame([("C",), ("B",)], "id string")).select("total").collect() == [(3,), (3,)]
