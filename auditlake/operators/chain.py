@@ -9,6 +9,7 @@ carries each range's last hash over, so that no task holds more than a range.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
+from auditlake.functions.tables import written
 from auditlake.operators import merkle
 
 #: Slices of the hash range by which a chain's records are counted for its sample.
@@ -27,29 +29,65 @@ def recomputed(output_digest: Column, configurations: bool = False) -> Column:
     return C.record_hash(F.col("sequence_number"), F.col("previous_record_hash"), F.col("input_sha256"), F.col("model_digest"), output_digest, F.col("nonce"), F.col("timestamp"), *more)
 
 
+#: Records of a chain that one task sorts, about.
+SPAN = 1_000_000
+
+
 def build(records: DataFrame, chain: str = "chain_id", order: str = "pos") -> DataFrame:
     """Fills sequence_number, previous_record_hash and record_hash of (chain, pos, input_sha256,
     model_digest, output_digest, nonce, timestamp). A chain is a fold from its first
     record to its last: each partition holds whole chains, sorted, and is folded as a
-    stream of batches, so that a long chain takes time but no memory."""
-    schema = f"{chain} {records.schema[chain].dataType.simpleString()}, {order} long, sequence_number long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string, previous_record_hash string, record_hash string"
+    stream of batches. A chain of over SPAN records is cut into ranges of about so many, which are sorted side by side into files and folded
+    one after another, each from the last hash of the one before, so that a long chain takes time but no memory."""
+    rows = records.select(chain, F.col(order).cast("long").alias(order), "input_sha256", "model_digest", "output_digest", "nonce", "timestamp")
+    long = rows.groupBy(chain).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPAN)
+    total = long.agg(F.sum("n")).first()[0]
+    if not total:
+        return _folded(rows.repartition(chain), chain, order)
+    names = written(long.select(chain), "long-chains")
+    ranges_ = rows.join(names, chain, "left_semi").repartitionByRange(-(-total // SPAN), chain, order).withColumn("__at", F.spark_partition_id())
+    ranges_ = written(ranges_, "ranges")
+    # one row for each chain and range that holds some of it, each of SPAN records: few
+    places = ranges_.groupBy(chain).agg(F.array_sort(F.collect_set("__at")).alias("at")).select(chain, F.posexplode("at").alias("__turn", "__at"))
+    places = written(places, "turns")
+    turns: dict[int, list[int]] = {}
+    for r in places.select("__turn", "__at").distinct().collect():
+        turns.setdefault(r["__turn"], []).append(r["__at"])
+    out = _folded(rows.join(names, chain, "left_anti").repartition(chain), chain, order)
+    last = None
+    for turn in sorted(turns):
+        part = ranges_.where(F.col("__at").isin(turns[turn])).join(places.where(F.col("__turn") == turn), [chain, "__at"]).drop("__turn", "__at")
+        if last is not None:
+            part = part.join(last, chain)
+        done = written(_folded(part.repartition(chain), chain, order), "folded")
+        last = done.groupBy(chain).agg((F.max("sequence_number") + 1).alias("__k"), F.max_by("record_hash", "sequence_number").alias("__prev"))
+        out = out.union(done)
+    return out
+
+
+def _folded(rows: DataFrame, chain: str, order: str) -> DataFrame:
+    """Partitions of whole chains, folded; from (__k, __prev) on where rows have these."""
+    schema = f"{chain} {rows.schema[chain].dataType.simpleString()}, {order} long, sequence_number long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string, previous_record_hash string, record_hash string"
+    begun_ = "__k" in rows.columns
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, prev, k, begun = None, C.GENESIS, 0, False
         for pdf in batches:
             numbers, prevs, hashes = [], [], []
-            for r in pdf.itertuples(index=False):
-                if not begun or getattr(r, chain) != at:
-                    at, prev, k, begun = getattr(r, chain), C.GENESIS, 0, True
+            starts = zip(pdf["__k"], pdf["__prev"]) if begun_ else itertools.repeat((0, C.GENESIS))
+            columns = [pdf[c] for c in (chain, "input_sha256", "model_digest", "output_digest", "nonce", "timestamp")]
+            for (name, i, m, o, nonce, t), start in zip(zip(*columns), starts):
+                if not begun or name != at:
+                    at, begun = name, True
+                    k, prev = int(start[0]), start[1]
                 numbers.append(k)
                 prevs.append(prev)
-                prev = hashlib.sha256(f"{k}:{prev}:{r.input_sha256}:{r.model_digest}:{r.output_digest}:{r.nonce}:{r.timestamp}".encode()).hexdigest()
+                prev = hashlib.sha256(f"{k}:{prev}:{i}:{m}:{o}:{nonce}:{t}".encode()).hexdigest()
                 hashes.append(prev)
                 k += 1
             yield pdf.assign(sequence_number=numbers, previous_record_hash=prevs, record_hash=hashes)[[f.split()[0] for f in schema.split(", ")]]
 
-    rows = records.select(chain, F.col(order).cast("long").alias(order), "input_sha256", "model_digest", "output_digest", "nonce", "timestamp")
-    return rows.repartition(chain).sortWithinPartitions(chain, order).mapInPandas(fold, schema)
+    return rows.sortWithinPartitions(chain, order).mapInPandas(fold, schema)
 
 
 def verify(records: DataFrame, chain: str = "chain_id", order: str = "pos", output_digest: Column | None = None, valid_signature: Column | None = None) -> DataFrame:

@@ -96,3 +96,15 @@ def test_spot_totals(spark):
     inputs = records.where("chain_id <> '3'").select("record_id", F.when(F.col("chain_id") == "1", F.array(F.lit(2.0))).otherwise(F.array(F.lit(1.0))).alias("replayed"))
     got = {r["chain_id"]: tuple(r)[1:] for r in chain.spot_summary(chain.spot_check(records, inputs, chain="chain_id"), "chain_id").collect()}
     assert got == {"0": (2, 2, 0, 0), "1": (2, 0, 2, 0), "2": (2, 2, 0, 0), "3": (2, 0, 0, 2)}
+
+
+def test_long_chains_are_built_range_by_range(spark, monkeypatch):
+    """Chains of over SPAN records beside short ones and one without a name: the same records."""
+    rows = [(c, p, f"i{p}", "m", f"o{c}{p}", f"n{p}", "t") for c, n in (("a", 53), ("b", 3), ("c", 21), (None, 4)) for p in range(n, 0, -1)]
+    d = spark.createDataFrame(rows, "chain_id string, pos long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string")
+    want = sorted(map(repr, chain.build(d).collect()))
+    monkeypatch.setattr(chain, "SPAN", 10)
+    got = chain.build(d).collect()
+    assert sorted(map(repr, got)) == want
+    a = sorted((r for r in got if r["chain_id"] == "a"), key=lambda r: r["pos"])
+    assert [r["sequence_number"] for r in a] == list(range(53)) and all(x["record_hash"] == y["previous_record_hash"] for x, y in zip(a, a[1:]))
