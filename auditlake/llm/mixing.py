@@ -151,13 +151,13 @@ def _in_order(docs: DataFrame, weights: dict | None, chunk: int, whole: bool, so
     own = [c for c in RESULTS if c in docs.columns]
     out = _scheduled(docs.withColumnsRenamed({c: f"__own_{c}" for c in own}), weights, source_col, id_col, block, seed, place_col)
     out = out.where("mix_position is not null" if whole else "in_mix").withColumn("__run", F.floor(F.col("mix_position") / chunk))
-    out = out.repartition("__run").sortWithinPartitions("mix_position").drop("__slot", "mix_position", "target", "in_mix", "__run")
+    out = out.repartitionByRange("__run").sortWithinPartitions("mix_position").drop("__slot", "mix_position", "target", "in_mix", "__run")
     return out.withColumnsRenamed({f"__own_{c}": c for c in own}).select(*docs.columns)
 
 
 def ordered(docs: DataFrame, weights: dict | None = None, chunk: int = 4096, **names) -> DataFrame:
     """Every row of ``docs`` whose source has a weight (all rows, by default), all columns, written
-    in the order of the mix: each output partition holds whole runs of ``chunk`` places."""
+    in the order of the mix, from the first partition to the last: each holds whole runs of ``chunk`` places."""
     return _in_order(docs, weights, chunk, True, **names)
 
 

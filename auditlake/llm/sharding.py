@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +142,24 @@ def shard(rows: DataFrame, shards: int, identity: list[str], seed: int = 6, size
     return slots.select(*[c for c in rows.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 
+def in_turn(docs: DataFrame, shards: int) -> DataFrame:
+    """``docs`` with shard and slot (law `rows`), dealt to the shards in turn in the order in which they are written: files by name, rows
+    by place. What decided that order, a mix, thus holds in each shard and up to each slot. ``docs`` must read written Parquet; a
+    table in memory (tests) has the order of its partitions."""
+    rows = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
+    try:
+        at = rows.withColumns({"__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        at = rows.withColumn("__id", F.monotonically_increasing_id())
+        at = at.withColumns({"__file": F.format_string("%010d", F.shiftright("__id", 33)), "__row": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
+    # a row for each file
+    files = at.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(F.lit(0)).orderBy(F.length("__file"), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("__file", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    rank = F.col("__before") + F.col("__row")
+    return at.join(before, "__file").select(*rows.columns, F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), F.floor(rank / shards).alias("slot"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = placed(docs).select(PLACE, "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))

@@ -61,3 +61,14 @@ def test_awkward_rows_pass(spark, tmp_path):
     got = Counter((r["doc_id"], r["text"]) for r in cp.run(spark, str(tmp_path)).collect())
     want = {(k, text(k)) for k in range(60) if k != 5} | {(None, text(70)), (101, None), (102, "")}
     assert set(got) == want and set(got.values()) == {1}
+
+
+def test_the_mix_decides_shards(spark, data, tmp_path):
+    """Slot by slot the shards hold the documents as mixed: other files or splits change nothing, another order does."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    order = [r["doc_id"] for r in cp.mixing.mix(cp.placed(docs), place_col=cp.PLACE).orderBy("mix_position").collect()]
+    cp.mix(spark, docs, data).write.parquet(f"{tmp_path}/mixed")
+    dealt = {r["doc_id"]: (r["slot"], r["shard"]) for r in cp.shard(spark, spark.read.parquet(f"{tmp_path}/mixed"), data).collect()}
+    assert sorted(dealt, key=dealt.get) == order and all(dealt[x] == divmod(k, cp.SHARDS) for k, x in enumerate(order))
+    docs.orderBy("doc_id").write.parquet(f"{tmp_path}/plain")
+    assert dealt != {r["doc_id"]: (r["slot"], r["shard"]) for r in cp.shard(spark, spark.read.parquet(f"{tmp_path}/plain"), data).collect()}
