@@ -33,17 +33,18 @@ def recomputed(output_digest: Column, configurations: bool = False) -> Column:
 SPAN = 1_000_000
 
 
-def build(records: DataFrame, chain: str = "chain_id", order: str = "pos") -> DataFrame:
+def build(records: DataFrame, chain: str = "chain_id", order: str = "pos", more: tuple[str, ...] = ()) -> DataFrame:
     """Fills sequence_number, previous_record_hash and record_hash of (chain, pos, input_sha256,
     model_digest, output_digest, nonce, timestamp). A chain is a fold from its first
     record to its last: each partition holds whole chains, sorted, and is folded as a
     stream of batches. A chain of over SPAN records is cut into ranges of about so many, which are sorted side by side into files and folded
-    one after another, each from the last hash of the one before, so that a long chain takes time but no memory."""
-    rows = records.select(chain, F.col(order).cast("long").alias(order), "input_sha256", "model_digest", "output_digest", "nonce", "timestamp")
+    one after another, each from the last hash of the one before, so that a long chain takes time but no memory. ``more``: columns of
+    records that are carried along, longs."""
+    rows = records.select(chain, F.col(order).cast("long").alias(order), "input_sha256", "model_digest", "output_digest", "nonce", "timestamp", *more)
     long = rows.groupBy(chain).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPAN)
     total = long.agg(F.sum("n")).first()[0]
     if not total:
-        return _folded(rows.repartition(chain), chain, order)
+        return _folded(rows.repartition(chain), chain, order, more)
     names = written(long.select(chain), "long-chains")
     ranges_ = rows.join(names, chain, "left_semi").repartitionByRange(-(-total // SPAN), chain, order).withColumn("__at", F.spark_partition_id())
     ranges_ = written(ranges_, "ranges")
@@ -53,21 +54,21 @@ def build(records: DataFrame, chain: str = "chain_id", order: str = "pos") -> Da
     turns: dict[int, list[int]] = {}
     for r in places.select("__turn", "__at").distinct().collect():
         turns.setdefault(r["__turn"], []).append(r["__at"])
-    out = _folded(rows.join(names, chain, "left_anti").repartition(chain), chain, order)
+    out = _folded(rows.join(names, chain, "left_anti").repartition(chain), chain, order, more)
     last = None
     for turn in sorted(turns):
         part = ranges_.where(F.col("__at").isin(turns[turn])).join(places.where(F.col("__turn") == turn), [chain, "__at"]).drop("__turn", "__at")
         if last is not None:
             part = part.join(last, chain)
-        done = written(_folded(part.repartition(chain), chain, order), "folded")
+        done = written(_folded(part.repartition(chain), chain, order, more), "folded")
         last = done.groupBy(chain).agg((F.max("sequence_number") + 1).alias("__k"), F.max_by("record_hash", "sequence_number").alias("__prev"))
         out = out.union(done)
     return out
 
 
-def _folded(rows: DataFrame, chain: str, order: str) -> DataFrame:
+def _folded(rows: DataFrame, chain: str, order: str, more: tuple[str, ...] = ()) -> DataFrame:
     """Partitions of whole chains, folded; from (__k, __prev) on where rows have these."""
-    schema = f"{chain} {rows.schema[chain].dataType.simpleString()}, {order} long, sequence_number long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string, previous_record_hash string, record_hash string"
+    schema = f"{chain} {rows.schema[chain].dataType.simpleString()}, {order} long, sequence_number long, input_sha256 string, model_digest string, output_digest string, nonce string, timestamp string, previous_record_hash string, record_hash string" + "".join(f", {c} long" for c in more)
     begun_ = "__k" in rows.columns
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

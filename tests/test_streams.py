@@ -97,3 +97,25 @@ def test_attacks_are_judged_as_at_once(spark, tmp_path):
     swapped.unionByName(last).write.parquet(f"{tmp_path}/in")
     run(windows.verify_chain_in_order(spark.readStream.schema(swapped.schema).parquet(f"{tmp_path}/in"), "5 minutes"), tmp_path)
     assert [x["sequence_number"] for x in spark.read.parquet(f"{tmp_path}/out").where("tampered and chain_id = 'x'").collect()] == [4]
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_many_short_chains_share_their_state(spark, tmp_path, ordered):
+    n = 3 * windows.GROUPS
+    rows = spark.range(2 * n).select(F.concat(F.lit("c"), F.expr(f"id % {n}")).alias("chain_id"), F.expr(f"id div {n}").alias("pos"), F.lit("i").alias("input_sha256"), F.lit("m").alias("model_digest"), F.lit("o").alias("output_digest"), F.col("id").cast("string").alias("nonce"))
+    rows = rows.withColumns({"timestamp": F.lit("t"), "us": F.expr("1704067200000000 + pos * 60000000")})
+    log = windows.written(chain.build(rows, more=("us",)).withColumns({"record_id": F.col("nonce"), "ts": F.timestamp_micros("us")}), "test")
+    # a chain without an id, one without its first record, an edited record
+    log = log.where("not (chain_id = 'c1' and pos = 0)").withColumn("output_digest", F.when(F.expr("chain_id = 'c2' and pos = 1"), "edited").otherwise(F.col("output_digest")))
+    log = windows.written(log.withColumn("chain_id", F.nullif("chain_id", F.lit("c0"))), "test")
+    last = log.where("chain_id = 'c3' and pos = 1").withColumns({"chain_id": F.lit("z"), "ts": F.expr("ts + interval 1 hour")})
+    for part in ("pos = 0", "pos = 1"):
+        log.where(part).unionByName(last.where(part)).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
+        out = windows.verify_chain_in_order(stream, "5 minutes") if ordered else windows.verify_chain(stream)
+        q = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+        assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= windows.GROUPS
+    names = ["chain_id", "record_id", "sequence_number", "expected_seq", "seq_anomaly", "broken_link", "tampered"]
+    got = spark.read.parquet(f"{tmp_path}/out").where("chain_id is null or chain_id <> 'z'")
+    assert sorted(repr(tuple(x[n] for n in names)) for x in got.collect()) == sorted(repr(tuple(x[n] for n in names)) for x in chain.verify(log).collect())
