@@ -140,10 +140,51 @@ def blast_radii(edges: DataFrame, upstream: bool = False, lg: int = SKETCH) -> D
 
 
 def exact_radii(edges: DataFrame, upstream: bool = False, lg: int = 12) -> DataFrame:
-    """As blast_radii(), exact at any size: sets of under 2**lg nodes by their sketches, which hold them whole, and those of the other
-    nodes, which may be few, by one walk from all of these at once, whose pairs of node and node reached are counted."""
+    """As blast_radii(), exact at any size. Pairs of a node and a node reached are walked among inner nodes alone (those with an edge in and
+    one out), which are few where most nodes are leaves; leaves are met once, in the count. ``edges`` are scanned a few times,
+    repeats and all: write them first if they cost more than a scan. Graphs that are deeper than PLAIN_ROUNDS go by sketches."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    steps = written(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "radius")
+    told = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
+    steps = told.where("id <> next")
+    pairs = _inner_pairs(steps)
+    if pairs is None:
+        return _radii_by_sketches(told, lg)
+    counted = lambda d, key: written(d.distinct().groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")), "radius")
+    # exchanged by both columns: a node that reaches any number of others is spread
+    n = counted(pairs.join(steps, "id").where("root <> next").select("root", "next"), "root")
+    _freed(steps)
+    # of a node with inner ones behind it this is a part, and the smaller count
+    n = n.union(counted(steps, "id"))
+    _freed(steps)
+    none = told.select(F.col("next").alias("id")).union(told.where("not coalesce(id <> next, false)").select("id")).withColumn("n", F.lit(0).cast("long"))
+    return n.union(none).groupBy("id").agg(F.max("n").alias("n_reached"))
+
+
+def _inner_pairs(steps: DataFrame) -> DataFrame | None:
+    """(root, id): the inner nodes reached from each node of (id, next) that has an edge to any, itself among them, by a walk from all at
+    once; None if it takes over PLAIN_ROUNDS."""
+    inner = written(steps.join(steps.select(F.col("id").alias("next")).distinct(), "next", "left_semi").select("id", "next").distinct(), "radius")
+    frontier = seen = inner.select(F.col("id").alias("root"), F.col("next").alias("id"))
+    for _ in range(PLAIN_ROUNDS):
+        _freed(steps)
+        new = frontier.join(inner, "id").where("root <> next").select("root", F.col("next").alias("id")).distinct()
+        frontier = written(new.join(seen, ["root", "id"], "left_anti"), "radius")
+        if frontier.isEmpty():
+            _freed(steps)
+            return seen.union(inner.select(F.col("id").alias("root"), "id").distinct())
+        seen = seen.union(frontier)
+    return None
+
+
+def _freed(df: DataFrame) -> None:
+    """Exchanges that nothing refers to any more are removed from disk when the driver collects garbage, which it may not do for long."""
+    df.sparkSession._jvm.System.gc()
+
+
+def _radii_by_sketches(told: DataFrame, lg: int) -> DataFrame:
+    """Sets of under 2**lg nodes by their sketches, which hold them whole, and those of the other
+    nodes, which may be few, by one walk from all of these at once, whose pairs of node and node reached are counted."""
+    steps = written(told.distinct(), "radius")
     radii = written(_sketched(steps, lg), "radius")
     full = F.col("n_reached") >= (1 << lg) - 1
     pairs = reachable_each(steps.select(F.col("id").alias("src"), F.col("next").alias("dst")), radii.where(full))

@@ -138,3 +138,33 @@ def test_one_walk_for_all_roots(spark, monkeypatch):
     nodes = spark.createDataFrame(n + n, "id string, type string")
     assert tuple(lineage.impact(nodes, frame(spark, e + e), "C").first())[1:4] == (1, 1, 1)
     assert lineage.trace(nodes, frame(spark, e + e), spark.createDataFrame([("C",), ("B",)], "id string")).select("total").collect() == [(3,), (3,)]
+
+
+def test_exact_radii_write_no_leaves(spark, monkeypatch):
+    """Shallow graphs, with rings, loops, repeats and nulls, are counted from pairs of inner nodes: neither all edges nor a set of each node is written."""
+    real, rows = lineage.written, []
+    monkeypatch.setattr(lineage, "written", lambda *a: (rows.append(0), (d := real(*a)), rows.__setitem__(-1, d.count()))[1])
+    r = random.Random(8)
+    pairs = [(f"a{r.randrange(3)}", f"b{k}") for k in range(20)] + [(f"b{r.randrange(20)}", f"c{k}") for k in range(40)] + [(f"c{r.randrange(40)}", f"leaf{r.randrange(900)}") for _ in range(4000)]
+    pairs += [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("r2", "leaf3"), ("a0", "leaf1"), ("self", "self"), ("leaf7", "leaf7")] + pairs[::9]
+    edges = frame(spark, pairs + [(None, "leaf1"), ("b1", None), (None, None), ("lone", None)])
+    for up in (False, True):
+        rows.clear()
+        got = [tuple(x) for x in lineage.exact_radii(edges, upstream=up).collect()]
+        turned = [(b, a) for a, b in pairs] if up else pairs
+        assert len(got) == len(dict(got)) and dict(got) == {x: len(walk(turned, [x])) for p in pairs for x in p} | {None: 0, "lone": 0}
+        assert up or sum(rows) < 1000
+
+
+def test_radii_of_very_large_keys(spark, tmp_path):
+    """Keys that leave no bits for a kind, negative keys and nulls."""
+    from auditlake.plans.queries import QUERIES
+
+    for shift, folder in ((0, "small"), (1 << 60, "large")):
+        d = f"{tmp_path}/{folder}"
+        spark.createDataFrame([(shift - 7, 3), (None, 4), (5, 3)], "c_custkey long, c_nationkey int").write.parquet(f"{d}/customer.parquet")
+        spark.createDataFrame([(shift - 7, 1), (5, shift + 2), (5, None)], "o_custkey long, o_orderkey long").write.parquet(f"{d}/orders.parquet")
+        spark.createDataFrame([(1, 1, 1), (1, 2, -1), (shift + 2, 2, None)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{d}/lineitem.parquet")
+        got = {x["id"]: x["n_reached"] for x in QUERIES["blast_radii"](spark, d).collect()}
+        want = {"nation-3": 6, "nation-4": 0, f"cust-{shift - 7}": 3, "cust-5": 2, "order-1": 2, f"order-{shift + 2}": 1, "supp-1": 1, "supp--1": 1, "model-1": 0, "model-2": 0, None: 0}
+        assert got == want
