@@ -158,6 +158,30 @@ def test_nearest_among_copies_and_over_blocks(spark, monkeypatch):
     assert samples._blocks(600_000, samples.TILE) == samples._blocks(100_000, samples.TILE) == samples.SIDES
 
 
+def unlike(n):
+    """Vectors that no index tells apart well."""
+    x = np.random.default_rng(12).normal(size=(n, 24))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_neighbours_are_exact_beyond_any_size(spark, monkeypatch):
+    """What label_flips votes by: the same rows whatever the limit that once switched to an index, also where blocks are met a few at a time."""
+    v = unlike(900)
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "idx long, v array<double>")
+    s = np.round(v @ v.T, 12)
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, int(j), n + 1) for i in range(900) for n, j in enumerate(np.argsort(-s[i], kind="stable")[:5])}
+    rows, real = [], samples.written
+    monkeypatch.setattr(samples, "EXACT_ROWS", 100)
+    monkeypatch.setattr(samples, "written", lambda *a: (d := real(*a), rows.append(d.count()))[0])
+    for sides, longest in ((16, 131_072), (3, 130)):
+        monkeypatch.setattr(samples, "SIDES", sides)
+        monkeypatch.setattr(samples._blocks, "__defaults__", (longest,))
+        got = [tuple(x) for x in samples.neighbours(d, 5).select("i", "j", "rank").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert rows == [4500, 4500]
+
+
 def test_near_pairs_of_short_hashes(spark, monkeypatch):
     """No explosion of values, which the planner would send through the driver; each pair once."""
     monkeypatch.setattr(samples, "TILE", 60)
