@@ -182,6 +182,20 @@ def test_neighbours_are_exact_beyond_any_size(spark, monkeypatch):
     assert rows == [4500, 4500]
 
 
+def test_purity_by_all_neighbours_beyond_any_size(spark, monkeypatch, tmp_path):
+    """label_purity as its SQL, on a table above the limit that once switched to an index."""
+    import duckdb
+
+    from auditlake.plans.queries import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame([(k, x.tolist(), k % 3) for k, x in enumerate(unlike(600))], "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(samples, "EXACT_ROWS", 100)
+    got = QUERIES["label_purity"](spark, str(tmp_path)).select("i", "label", "dominant", "dominant_ratio", "purity").collect()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(duck.execute(ORACLE_SQL["label_purity"]).fetchall())
+
+
 def test_near_pairs_of_short_hashes(spark, monkeypatch):
     """No explosion of values, which the planner would send through the driver; each pair once."""
     monkeypatch.setattr(samples, "TILE", 60)
